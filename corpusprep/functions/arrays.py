@@ -109,7 +109,7 @@ def downmix(audio) -> Column:
 def interleaved_to_frames(values) -> Column:
     """View a flat interleaved stereo array as ``[n/2, 2]`` frames."""
     v = _c(values)
-    return F.transform(F.sequence(F.lit(0), F.size(v) / 2 - 1).cast("array<int>"),
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int") - 1),
                        lambda i: F.array(v[i * 2], v[i * 2 + 1]))
 
 

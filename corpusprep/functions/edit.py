@@ -8,7 +8,7 @@ pair may hold over a million distinct words; there is no cap.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BMP_FIRST = 0x4E00
@@ -51,12 +51,17 @@ def words(text, pattern: str = r"\s+") -> Column:
     return F.filter(F.split(F.trim(c), pattern), lambda w: w != "")
 
 
-def word_distance(ref, hyp, pattern: str = r"\s+") -> Column:
-    """word-level Levenshtein distance."""
-    rw, hw = words(ref, pattern), words(hyp, pattern)
-    vocab = F.array_distinct(F.concat(rw, hw))
+def encode_words(ws, vocab) -> Column:
+    """Each word as the stand-in of its index in ``vocab`` (an array column)."""
+    return F.array_join(F.transform(_c(ws), lambda w: _stand_in(F.array_position(_c(vocab), w) - 1)), "")
 
-    def encode(ws):
-        return F.array_join(F.transform(ws, lambda w: _stand_in(F.array_position(vocab, w) - 1)), "")
 
-    return F.levenshtein(encode(rw), encode(hw))
+def with_word_distance(df: DataFrame, ref, hyp, out: str = "word_edits",
+                       pattern: str = r"\s+") -> DataFrame:
+    """word-level Levenshtein distance. The pair's vocabulary is
+    materialised as a column first, so the per-word lookup does not rebuild it
+    for every word."""
+    d = (df.withColumn("__cp_rw", words(ref, pattern)).withColumn("__cp_hw", words(hyp, pattern))
+           .withColumn("__cp_v", F.array_distinct(F.concat("__cp_rw", "__cp_hw"))))
+    d = d.withColumn(out, F.levenshtein(encode_words("__cp_rw", "__cp_v"), encode_words("__cp_hw", "__cp_v")))
+    return d.drop("__cp_rw", "__cp_hw", "__cp_v")

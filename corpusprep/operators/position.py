@@ -33,19 +33,16 @@ def _cols(x) -> list[str]:
 
 def quantile_boundaries(df: DataFrame, proxy: Column, n_buckets: int | None,
                         rows_per_bucket: int, max_buckets: int) -> tuple[int, list[float]]:
-    """(row count, sorted distinct inner boundaries) from one aggregate pass.
+    """(row count, sorted distinct inner boundaries). A count decides how many
+    buckets are needed; only then one aggregate pass computes the quantiles.
     The driver receives at most ``max_buckets`` numbers, whatever the data size."""
-    grid = n_buckets or max_buckets
+    n = df.count()
+    grid = n_buckets or max(1, min(max_buckets, math.ceil(n / max(1, rows_per_bucket))))
+    if grid <= 1 or n == 0:
+        return n, []
     probs = [i / grid for i in range(1, grid)]
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.percentile_approx(proxy, probs, max(10000, 10 * grid)).alias("q")
-                 if probs else F.lit(None).alias("q")).first()
-    n = int(row["n"])
+    row = df.agg(F.percentile_approx(proxy, probs, max(10000, 10 * grid)).alias("q")).first()
     q = [float(v) for v in (row["q"] or []) if v is not None]
-    if n_buckets is None:
-        want = max(1, min(grid, math.ceil(n / max(1, rows_per_bucket))))
-        step = grid / want
-        q = [q[int(round(step * i)) - 1] for i in range(1, want) if 0 < int(round(step * i)) <= len(q)]
     return n, sorted(set(q))
 
 

@@ -56,21 +56,25 @@ def build_vocab(df: DataFrame, text_col: str = "text", specials=SPECIALS,
     return ranked.select("token", "count", (F.col("rank") + len(specials)).alias("token_id"))
 
 
-def _recollect(exploded: DataFrame, key: str, pos: str, value: str, out: str) -> DataFrame:
+def _keys(key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _recollect(exploded: DataFrame, key, pos: str, value: str, out: str) -> DataFrame:
     """Ordered re-collection of one value per (key, pos) into an array."""
-    return (exploded.groupBy(key)
+    return (exploded.groupBy(*_keys(key))
             .agg(F.array_sort(F.collect_list(F.struct(F.col(pos), F.col(value)))).alias("__cp_s"))
-            .select(key, F.transform(F.filter("__cp_s", lambda s: s[pos].isNotNull()),
-                                     lambda s: s[value]).alias(out)))
+            .select(*_keys(key), F.transform(F.filter("__cp_s", lambda s: s[pos].isNotNull()),
+                                             lambda s: s[value]).alias(out)))
 
 
 def token_ids(df: DataFrame, vocab: DataFrame, key: str, text_col: str = "text",
               out: str = "ids", pattern: str = r"[ \n]+", unk_id: int = UNK_ID) -> DataFrame:
     """Token ids in text order; unknown tokens map to ``unk_id``."""
-    ex = df.select(key, F.posexplode_outer(split_words(F.col(text_col), pattern)).alias("tpos", "token"))
+    ex = df.select(*_keys(key), F.posexplode_outer(split_words(F.col(text_col), pattern)).alias("tpos", "token"))
     v = checked_broadcast(vocab.select("token", "token_id"))
     j = ex.join(v, "token", "left").select(
-        key, "tpos", F.when(F.col("tpos").isNull(), None)
+        *_keys(key), "tpos", F.when(F.col("tpos").isNull(), None)
         .otherwise(F.coalesce("token_id", F.lit(unk_id))).cast("int").alias("token_id"))
     return _recollect(j, key, "tpos", "token_id", out)
 
@@ -79,12 +83,12 @@ def detokenise(df: DataFrame, vocab: DataFrame, key: str, ids_col: str = "ids",
                out: str = "text", skip_ids=(EOS_ID, UNK_ID)) -> DataFrame:
     """Ids -> text, special ids dropped, tokens joined by one space."""
     skip = F.array(*[F.lit(i) for i in skip_ids])
-    ex = df.select(key, F.posexplode_outer(F.filter(ids_col, lambda x: ~F.array_contains(skip, x)))
+    ex = df.select(*_keys(key), F.posexplode_outer(F.filter(ids_col, lambda x: ~F.array_contains(skip, x)))
                    .alias("tpos", "token_id"))
     v = checked_broadcast(vocab.select("token", F.col("token_id").cast("int").alias("token_id")))
     j = ex.join(v, "token_id", "left")
     r = _recollect(j, key, "tpos", "token", "__cp_tokens")
-    return r.select(key, F.array_join("__cp_tokens", " ").alias(out))
+    return r.select(*_keys(key), F.array_join("__cp_tokens", " ").alias(out))
 
 
 def embedding_lookup(df: DataFrame, table: DataFrame, key: str, ids_col: str = "ids",

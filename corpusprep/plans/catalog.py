@@ -11,10 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusprep.functions import arrays as A
+from corpusprep.functions import maps as M
 from corpusprep.functions import prompts as P
 from corpusprep.functions import text as X
 from corpusprep.operators import enrich as K
+from corpusprep.operators import frames as G
+from corpusprep.operators import metrics as R
 from corpusprep.operators import position as D
+from corpusprep.operators import tokens as TK
 from corpusprep.sources.scan import glob_scan, profile, scan_corpus, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +34,18 @@ MAX_SAMPLES = 500
 SHUFFLE_SEED, SHUFFLE_EPOCH = 7, 3
 EVAL_ROWS = 100
 PEEK_ROW = 20
+PROMPT_MAX = 512       # projector: prompt truncation, EOS counted inside
+LABEL_MAX = 1024       # slam: transcript truncation, EOS appended after
+COLLATE_BATCH = 8      # trainer batch size
+SOFT_LEN, SOFT_ID = 20, -1   # soft-prompt slot in an assembled sequence
+CHUNK_CHARS = 200      # text segment length
+CHUNK_SAMPLES = 20     # sample segment length
+STACK_K = 4            # frame stacking / mask downsampling factor
+CLIP_SR, TARGET_SR = 44100, 16000
+FIXED_LEN = 80         # padding="max_length" of a clip
+AUG_SEED, AUG_MASKS, AUG_WIDTH = 11, 2, 8
+METRIC_BATCH = 64
+TOP_K = 10
 # ---------------------------------------------------------------------------
 
 
@@ -175,5 +192,340 @@ def q_sft_prompt(spark, sf):
     return enriched(spark, sf).select("doc_id", P.sft_prompt(rest, voice).alias("prompt"))
 
 
+
+# ---- T / C: tokens ----------------------------------------------------------
+def doc_vocab(spark, sf) -> DataFrame:
+    return TK.build_vocab(docs(spark, sf), "text").checkpoint()
+
+
+def doc_token_ids(spark, sf) -> DataFrame:
+    return TK.token_ids(docs(spark, sf), doc_vocab(spark, sf), "doc_id")
+
+
+def turns(spark, sf) -> DataFrame:
+    return table(spark, sf, "conversations")
+
+
+def turn_token_ids(spark, sf) -> DataFrame:
+    t = turns(spark, sf)
+    vocab = TK.build_vocab(t, "text").checkpoint()
+    ids = TK.token_ids(t, vocab, ["conv_id", "turn"])
+    return t.select("conv_id", "turn", "role").join(ids, ["conv_id", "turn"])
+
+
+def reply_pairs(spark, sf) -> DataFrame:
+    """(user turn, next assistant turn) pairs with their token ids."""
+    t = turn_token_ids(spark, sf)
+    u = t.where(F.col("role") == "user").select("conv_id", "turn", F.col("ids").alias("prompt_ids"))
+    a = t.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("ids").alias("reply_ids"))
+    return u.join(a, ["conv_id", "turn"])
+
+
+@query("vocab")
+def q_vocab(spark, sf):
+    return doc_vocab(spark, sf)
+
+
+@query("token_ids")
+def q_token_ids(spark, sf):
+    return doc_token_ids(spark, sf)
+
+
+@query("truncate_inside")
+def q_truncate_inside(spark, sf):
+    return doc_token_ids(spark, sf).select(
+        "doc_id", A.truncate("ids", PROMPT_MAX, TK.EOS_ID, eos_inside_limit=True).alias("ids"))
+
+
+@query("truncate_outside")
+def q_truncate_outside(spark, sf):
+    return doc_token_ids(spark, sf).select(
+        "doc_id", A.truncate("ids", LABEL_MAX, TK.EOS_ID, eos_inside_limit=False).alias("ids"))
+
+
+def doc_batches(spark, sf) -> DataFrame:
+    ids = doc_token_ids(spark, sf)
+    return D.batch_assign(D.ordered_index(ids, ["doc_id"]), COLLATE_BATCH).drop("pos")
+
+
+def doc_padded(spark, sf) -> DataFrame:
+    b = doc_batches(spark, sf).withColumn("ids", A.truncate("ids", LABEL_MAX))
+    return TK.pad_batch(b, "ids", "batch_id")
+
+
+@query("pad_batch")
+def q_pad_batch(spark, sf):
+    return doc_padded(spark, sf).select("doc_id", "batch_id", "labels", "labels_mask")
+
+
+@query("pad_left")
+def q_pad_left(spark, sf):
+    b = doc_batches(spark, sf).withColumn("ids", A.truncate("ids", PROMPT_MAX))
+    return TK.pad_left_batch(b, "ids", "batch_id").select("doc_id", "batch_id", "input_ids", "input_mask")
+
+
+@query("label_budget")
+def q_label_budget(spark, sf):
+    return doc_padded(spark, sf).groupBy("batch_id").agg(
+        (F.max(A.mask_sum("labels_mask")) + 10).cast("long").alias("max_new_tokens"))
+
+
+@query("detokenise")
+def q_detokenise(spark, sf):
+    return TK.detokenise(doc_token_ids(spark, sf), doc_vocab(spark, sf), "doc_id")
+
+
+@query("embedding_lookup")
+def q_embedding_lookup(spark, sf):
+    items = table(spark, sf, "benchmark")
+    ids = TK.token_ids(items, doc_vocab(spark, sf), "item_id")
+    return TK.embedding_lookup(ids, table(spark, sf, "embeddings"), "item_id")
+
+
+@query("chat_labels")
+def q_chat_labels(spark, sf):
+    return TK.chat_labels(turn_token_ids(spark, sf))
+
+
+@query("target_tokens")
+def q_target_tokens(spark, sf):
+    c = D.batch_assign(D.ordered_index(TK.chat_labels(turn_token_ids(spark, sf)), ["conv_id"]),
+                       COLLATE_BATCH)
+    return c.groupBy("batch_id").agg(F.sum(A.supervised_count("labels")).cast("long").alias("n_target"))
+
+
+@query("assemble_sequence")
+def q_assemble_sequence(spark, sf):
+    p = reply_pairs(spark, sf)
+    prompt = A.truncate("prompt_ids", PROMPT_MAX)
+    reply = A.truncate("reply_ids", PROMPT_MAX, TK.EOS_ID, eos_inside_limit=True)
+    soft = F.array_repeat(F.lit(SOFT_ID), SOFT_LEN)
+    seq = A.assemble([prompt, soft, reply])
+    mask = A.assemble([A.ones_mask(F.size(prompt)), A.ones_mask(SOFT_LEN), A.ones_mask(F.size(reply))])
+    return p.select("conv_id", "turn", seq.alias("input_ids"), mask.alias("input_mask"))
+
+
+@query("label_mask")
+def q_label_mask(spark, sf):
+    p = reply_pairs(spark, sf).withColumn("prompt_ids", A.truncate("prompt_ids", PROMPT_MAX)) \
+        .withColumn("reply_ids", A.truncate("reply_ids", LABEL_MAX))
+    b = D.batch_assign(D.ordered_index(p, ["conv_id", "turn"]), COLLATE_BATCH)
+    padded = TK.pad_batch(b, "reply_ids", "batch_id", out_ids="reply", out_mask="reply_mask")
+    lab = A.label_ids(F.size("prompt_ids") + SOFT_LEN, "reply", "reply_mask")
+    return padded.select("conv_id", "turn", "batch_id", lab.alias("labels"))
+
+
+# ---- G: frames and samples ----------------------------------------------------
+def emb(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings")
+
+
+@query("segment")
+def q_segment(spark, sf):
+    return G.segment_text(docs(spark, sf), "doc_id", "text", CHUNK_CHARS)
+
+
+@query("segment_array")
+def q_segment_array(spark, sf):
+    return G.segment_array(emb(spark, sf), "vec_id", "embedding", CHUNK_SAMPLES)
+
+
+@query("segment_rejoin")
+def q_segment_rejoin(spark, sf):
+    seg = G.segment_text(docs(spark, sf), "doc_id", "text", CHUNK_CHARS)
+    return G.rejoin(seg, "doc_id", sep=" ")
+
+
+@query("frame_stack")
+def q_frame_stack(spark, sf):
+    f = G.frame_positions(emb(spark, sf), "label", ["vec_id"])
+    return G.frame_stack(f, "label", "frame", "embedding", STACK_K, drop_tail=True)
+
+
+def user_frames(spark, sf) -> DataFrame:
+    ev = table(spark, sf, "events").select(
+        "user_id", "event_id", "ts",
+        F.when(F.col("event_type") != "error", 1).otherwise(0).alias("mask"))
+    return G.frame_positions(ev, "user_id", ["ts", "event_id"],
+                             proxy=F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"))
+
+
+@query("mask_downsample")
+def q_mask_downsample(spark, sf):
+    return G.mask_downsample(user_frames(spark, sf), "user_id", "frame", "mask", STACK_K)
+
+
+@query("mask_stride")
+def q_mask_stride(spark, sf):
+    return G.mask_stride(user_frames(spark, sf), "frame", STACK_K).select("user_id", "event_id", "frame", "mask")
+
+
+@query("downmix")
+def q_downmix(spark, sf):
+    return emb(spark, sf).select("vec_id", A.downmix(A.interleaved_to_frames("embedding")).alias("mono"))
+
+
+@query("resample_linear")
+def q_resample_linear(spark, sf):
+    return emb(spark, sf).select("vec_id", A.resample_linear("embedding", CLIP_SR, TARGET_SR).alias("samples"))
+
+
+@query("pad_fixed")
+def q_pad_fixed(spark, sf):
+    v, m = A.pad_fixed(F.col("embedding").cast("array<double>"), FIXED_LEN)
+    return emb(spark, sf).select("vec_id", v.alias("features"), m.alias("feature_mask"))
+
+
+@query("mask_augment")
+def q_mask_augment(spark, sf):
+    spans = A.augment_spans("vec_id", AUG_SEED, AUG_MASKS, AUG_WIDTH, F.size("embedding"))
+    return emb(spark, sf).select("vec_id", A.apply_mask_spans("embedding", spans).alias("features"))
+
+
+@query("project_vectors")
+def q_project_vectors(spark, sf):
+    w = G.projector_weights(64, 16)
+    return G.project_vectors(emb(spark, sf).select("vec_id", "embedding"), "embedding", w).drop("embedding")
+
+
+# ---- metrics --------------------------------------------------------------------
+def scored_pairs(spark, sf) -> DataFrame:
+    return R.score_pairs(R.pair_turns(turns(spark, sf)))
+
+
+@query("pair_eval")
+def q_pair_eval(spark, sf):
+    return R.pair_turns(turns(spark, sf))
+
+
+@query("cer_macro")
+def q_cer_macro(spark, sf):
+    return R.cer_macro(scored_pairs(spark, sf))
+
+
+@query("cer_micro")
+def q_cer_micro(spark, sf):
+    return R.cer_micro(scored_pairs(spark, sf))
+
+
+@query("wer_micro")
+def q_wer_micro(spark, sf):
+    return R.wer_micro(scored_pairs(spark, sf))
+
+
+@query("metric_rollup")
+def q_metric_rollup(spark, sf):
+    pts = table(spark, sf, "events").select(
+        F.col("event_id").alias("step"), F.col("event_type").alias("name"), "value",
+        F.floor(F.col("event_id") / METRIC_BATCH).cast("long").alias("batch"))
+    r = R.metric_rollup(pts, "name", "batch", "value")
+    return r.select("name", F.round("mean_of_batch_means", 9).alias("mean_of_batch_means"),
+                    F.round("weighted_mean", 9).alias("weighted_mean"), "n_batches")
+
+
+@query("topk_metric")
+def q_topk_metric(spark, sf):
+    ev = table(spark, sf, "events").select("event_type", "event_id", "value")
+    return R.topk(ev, ["event_type"], ["value", "event_id"], TOP_K).withColumn("rank", F.col("rank").cast("long"))
+
+
+# ---- H: maps and JSON ------------------------------------------------------------
+def state_maps(spark, sf) -> DataFrame:
+    v = F.col("value")
+    m = F.create_map(F.lit("projector.proj.0.weight"), v, F.lit("projector.proj.2.bias"), v * 2,
+                     F.lit("projector.projector.scale"), v + 1,
+                     F.lit("soft_prompt_embeddings.embeddings"), v / 2,
+                     F.lit("speech_encoder.layers.0"), -v, F.lit("llm_model.lm_head"), v * 3)
+    return table(spark, sf, "events").select("event_id", m.alias("state"))
+
+
+def _map_out(df, col):
+    return df.select("event_id", M.sorted_keys(col).alias("keys"), M.values_by_sorted_key(col).alias("vals"))
+
+
+@query("map_drop_prefix")
+def q_map_drop_prefix(spark, sf):
+    return _map_out(state_maps(spark, sf).withColumn("m", M.drop_prefixes("state")), "m")
+
+
+@query("map_strip_prefix")
+def q_map_strip_prefix(spark, sf):
+    return _map_out(state_maps(spark, sf).withColumn("m", M.strip_prefix("state")), "m")
+
+
+@query("map_known_keys")
+def q_map_known_keys(spark, sf):
+    model = F.create_map(*[x for k in ("extra", "proj.0.weight", "proj.2.bias", "scale")
+                           for x in (F.lit(k), F.lit(0.0))])
+    d = state_maps(spark, sf).withColumn("m", M.update_known(model, M.strip_prefix("state")))
+    return _map_out(d, "m")
+
+
+@query("json_props")
+def q_json_props(spark, sf):
+    ev = table(spark, sf, "events")
+    k = F.from_json("props", "map<string,string>")["k"]
+    rec = F.to_json(F.struct("event_id", k.cast("int").alias("k")))
+    return ev.select("event_id", k.alias("k"), rec.alias("record"))
+
+
+@query("schema_enforce")
+def q_schema_enforce(spark, sf):
+    ev = table(spark, sf, "events")
+    parsed = F.from_json("props", "k INT")
+    return ev.select("event_id", parsed["k"].alias("k"), parsed["k"].isNotNull().alias("valid"))
+
+
+# ---- F: prompts and small string functions --------------------------------------
+@query("prompt_header")
+def q_prompt_header(spark, sf):
+    return turns(spark, sf).where(F.col("role") == "user").select(
+        "conv_id", "turn", P.prompt_header("text").alias("prompt"))
+
+
+@query("prompt_im")
+def q_prompt_im(spark, sf):
+    return turns(spark, sf).where(F.col("role") == "user").select(
+        "conv_id", "turn", P.prompt_im("text").alias("prompt"))
+
+
+@query("prompt_think")
+def q_prompt_think(spark, sf):
+    return turns(spark, sf).where(F.col("role") == "user").select(
+        "conv_id", "turn", P.prompt_think("text").alias("prompt"))
+
+
+@query("render_chat")
+def q_render_chat(spark, sf):
+    blocks = turns(spark, sf).select("conv_id", "turn", P.im_block("role", "text").alias("block"))
+    return G.rejoin(blocks, "conv_id", seg_col="turn", chunk_col="block", sep="", out="chat")
+
+
+@query("render_target")
+def q_render_target(spark, sf):
+    return turns(spark, sf).where(F.col("role") == "assistant").select(
+        "conv_id", "turn", X.append_eos("text", P.EOS_TEXT).alias("target"))
+
+
+@query("shard_id_parse")
+def q_shard_id_parse(spark, sf):
+    name = F.when(F.col("lang") == "de", F.concat(F.lit("tmp_"), F.col("doc_id").cast("string"))) \
+        .otherwise(X.zero_pad_name("shard_", F.floor(F.col("doc_id") / SMALL_BATCH), 8))
+    return docs(spark, sf).select("doc_id", name.alias("name")).withColumn("shard_id", X.parse_shard_id("name"))
+
+
+@query("format_ts")
+def q_format_ts(spark, sf):
+    return table(spark, sf, "events").select("event_id", X.format_ts("ts").alias("ts_text"))
+
+
+@query("shard_union")
+def q_shard_union(spark, sf):
+    a = table(spark, sf, "benchmark").select(F.lit(0).alias("source_no"), F.col("item_id").alias("id"), "text")
+    b = docs(spark, sf).select(F.lit(1).alias("source_no"), F.col("doc_id").alias("id"), "text")
+    return a.unionByName(b)
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -81,5 +81,157 @@ SQL["sft_prompt"] = (f"SELECT doc_id, '<|begin_of_text|><|start_header_id|>syste
                      f"'<|eot_id|><|start_header_id|>assistant<|end_header_id|>' AS prompt FROM {ENRICHED} e")
 
 
+
+# ---- tokens -------------------------------------------------------------------------
+def vocab_sql(tbl: str) -> str:
+    return f"""(SELECT token, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS token_id
+FROM (SELECT unnest(string_split_regex(text, '[ \n]+')) AS token FROM {tbl}) t WHERE token <> '' GROUP BY token)"""
+
+
+def ids_sql(tbl: str, keys: str, vocab: str) -> str:
+    """Token ids per row of ``tbl`` keyed by ``keys`` (comma list)."""
+    return f"""(SELECT {keys}, coalesce(x.ids, []::INTEGER[]) AS ids FROM {tbl} LEFT JOIN (
+  SELECT {keys}, list(CAST(coalesce(v.token_id, 1) AS INTEGER) ORDER BY p) AS ids FROM (
+    SELECT {keys}, unnest(toks) AS token, unnest(range(len(toks))) AS p FROM (
+      SELECT {keys}, list_filter(string_split_regex(text, '[ \n]+'), lambda w: w <> '') AS toks FROM {tbl}) a) t
+  LEFT JOIN {vocab} v USING (token) GROUP BY {keys}) x USING ({keys}))"""
+
+
+DOC_VOCAB = vocab_sql("documents")
+DOC_IDS = ids_sql("documents", "doc_id", DOC_VOCAB)
+TURN_IDS = f"""(SELECT c.conv_id, c.turn, c.role, i.ids FROM conversations c
+  JOIN {ids_sql("conversations", "conv_id, turn", vocab_sql("conversations"))} i USING (conv_id, turn))"""
+DOC_BATCH = f"""(SELECT doc_id, ids, (row_number() OVER (ORDER BY doc_id) - 1) // {C.COLLATE_BATCH} AS batch_id FROM {DOC_IDS} i)"""
+DOC_PADDED = f"""(SELECT doc_id, batch_id,
+   list_resize(list_slice(ids, 1, {C.LABEL_MAX}) || [0], mx + 1, 0) AS labels,
+   list_resize(list_transform(list_slice(ids, 1, {C.LABEL_MAX}) || [0], lambda x: 1), mx + 1, 0) AS labels_mask
+ FROM (SELECT *, max(len(list_slice(ids, 1, {C.LABEL_MAX}))) OVER (PARTITION BY batch_id) AS mx FROM {DOC_BATCH} b) m)"""
+CHAT = f"""(SELECT conv_id, flatten(list(ids ORDER BY turn)) AS input_ids,
+  flatten(list(CASE WHEN role = 'assistant' THEN ids ELSE list_transform(ids, lambda x: -100) END ORDER BY turn)) AS labels
+ FROM {TURN_IDS} t GROUP BY conv_id)"""
+PAIRS = f"""(SELECT u.conv_id, u.turn, u.ids AS prompt_ids, a.ids AS reply_ids FROM {TURN_IDS} u
+  JOIN {TURN_IDS} a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant')"""
+
+SQL["vocab"] = f"SELECT token, count, token_id FROM {DOC_VOCAB} v"
+SQL["token_ids"] = f"SELECT doc_id, ids FROM {DOC_IDS} i"
+SQL["truncate_inside"] = f"SELECT doc_id, list_slice(ids || [0], 1, {C.PROMPT_MAX}) AS ids FROM {DOC_IDS} i"
+SQL["truncate_outside"] = f"SELECT doc_id, list_slice(ids, 1, {C.LABEL_MAX}) || [0] AS ids FROM {DOC_IDS} i"
+SQL["pad_batch"] = f"SELECT doc_id, batch_id, labels, labels_mask FROM {DOC_PADDED} p"
+SQL["pad_left"] = f"""SELECT doc_id, batch_id,
+  list_resize([]::INTEGER[], mx - len(t), 0) || t AS input_ids,
+  list_resize([]::INTEGER[], mx - len(t), 0) || list_transform(t, lambda x: 1) AS input_mask
+FROM (SELECT doc_id, batch_id, t, max(len(t)) OVER (PARTITION BY batch_id) AS mx
+      FROM (SELECT doc_id, batch_id, list_slice(ids, 1, {C.PROMPT_MAX}) AS t FROM {DOC_BATCH} b) b2) m"""
+SQL["label_budget"] = f"""SELECT batch_id, CAST(max(list_sum(labels_mask)) + 10 AS BIGINT) AS max_new_tokens FROM {DOC_PADDED} p GROUP BY batch_id"""
+SQL["detokenise"] = """SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '[ \n]+'), lambda w: w <> ''), ' ') AS text FROM documents"""
+SQL["embedding_lookup"] = f"""SELECT t.item_id, CAST(t.p AS INTEGER) AS pos, CAST(coalesce(v.token_id, 1) AS INTEGER) AS token_id,
+  e.embedding AS vector
+FROM (SELECT item_id, unnest(toks) AS token, unnest(range(len(toks))) AS p FROM (
+  SELECT item_id, list_filter(string_split_regex(text, '[ \n]+'), lambda w: w <> '') AS toks FROM benchmark) a) t
+LEFT JOIN {DOC_VOCAB} v USING (token)
+LEFT JOIN embeddings e ON e.vec_id = coalesce(v.token_id, 1)"""
+SQL["chat_labels"] = f"SELECT conv_id, input_ids, labels FROM {CHAT} c"
+SQL["target_tokens"] = f"""SELECT batch_id, CAST(sum(len(list_filter(labels, lambda x: x <> -100))) AS BIGINT) AS n_target
+FROM (SELECT labels, (row_number() OVER (ORDER BY conv_id) - 1) // {C.COLLATE_BATCH} AS batch_id FROM {CHAT} c) b GROUP BY batch_id"""
+_P = f"list_slice(prompt_ids, 1, {C.PROMPT_MAX})"
+_R = f"list_slice(reply_ids || [0], 1, {C.PROMPT_MAX})"
+SQL["assemble_sequence"] = f"""SELECT conv_id, turn,
+  {_P} || list_resize([]::INTEGER[], {C.SOFT_LEN}, {C.SOFT_ID}) || {_R} AS input_ids,
+  list_resize([]::INTEGER[], len({_P}) + {C.SOFT_LEN} + len({_R}), 1) AS input_mask
+FROM {PAIRS} p"""
+SQL["label_mask"] = f"""SELECT conv_id, turn, batch_id,
+  list_resize([]::INTEGER[], len(pr) + {C.SOFT_LEN}, -100) ||
+  list_transform(list_resize(r || [0], mx + 1, 0), lambda x, i: CASE WHEN i <= len(r) + 1 THEN x ELSE -100 END) AS labels
+FROM (SELECT *, max(len(r)) OVER (PARTITION BY batch_id) AS mx FROM (
+  SELECT conv_id, turn, list_slice(prompt_ids, 1, {C.PROMPT_MAX}) AS pr, list_slice(reply_ids, 1, {C.LABEL_MAX}) AS r,
+    (row_number() OVER (ORDER BY conv_id, turn) - 1) // {C.COLLATE_BATCH} AS batch_id FROM {PAIRS} p) a) b"""
+
+# ---- frames and samples ------------------------------------------------------------
+SQL["segment"] = f"""SELECT doc_id, CAST(i AS INTEGER) AS seg_no, substr(text, CAST(i * {C.CHUNK_CHARS} + 1 AS BIGINT), {C.CHUNK_CHARS}) AS chunk
+FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / {C.CHUNK_CHARS}.0) AS BIGINT))) AS i FROM documents) s"""
+SQL["segment_array"] = f"""SELECT vec_id, CAST(i AS INTEGER) AS seg_no, list_slice(embedding, i * {C.CHUNK_SAMPLES} + 1, i * {C.CHUNK_SAMPLES} + {C.CHUNK_SAMPLES}) AS chunk
+FROM (SELECT vec_id, embedding, unnest(range(CAST(ceil(len(embedding) / {C.CHUNK_SAMPLES}.0) AS BIGINT))) AS i FROM embeddings) s"""
+SQL["segment_rejoin"] = f"""SELECT doc_id, string_agg(chunk, ' ' ORDER BY i) AS text FROM (
+  SELECT doc_id, i, substr(text, CAST(i * {C.CHUNK_CHARS} + 1 AS BIGINT), {C.CHUNK_CHARS}) AS chunk
+  FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / {C.CHUNK_CHARS}.0) AS BIGINT))) AS i FROM documents) s) c
+GROUP BY doc_id"""
+SQL["frame_stack"] = f"""SELECT label, frame // {C.STACK_K} AS group_no, flatten(list(embedding ORDER BY frame)) AS stacked
+FROM (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame FROM embeddings) f
+GROUP BY label, frame // {C.STACK_K} HAVING count(*) = {C.STACK_K}"""
+USER_FRAMES = """(SELECT user_id, event_id, CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS mask,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events)"""
+SQL["mask_downsample"] = f"SELECT user_id, frame // {C.STACK_K} AS group_no, max(mask) AS mask FROM {USER_FRAMES} f GROUP BY user_id, frame // {C.STACK_K}"
+SQL["mask_stride"] = f"SELECT user_id, event_id, frame, mask FROM {USER_FRAMES} f WHERE frame % {C.STACK_K} = 0"
+SQL["downmix"] = """SELECT vec_id, list_transform(range(len(embedding) // 2),
+  lambda i: (CAST(embedding[2 * i + 1] AS DOUBLE) + CAST(embedding[2 * i + 2] AS DOUBLE)) / 2) AS mono FROM embeddings"""
+_STEP = f"(CAST({C.CLIP_SR} AS DOUBLE) / CAST({C.TARGET_SR} AS DOUBLE))"
+_T = f"(CAST(j AS DOUBLE) * {_STEP})"
+_I0 = f"CAST(floor({_T}) AS BIGINT)"
+_FR = f"({_T} - CAST({_I0} AS DOUBLE))"
+SQL["resample_linear"] = f"""SELECT vec_id, list_transform(
+  range(greatest(CAST(ceil(len(embedding) * CAST({C.TARGET_SR} AS DOUBLE) / CAST({C.CLIP_SR} AS DOUBLE)) AS BIGINT), 1)),
+  lambda j: CAST(embedding[{_I0} + 1] AS DOUBLE) * (CAST(1 AS DOUBLE) - {_FR})
+          + CAST(embedding[least({_I0} + 1, len(embedding) - 1) + 1] AS DOUBLE) * {_FR}) AS samples FROM embeddings"""
+SQL["pad_fixed"] = f"""SELECT vec_id, list_resize(CAST(list_slice(embedding, 1, {C.FIXED_LEN}) AS DOUBLE[]), {C.FIXED_LEN}, 0.0::DOUBLE) AS features,
+  list_resize(list_transform(list_slice(embedding, 1, {C.FIXED_LEN}), lambda x: 1), {C.FIXED_LEN}, 0) AS feature_mask FROM embeddings"""
+
+
+def _span(m: int, part: str) -> str:
+    h = f"md5('{C.AUG_SEED}:' || CAST(vec_id AS VARCHAR) || ':{m}')"
+    if part == "start":
+        return f"(('0x' || substr({h}, 1, 8))::BIGINT % greatest(len(embedding), 1))"
+    return f"(('0x' || substr({h}, 9, 8))::BIGINT % {C.AUG_WIDTH + 1})"
+
+
+_IN = " OR ".join(f"(i - 1 >= {_span(m, 'start')} AND i - 1 < {_span(m, 'start')} + {_span(m, 'width')})"
+                  for m in range(C.AUG_MASKS))
+SQL["mask_augment"] = f"""SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN {_IN} THEN 0.0::DOUBLE ELSE CAST(x AS DOUBLE) END) AS features FROM embeddings"""
+
+# ---- metrics -----------------------------------------------------------------------
+SQL["pair_eval"] = """SELECT r.conv_id, r.turn, r.text AS reference, h.text AS hypothesis
+FROM conversations r JOIN conversations h ON h.conv_id = r.conv_id AND h.turn = r.turn + 1"""
+SQL["metric_rollup"] = f"""SELECT name, round(avg(m), 9) AS mean_of_batch_means, round(sum(s) / sum(n), 9) AS weighted_mean,
+  count(*) AS n_batches FROM (
+  SELECT event_type AS name, event_id // {C.METRIC_BATCH} AS batch, avg(value) AS m, count(*) AS n, sum(value) AS s
+  FROM events GROUP BY 1, 2) b GROUP BY name"""
+SQL["topk_metric"] = f"""SELECT event_type, event_id, value, rank FROM (
+  SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS rank FROM events) r
+WHERE rank <= {C.TOP_K}"""
+
+# ---- maps and JSON ---------------------------------------------------------------------
+SQL["map_drop_prefix"] = """SELECT event_id,
+  ['projector.proj.0.weight', 'projector.proj.2.bias', 'projector.projector.scale', 'soft_prompt_embeddings.embeddings'] AS keys,
+  [value, value * 2, value + 1, value / 2] AS vals FROM events"""
+SQL["map_strip_prefix"] = """SELECT event_id, ['proj.0.weight', 'proj.2.bias', 'scale'] AS keys, [value, value * 2, value + 1] AS vals FROM events"""
+SQL["map_known_keys"] = """SELECT event_id, ['extra', 'proj.0.weight', 'proj.2.bias', 'scale'] AS keys,
+  [0.0::DOUBLE, value, value * 2, value + 1] AS vals FROM events"""
+SQL["json_props"] = """SELECT event_id, props->>'$.k' AS k,
+  CAST(to_json({'event_id': event_id, 'k': TRY_CAST(props->>'$.k' AS INTEGER)}) AS VARCHAR) AS record FROM events"""
+SQL["schema_enforce"] = """SELECT event_id, TRY_CAST(props->>'$.k' AS INTEGER) AS k,
+  TRY_CAST(props->>'$.k' AS INTEGER) IS NOT NULL AS valid FROM events"""
+
+# ---- prompts and small string functions ---------------------------------------------
+NL = "chr(10)"
+SQL["prompt_header"] = f"""SELECT conv_id, turn, '<|begin_of_text|><|start_header_id|>user<|end_header_id|>' || {strip_sql('text')}
+  || {NL} || {NL} || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || {NL} || {NL} AS prompt
+FROM conversations WHERE role = 'user'"""
+SQL["prompt_im"] = f"""SELECT conv_id, turn, '<|im_start|>system' || {NL} || {strip_sql('text')} || {NL} || '<|im_end|>' || {NL}
+  || '<|im_start|>user' || {NL} || '<|im_end|>' || {NL} || '<|im_start|>assistant' || {NL} AS prompt
+FROM conversations WHERE role = 'user'"""
+SQL["prompt_think"] = f"""SELECT conv_id, turn, '<|im_start|>system' || {NL} || text || '<|im_end|>' || {NL} || '<|im_start|>user' || {NL}
+  || '音声認識ください' || '<|im_end|>' || {NL} || '<|im_start|>assistant' || {NL} || '<think>' || {NL} || {NL} || '</think>' || {NL} || {NL} AS prompt
+FROM conversations WHERE role = 'user'"""
+SQL["render_chat"] = f"""SELECT conv_id, string_agg('<|im_start|>' || role || {NL} || text || '<|im_end|>' || {NL}, '' ORDER BY turn) AS chat
+FROM conversations GROUP BY conv_id"""
+SQL["render_target"] = "SELECT conv_id, turn, text || '<|endoftext|>' AS target FROM conversations WHERE role = 'assistant'"
+SQL["shard_id_parse"] = f"""SELECT doc_id, name, CASE WHEN starts_with(name, 'shard_') THEN TRY_CAST(split_part(name, '_', 2) AS INTEGER) END AS shard_id
+FROM (SELECT doc_id, CASE WHEN lang = 'de' THEN 'tmp_' || CAST(doc_id AS VARCHAR) ELSE printf('shard_%08d', doc_id // {C.SMALL_BATCH}) END AS name
+      FROM documents) n"""
+SQL["format_ts"] = "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_text FROM events"
+SQL["shard_union"] = """SELECT 0 AS source_no, item_id AS id, text FROM benchmark UNION ALL
+SELECT 1 AS source_no, doc_id AS id, text FROM documents"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in SQL.items() if k in C.REGISTRY}
