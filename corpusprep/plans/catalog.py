@@ -20,7 +20,12 @@ from corpusprep.operators import frames as G
 from corpusprep.operators import metrics as R
 from corpusprep.operators import position as D
 from corpusprep.operators import tokens as TK
+from corpusprep.session import scratch_dir
+from corpusprep.sources import arrow_ipc, audio
+from corpusprep.sources import sinks as S
 from corpusprep.sources.scan import glob_scan, profile, scan_corpus, table
+from corpusprep.streaming import enrich_stream as L
+from corpusprep.streaming import rate as RT
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -46,6 +51,12 @@ FIXED_LEN = 80         # padding="max_length" of a clip
 AUG_SEED, AUG_MASKS, AUG_WIDTH = 11, 2, 8
 METRIC_BATCH = 64
 TOP_K = 10
+RUN_TS = "2024-01-31 00:00:00"   # run time passed in, not now()
+FIRST_RUN_CAP = 130              # max_samples of the interrupted first run
+RATE_WINDOW_US = 6 * 3600 * 1_000_000
+RATE_MAX = 3
+STREAM_FILES = 4
+WAV_SR = 16000
 # ---------------------------------------------------------------------------
 
 
@@ -527,5 +538,161 @@ def q_shard_union(spark, sf):
     return a.unionByName(b)
 
 
+
+# ---- A: sinks, shards, resume ---------------------------------------------------
+def _enriched_positioned(spark, sf) -> DataFrame:
+    return D.ordered_index(enriched(spark, sf), ["doc_id"])
+
+
+@query("shard_manifest")
+def q_shard_manifest(spark, sf):
+    base = scratch_dir(spark, "shards")
+    d = D.shard_assign(_enriched_positioned(spark, sf), SHARD_SIZE, SMALL_BATCH)
+    return S.write_shards(d, base, RUN_TS)
+
+
+@query("resume_point")
+def q_resume_point(spark, sf):
+    base = scratch_dir(spark, "shards")
+    d = D.shard_assign(_enriched_positioned(spark, sf), SHARD_SIZE, SMALL_BATCH)
+    S.write_shards(d, base, RUN_TS)
+    return S.resume_point(spark, base)
+
+
+@query("shard_scan")
+def q_shard_scan(spark, sf):
+    """An interrupted run (capped), then a resumed run; the scan sees both."""
+    base = scratch_dir(spark, "shards")
+    pos = D.ordered_index(docs(spark, sf), ["doc_id"])
+    first = D.sample_cap(pos, 0, SMALL_BATCH, FIRST_RUN_CAP)
+    first = D.shard_assign(K.enrich(first.select("doc_id", "text")).join(first.select("doc_id", "pos"), "doc_id"),
+                           SHARD_SIZE, SMALL_BATCH)
+    S.write_shards(first, base, RUN_TS)
+    rp = S.resume_point(spark, base).first()
+    processed, last = int(rp["processed"]), int(rp["last_shard_id"])
+    rest = D.resume_skip(pos, processed, SMALL_BATCH)
+    start = D.skip_count(processed, SMALL_BATCH)
+    rest = D.shard_assign(K.enrich(rest.select("doc_id", "text")).join(rest.select("doc_id", "pos"), "doc_id"),
+                          SHARD_SIZE, SMALL_BATCH, start_pos=start, first_shard=last + 1)
+    S.write_shards(rest, base, RUN_TS)
+    return S.scan_shards(spark, base).select("doc_id", "shard_id", "step1_text")
+
+
+@query("numbered_shards")
+def q_numbered_shards(spark, sf):
+    out = scratch_dir(spark, "numbered")
+    d = D.shard_assign(positioned_docs(spark, sf), SHARD_SIZE, SMALL_BATCH, shard_col="shard_no")
+    n = d.agg(F.max("shard_no")).first()[0]
+    S.write_numbered(d.select("doc_id", "shard_no"), out, "shard_no", (n or 0) + 1)
+    return spark.read.parquet(f"{out}/train").select("doc_id", F.col("file_name").cast("string"))
+
+
+@query("dataset_descriptor")
+def q_dataset_descriptor(spark, sf):
+    d = D.shard_assign(positioned_docs(spark, sf), SHARD_SIZE, SMALL_BATCH)
+    lab = table(spark, sf, "labels").select("doc_id", F.lit("train").alias("split"))
+    d = d.join(lab, "doc_id", "left").withColumn("split", F.coalesce("split", F.lit("test")))
+    return S.descriptor(d, "split", "shard_id")
+
+
+@query("publish_version")
+def q_publish_version(spark, sf):
+    root = scratch_dir(spark, "publish")
+    return S.publish_version(table(spark, sf, "labels"), root, "train", "add labels")
+
+
+@query("arrow_scan")
+def q_arrow_scan(spark, sf):
+    arrow_ipc.register(spark)
+    out = scratch_dir(spark, "ipc")
+    d = docs(spark, sf).select("doc_id", "lang", "n_chars", "text")
+    d.repartitionByRange(4, "doc_id").write.format(arrow_ipc.FORMAT).mode("append").save(out)
+    return spark.read.format(arrow_ipc.FORMAT).load(out)
+
+
+@query("audio_scan")
+def q_audio_scan(spark, sf):
+    out = scratch_dir(spark, "wav")
+    clips = emb(spark, sf).select(F.format_string("clip_%06d", "vec_id").alias("name"), "embedding")
+    audio.write_wavs(clips, out, "name", "embedding", WAV_SR)
+    a = audio.read_audio(spark, f"{out}/*.wav")
+    return a.select(F.regexp_extract("path", r"clip_(\d+)\.wav$", 1).cast("long").alias("vec_id"),
+                    F.col("audio.sampling_rate").alias("sampling_rate"),
+                    F.col("audio.channels").alias("channels"), F.col("audio.array").alias("samples"))
+
+
+# ---- L: streams ---------------------------------------------------------------------
+@query("stream_scan")
+def q_stream_scan(spark, sf):
+    d = docs(spark, sf)
+    out, ck = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-ck")
+    src = L.source_stream(spark, f"{sf}/documents*.parquet", d.schema, base_path=sf)
+    L.run_to_end(L.stream_to_parquet(src.select("doc_id", "lang", "n_chars"), out, ck))
+    return spark.read.parquet(out)
+
+
+def _stage_files(df: DataFrame, out: str, key: str, n: int) -> None:
+    """Lay a table down as n files in key order, one append per range so
+    that file order (by modification time) follows the key."""
+    bounds = df.agg(F.min(key), F.max(key)).first()
+    lo, hi = bounds[0], bounds[1]
+    if lo is None:
+        return
+    if hasattr(lo, "timestamp"):
+        cuts = [lo + (hi - lo) * i / n for i in range(n + 1)]
+    else:
+        cuts = [lo + (hi - lo) * i // n for i in range(n + 1)]
+    for i in range(n):
+        last = i == n - 1
+        part = df.where((F.col(key) >= F.lit(cuts[i])) & ((F.col(key) <= F.lit(hi)) if last else (F.col(key) < F.lit(cuts[i + 1]))))
+        part.coalesce(1).write.mode("append").parquet(out)
+
+
+@query("stream_enrich")
+def q_stream_enrich(spark, sf):
+    d = docs(spark, sf)
+    stage, base, ck = scratch_dir(spark, "stage"), scratch_dir(spark, "shards"), scratch_dir(spark, "ck")
+    _stage_files(d, stage, "doc_id", STREAM_FILES)
+    q = L.stream_enrich(spark, L.source_stream(spark, stage, d.schema, 1), base, ck, RUN_TS)
+    L.run_to_end(q)
+    return S.scan_shards(spark, base).select("doc_id", "original_text", "step1_text")
+
+
+@query("stream_rate")
+def q_stream_rate(spark, sf):
+    ev = table(spark, sf, "events")
+    stage, out, ck = scratch_dir(spark, "stage"), scratch_dir(spark, "rate"), scratch_dir(spark, "ck")
+    _stage_files(ev, stage, "ts", STREAM_FILES)
+    src = L.source_stream(spark, stage, ev.schema, 1)
+    agg = RT.windowed_rates(src, "ts", "event_type", "value", "1 hour", "30 minutes", "1 hour")
+    L.run_to_end(L.stream_to_parquet(agg, out, ck))
+    return spark.read.parquet(out).withColumn("total", F.round("total", 6))
+
+
+@query("rate_audit")
+def q_rate_audit(spark, sf):
+    ev = table(spark, sf, "events")
+    return RT.rate_audit(ev, "user_id", "ts", "event_id", RATE_WINDOW_US, RATE_MAX)
+
+
+# ---- K: hooks ---------------------------------------------------------------------
+def batch_stats(t):
+    """A collate hook: one summary row per batch (pyarrow in, pyarrow out)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    lens = pc.list_value_length(t.column("ids"))
+    return pa.table({"batch_id": pa.array([t.column("batch_id")[0].as_py()], pa.int64()),
+                     "n_rows": pa.array([t.num_rows], pa.int64()),
+                     "max_len": pa.array([pc.max(lens).as_py() or 0], pa.int64()),
+                     "total_tokens": pa.array([pc.sum(lens).as_py() or 0], pa.int64())})
+
+
+@query("collate_hook")
+def q_collate_hook(spark, sf):
+    b = doc_batches(spark, sf).select("batch_id", "ids")
+    return K.collate(b, "batch_id", batch_stats,
+                     "batch_id long, n_rows long, max_len long, total_tokens long")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -233,5 +233,49 @@ SQL["shard_union"] = """SELECT 0 AS source_no, item_id AS id, text FROM benchmar
 SELECT 1 AS source_no, doc_id AS id, text FROM documents"""
 
 
+
+# ---- sinks, shards, resume ---------------------------------------------------------
+_PS = f"CAST(pos // {_PER_SHARD} AS INTEGER)"
+SQL["shard_manifest"] = f"""SELECT {_PS} AS shard_id, count(*) AS sample_count, '{C.RUN_TS}' AS timestamp
+FROM {POS_DOCS} p GROUP BY 1"""
+SQL["resume_point"] = f"SELECT count(*) AS processed, CAST(max({_PS}) AS INTEGER) AS last_shard_id FROM {POS_DOCS} p"
+_FIRST = -(-C.FIRST_RUN_CAP // C.SMALL_BATCH) * C.SMALL_BATCH
+SQL["shard_scan"] = f"""SELECT p.doc_id,
+  CAST(CASE WHEN pos < {_FIRST} THEN pos // {_PER_SHARD}
+            ELSE ((({_FIRST} - 1) // {_PER_SHARD}) + 1) + (pos - {_FIRST}) // {_PER_SHARD} END AS INTEGER) AS shard_id,
+  e.step1_text FROM {POS_DOCS} p JOIN {ENRICHED} e USING (doc_id)"""
+SQL["numbered_shards"] = f"""SELECT doc_id, printf('train-%05d-of-%05d.parquet', pos // {_PER_SHARD},
+  (SELECT max(pos) FROM {POS_DOCS} q) // {_PER_SHARD} + 1) AS file_name FROM {POS_DOCS} p"""
+SQL["dataset_descriptor"] = f"""SELECT '{{"splits":{{' || string_agg('"' || split || '":{{"num_shards":' || n || '}}', ',' ORDER BY split) || '}}}}' AS dataset_info
+FROM (SELECT split, count(DISTINCT shard) AS n FROM (
+  SELECT CASE WHEN l.doc_id IS NULL THEN 'test' ELSE 'train' END AS split, pos // {_PER_SHARD} AS shard
+  FROM {POS_DOCS} p LEFT JOIN labels l USING (doc_id)) a GROUP BY split) b"""
+SQL["publish_version"] = "SELECT 1 AS version, 'train' AS split, count(*) AS num_rows, 'add labels' AS message FROM labels"
+SQL["arrow_scan"] = "SELECT doc_id, lang, n_chars, text FROM documents"
+SQL["audio_scan"] = f"""SELECT vec_id, {C.WAV_SR} AS sampling_rate, 1 AS channels,
+  list_transform(embedding, lambda x: CAST(greatest(-32768, least(32767, floor(CAST(x AS DOUBLE) * 32767 + 0.5))) / 32768.0 AS FLOAT)) AS samples
+FROM embeddings"""
+
+# ---- streams -------------------------------------------------------------------------
+SQL["stream_scan"] = "SELECT doc_id, lang, n_chars FROM documents"
+SQL["stream_enrich"] = f"SELECT doc_id, original_text, step1_text FROM {ENRICHED} e"
+SQL["stream_rate"] = """SELECT window_start, window_end, event_type, count(*) AS n, round(sum(value), 6) AS total FROM (
+  SELECT event_type, value, ws AS window_start, ws + INTERVAL 1 HOUR AS window_end FROM (
+    SELECT event_type, value, time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL (k * 30) MINUTE AS ws
+    FROM events, range(2) r(k)) a) b
+WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+GROUP BY window_start, window_end, event_type"""
+_W = C.RATE_WINDOW_US
+SQL["rate_audit"] = f"""SELECT e.event_id, e.user_id, count(p.event_id) AS prior_requests,
+  count(p.event_id) >= {C.RATE_MAX} AS at_limit,
+  CASE WHEN count(p.event_id) >= {C.RATE_MAX} THEN min(epoch_us(p.ts)) + {_W} - epoch_us(e.ts) ELSE 0 END AS wait_us
+FROM events e LEFT JOIN events p ON p.user_id = e.user_id
+  AND (p.ts < e.ts OR (p.ts = e.ts AND p.event_id < e.event_id))
+  AND epoch_us(e.ts) - epoch_us(p.ts) < {_W}
+GROUP BY e.event_id, e.user_id, e.ts"""
+SQL["collate_hook"] = f"""SELECT batch_id, count(*) AS n_rows, max(len(ids)) AS max_len, sum(len(ids))::BIGINT AS total_tokens
+FROM {DOC_BATCH} b GROUP BY batch_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in SQL.items() if k in C.REGISTRY}
