@@ -47,13 +47,18 @@ def _stand_in(i: Column) -> Column:
 
 def words(text, pattern: str = r"\s+") -> Column:
     """Whitespace words; an empty or blank text has no words."""
-    c = _c(text)
-    return F.filter(F.split(F.trim(c), pattern), lambda w: w != "")
+    from corpusprep.functions.text import split_words
+    return split_words(text, pattern)
 
 
-def encode_words(ws, vocab) -> Column:
-    """Each word as the stand-in of its index in ``vocab`` (an array column)."""
-    return F.array_join(F.transform(_c(ws), lambda w: _stand_in(F.array_position(_c(vocab), w) - 1)), "")
+def stand_ins(vocab) -> Column:
+    """One stand-in character per vocabulary entry, built once per row."""
+    return F.transform(F.sequence(F.lit(0), F.size(_c(vocab)) - 1), lambda i: _stand_in(i))
+
+
+def encode_words(ws, vocab, chars) -> Column:
+    """Each word as the stand-in character of its index in ``vocab``."""
+    return F.array_join(F.transform(_c(ws), lambda w: F.element_at(_c(chars), F.array_position(_c(vocab), w).cast("int"))), "")
 
 
 def with_word_distance(df: DataFrame, ref, hyp, out: str = "word_edits",
@@ -63,5 +68,8 @@ def with_word_distance(df: DataFrame, ref, hyp, out: str = "word_edits",
     for every word."""
     d = (df.withColumn("__cp_rw", words(ref, pattern)).withColumn("__cp_hw", words(hyp, pattern))
            .withColumn("__cp_v", F.array_distinct(F.concat("__cp_rw", "__cp_hw"))))
-    d = d.withColumn(out, F.levenshtein(encode_words("__cp_rw", "__cp_v"), encode_words("__cp_hw", "__cp_v")))
-    return d.drop("__cp_rw", "__cp_hw", "__cp_v")
+    d = d.withColumn("__cp_c", F.when(F.size("__cp_v") > 0, stand_ins("__cp_v"))
+                     .otherwise(F.array().cast("array<string>")))
+    d = d.withColumn(out, F.levenshtein(encode_words("__cp_rw", "__cp_v", "__cp_c"),
+                                        encode_words("__cp_hw", "__cp_v", "__cp_c")))
+    return d.drop("__cp_rw", "__cp_hw", "__cp_v", "__cp_c")

@@ -141,5 +141,8 @@ def is_error(text) -> Column:
 
 
 def split_words(text, pattern: str = r"[ \n]+") -> Column:
-    """Whitespace tokens without the empty edge tokens."""
-    return F.filter(F.split(_c(text), pattern), lambda w: w != "")
+    """Tokens between separators (``pattern`` is a repeated separator class);
+    leading/trailing separators are cut first, so no empty tokens appear and
+    no per-element lambda runs."""
+    core = F.regexp_replace(_c(text), r"\A(?:" + pattern + r")|(?:" + pattern + r")\z", "")
+    return F.when(core == "", F.array().cast("array<string>")).otherwise(F.split(core, pattern))

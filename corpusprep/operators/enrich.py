@@ -95,14 +95,16 @@ def enrich_raw(df: DataFrame, key: str, text_col: str, client_factory: Callable[
 
 def enrich(df: DataFrame, key: str = "doc_id", text_col: str = "text",
            client_factory: Callable[[], Callable] = OfflineClient, out: str = "step1_text",
-           max_in_flight: int = 50, attempts: int = 1) -> DataFrame:
+           max_in_flight: int = 50, attempts: int = 1, keep=()) -> DataFrame:
     """K1: ``original_text`` + cleaned answer ``step1_text`` (strip, then F1);
-    error rows keep the uncleaned sentinel."""
-    raw = enrich_raw(df.select(key, text_col), key, text_col, client_factory,
+    error rows keep the uncleaned sentinel. ``keep`` columns ride along, so
+    positions or shard ids never force a second pass over the model."""
+    keep = [keep] if isinstance(keep, str) else list(keep)
+    raw = enrich_raw(df.select(key, text_col, *keep), key, text_col, client_factory,
                      out="__cp_raw", max_in_flight=max_in_flight, attempts=attempts)
     step = F.when(is_error(F.col("__cp_raw")), F.col("__cp_raw")).otherwise(
         clean_corpus(unicode_strip(F.col("__cp_raw"))))
-    return raw.select(key, F.col(text_col).alias("original_text"), step.alias(out))
+    return raw.select(key, *keep, F.col(text_col).alias("original_text"), step.alias(out))
 
 
 def error_split(df: DataFrame, col: str = "step1_text") -> tuple[DataFrame, DataFrame]:

@@ -1,17 +1,31 @@
 """Vocabulary, token ids, padding, labels, detokenising, embedding lookup
 (T1-T11, C1, C2).
 
-The tokeniser here is whitespace splitting with a corpus-built vocabulary.
-Lookups are joins: the vocabulary is broadcast only after its row count was
-checked against ``broadcast_rows``; above that it is a shuffle join, where
-AQE's skew handling splits hot tokens (one word can be a third of all
-occurrences; the map-side partial count absorbs that in ``build_vocab``).
+The tokeniser is whitespace splitting (JVM-side) with a corpus-built
+vocabulary. Id lookup has two plans, chosen by a checked vocabulary size:
+
+* vocabulary rows <= ``broadcast_rows``: the vocabulary is broadcast once and
+  every Arrow batch is looked up with one vectorised hash probe - a map-only
+  plan, no shuffle of the (huge) token stream;
+* above it: posexplode -> shuffle join on the token (AQE splits hot tokens;
+  one word can be a third of all occurrences) -> ordered re-collection.
+
+``build_vocab`` counts with map-side partial aggregation, so a hot token costs
+one row per task before the shuffle.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusprep.functions import arrays as A
 from corpusprep.functions.text import split_words
@@ -46,14 +60,27 @@ def _order_proxy(count_col: str, token_col: str) -> Column:
 
 
 def build_vocab(df: DataFrame, text_col: str = "text", specials=SPECIALS,
-                pattern: str = r"[ \n]+") -> DataFrame:
+                pattern: str = r"[ \n]+", materialize: bool = True) -> DataFrame:
     """(token, count, token_id); ids by count desc then token, after the
-    special tokens."""
-    counts = (df.select(F.explode(split_words(F.col(text_col), pattern)).alias("token"))
+    special tokens. The counts are checkpointed (reliable, in the shared
+    checkpoint folder) so the corpus is tokenised once, not once per pass."""
+    counts = (df.select(F.explode(F.split(F.col(text_col), pattern)).alias("token"))
+                .where(F.col("token") != "")
                 .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
+    if materialize:
+        from corpusprep.session import checkpoint_root
+        checkpoint_root(df.sparkSession)
+        counts = counts.checkpoint()
     ranked = ordered_index(counts, [F.col("count").desc(), F.col("token")],
                            proxy=_order_proxy("count", "token"), pos_col="rank")
-    return ranked.select("token", "count", (F.col("rank") + len(specials)).alias("token_id"))
+    vocab = ranked.select("token", "count", (F.col("rank") + len(specials)).alias("token_id"))
+    return vocab.checkpoint() if materialize else vocab
+
+
+def _offsets(lists: pa.ListArray) -> pa.Array:
+    """List offsets rebased to 0, matching ``lists.flatten()``."""
+    off = lists.offsets
+    return pa.compute.subtract(off, off[0]) if len(off) and off[0].as_py() else off
 
 
 def _keys(key) -> list[str]:
@@ -68,24 +95,117 @@ def _recollect(exploded: DataFrame, key, pos: str, value: str, out: str) -> Data
                                              lambda s: s[value]).alias(out)))
 
 
-def token_ids(df: DataFrame, vocab: DataFrame, key: str, text_col: str = "text",
-              out: str = "ids", pattern: str = r"[ \n]+", unk_id: int = UNK_ID) -> DataFrame:
-    """Token ids in text order; unknown tokens map to ``unk_id``."""
+_INDEX_CACHE: dict = {}
+
+
+def _lookup_index(bc, tag: str) -> pd.Index:
+    """The broadcast vocabulary as a hashed pandas Index, built once per worker."""
+    idx = _INDEX_CACHE.get(tag)
+    if idx is None:
+        tokens, _ = bc.value
+        idx = pd.Index(tokens)
+        _INDEX_CACHE.clear()
+        _INDEX_CACHE[tag] = idx
+    return idx
+
+
+def _lookup_ids(df: DataFrame, vocab: DataFrame, keys: list[str], text_col: str, out: str,
+                pattern: str, unk_id: int) -> DataFrame:
+    """Map-only plan: JVM-side split, one vectorised hash probe per batch."""
+    spark = df.sparkSession
+    pv = vocab.select("token", "token_id").toPandas()
+    bc = spark.sparkContext.broadcast((pv["token"].to_numpy(dtype=object),
+                                       pv["token_id"].to_numpy(dtype=np.int32)))
+    tag = uuid.uuid4().hex
+    toks = df.select(*keys, split_words(F.col(text_col), pattern).alias("__cp_toks"))
+    schema = T.StructType([toks.schema[k] for k in keys] + [T.StructField(out, T.ArrayType(T.IntegerType()), True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idx = _lookup_index(bc, tag)
+        ids_table = bc.value[1]
+        for b in batches:
+            lists = b.column(len(keys))
+            if isinstance(lists, pa.ChunkedArray):
+                lists = lists.combine_chunks()
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            pos = idx.get_indexer(flat) if len(flat) else np.zeros(0, np.int64)
+            vals = np.where(pos >= 0, ids_table[np.clip(pos, 0, None)] if len(ids_table) else unk_id,
+                            unk_id).astype(np.int32)
+            arr = pa.ListArray.from_arrays(_offsets(lists), pa.array(vals, pa.int32()), mask=lists.is_null())
+            yield pa.RecordBatch.from_arrays(list(b.columns[:len(keys)]) + [arr],
+                                             names=keys + [out])
+
+    return toks.mapInArrow(run, schema)
+
+
+def token_ids(df: DataFrame, vocab: DataFrame, key, text_col: str = "text",
+              out: str = "ids", pattern: str = r"[ \n]+", unk_id: int = UNK_ID,
+              broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Token ids in text order; unknown tokens map to ``unk_id``; a
+    null or empty text gives an empty array."""
+    if vocab.count() <= broadcast_rows:
+        r = _lookup_ids(df, vocab, _keys(key), text_col, out, pattern, unk_id)
+        return r.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
+    return _join_ids(df, vocab, key, text_col, out, pattern, unk_id)
+
+
+def _join_ids(df: DataFrame, vocab: DataFrame, key, text_col: str, out: str, pattern: str,
+              unk_id: int) -> DataFrame:
+    """Shuffle plan for vocabularies too large to broadcast."""
     ex = df.select(*_keys(key), F.posexplode_outer(split_words(F.col(text_col), pattern)).alias("tpos", "token"))
-    v = checked_broadcast(vocab.select("token", "token_id"))
+    v = vocab.select("token", "token_id")
     j = ex.join(v, "token", "left").select(
         *_keys(key), "tpos", F.when(F.col("tpos").isNull(), None)
         .otherwise(F.coalesce("token_id", F.lit(unk_id))).cast("int").alias("token_id"))
     return _recollect(j, key, "tpos", "token_id", out)
 
 
-def detokenise(df: DataFrame, vocab: DataFrame, key: str, ids_col: str = "ids",
-               out: str = "text", skip_ids=(EOS_ID, UNK_ID)) -> DataFrame:
+def detokenise(df: DataFrame, vocab: DataFrame, key, ids_col: str = "ids",
+               out: str = "text", skip_ids=(EOS_ID, UNK_ID),
+               broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Ids -> text, special ids dropped, tokens joined by one space."""
+    n = vocab.count()
+    if n <= broadcast_rows:
+        return _lookup_tokens(df, vocab, _keys(key), ids_col, out, skip_ids)
+    return _join_tokens(df, vocab, key, ids_col, out, skip_ids)
+
+
+def _lookup_tokens(df: DataFrame, vocab: DataFrame, keys: list[str], ids_col: str, out: str,
+                   skip_ids) -> DataFrame:
+    """Map-only plan: ids index a broadcast token array; joining is JVM-side."""
+    spark = df.sparkSession
+    pv = vocab.select("token", "token_id").toPandas()
+    size = int(pv["token_id"].max()) + 1 if len(pv) else 0
+    table = np.full(size, None, dtype=object)
+    table[pv["token_id"].to_numpy()] = pv["token"].to_numpy(dtype=object)
+    bc = spark.sparkContext.broadcast(table)
+    skip = F.array(*[F.lit(i) for i in skip_ids])
+    kept = df.select(*keys, F.filter(ids_col, lambda x: ~F.array_contains(skip, x)).alias("__cp_ids"))
+    schema = T.StructType([kept.schema[k] for k in keys] + [T.StructField("__cp_tok", T.ArrayType(T.StringType()), True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tab = bc.value
+        for b in batches:
+            lists = b.column(len(keys))
+            if isinstance(lists, pa.ChunkedArray):
+                lists = lists.combine_chunks()
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            ok = (flat >= 0) & (flat < len(tab))
+            toks = np.full(len(flat), None, dtype=object)
+            toks[ok] = tab[flat[ok]]
+            arr = pa.ListArray.from_arrays(_offsets(lists), pa.array(toks, pa.string()), mask=lists.is_null())
+            yield pa.RecordBatch.from_arrays(list(b.columns[:len(keys)]) + [arr], names=keys + ["__cp_tok"])
+
+    r = kept.mapInArrow(run, schema)
+    return r.select(*keys, F.array_join(F.filter("__cp_tok", lambda t: t.isNotNull()), " ").alias(out))
+
+
+def _join_tokens(df: DataFrame, vocab: DataFrame, key, ids_col: str, out: str, skip_ids) -> DataFrame:
+    """Shuffle plan for vocabularies too large to broadcast."""
     skip = F.array(*[F.lit(i) for i in skip_ids])
     ex = df.select(*_keys(key), F.posexplode_outer(F.filter(ids_col, lambda x: ~F.array_contains(skip, x)))
                    .alias("tpos", "token_id"))
-    v = checked_broadcast(vocab.select("token", F.col("token_id").cast("int").alias("token_id")))
+    v = vocab.select("token", F.col("token_id").cast("int").alias("token_id"))
     j = ex.join(v, "token_id", "left")
     r = _recollect(j, key, "tpos", "token", "__cp_tokens")
     return r.select(*_keys(key), F.array_join("__cp_tokens", " ").alias(out))

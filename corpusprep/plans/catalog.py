@@ -206,7 +206,7 @@ def q_sft_prompt(spark, sf):
 
 # ---- T / C: tokens ----------------------------------------------------------
 def doc_vocab(spark, sf) -> DataFrame:
-    return TK.build_vocab(docs(spark, sf), "text").checkpoint()
+    return TK.build_vocab(docs(spark, sf), "text")
 
 
 def doc_token_ids(spark, sf) -> DataFrame:
@@ -219,7 +219,7 @@ def turns(spark, sf) -> DataFrame:
 
 def turn_token_ids(spark, sf) -> DataFrame:
     t = turns(spark, sf)
-    vocab = TK.build_vocab(t, "text").checkpoint()
+    vocab = TK.build_vocab(t, "text")
     ids = TK.token_ids(t, vocab, ["conv_id", "turn"])
     return t.select("conv_id", "turn", "role").join(ids, ["conv_id", "turn"])
 
@@ -256,8 +256,10 @@ def q_truncate_outside(spark, sf):
 
 
 def doc_batches(spark, sf) -> DataFrame:
+    """Token ids with trainer batches; positions come from the key column
+    alone, so the tokeniser runs once."""
     ids = doc_token_ids(spark, sf)
-    return D.batch_assign(D.ordered_index(ids, ["doc_id"]), COLLATE_BATCH).drop("pos")
+    return D.batch_assign(ids.join(positioned_docs(spark, sf), "doc_id"), COLLATE_BATCH).drop("pos")
 
 
 def doc_padded(spark, sf) -> DataFrame:
@@ -301,8 +303,9 @@ def q_chat_labels(spark, sf):
 
 @query("target_tokens")
 def q_target_tokens(spark, sf):
-    c = D.batch_assign(D.ordered_index(TK.chat_labels(turn_token_ids(spark, sf)), ["conv_id"]),
-                       COLLATE_BATCH)
+    convs = turns(spark, sf).select("conv_id").distinct()
+    pos = D.ordered_index(convs, ["conv_id"])
+    c = D.batch_assign(TK.chat_labels(turn_token_ids(spark, sf)).join(pos, "conv_id"), COLLATE_BATCH)
     return c.groupBy("batch_id").agg(F.sum(A.supervised_count("labels")).cast("long").alias("n_target"))
 
 
@@ -321,7 +324,11 @@ def q_assemble_sequence(spark, sf):
 def q_label_mask(spark, sf):
     p = reply_pairs(spark, sf).withColumn("prompt_ids", A.truncate("prompt_ids", PROMPT_MAX)) \
         .withColumn("reply_ids", A.truncate("reply_ids", LABEL_MAX))
-    b = D.batch_assign(D.ordered_index(p, ["conv_id", "turn"]), COLLATE_BATCH)
+    keys = D.ordered_index(turns(spark, sf).where(F.col("role") == "user").select("conv_id", "turn")
+                           .join(turns(spark, sf).where(F.col("role") == "assistant")
+                                 .select("conv_id", (F.col("turn") - 1).alias("turn")), ["conv_id", "turn"]),
+                           ["conv_id", "turn"])
+    b = D.batch_assign(p.join(keys, ["conv_id", "turn"]), COLLATE_BATCH)
     padded = TK.pad_batch(b, "reply_ids", "batch_id", out_ids="reply", out_mask="reply_mask")
     lab = A.label_ids(F.size("prompt_ids") + SOFT_LEN, "reply", "reply_mask")
     return padded.select("conv_id", "turn", "batch_id", lab.alias("labels"))
@@ -541,7 +548,9 @@ def q_shard_union(spark, sf):
 
 # ---- A: sinks, shards, resume ---------------------------------------------------
 def _enriched_positioned(spark, sf) -> DataFrame:
-    return D.ordered_index(enriched(spark, sf), ["doc_id"])
+    """Positions from the key column, then one enrichment pass carrying them."""
+    d = docs(spark, sf).select("doc_id", "text").join(positioned_docs(spark, sf), "doc_id")
+    return K.enrich(d, keep=["pos"])
 
 
 @query("shard_manifest")
@@ -563,17 +572,16 @@ def q_resume_point(spark, sf):
 def q_shard_scan(spark, sf):
     """An interrupted run (capped), then a resumed run; the scan sees both."""
     base = scratch_dir(spark, "shards")
-    pos = D.ordered_index(docs(spark, sf), ["doc_id"])
+    pos = docs(spark, sf).select("doc_id", "text").join(positioned_docs(spark, sf), "doc_id")
     first = D.sample_cap(pos, 0, SMALL_BATCH, FIRST_RUN_CAP)
-    first = D.shard_assign(K.enrich(first.select("doc_id", "text")).join(first.select("doc_id", "pos"), "doc_id"),
-                           SHARD_SIZE, SMALL_BATCH)
+    first = D.shard_assign(K.enrich(first, keep=["pos"]), SHARD_SIZE, SMALL_BATCH)
     S.write_shards(first, base, RUN_TS)
     rp = S.resume_point(spark, base).first()
     processed, last = int(rp["processed"]), int(rp["last_shard_id"])
     rest = D.resume_skip(pos, processed, SMALL_BATCH)
     start = D.skip_count(processed, SMALL_BATCH)
-    rest = D.shard_assign(K.enrich(rest.select("doc_id", "text")).join(rest.select("doc_id", "pos"), "doc_id"),
-                          SHARD_SIZE, SMALL_BATCH, start_pos=start, first_shard=last + 1)
+    rest = D.shard_assign(K.enrich(rest, keep=["pos"]), SHARD_SIZE, SMALL_BATCH,
+                          start_pos=start, first_shard=last + 1)
     S.write_shards(rest, base, RUN_TS)
     return S.scan_shards(spark, base).select("doc_id", "shard_id", "step1_text")
 
