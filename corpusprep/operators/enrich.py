@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusprep.session import spread
 from corpusprep.functions.text import (ERROR_PREFIX, clean_corpus, error_text, is_error,
                                        unicode_strip)
 
@@ -100,7 +101,7 @@ def enrich(df: DataFrame, key: str = "doc_id", text_col: str = "text",
     error rows keep the uncleaned sentinel. ``keep`` columns ride along, so
     positions or shard ids never force a second pass over the model."""
     keep = [keep] if isinstance(keep, str) else list(keep)
-    raw = enrich_raw(df.select(key, text_col, *keep), key, text_col, client_factory,
+    raw = enrich_raw(spread(df.select(key, text_col, *keep)), key, text_col, client_factory,
                      out="__cp_raw", max_in_flight=max_in_flight, attempts=attempts)
     step = F.when(is_error(F.col("__cp_raw")), F.col("__cp_raw")).otherwise(
         clean_corpus(unicode_strip(F.col("__cp_raw"))))

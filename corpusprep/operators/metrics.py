@@ -9,11 +9,19 @@ from corpusprep.functions.edit import char_distance, with_word_distance, words
 
 
 def pair_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
-               text_col: str = "text") -> DataFrame:
+               text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """C4: pair each turn (reference) with the next turn (hypothesis) by an
-    equi-join on (conversation, turn + 1)."""
-    ref = turns.select(conv_col, turn_col, F.col(text_col).alias("reference"))
-    hyp = turns.select(conv_col, (F.col(turn_col) - 1).alias(turn_col), F.col(text_col).alias("hypothesis"))
+    equi-join on (conversation, turn + 1).
+
+    Both sides are hash-partitioned on the join keys with an explicit count:
+    the join reuses that partitioning (no extra shuffle), and AQE does not
+    coalesce it - the edit distances that follow are CPU-bound per pair, so
+    the partition count, not the byte size, decides their parallelism.
+    Partitioning on (conversation, turn) also spreads a huge conversation."""
+    n = partitions or int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ref = turns.select(conv_col, turn_col, F.col(text_col).alias("reference")).repartition(n, conv_col, turn_col)
+    hyp = (turns.select(conv_col, (F.col(turn_col) - 1).alias(turn_col), F.col(text_col).alias("hypothesis"))
+                .repartition(n, conv_col, turn_col))
     return ref.join(hyp, [conv_col, turn_col], "inner")
 
 

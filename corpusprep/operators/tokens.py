@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from corpusprep.functions import arrays as A
 from corpusprep.functions.text import split_words
 from corpusprep.operators.position import ordered_index
+from corpusprep.session import spread
 
 # ---- fixed values: special tokens of our vocabulary ------------------------
 EOS_TOKEN = "<|endoftext|>"
@@ -64,7 +65,7 @@ def build_vocab(df: DataFrame, text_col: str = "text", specials=SPECIALS,
     """(token, count, token_id); ids by count desc then token, after the
     special tokens. The counts are checkpointed (reliable, in the shared
     checkpoint folder) so the corpus is tokenised once, not once per pass."""
-    counts = (df.select(F.explode(F.split(F.col(text_col), pattern)).alias("token"))
+    counts = (spread(df.select(text_col)).select(F.explode(F.split(F.col(text_col), pattern)).alias("token"))
                 .where(F.col("token") != "")
                 .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
     if materialize:
@@ -117,7 +118,7 @@ def _lookup_ids(df: DataFrame, vocab: DataFrame, keys: list[str], text_col: str,
     bc = spark.sparkContext.broadcast((pv["token"].to_numpy(dtype=object),
                                        pv["token_id"].to_numpy(dtype=np.int32)))
     tag = uuid.uuid4().hex
-    toks = df.select(*keys, split_words(F.col(text_col), pattern).alias("__cp_toks"))
+    toks = spread(df).select(*keys, split_words(F.col(text_col), pattern).alias("__cp_toks"))
     schema = T.StructType([toks.schema[k] for k in keys] + [T.StructField(out, T.ArrayType(T.IntegerType()), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +181,7 @@ def _lookup_tokens(df: DataFrame, vocab: DataFrame, keys: list[str], ids_col: st
     table[pv["token_id"].to_numpy()] = pv["token"].to_numpy(dtype=object)
     bc = spark.sparkContext.broadcast(table)
     skip = F.array(*[F.lit(i) for i in skip_ids])
-    kept = df.select(*keys, F.filter(ids_col, lambda x: ~F.array_contains(skip, x)).alias("__cp_ids"))
+    kept = spread(df).select(*keys, F.filter(ids_col, lambda x: ~F.array_contains(skip, x)).alias("__cp_ids"))
     schema = T.StructType([kept.schema[k] for k in keys] + [T.StructField("__cp_tok", T.ArrayType(T.StringType()), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

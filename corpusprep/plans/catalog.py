@@ -20,7 +20,7 @@ from corpusprep.operators import frames as G
 from corpusprep.operators import metrics as R
 from corpusprep.operators import position as D
 from corpusprep.operators import tokens as TK
-from corpusprep.session import scratch_dir
+from corpusprep.session import scratch_dir, spread
 from corpusprep.sources import arrow_ipc, audio
 from corpusprep.sources import sinks as S
 from corpusprep.sources.scan import glob_scan, profile, scan_corpus, table
@@ -167,22 +167,22 @@ def q_epoch_shuffle(spark, sf):
 # ---- F: text ------------------------------------------------------------------
 @query("clean_corpus")
 def q_clean_corpus(spark, sf):
-    return docs(spark, sf).select("doc_id", X.clean_corpus("text").alias("clean_text"))
+    return spread(docs(spark, sf)).select("doc_id", X.clean_corpus("text").alias("clean_text"))
 
 
 @query("unicode_strip")
 def q_unicode_strip(spark, sf):
-    return docs(spark, sf).select("doc_id", X.unicode_strip("text").alias("stripped"))
+    return spread(docs(spark, sf)).select("doc_id", X.unicode_strip("text").alias("stripped"))
 
 
 @query("strip_brackets")
 def q_strip_brackets(spark, sf):
-    return docs(spark, sf).select("doc_id", X.strip_brackets("text").alias("transcript"))
+    return spread(docs(spark, sf)).select("doc_id", X.strip_brackets("text").alias("transcript"))
 
 
 @query("clean_transcript")
 def q_clean_transcript(spark, sf):
-    return docs(spark, sf).select("doc_id", X.clean_transcript("text").alias("transcript"))
+    return spread(docs(spark, sf)).select("doc_id", X.clean_transcript("text").alias("transcript"))
 
 
 @query("enrich")
@@ -209,8 +209,8 @@ def doc_vocab(spark, sf) -> DataFrame:
     return TK.build_vocab(docs(spark, sf), "text")
 
 
-def doc_token_ids(spark, sf) -> DataFrame:
-    return TK.token_ids(docs(spark, sf), doc_vocab(spark, sf), "doc_id")
+def doc_token_ids(spark, sf, vocab: DataFrame | None = None) -> DataFrame:
+    return TK.token_ids(docs(spark, sf), vocab if vocab is not None else doc_vocab(spark, sf), "doc_id")
 
 
 def turns(spark, sf) -> DataFrame:
@@ -286,7 +286,8 @@ def q_label_budget(spark, sf):
 
 @query("detokenise")
 def q_detokenise(spark, sf):
-    return TK.detokenise(doc_token_ids(spark, sf), doc_vocab(spark, sf), "doc_id")
+    vocab = doc_vocab(spark, sf)
+    return TK.detokenise(doc_token_ids(spark, sf, vocab), vocab, "doc_id")
 
 
 @query("embedding_lookup")

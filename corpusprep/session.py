@@ -65,3 +65,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for the Python-side file APIs."""
     return path[5:] if path.startswith("file:") else path
+
+
+def spread(df, min_partitions: int | None = None):
+    """Give CPU-heavy per-row work (model calls, regexes, lookups) at least
+    one partition per core. Large inputs already have more partitions than
+    cores and pass through untouched; a few big files (or one row group) get
+    a round-robin repartition, which Spark makes retry-safe by sorting first."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
