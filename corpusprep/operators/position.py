@@ -32,12 +32,14 @@ def _cols(x) -> list[str]:
 
 
 def quantile_boundaries(df: DataFrame, proxy: Column, n_buckets: int | None,
-                        rows_per_bucket: int, max_buckets: int) -> tuple[int, list[float]]:
+                        rows_per_bucket: int, max_buckets: int,
+                        min_buckets: int = 1) -> tuple[int, list[float]]:
     """(row count, sorted distinct inner boundaries). A count decides how many
     buckets are needed; only then one aggregate pass computes the quantiles.
     The driver receives at most ``max_buckets`` numbers, whatever the data size."""
     n = df.count()
-    grid = n_buckets or max(1, min(max_buckets, math.ceil(n / max(1, rows_per_bucket))))
+    grid = n_buckets or max(1, min(max_buckets, max(min_buckets, math.ceil(n / max(1, rows_per_bucket)))))
+    grid = min(grid, max(1, n))
     if grid <= 1 or n == 0:
         return n, []
     probs = [i / grid for i in range(1, grid)]
@@ -48,7 +50,8 @@ def quantile_boundaries(df: DataFrame, proxy: Column, n_buckets: int | None,
 
 def ordered_index(df: DataFrame, order_cols, partition_cols=None, proxy: Column | None = None,
                   pos_col: str = "pos", n_buckets: int | None = None,
-                  rows_per_bucket: int = 2_000_000, max_buckets: int = 4096) -> DataFrame:
+                  rows_per_bucket: int = 2_000_000, max_buckets: int = 4096,
+                  min_buckets: int | None = None) -> DataFrame:
     """Dense 0-based position of each row in ``order_cols`` order,
     globally or within ``partition_cols``. ``order_cols`` must be unique per
     group (add a tie-breaker). ``proxy`` is a numeric column, non-decreasing in
@@ -57,13 +60,16 @@ def ordered_index(df: DataFrame, order_cols, partition_cols=None, proxy: Column
     part = _cols(partition_cols)
     prox = proxy if proxy is not None else (F.col(order[0]) if isinstance(order[0], str) else order[0])
     d = df.withColumn(_PROXY, F.coalesce(prox.cast("double"), F.lit(float("-inf"))))
-    _, bounds = quantile_boundaries(d, F.col(_PROXY), n_buckets, rows_per_bucket, max_buckets)
+    lo = min_buckets if min_buckets is not None else df.sparkSession.sparkContext.defaultParallelism
+    _, bounds = quantile_boundaries(d, F.col(_PROXY), n_buckets, rows_per_bucket, max_buckets, lo)
     splits = [float("-inf")] + [b for b in bounds if math.isfinite(b)] + [float("inf")]
     if len(splits) < 3:
-        d = d.withColumn(_BUCKET, F.lit(0)).drop(_PROXY)
-    else:
-        d = (Bucketizer(splits=splits, inputCol=_PROXY, outputCol=_BUCKET)
-             .transform(d).withColumn(_BUCKET, F.col(_BUCKET).cast("int")).drop(_PROXY))
+        # one bucket (tiny input, or every key has the same proxy): no offsets
+        w = Window.partitionBy(*part).orderBy(*order)
+        return (d.drop(_PROXY)
+                 .withColumn(pos_col, (F.row_number().over(w) - 1).cast("long")))
+    d = (Bucketizer(splits=splits, inputCol=_PROXY, outputCol=_BUCKET)
+         .transform(d).withColumn(_BUCKET, F.col(_BUCKET).cast("int")).drop(_PROXY))
     counts = d.groupBy(*part, _BUCKET).count()
     w_off = (Window.partitionBy(*part).orderBy(_BUCKET)
              .rowsBetween(Window.unboundedPreceding, -1))
