@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from corpusprep.functions import arrays as A
 from corpusprep.functions.text import split_words
 from corpusprep.operators.position import ordered_index
+from corpusprep.session import materialize as materialize_table
 from corpusprep.session import spread
 
 # ---- fixed values: special tokens of our vocabulary ------------------------
@@ -63,19 +64,18 @@ def _order_proxy(count_col: str, token_col: str) -> Column:
 def build_vocab(df: DataFrame, text_col: str = "text", specials=SPECIALS,
                 pattern: str = r"[ \n]+", materialize: bool = True) -> DataFrame:
     """(token, count, token_id); ids by count desc then token, after the
-    special tokens. The counts are checkpointed (reliable, in the shared
-    checkpoint folder) so the corpus is tokenised once, not once per pass."""
+    special tokens. The counts and the vocabulary are written as tables in the
+    shared checkpoint folder, so the corpus is tokenised once, not once per
+    pass over the counts."""
     counts = (spread(df.select(text_col)).select(F.explode(F.split(F.col(text_col), pattern)).alias("token"))
                 .where(F.col("token") != "")
                 .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
     if materialize:
-        from corpusprep.session import checkpoint_root
-        checkpoint_root(df.sparkSession)
-        counts = counts.checkpoint()
+        counts = materialize_table(counts, "vocab-counts")
     ranked = ordered_index(counts, [F.col("count").desc(), F.col("token")],
                            proxy=_order_proxy("count", "token"), pos_col="rank")
     vocab = ranked.select("token", "count", (F.col("rank") + len(specials)).alias("token_id"))
-    return vocab.checkpoint() if materialize else vocab
+    return materialize_table(vocab, "vocab") if materialize else vocab
 
 
 def _offsets(lists: pa.ListArray) -> pa.Array:

@@ -76,3 +76,13 @@ def spread(df, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want)
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing a Parquet table under the shared checkpoint
+    folder and reading it back: one pass, columnar, survives lost executors
+    (unlike a local checkpoint, and unlike ``checkpoint()`` it does not
+    recompute an uncached plan to write it)."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
