@@ -31,26 +31,34 @@ def _cols(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
+SAMPLE_PER_BUCKET = 200
+
+
 def quantile_boundaries(df: DataFrame, proxy: Column, n_buckets: int | None,
                         rows_per_bucket: int, max_buckets: int,
-                        min_buckets: int = 1) -> tuple[int, list[float]]:
+                        min_buckets: int = 1, seed: int = 17) -> tuple[int, list[float]]:
     """(row count, sorted distinct inner boundaries). A count decides how many
-    buckets are needed; only then one aggregate pass computes the quantiles.
-    The driver receives at most ``max_buckets`` numbers, whatever the data size."""
+    buckets are needed; then one aggregate pass computes the quantiles - over
+    a seeded Bernoulli sample of ~SAMPLE_PER_BUCKET keys per bucket when the
+    table is larger, so the final merge of quantile summaries is bounded by the
+    grid, not by the data. The driver receives at most ``max_buckets``
+    numbers, whatever the data size; the boundaries are frozen as literals."""
     n = df.count()
     grid = n_buckets or max(1, min(max_buckets, max(min_buckets, math.ceil(n / max(1, rows_per_bucket)))))
     grid = min(grid, max(1, n))
     if grid <= 1 or n == 0:
         return n, []
     probs = [i / grid for i in range(1, grid)]
-    row = df.agg(F.percentile_approx(proxy, probs, max(10000, 10 * grid)).alias("q")).first()
+    target = grid * SAMPLE_PER_BUCKET
+    src = df.sample(withReplacement=False, fraction=target / n, seed=seed) if n > 2 * target else df
+    row = src.agg(F.percentile_approx(proxy, probs, max(10000, 10 * grid)).alias("q")).first()
     q = [float(v) for v in (row["q"] or []) if v is not None]
     return n, sorted(set(q))
 
 
 def ordered_index(df: DataFrame, order_cols, partition_cols=None, proxy: Column | None = None,
                   pos_col: str = "pos", n_buckets: int | None = None,
-                  rows_per_bucket: int = 2_000_000, max_buckets: int = 4096,
+                  rows_per_bucket: int = 2_000_000, max_buckets: int = 16384,
                   min_buckets: int | None = None) -> DataFrame:
     """Dense 0-based position of each row in ``order_cols`` order,
     globally or within ``partition_cols``. ``order_cols`` must be unique per

@@ -107,3 +107,11 @@ def test_resume_point_edges(spark, tmp_dir):
     assert S.scan_shards(spark, base).count() == 10
     m = {r["shard_id"]: r["sample_count"] for r in S.read_manifest(spark, base).collect()}
     assert m == {0: 4, 1: 4, 2: 2}
+
+
+def test_ordered_index_sampled_boundaries(spark, monkeypatch):
+    """Large-table path: boundaries from a sample still give exact positions."""
+    monkeypatch.setattr(D, "SAMPLE_PER_BUCKET", 5)
+    df = spark.range(0, 5000).select(((F.col("id") * 104729) % 5000).alias("k"))
+    got = positions(df, n_buckets=20)
+    assert got == {k: k for k in range(5000)}
