@@ -20,7 +20,7 @@ from corpusprep.operators import frames as G
 from corpusprep.operators import metrics as R
 from corpusprep.operators import position as D
 from corpusprep.operators import tokens as TK
-from corpusprep.session import scratch_dir, spread
+from corpusprep.session import scratch_dir, ship_package, spread
 from corpusprep.sources import arrow_ipc, audio
 from corpusprep.sources import sinks as S
 from corpusprep.sources.scan import glob_scan, profile, scan_corpus, table
@@ -61,8 +61,13 @@ WAV_SR = 16000
 
 
 def query(name: str):
+    """Register a query; executors get the package before its first use."""
     def deco(fn: Query) -> Query:
-        REGISTRY[name] = fn
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        REGISTRY[name] = run
         return fn
     return deco
 

@@ -86,3 +86,31 @@ def materialize(df, name: str):
     path = scratch_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark) -> None:
+    """Make ``corpusprep`` importable on every executor (UDFs defined in it
+    are pickled by reference): zip the package once per application and
+    ``addPyFile`` it. Idempotent."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import corpusprep
+    pkg = os.path.dirname(os.path.abspath(corpusprep.__file__))
+    root = checkpoint_root(spark)
+    local_root = local_path(root) if (root.startswith("/") or root.startswith("file:")) else tempfile.mkdtemp()
+    os.makedirs(local_root, exist_ok=True)
+    zpath = os.path.join(local_root, f"corpusprep-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
