@@ -29,21 +29,22 @@ def _chunk_starts(n: Column, size: int) -> Column:
 
 def segment_text(df: DataFrame, key: str, text_col: str, chunk_chars: int,
                  seg_col: str = "seg_no", out: str = "chunk") -> DataFrame:
-    """G3 on text: fixed chunks of ``chunk_chars`` code points, last one short."""
+    """G3 on text: fixed chunks of ``chunk_chars`` code points, last one short.
+    The chunk array is built once per row and exploded, so an output row
+    carries its chunk only, never another copy of the whole text."""
     t = F.col(text_col)
-    return (df.select(key, t.alias("__cp_t"),
-                      F.explode(_chunk_starts(F.length(t), chunk_chars)).alias(seg_col))
-              .select(key, seg_col, F.substring(F.col("__cp_t"), F.col(seg_col) * chunk_chars + 1,
-                                                F.lit(chunk_chars)).alias(out)))
+    chunks = F.transform(_chunk_starts(F.length(t), chunk_chars),
+                         lambda i: F.substring(t, i * chunk_chars + 1, F.lit(chunk_chars)))
+    return df.select(key, F.posexplode(chunks).alias(seg_col, out))
 
 
 def segment_array(df: DataFrame, key: str, arr_col: str, chunk_len: int,
                   seg_col: str = "seg_no", out: str = "chunk") -> DataFrame:
     """G3 on samples: ``audio[i:i+L]`` for i in range(0, n, L)."""
     a = F.col(arr_col)
-    return (df.select(key, a.alias("__cp_a"), F.explode(_chunk_starts(F.size(a), chunk_len)).alias(seg_col))
-              .select(key, seg_col, F.slice(F.col("__cp_a"), F.col(seg_col) * chunk_len + 1,
-                                            F.lit(chunk_len)).alias(out)))
+    chunks = F.transform(_chunk_starts(F.size(a), chunk_len),
+                         lambda i: F.slice(a, i * chunk_len + 1, F.lit(chunk_len)))
+    return df.select(key, F.posexplode(chunks).alias(seg_col, out))
 
 
 def rejoin(df: DataFrame, key: str, seg_col: str = "seg_no", chunk_col: str = "chunk",

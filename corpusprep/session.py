@@ -37,6 +37,7 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -114,3 +115,13 @@ def ship_package(spark) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(zpath)
     _SHIPPED.add(sc.applicationId)
+
+
+def arrow_fs(path: str):
+    """(pyarrow filesystem, path inside it) for a local path or any URI
+    pyarrow understands (file://, hdfs://, s3://, gs://, ...), so that
+    Python-side readers and writers work on a cluster's shared folder."""
+    from pyarrow import fs as pafs
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), local_path(path)

@@ -7,26 +7,39 @@ to one ``part-<partition>-<uuid>.arrows`` stream file.
 
 from __future__ import annotations
 
-import glob
-import os
+import fnmatch
+import posixpath
 import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader,
                                     InputPartition, WriterCommitMessage)
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
+from corpusprep.session import arrow_fs, ship_package
+
 FORMAT = "arrowipc"
 
 
 def _files(path: str) -> list[str]:
-    p = path[5:] if path.startswith("file:") else path
-    if os.path.isdir(p):
-        return sorted(glob.glob(os.path.join(p, "**", "*.arrow*"), recursive=True))
-    return sorted(glob.glob(p))
+    """Arrow IPC files under a folder (recursively) or matching a file glob,
+    in name order; works on any pyarrow filesystem."""
+    fs, p = arrow_fs(path)
+    info = fs.get_file_info(p)
+    if info.type == pafs.FileType.Directory:
+        found = fs.get_file_info(pafs.FileSelector(p, recursive=True))
+        names = [f.path for f in found if f.type == pafs.FileType.File
+                 and ".arrow" in posixpath.basename(f.path) and not f.path.endswith(".inprogress")]
+    else:
+        parent, pattern = posixpath.split(p)
+        found = fs.get_file_info(pafs.FileSelector(parent or ".", recursive=False))
+        names = [f.path for f in found if fnmatch.fnmatch(posixpath.basename(f.path), pattern)]
+    prefix = path[: len(path) - len(p)] if "://" in path and path.endswith(p) else ""
+    return sorted(prefix + n for n in names)
 
 
 class _FilePartition(InputPartition):
@@ -43,9 +56,9 @@ class _Reader(DataSourceReader):
         return [_FilePartition(f) for f in _files(self.path)]
 
     def read(self, partition):
-        with pa.OSFile(partition.path, "rb") as f:
-            reader = pa.ipc.open_stream(f)
-            for batch in reader:
+        fs, p = arrow_fs(partition.path)
+        with fs.open_input_stream(p) as f:
+            for batch in pa.ipc.open_stream(f):
                 yield batch
 
 
@@ -57,29 +70,31 @@ class _Written(WriterCommitMessage):
 
 class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, schema: StructType):
-        self.path = path[5:] if path.startswith("file:") else path
+        self.path = path
         self.schema = schema
 
     def write(self, iterator):
         from pyspark import TaskContext
         ctx = TaskContext.get()
         pid = ctx.partitionId() if ctx else 0
-        os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"part-{pid:05d}-{uuid.uuid4().hex[:8]}.arrows")
+        fs, root = arrow_fs(self.path)
+        fs.create_dir(root, recursive=True)
+        name = posixpath.join(root, f"part-{pid:05d}-{uuid.uuid4().hex[:8]}.arrows")
         tmp = name + ".inprogress"
         rows = 0
         schema = to_arrow_schema(self.schema)
-        with pa.OSFile(tmp, "wb") as f, pa.ipc.new_stream(f, schema) as w:
+        with fs.open_output_stream(tmp) as f, pa.ipc.new_stream(f, schema) as w:
             for batch in iterator:
                 w.write_batch(batch)
                 rows += batch.num_rows
-        os.replace(tmp, name)  # a retried task leaves no half-written file behind
+        fs.move(tmp, name)  # a retried task leaves no half-written file behind
         return _Written(name, rows)
 
     def abort(self, messages):
+        fs, _ = arrow_fs(self.path)
         for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+            if m is not None and fs.get_file_info(m.path).type == pafs.FileType.File:
+                fs.delete_file(m.path)
 
 
 class ArrowIPCDataSource(DataSource):
@@ -105,4 +120,5 @@ class ArrowIPCDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship_package(spark)  # the workers unpickle these classes by reference
     spark.dataSource.register(ArrowIPCDataSource)

@@ -8,7 +8,6 @@ Only PCM WAV is decoded; compressed codecs are out of scope.
 from __future__ import annotations
 
 import io
-import os
 import uuid
 import wave
 
@@ -18,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusprep.session import arrow_fs
+
 AUDIO_TYPE = T.StructType([
     T.StructField("array", T.ArrayType(T.FloatType()), True),
     T.StructField("sampling_rate", T.IntegerType(), True),
@@ -66,17 +67,16 @@ def write_wavs(df: DataFrame, out_dir: str, name_col: str, samples_col: str,
                sampling_rate: int, channels: int = 1) -> int:
     """Write one WAV per row (file name from ``name_col``) from the executors;
     returns the number of files."""
-    root = out_dir[5:] if out_dir.startswith("file:") else out_dir
-
     def part(batches):
-        os.makedirs(root, exist_ok=True)
+        fs, root = arrow_fs(out_dir)
+        fs.create_dir(root, recursive=True)
         for pdf in batches:
             for name, samples in zip(pdf[name_col], pdf[samples_col]):
-                final = os.path.join(root, f"{name}.wav")
+                final = f"{root.rstrip('/')}/{name}.wav"
                 tmp = f"{final}.{uuid.uuid4().hex[:6]}.tmp"
-                with open(tmp, "wb") as f:
+                with fs.open_output_stream(tmp) as f:
                     f.write(wav_bytes(samples, sampling_rate, channels))
-                os.replace(tmp, final)  # idempotent under task retries
+                fs.move(tmp, final)  # idempotent under task retries
             yield pd.DataFrame({"n": [len(pdf)]})
 
     written = df.select(name_col, samples_col).mapInPandas(part, "n long")
