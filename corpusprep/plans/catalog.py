@@ -39,8 +39,8 @@ MAX_SAMPLES = 500
 SHUFFLE_SEED, SHUFFLE_EPOCH = 7, 3
 EVAL_ROWS = 100
 PEEK_ROW = 20
-PROMPT_MAX = 512       # projector: prompt truncation, EOS counted inside
-LABEL_MAX = 1024       # slam: transcript truncation, EOS appended after
+PROMPT_MAX = 512       # prompt truncation, EOS counted inside
+LABEL_MAX = 1024       # transcript truncation, EOS appended after
 COLLATE_BATCH = 8      # trainer batch size
 SOFT_LEN, SOFT_ID = 20, -1   # soft-prompt slot in an assembled sequence
 CHUNK_CHARS = 200      # text segment length
