@@ -553,24 +553,33 @@ def q_shard_union(spark, sf):
 
 
 # ---- A: sinks, shards, resume ---------------------------------------------------
-def _enriched_positioned(spark, sf) -> DataFrame:
-    """Positions from the key column, then one enrichment pass carrying them."""
+def _parallelism(spark) -> int:
+    return max(spark.sparkContext.defaultParallelism,
+               int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _enrich_by_shard(d: DataFrame, spark) -> DataFrame:
+    """Shard ids are known from positions before the model runs: cluster the
+    raw rows by shard (hash, explicit count), so each task enriches and writes
+    whole shards - one file per shard, and no shuffle of the enriched rows."""
+    return K.enrich(d.repartition(_parallelism(spark), "shard_id"), keep=["pos", "shard_id"])
+
+
+def _enriched_sharded(spark, sf) -> DataFrame:
     d = docs(spark, sf).select("doc_id", "text").join(positioned_docs(spark, sf), "doc_id")
-    return K.enrich(d, keep=["pos"])
+    return _enrich_by_shard(D.shard_assign(d, SHARD_SIZE, SMALL_BATCH), spark)
 
 
 @query("shard_manifest")
 def q_shard_manifest(spark, sf):
     base = scratch_dir(spark, "shards")
-    d = D.shard_assign(_enriched_positioned(spark, sf), SHARD_SIZE, SMALL_BATCH)
-    return S.write_shards(d, base, RUN_TS)
+    return S.write_shards(_enriched_sharded(spark, sf), base, RUN_TS)
 
 
 @query("resume_point")
 def q_resume_point(spark, sf):
     base = scratch_dir(spark, "shards")
-    d = D.shard_assign(_enriched_positioned(spark, sf), SHARD_SIZE, SMALL_BATCH)
-    S.write_shards(d, base, RUN_TS)
+    S.write_shards(_enriched_sharded(spark, sf), base, RUN_TS)
     return S.resume_point(spark, base)
 
 
@@ -580,14 +589,14 @@ def q_shard_scan(spark, sf):
     base = scratch_dir(spark, "shards")
     pos = docs(spark, sf).select("doc_id", "text").join(positioned_docs(spark, sf), "doc_id")
     first = D.sample_cap(pos, 0, SMALL_BATCH, FIRST_RUN_CAP)
-    first = D.shard_assign(K.enrich(first, keep=["pos"]), SHARD_SIZE, SMALL_BATCH)
+    first = _enrich_by_shard(D.shard_assign(first, SHARD_SIZE, SMALL_BATCH), spark)
     S.write_shards(first, base, RUN_TS)
     rp = S.resume_point(spark, base).first()
     processed, last = int(rp["processed"]), int(rp["last_shard_id"])
     rest = D.resume_skip(pos, processed, SMALL_BATCH)
     start = D.skip_count(processed, SMALL_BATCH)
-    rest = D.shard_assign(K.enrich(rest, keep=["pos"]), SHARD_SIZE, SMALL_BATCH,
-                          start_pos=start, first_shard=last + 1)
+    rest = _enrich_by_shard(D.shard_assign(rest, SHARD_SIZE, SMALL_BATCH,
+                                           start_pos=start, first_shard=last + 1), spark)
     S.write_shards(rest, base, RUN_TS)
     return S.scan_shards(spark, base).select("doc_id", "shard_id", "step1_text")
 

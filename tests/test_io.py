@@ -129,3 +129,24 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() == 200 and df.columns == ["doc_id", "prompt"]
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_corpus_scan_prunes_partitions(spark, tmp_dir):
+    from corpusprep.sources.scan import scan_corpus
+    df = spark.range(0, 40).select(F.col("id").alias("doc_id"),
+                                   F.format_string("subset_%d", F.col("id") % 4).alias("subset"),
+                                   F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("split"))
+    df.write.partitionBy("subset", "split").parquet(f"{tmp_dir}/corpus")
+    got = scan_corpus(spark, f"{tmp_dir}/corpus", subset="subset_1", split="train")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(subset" in plan and "subset_1" in plan
+    assert sorted(r["doc_id"] for r in got.collect()) == [i for i in range(40) if i % 4 == 1 and i % 5]
+
+
+def test_resume_point_with_gap(spark, tmp_dir):
+    base = f"{tmp_dir}/gap"
+    d = spark.range(0, 6).select(F.col("id").alias("k"),
+                                 F.when(F.col("id") < 3, 0).otherwise(2).cast("int").alias("shard_id"))
+    S.write_shards(d, base, "2024-01-01 00:00:00")
+    rp = S.resume_point(spark, base).first()
+    assert (rp["processed"], rp["last_shard_id"]) == (6, 2)   # next shard is 3, the gap stays
