@@ -101,18 +101,23 @@ def ship_package(spark) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
+    import io
+
     import corpusprep
     pkg = os.path.dirname(os.path.abspath(corpusprep.__file__))
-    root = checkpoint_root(spark)
-    local_root = local_path(root) if (root.startswith("/") or root.startswith("file:")) else tempfile.mkdtemp()
-    os.makedirs(local_root, exist_ok=True)
-    zpath = os.path.join(local_root, f"corpusprep-{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for base, _, files in os.walk(pkg):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(base, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    root = checkpoint_root(spark)
+    zpath = f"{root}/corpusprep-pkg/corpusprep-{uuid.uuid4().hex[:8]}.zip"
+    fs, p = arrow_fs(zpath)
+    fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(p) as out:   # into the shared folder, not a local temp dir
+        out.write(buf.getvalue())
     sc.addPyFile(zpath)
     _SHIPPED.add(sc.applicationId)
 

@@ -5,14 +5,18 @@ request, the earlier requests of the same caller with ``now - t < W``; when
 there are ``max_requests`` or more, the wait is ``oldest + W - now``.
 
 Skew: a single caller may own a third of all requests, so the window is not
-partitioned by caller alone. Time is cut into buckets of width W; every row
-is also copied, as context, into the next bucket. A request's whole window
-then lies in (its bucket + the copied previous one), so partitions are
-(caller, bucket) and hold at most two buckets of one caller.
+partitioned by caller alone. Time is cut into buckets of width ``bucket_us``
+(default W); every row is also copied, as context, into the next
+``ceil(W / bucket_us)`` buckets. A request's whole window then lies in its own
+partition (caller, bucket), whose size is bounded by the caller's traffic in
+``W + bucket_us`` of time; a smaller ``bucket_us`` splits even a caller that
+floods one window, at the cost of more context copies.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +27,15 @@ def micros(ts_col: str) -> Column:
 
 
 def rate_audit(df: DataFrame, caller_col: str, ts_col: str, id_col: str,
-               window_us: int, max_requests: int) -> DataFrame:
+               window_us: int, max_requests: int, bucket_us: int | None = None) -> DataFrame:
+    width = bucket_us or window_us
+    copies = math.ceil(window_us / width)
     us = micros(ts_col)
     base = df.select(caller_col, id_col, us.alias("__cp_us"))
-    own = base.withColumn("__cp_b", F.floor(F.col("__cp_us") / window_us)).withColumn("__cp_own", F.lit(True))
-    ctx = base.withColumn("__cp_b", F.floor(F.col("__cp_us") / window_us) + 1).withColumn("__cp_own", F.lit(False))
+    b = F.floor(F.col("__cp_us") / width)
+    own = base.withColumn("__cp_b", b).withColumn("__cp_own", F.lit(True))
+    ctx = (base.withColumn("__cp_b", F.explode(F.sequence(b + 1, b + copies)))
+               .withColumn("__cp_own", F.lit(False)))
     u = own.unionByName(ctx)
     part = [caller_col, "__cp_b"]
     frame = Window.partitionBy(*part).orderBy("__cp_us").rangeBetween(-(window_us - 1), 0)
