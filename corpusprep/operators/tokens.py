@@ -7,8 +7,10 @@ vocabulary. Id lookup has two plans, chosen by a checked vocabulary size:
 * vocabulary rows <= ``broadcast_rows``: the vocabulary is broadcast once and
   every Arrow batch is looked up with one vectorised hash probe - a map-only
   plan, no shuffle of the (huge) token stream;
-* above it: posexplode -> shuffle join on the token (AQE splits hot tokens;
-  one word can be a third of all occurrences) -> ordered re-collection.
+* above it: the ``broadcast_rows`` most frequent tokens are still broadcast
+  (a bounded top-k); by Zipf they resolve most occurrences map-side, and only
+  the misses are exploded, shuffle-joined with the full vocabulary and
+  patched back into the rows that hold them.
 
 ``build_vocab`` counts with map-side partial aggregation, so a hot token costs
 one row per task before the shuffle.
@@ -88,14 +90,6 @@ def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def _recollect(exploded: DataFrame, key, pos: str, value: str, out: str) -> DataFrame:
-    """Ordered re-collection of one value per (key, pos) into an array."""
-    return (exploded.groupBy(*_keys(key))
-            .agg(F.array_sort(F.collect_list(F.struct(F.col(pos), F.col(value)))).alias("__cp_s"))
-            .select(*_keys(key), F.transform(F.filter("__cp_s", lambda s: s[pos].isNotNull()),
-                                             lambda s: s[value]).alias(out)))
-
-
 _INDEX_CACHE: dict = {}
 
 
@@ -111,15 +105,18 @@ def _lookup_index(bc, tag: str) -> pd.Index:
 
 
 def _lookup_ids(df: DataFrame, vocab: DataFrame, keys: list[str], text_col: str, out: str,
-                pattern: str, unk_id: int) -> DataFrame:
-    """Map-only plan: JVM-side split, one vectorised hash probe per batch."""
+                pattern: str, unk_id: int, keep_tokens: bool = False) -> DataFrame:
+    """Map-only plan: JVM-side split, one vectorised hash probe per batch.
+    ``vocab`` must be small (checked by the caller); misses get ``unk_id``."""
     spark = df.sparkSession
     pv = vocab.select("token", "token_id").toPandas()
     bc = spark.sparkContext.broadcast((pv["token"].to_numpy(dtype=object),
                                        pv["token_id"].to_numpy(dtype=np.int32)))
     tag = uuid.uuid4().hex
     toks = spread(df).select(*keys, split_words(F.col(text_col), pattern).alias("__cp_toks"))
-    schema = T.StructType([toks.schema[k] for k in keys] + [T.StructField(out, T.ArrayType(T.IntegerType()), True)])
+    extra = [T.StructField("__cp_toks", T.ArrayType(T.StringType()), True)] if keep_tokens else []
+    schema = T.StructType([toks.schema[k] for k in keys] + extra +
+                          [T.StructField(out, T.ArrayType(T.IntegerType()), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idx = _lookup_index(bc, tag)
@@ -133,8 +130,9 @@ def _lookup_ids(df: DataFrame, vocab: DataFrame, keys: list[str], text_col: str,
             vals = np.where(pos >= 0, ids_table[np.clip(pos, 0, None)] if len(ids_table) else unk_id,
                             unk_id).astype(np.int32)
             arr = pa.ListArray.from_arrays(_offsets(lists), pa.array(vals, pa.int32()), mask=lists.is_null())
-            yield pa.RecordBatch.from_arrays(list(b.columns[:len(keys)]) + [arr],
-                                             names=keys + [out])
+            extra_cols = [b.column(len(keys))] if keep_tokens else []
+            yield pa.RecordBatch.from_arrays(list(b.columns[:len(keys)]) + extra_cols + [arr],
+                                             names=keys + (["__cp_toks"] if keep_tokens else []) + [out])
 
     return toks.mapInArrow(run, schema)
 
@@ -146,19 +144,39 @@ def token_ids(df: DataFrame, vocab: DataFrame, key, text_col: str = "text",
     null or empty text gives an empty array."""
     if vocab.count() <= broadcast_rows:
         r = _lookup_ids(df, vocab, _keys(key), text_col, out, pattern, unk_id)
-        return r.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
-    return _join_ids(df, vocab, key, text_col, out, pattern, unk_id)
-
-
-def _join_ids(df: DataFrame, vocab: DataFrame, key, text_col: str, out: str, pattern: str,
-              unk_id: int) -> DataFrame:
-    """Shuffle plan for vocabularies too large to broadcast."""
-    ex = df.select(*_keys(key), F.posexplode_outer(split_words(F.col(text_col), pattern)).alias("tpos", "token"))
-    v = vocab.select("token", "token_id")
-    j = ex.join(v, "token", "left").select(
-        *_keys(key), "tpos", F.when(F.col("tpos").isNull(), None)
-        .otherwise(F.coalesce("token_id", F.lit(unk_id))).cast("int").alias("token_id"))
-    return _recollect(j, key, "tpos", "token_id", out)
+    else:
+        r = _hybrid_ids(df, vocab, _keys(key), text_col, out, pattern, unk_id, broadcast_rows)
+    return r.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
+
+
+_MISS = -1
+
+
+def _hybrid_ids(df: DataFrame, vocab: DataFrame, keys: list[str], text_col: str, out: str,
+                pattern: str, unk_id: int, head_rows: int) -> DataFrame:
+    """Vocabulary too large to broadcast. Token frequencies are Zipfian, so
+    the ``head_rows`` most frequent tokens (a bounded top-k) are broadcast and
+    resolve most occurrences map-side; only the misses are exploded and
+    shuffle-joined against the full vocabulary, and only rows with misses are
+    patched. Compared with exploding the whole token stream this shuffles the
+    rare occurrences plus the id arrays of rows that hold one."""
+    order = [F.col("count").desc(), F.col("token")] if "count" in vocab.columns else [F.col("token_id")]
+    head = vocab.orderBy(*order).limit(head_rows)
+    looked = _lookup_ids(df, head, keys, text_col, out, pattern, _MISS, keep_tokens=True)
+    has_miss = F.exists(out, lambda x: x == _MISS)
+    clean = looked.where(~has_miss | F.col(out).isNull()).select(*keys, out)
+    dirty = looked.where(has_miss)
+    misses = (dirty.select(*keys, F.posexplode(F.arrays_zip(F.col(out).alias("i"), F.col("__cp_toks").alias("t")))
+                           .alias("pos", "z"))
+                   .where(F.col("z.i") == _MISS)
+                   .select(*keys, "pos", F.col("z.t").alias("token")))
+    found = misses.join(vocab.select("token", F.col("token_id").cast("int").alias("tid")), "token", "left")
+    patches = found.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", F.coalesce("tid", F.lit(unk_id))))).alias("__cp_fix"))
+    fixed = dirty.join(patches, keys, "left").select(
+        *keys, F.transform(out, lambda x, i: F.when(x == _MISS, F.element_at("__cp_fix", i))
+                           .otherwise(x)).alias(out))
+    return clean.unionByName(fixed)
 
 
 def detokenise(df: DataFrame, vocab: DataFrame, key, ids_col: str = "ids",
@@ -168,11 +186,11 @@ def detokenise(df: DataFrame, vocab: DataFrame, key, ids_col: str = "ids",
     n = vocab.count()
     if n <= broadcast_rows:
         return _lookup_tokens(df, vocab, _keys(key), ids_col, out, skip_ids)
-    return _join_tokens(df, vocab, key, ids_col, out, skip_ids)
+    return _hybrid_tokens(df, vocab, _keys(key), ids_col, out, skip_ids, broadcast_rows)
 
 
 def _lookup_tokens(df: DataFrame, vocab: DataFrame, keys: list[str], ids_col: str, out: str,
-                   skip_ids) -> DataFrame:
+                   skip_ids, join: bool = True) -> DataFrame:
     """Map-only plan: ids index a broadcast token array; joining is JVM-side."""
     spark = df.sparkSession
     pv = vocab.select("token", "token_id").toPandas()
@@ -182,7 +200,9 @@ def _lookup_tokens(df: DataFrame, vocab: DataFrame, keys: list[str], ids_col: st
     bc = spark.sparkContext.broadcast(table)
     skip = F.array(*[F.lit(i) for i in skip_ids])
     kept = spread(df).select(*keys, F.filter(ids_col, lambda x: ~F.array_contains(skip, x)).alias("__cp_ids"))
-    schema = T.StructType([kept.schema[k] for k in keys] + [T.StructField("__cp_tok", T.ArrayType(T.StringType()), True)])
+    extra = [kept.schema["__cp_ids"]] if not join else []
+    schema = T.StructType([kept.schema[k] for k in keys] + extra +
+                          [T.StructField("__cp_tok", T.ArrayType(T.StringType()), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tab = bc.value
@@ -195,21 +215,38 @@ def _lookup_tokens(df: DataFrame, vocab: DataFrame, keys: list[str], ids_col: st
             toks = np.full(len(flat), None, dtype=object)
             toks[ok] = tab[flat[ok]]
             arr = pa.ListArray.from_arrays(_offsets(lists), pa.array(toks, pa.string()), mask=lists.is_null())
-            yield pa.RecordBatch.from_arrays(list(b.columns[:len(keys)]) + [arr], names=keys + ["__cp_tok"])
+            passed = [b.column(len(keys))] if not join else []
+            yield pa.RecordBatch.from_arrays(list(b.columns[:len(keys)]) + passed + [arr],
+                                             names=keys + (["__cp_ids"] if not join else []) + ["__cp_tok"])
 
     r = kept.mapInArrow(run, schema)
+    if not join:
+        return r
     return r.select(*keys, F.array_join(F.filter("__cp_tok", lambda t: t.isNotNull()), " ").alias(out))
 
 
-def _join_tokens(df: DataFrame, vocab: DataFrame, key, ids_col: str, out: str, skip_ids) -> DataFrame:
-    """Shuffle plan for vocabularies too large to broadcast."""
+def _hybrid_tokens(df: DataFrame, vocab: DataFrame, keys: list[str], ids_col: str, out: str,
+                   skip_ids, head_rows: int) -> DataFrame:
+    """Same split as ``_hybrid_ids``: the most frequent ids resolve from a
+    broadcast array; only ids outside it are joined (shuffle) and patched."""
+    order = [F.col("count").desc(), F.col("token")] if "count" in vocab.columns else [F.col("token_id")]
+    head = vocab.orderBy(*order).limit(head_rows)
     skip = F.array(*[F.lit(i) for i in skip_ids])
-    ex = df.select(*_keys(key), F.posexplode_outer(F.filter(ids_col, lambda x: ~F.array_contains(skip, x)))
-                   .alias("tpos", "token_id"))
-    v = vocab.select("token", F.col("token_id").cast("int").alias("token_id"))
-    j = ex.join(v, "token_id", "left")
-    r = _recollect(j, key, "tpos", "token", "__cp_tokens")
-    return r.select(*_keys(key), F.array_join("__cp_tokens", " ").alias(out))
+    kept = df.select(*keys, F.filter(ids_col, lambda x: ~F.array_contains(skip, x)).alias("__cp_ids"))
+    looked = _lookup_tokens(kept.withColumnRenamed("__cp_ids", "ids"), head, keys, "ids", out, (), join=False)
+    has_miss = F.exists("__cp_tok", lambda t: t.isNull())
+    clean = looked.where(~has_miss | F.col("__cp_tok").isNull()).select(*keys, "__cp_tok")
+    dirty = looked.where(has_miss)
+    misses = (dirty.select(*keys, F.posexplode(F.arrays_zip(F.col("__cp_ids").alias("i"), F.col("__cp_tok").alias("t")))
+                           .alias("pos", "z"))
+                   .where(F.col("z.t").isNull())
+                   .select(*keys, "pos", F.col("z.i").alias("token_id")))
+    found = misses.join(vocab.select(F.col("token_id").cast("int").alias("token_id"), "token"), "token_id", "left")
+    patches = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("__cp_fix"))
+    fixed = dirty.join(patches, keys, "left").select(
+        *keys, F.transform("__cp_tok", lambda t, i: F.coalesce(t, F.element_at("__cp_fix", i))).alias("__cp_tok"))
+    both = clean.unionByName(fixed)
+    return both.select(*keys, F.array_join(F.filter("__cp_tok", lambda t: t.isNotNull()), " ").alias(out))
 
 
 def embedding_lookup(df: DataFrame, table: DataFrame, key: str, ids_col: str = "ids",

@@ -46,13 +46,14 @@ def test_vocab_token_ids_roundtrip_both_plans(spark):
     vocab = TK.build_vocab(docs, "text")
     v = {r["token"]: r["token_id"] for r in vocab.collect()}
     assert v == {"a": 2, "b": 3, "c": 4}  # count desc, then token; after 2 specials
-    for rows in (10, 0):  # broadcast lookup plan, then shuffle-join plan
+    for rows in (10, 1, 0):  # broadcast plan, hybrid head/tail plan, all-tail plan
         ids = {r["doc_id"]: r["ids"] for r in TK.token_ids(docs, vocab, "doc_id", broadcast_rows=rows).collect()}
         assert ids == {0: [3, 2, 2, 4], 1: [2, 3], 2: [], 3: []}
         back = TK.detokenise(TK.token_ids(docs, vocab, "doc_id"), vocab, "doc_id", broadcast_rows=rows)
         assert {r["doc_id"]: r["text"] for r in back.collect()} == {0: "b a a c", 1: "a b", 2: "", 3: ""}
-    unk = spark.createDataFrame([(9, "a zzz")], "doc_id long, text string")
-    assert TK.token_ids(unk, vocab, "doc_id").first()["ids"] == [2, TK.UNK_ID]
+    unk = spark.createDataFrame([(9, "a zzz c")], "doc_id long, text string")
+    assert TK.token_ids(unk, vocab, "doc_id").first()["ids"] == [2, TK.UNK_ID, 4]
+    assert TK.token_ids(unk, vocab, "doc_id", broadcast_rows=1).first()["ids"] == [2, TK.UNK_ID, 4]
 
 
 def test_embedding_lookup_keeps_order(spark):
@@ -135,3 +136,13 @@ def test_project_vectors_matches_numpy(spark):
     got = np.array([r["projected"] for r in G.project_vectors(df, "v", w).orderBy("k").collect()])
     want = np.maximum(x @ w["w1"] + w["b1"], 0) @ w["w2"] + w["b2"]
     assert np.allclose(got, want, atol=1e-5)
+
+
+def test_detokenise_hybrid_matches_broadcast(spark):
+    docs = spark.createDataFrame([(0, "b a a\n c d"), (1, "  a  b e"), (2, "")], "doc_id long, text string")
+    vocab = TK.build_vocab(docs, "text")
+    ids = TK.token_ids(docs, vocab, "doc_id")
+    want = {r["doc_id"]: r["text"] for r in TK.detokenise(ids, vocab, "doc_id").collect()}
+    for rows in (2, 0):
+        got = {r["doc_id"]: r["text"] for r in TK.detokenise(ids, vocab, "doc_id", broadcast_rows=rows).collect()}
+        assert got == want == {0: "b a a c d", 1: "a b e", 2: ""}
