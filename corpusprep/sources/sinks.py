@@ -70,8 +70,14 @@ def resume_point(spark: SparkSession, base: str) -> DataFrame:
                  F.coalesce(F.max("shard_id"), F.lit(-1)).cast("int").alias("last_shard_id"))
 
 
-def scan_shards(spark: SparkSession, base: str, with_provenance: bool = False) -> DataFrame:
-    """A3: rows of every shard that has a manifest row."""
+def scan_shards(spark: SparkSession, base: str, with_provenance: bool = False,
+                schema: T.StructType | None = None) -> DataFrame:
+    """A3: rows of every shard that has a manifest row. Before any shard was
+    written (an empty source) this is an empty table of ``schema``."""
+    if not _exists(spark, f"{base}/data"):
+        if schema is None:
+            raise FileNotFoundError(f"no shards under {base}")
+        return spark.createDataFrame([], schema)
     data = spark.read.parquet(f"{base}/data")
     if with_provenance:
         data = data.withColumn("file_path", F.col("_metadata.file_path"))

@@ -150,3 +150,15 @@ def test_resume_point_with_gap(spark, tmp_dir):
     S.write_shards(d, base, "2024-01-01 00:00:00")
     rp = S.resume_point(spark, base).first()
     assert (rp["processed"], rp["last_shard_id"]) == (6, 2)   # next shard is 3, the gap stays
+
+
+def test_stream_enrich_empty_source(spark, tmp_dir):
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    src = f"{tmp_dir}/empty"
+    os.makedirs(local_path(src), exist_ok=True)
+    L.run_to_end(L.stream_enrich(spark, L.source_stream(spark, src, schema, 1), f"{tmp_dir}/shards",
+                                 f"{tmp_dir}/ck", "2024-01-01 00:00:00"))
+    out_schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shard_id", T.IntegerType())])
+    assert S.scan_shards(spark, f"{tmp_dir}/shards", schema=out_schema).count() == 0
+    assert S.resume_point(spark, f"{tmp_dir}/shards").first()["last_shard_id"] == -1
