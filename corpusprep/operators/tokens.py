@@ -50,12 +50,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast only when the row count is proven below ``max_rows``."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def _order_proxy(count_col: str, token_col: str) -> Column:
     """Numeric, non-decreasing in (count desc, token asc): -count*2^24 plus the
     first three UTF-8 bytes of the token (byte order = string order)."""
@@ -194,10 +188,9 @@ def _lookup_tokens(df: DataFrame, vocab: DataFrame, keys: list[str], ids_col: st
     """Map-only plan: ids index a broadcast token array; joining is JVM-side."""
     spark = df.sparkSession
     pv = vocab.select("token", "token_id").toPandas()
-    size = int(pv["token_id"].max()) + 1 if len(pv) else 0
-    table = np.full(size, None, dtype=object)
-    table[pv["token_id"].to_numpy()] = pv["token"].to_numpy(dtype=object)
-    bc = spark.sparkContext.broadcast(table)
+    # a hashed id index (not a dense array), so sparse or huge ids cost nothing
+    bc = spark.sparkContext.broadcast((pv["token_id"].to_numpy(dtype=np.int64),
+                                       pv["token"].to_numpy(dtype=object)))
     skip = F.array(*[F.lit(i) for i in skip_ids])
     kept = spread(df).select(*keys, F.filter(ids_col, lambda x: ~F.array_contains(skip, x)).alias("__cp_ids"))
     extra = [kept.schema["__cp_ids"]] if not join else []
@@ -205,15 +198,16 @@ def _lookup_tokens(df: DataFrame, vocab: DataFrame, keys: list[str], ids_col: st
                           [T.StructField("__cp_tok", T.ArrayType(T.StringType()), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tab = bc.value
+        ids, words = bc.value
+        index = pd.Index(ids)
         for b in batches:
             lists = b.column(len(keys))
             if isinstance(lists, pa.ChunkedArray):
                 lists = lists.combine_chunks()
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            ok = (flat >= 0) & (flat < len(tab))
+            pos = index.get_indexer(flat) if len(flat) else np.zeros(0, np.int64)
             toks = np.full(len(flat), None, dtype=object)
-            toks[ok] = tab[flat[ok]]
+            toks[pos >= 0] = words[pos[pos >= 0]]
             arr = pa.ListArray.from_arrays(_offsets(lists), pa.array(toks, pa.string()), mask=lists.is_null())
             passed = [b.column(len(keys))] if not join else []
             yield pa.RecordBatch.from_arrays(list(b.columns[:len(keys)]) + passed + [arr],
@@ -253,10 +247,14 @@ def embedding_lookup(df: DataFrame, table: DataFrame, key: str, ids_col: str = "
                      id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """C1 in long form: one row per (key, position) with the looked-up vector
     (null when the id is not in the table). Long form keeps order in ``pos``
-    without gathering a whole sequence of vectors into one row."""
+    without gathering a whole sequence of vectors into one row.
+
+    A plain equi-join: a row count says little about the bytes of a vector
+    table, so the broadcast decision is left to AQE, which measures the
+    table's actual size at runtime; frequent ids (skew) are split by AQE's
+    skew-join handling otherwise."""
     ex = df.select(key, F.posexplode(ids_col).alias("pos", "token_id"))
-    t = checked_broadcast(table.select(F.col(id_col).cast("long").alias("token_id"),
-                                       F.col(vec_col).alias("vector")))
+    t = table.select(F.col(id_col).cast("long").alias("token_id"), F.col(vec_col).alias("vector"))
     return ex.join(t, ex.token_id.cast("long") == t.token_id, "left").select(
         ex[key], ex.pos, ex.token_id, t.vector)
 
