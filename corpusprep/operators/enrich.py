@@ -43,6 +43,14 @@ class OfflineClient:
         return text[:half] + START_MARK + text[half:] + END_MARK
 
 
+class EchoClient:
+    """Deterministic stand-in for a transcription / generation model (K2):
+    returns its input. Real models plug in the same way as for K1."""
+
+    def __call__(self, key, text: str) -> str:
+        return text
+
+
 class RetryingCall:
     """K4: ``attempts`` tries with exponential backoff clamped to
     [min_wait, max_wait] seconds on the listed exception types. The default of
@@ -126,5 +134,5 @@ def collate(df: DataFrame, batch_col: str, fn: Callable[[pa.Table], pa.Table], s
     return df.groupBy(batch_col).applyInArrow(fn, schema)
 
 
-__all__ = ["OfflineClient", "RetryingCall", "enrich_raw", "enrich", "error_split",
+__all__ = ["OfflineClient", "EchoClient", "RetryingCall", "enrich_raw", "enrich", "error_split",
            "error_status", "collate", "error_text"]

@@ -361,6 +361,14 @@ def q_segment_rejoin(spark, sf):
     return G.rejoin(seg, "doc_id", sep=" ")
 
 
+@query("chunk_generate")
+def q_chunk_generate(spark, sf):
+    """K2: chunk -> model call per chunk -> chunks rejoined in order."""
+    seg = G.segment_text(docs(spark, sf), "doc_id", "text", CHUNK_CHARS)
+    out = K.enrich_raw(spread(seg), "doc_id", "chunk", K.EchoClient, out="generated")
+    return G.rejoin(out, "doc_id", seg_col="seg_no", chunk_col="generated", sep=" ")
+
+
 @query("frame_stack")
 def q_frame_stack(spark, sf):
     f = G.frame_positions(emb(spark, sf), "label", ["vec_id"])

@@ -159,6 +159,7 @@ GROUP BY doc_id"""
 SQL["frame_stack"] = f"""SELECT label, frame // {C.STACK_K} AS group_no, flatten(list(embedding ORDER BY frame)) AS stacked
 FROM (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame FROM embeddings) f
 GROUP BY label, frame // {C.STACK_K} HAVING count(*) = {C.STACK_K}"""
+SQL["chunk_generate"] = SQL["segment_rejoin"]
 USER_FRAMES = """(SELECT user_id, event_id, CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS mask,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events)"""
 SQL["mask_downsample"] = f"SELECT user_id, frame // {C.STACK_K} AS group_no, max(mask) AS mask FROM {USER_FRAMES} f GROUP BY user_id, frame // {C.STACK_K}"
