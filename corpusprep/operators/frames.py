@@ -47,12 +47,14 @@ def segment_array(df: DataFrame, key: str, arr_col: str, chunk_len: int,
     return df.select(key, F.posexplode(chunks).alias(seg_col, out))
 
 
-def rejoin(df: DataFrame, key: str, seg_col: str = "seg_no", chunk_col: str = "chunk",
+def rejoin(df: DataFrame, key, seg_col: str = "seg_no", chunk_col: str = "chunk",
            sep: str = " ", out: str = "text") -> DataFrame:
-    """``sep.join(chunks)`` in segment order, one row per key."""
-    return (df.groupBy(key)
+    """``sep.join(chunks)`` in segment order, one row per key (a key
+    is one input row's pieces, or an explicitly bounded piece of a group)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return (df.groupBy(*keys)
               .agg(F.array_sort(F.collect_list(F.struct(seg_col, chunk_col))).alias("__cp_s"))
-              .select(key, F.array_join(F.transform("__cp_s", lambda s: s[chunk_col]), sep).alias(out)))
+              .select(*keys, F.array_join(F.transform("__cp_s", lambda s: s[chunk_col]), sep).alias(out)))
 
 
 def frame_positions(df: DataFrame, clip_col: str, order_cols, pos_col: str = "frame", **kw) -> DataFrame:

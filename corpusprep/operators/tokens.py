@@ -279,14 +279,20 @@ def pad_left_batch(df: DataFrame, ids_col: str = "ids", batch_col: str = "batch_
 
 def chat_labels(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
                 role_col: str = "role", ids_col: str = "ids",
-                supervised_role: str = "assistant") -> DataFrame:
-    """Whole-conversation input ids and labels; only ``supervised_role``
-    turns carry their ids as labels, the rest is IGNORE."""
+                supervised_role: str = "assistant", turns_per_piece: int = 64) -> DataFrame:
+    """Conversation input ids and labels; only ``supervised_role`` turns
+    carry their ids as labels, the rest is IGNORE.
+
+    Output is ordered pieces of at most ``turns_per_piece`` turns
+    (``piece_no`` = turn div P): concatenating the pieces of a conversation
+    in order gives the whole sequence exactly, and no task ever gathers more
+    than P turns, however long one conversation is."""
     lab = F.when(F.col(role_col) == supervised_role, F.col(ids_col)).otherwise(
         F.array_repeat(F.lit(A.IGNORE_INDEX), F.size(ids_col)))
-    per_turn = turns.select(conv_col, turn_col, F.col(ids_col).alias("i"), lab.alias("l"))
-    g = per_turn.groupBy(conv_col).agg(
+    per_turn = turns.select(conv_col, F.floor(F.col(turn_col) / turns_per_piece).cast("long").alias("piece_no"),
+                            turn_col, F.col(ids_col).alias("i"), lab.alias("l"))
+    g = per_turn.groupBy(conv_col, "piece_no").agg(
         F.array_sort(F.collect_list(F.struct(turn_col, "i", "l"))).alias("__cp_t"))
-    return g.select(conv_col,
+    return g.select(conv_col, "piece_no",
                     F.flatten(F.transform("__cp_t", lambda s: s["i"])).alias("input_ids"),
                     F.flatten(F.transform("__cp_t", lambda s: s["l"])).alias("labels"))

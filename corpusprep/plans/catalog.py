@@ -528,10 +528,17 @@ def q_prompt_think(spark, sf):
         "conv_id", "turn", P.prompt_think("text").alias("prompt"))
 
 
+TURNS_PER_PIECE = 64
+
+
 @query("render_chat")
 def q_render_chat(spark, sf):
-    blocks = turns(spark, sf).select("conv_id", "turn", P.im_block("role", "text").alias("block"))
-    return G.rejoin(blocks, "conv_id", seg_col="turn", chunk_col="block", sep="", out="chat")
+    """im-tag blocks of a conversation in turn order, as ordered pieces of
+    at most TURNS_PER_PIECE turns (one piece for any usual conversation)."""
+    blocks = turns(spark, sf).select(
+        "conv_id", F.floor(F.col("turn") / TURNS_PER_PIECE).cast("long").alias("piece_no"), "turn",
+        P.im_block("role", "text").alias("block"))
+    return G.rejoin(blocks, ["conv_id", "piece_no"], seg_col="turn", chunk_col="block", sep="", out="chat")
 
 
 @query("render_target")

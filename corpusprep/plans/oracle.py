@@ -106,9 +106,9 @@ DOC_PADDED = f"""(SELECT doc_id, batch_id,
    list_resize(list_slice(ids, 1, {C.LABEL_MAX}) || [0], mx + 1, 0) AS labels,
    list_resize(list_transform(list_slice(ids, 1, {C.LABEL_MAX}) || [0], lambda x: 1), mx + 1, 0) AS labels_mask
  FROM (SELECT *, max(len(list_slice(ids, 1, {C.LABEL_MAX}))) OVER (PARTITION BY batch_id) AS mx FROM {DOC_BATCH} b) m)"""
-CHAT = f"""(SELECT conv_id, flatten(list(ids ORDER BY turn)) AS input_ids,
+CHAT = f"""(SELECT conv_id, turn // 64 AS piece_no, flatten(list(ids ORDER BY turn)) AS input_ids,
   flatten(list(CASE WHEN role = 'assistant' THEN ids ELSE list_transform(ids, lambda x: -100) END ORDER BY turn)) AS labels
- FROM {TURN_IDS} t GROUP BY conv_id)"""
+ FROM {TURN_IDS} t GROUP BY conv_id, turn // 64)"""
 PAIRS = f"""(SELECT u.conv_id, u.turn, u.ids AS prompt_ids, a.ids AS reply_ids FROM {TURN_IDS} u
   JOIN {TURN_IDS} a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
@@ -131,9 +131,10 @@ FROM (SELECT item_id, unnest(toks) AS token, unnest(range(len(toks))) AS p FROM
   SELECT item_id, list_filter(string_split_regex(text, '[ \n]+'), lambda w: w <> '') AS toks FROM benchmark) a) t
 LEFT JOIN {DOC_VOCAB} v USING (token)
 LEFT JOIN embeddings e ON e.vec_id = coalesce(v.token_id, 1)"""
-SQL["chat_labels"] = f"SELECT conv_id, input_ids, labels FROM {CHAT} c"
+SQL["chat_labels"] = f"SELECT conv_id, piece_no, input_ids, labels FROM {CHAT} c"
 SQL["target_tokens"] = f"""SELECT batch_id, CAST(sum(len(list_filter(labels, lambda x: x <> -100))) AS BIGINT) AS n_target
-FROM (SELECT labels, (row_number() OVER (ORDER BY conv_id) - 1) // {C.COLLATE_BATCH} AS batch_id FROM {CHAT} c) b GROUP BY batch_id"""
+FROM {CHAT} c JOIN (SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1) // {C.COLLATE_BATCH} AS batch_id
+                    FROM (SELECT DISTINCT conv_id FROM conversations) d) b USING (conv_id) GROUP BY batch_id"""
 _P = f"list_slice(prompt_ids, 1, {C.PROMPT_MAX})"
 _R = f"list_slice(reply_ids || [0], 1, {C.PROMPT_MAX})"
 SQL["assemble_sequence"] = f"""SELECT conv_id, turn,
@@ -223,8 +224,9 @@ FROM conversations WHERE role = 'user'"""
 SQL["prompt_think"] = f"""SELECT conv_id, turn, '<|im_start|>system' || {NL} || text || '<|im_end|>' || {NL} || '<|im_start|>user' || {NL}
   || '音声認識ください' || '<|im_end|>' || {NL} || '<|im_start|>assistant' || {NL} || '<think>' || {NL} || {NL} || '</think>' || {NL} || {NL} AS prompt
 FROM conversations WHERE role = 'user'"""
-SQL["render_chat"] = f"""SELECT conv_id, string_agg('<|im_start|>' || role || {NL} || text || '<|im_end|>' || {NL}, '' ORDER BY turn) AS chat
-FROM conversations GROUP BY conv_id"""
+SQL["render_chat"] = f"""SELECT conv_id, turn // 64 AS piece_no,
+  string_agg('<|im_start|>' || role || {NL} || text || '<|im_end|>' || {NL}, '' ORDER BY turn) AS chat
+FROM conversations GROUP BY conv_id, turn // 64"""
 SQL["render_target"] = "SELECT conv_id, turn, text || '<|endoftext|>' AS target FROM conversations WHERE role = 'assistant'"
 SQL["shard_id_parse"] = f"""SELECT doc_id, name, CASE WHEN starts_with(name, 'shard_') THEN TRY_CAST(split_part(name, '_', 2) AS INTEGER) END AS shard_id
 FROM (SELECT doc_id, CASE WHEN lang = 'de' THEN 'tmp_' || CAST(doc_id AS VARCHAR) ELSE printf('shard_%08d', doc_id // {C.SMALL_BATCH}) END AS name

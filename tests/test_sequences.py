@@ -38,7 +38,10 @@ def test_chat_labels_only_assistant(spark):
     turns = spark.createDataFrame([(1, 0, "user", [3, 4]), (1, 1, "assistant", [5]), (1, 2, "user", [6])],
                                   "conv_id long, turn long, role string, ids array<int>")
     r = TK.chat_labels(turns).first()
-    assert r["input_ids"] == [3, 4, 5, 6] and r["labels"] == [-100, -100, 5, -100]
+    assert r["input_ids"] == [3, 4, 5, 6] and r["labels"] == [-100, -100, 5, -100] and r["piece_no"] == 0
+    pieces = TK.chat_labels(turns, turns_per_piece=2).orderBy("piece_no").collect()
+    assert [p["input_ids"] for p in pieces] == [[3, 4, 5], [6]]
+    assert sum((p["labels"] for p in pieces), []) == [-100, -100, 5, -100]
 
 
 def test_vocab_token_ids_roundtrip_both_plans(spark):
