@@ -51,10 +51,12 @@ def _c(x) -> Column:
 
 
 def _order_proxy(count_col: str, token_col: str) -> Column:
-    """Numeric, non-decreasing in (count desc, token asc): -count*2^24 plus the
-    first three UTF-8 bytes of the token (byte order = string order)."""
-    head = F.rpad(F.hex(F.substring(F.encode(F.col(token_col), "UTF-8"), 1, 3)), 6, "0")
-    return -F.col(count_col).cast("double") * 16777216.0 + F.conv(head, 16, 10).cast("double")
+    """Numeric, non-decreasing in (count desc, token asc): -count*2^48 plus the
+    first six UTF-8 bytes of the token (byte order = string order). For large
+    counts the double sum rounds, but rounding is monotone, so the order holds;
+    the fine prefix keeps the many count-1 tokens spread over buckets."""
+    head = F.rpad(F.hex(F.substring(F.encode(F.col(token_col), "UTF-8"), 1, 6)), 12, "0")
+    return -F.col(count_col).cast("double") * float(2 ** 48) + F.conv(head, 16, 10).cast("double")
 
 
 def build_vocab(df: DataFrame, text_col: str = "text", specials=SPECIALS,
