@@ -118,3 +118,41 @@ def project_vectors(df: DataFrame, vec_col: str, weights: dict, out: str = "proj
         return pd.Series(list(y.astype(np.float32)))
 
     return df.withColumn(out, _project(F.col(vec_col)))
+
+
+def _hash_int(parts: list[Column], lo: int, n: int) -> Column:
+    h = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(h, lo, n), 16, 10).cast("long")
+
+
+def spec_augment(df: DataFrame, clip_col: str, frame_col: str, vec_col: str, seed: int,
+                 n_time_masks: int = 10, time_mask_param: int = 50, n_freq_masks: int = 2,
+                 freq_mask_param: int = 15, p: float = 0.5, out: str = "features") -> DataFrame:
+    """G9 on a long-form feature matrix (one row per frame, a vector of
+    frequency bins): ``n_time_masks`` time masks of width < min(param, p*T)
+    zero whole frames, ``n_freq_masks`` frequency masks of width < param zero
+    the same bins in every frame of the clip. Each clip's spans are drawn from
+    ``md5(seed:kind:clip:mask)``, so every engine and every re-run draws the
+    same masks. Clip lengths come from a per-clip count (one row per clip),
+    not from a window over a possibly huge clip."""
+    lengths = df.groupBy(clip_col).agg(F.count(F.lit(1)).alias("__cp_T"))
+    d = df.join(lengths, clip_col)
+    clip, T, bins = F.col(clip_col), F.col("__cp_T"), F.size(vec_col)
+    max_t = F.least(F.lit(time_mask_param).cast("long"), F.floor(T * F.lit(p)).cast("long"))
+
+    def span(kind: str, m: Column, size: Column, max_w: Column):
+        key = [F.lit(seed), F.lit(kind), clip, m]
+        width = F.when(max_w > 0, _hash_int(key, 1, 8) % max_w).otherwise(F.lit(0).cast("long"))
+        start = _hash_int(key, 9, 8) % (size - width + 1)
+        return F.struct(start.alias("start"), width.alias("width"))
+
+    t_spans = F.transform(F.sequence(F.lit(0), F.lit(n_time_masks - 1)), lambda m: span("t", m, T, max_t))
+    f_spans = F.transform(F.sequence(F.lit(0), F.lit(n_freq_masks - 1)),
+                          lambda m: span("f", m, bins.cast("long"), F.lit(freq_mask_param).cast("long")))
+    d = d.withColumn("__cp_ts", t_spans).withColumn("__cp_fs", f_spans)
+    in_time = F.exists("__cp_ts", lambda s: (F.col(frame_col) >= s["start"]) & (F.col(frame_col) < s["start"] + s["width"]))
+    masked = F.when(in_time, F.array_repeat(F.lit(0.0), bins)).otherwise(
+        F.transform(vec_col, lambda x, i: F.when(
+            F.exists("__cp_fs", lambda s: (i >= s["start"]) & (i < s["start"] + s["width"])), F.lit(0.0))
+            .otherwise(x.cast("double"))))
+    return d.withColumn(out, masked).drop("__cp_T", "__cp_ts", "__cp_fs")

@@ -415,6 +415,17 @@ def q_mask_augment(spark, sf):
     return emb(spark, sf).select("vec_id", A.apply_mask_spans("embedding", spans).alias("features"))
 
 
+SPEC_SEED = 5
+
+
+@query("spec_augment")
+def q_spec_augment(spark, sf):
+    """G9 on frames: embeddings as clips (label) of frames (vec_id order) with
+    64 frequency bins; 10 time masks < 50 (and < T/2), 2 frequency masks < 15."""
+    f = G.frame_positions(emb(spark, sf), "label", ["vec_id"])
+    return G.spec_augment(f, "label", "frame", "embedding", SPEC_SEED).select("label", "frame", "features")
+
+
 @query("project_vectors")
 def q_project_vectors(spark, sf):
     w = G.projector_weights(64, 16)

@@ -190,6 +190,23 @@ _IN = " OR ".join(f"(i - 1 >= {_span(m, 'start')} AND i - 1 < {_span(m, 'start')
                   for m in range(C.AUG_MASKS))
 SQL["mask_augment"] = f"""SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN {_IN} THEN 0.0::DOUBLE ELSE CAST(x AS DOUBLE) END) AS features FROM embeddings"""
 
+def _h(kind: str, m: int, lo: int) -> str:
+    return f"(('0x' || substr(md5('{C.SPEC_SEED}:{kind}:' || CAST(label AS VARCHAR) || ':{m}'), {lo}, 8))::BIGINT)"
+
+
+_MAXT = "least(50, CAST(floor(T * 0.5) AS BIGINT))"
+_TW = {m: f"(CASE WHEN {_MAXT} > 0 THEN {_h('t', m, 1)} % {_MAXT} ELSE 0 END)" for m in range(10)}
+_TS = {m: f"({_h('t', m, 9)} % (T - {_TW[m]} + 1))" for m in range(10)}
+_FW = {m: f"({_h('f', m, 1)} % 15)" for m in range(2)}
+_FS = {m: f"({_h('f', m, 9)} % (len(embedding) - {_FW[m]} + 1))" for m in range(2)}
+_IN_T = " OR ".join(f"(frame >= {_TS[m]} AND frame < {_TS[m]} + {_TW[m]})" for m in range(10))
+_IN_F = " OR ".join(f"(i - 1 >= {_FS[m]} AND i - 1 < {_FS[m]} + {_FW[m]})" for m in range(2))
+SQL["spec_augment"] = f"""SELECT label, frame,
+  CASE WHEN {_IN_T} THEN list_transform(embedding, lambda x: 0.0::DOUBLE)
+       ELSE list_transform(embedding, lambda x, i: CASE WHEN {_IN_F} THEN 0.0::DOUBLE ELSE CAST(x AS DOUBLE) END) END AS features
+FROM (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame,
+             count(*) OVER (PARTITION BY label) AS T FROM embeddings) f"""
+
 # ---- metrics -----------------------------------------------------------------------
 SQL["pair_eval"] = """SELECT r.conv_id, r.turn, r.text AS reference, h.text AS hypothesis
 FROM conversations r JOIN conversations h ON h.conv_id = r.conv_id AND h.turn = r.turn + 1"""

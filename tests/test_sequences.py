@@ -149,3 +149,24 @@ def test_detokenise_hybrid_matches_broadcast(spark):
     for rows in (2, 0):
         got = {r["doc_id"]: r["text"] for r in TK.detokenise(ids, vocab, "doc_id", broadcast_rows=rows).collect()}
         assert got == want == {0: "b a a c d", 1: "a b e", 2: ""}
+
+
+def test_spec_augment_masks_time_and_frequency(spark):
+    rows = [(c, t, [1.0] * 32) for c in range(3) for t in range(60)]
+    df = spark.createDataFrame(rows, "clip int, frame long, v array<double>")
+    out = G.spec_augment(df, "clip", "frame", "v", seed=1, n_time_masks=3, time_mask_param=10,
+                         n_freq_masks=2, freq_mask_param=6, p=0.5).collect()
+    by_clip = {}
+    for r in out:
+        by_clip.setdefault(r["clip"], []).append(r["features"])
+    for feats in by_clip.values():
+        zero_frames = sum(1 for f in feats if all(x == 0.0 for x in f))
+        kept = [f for f in feats if not all(x == 0.0 for x in f)]
+        zero_bins = {i for i in range(32) if all(f[i] == 0.0 for f in kept)}
+        assert zero_frames <= 3 * 9                       # widths < time_mask_param
+        assert all({i for i, x in enumerate(f) if x == 0.0} == zero_bins for f in kept)   # same bins per clip
+        assert len(zero_bins) <= 2 * 5
+    again = G.spec_augment(df.repartition(4), "clip", "frame", "v", seed=1, n_time_masks=3, time_mask_param=10,
+                           n_freq_masks=2, freq_mask_param=6, p=0.5)
+    assert sorted((r["clip"], r["frame"], tuple(r["features"])) for r in again.collect()) == \
+        sorted((r["clip"], r["frame"], tuple(r["features"])) for r in out)
