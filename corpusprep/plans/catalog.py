@@ -670,6 +670,21 @@ def q_audio_scan(spark, sf):
                     F.col("audio.channels").alias("channels"), F.col("audio.array").alias("samples"))
 
 
+@query("audio_prepare")
+def q_audio_prepare(spark, sf):
+    """A6 + G1 + G2: stereo 44.1 kHz WAVs (made from ``embeddings``) are read,
+    downmixed when they have two channels and resampled to 16 kHz."""
+    out = scratch_dir(spark, "wav")
+    clips = emb(spark, sf).select(F.format_string("clip_%06d", "vec_id").alias("name"), "embedding")
+    audio.write_wavs(clips, out, "name", "embedding", CLIP_SR, channels=2)
+    a = audio.read_audio(spark, f"{out}/*.wav")
+    x = F.col("audio.array")
+    mono = F.when(F.col("audio.channels") == 2, A.downmix(A.interleaved_to_frames(x))) \
+        .otherwise(F.transform(x, lambda v: v.cast("double")))
+    return a.select(F.regexp_extract("path", r"clip_(\d+)\.wav$", 1).cast("long").alias("vec_id"),
+                    A.resample_linear(mono, F.col("audio.sampling_rate"), TARGET_SR).alias("samples"))
+
+
 # ---- L: streams ---------------------------------------------------------------------
 @query("stream_scan")
 def q_stream_scan(spark, sf):

@@ -171,10 +171,15 @@ _STEP = f"(CAST({C.CLIP_SR} AS DOUBLE) / CAST({C.TARGET_SR} AS DOUBLE))"
 _T = f"(CAST(j AS DOUBLE) * {_STEP})"
 _I0 = f"CAST(floor({_T}) AS BIGINT)"
 _FR = f"({_T} - CAST({_I0} AS DOUBLE))"
-SQL["resample_linear"] = f"""SELECT vec_id, list_transform(
-  range(greatest(CAST(ceil(len(embedding) * CAST({C.TARGET_SR} AS DOUBLE) / CAST({C.CLIP_SR} AS DOUBLE)) AS BIGINT), 1)),
-  lambda j: CAST(embedding[{_I0} + 1] AS DOUBLE) * (CAST(1 AS DOUBLE) - {_FR})
-          + CAST(embedding[least({_I0} + 1, len(embedding) - 1) + 1] AS DOUBLE) * {_FR}) AS samples FROM embeddings"""
+def resample_sql(col: str, source: str) -> str:
+    """G2 linear resampling of list ``col`` from CLIP_SR to TARGET_SR."""
+    return f"""SELECT vec_id, list_transform(
+  range(greatest(CAST(ceil(len({col}) * CAST({C.TARGET_SR} AS DOUBLE) / CAST({C.CLIP_SR} AS DOUBLE)) AS BIGINT), 1)),
+  lambda j: CAST({col}[{_I0} + 1] AS DOUBLE) * (CAST(1 AS DOUBLE) - {_FR})
+          + CAST({col}[least({_I0} + 1, len({col}) - 1) + 1] AS DOUBLE) * {_FR}) AS samples FROM {source}"""
+
+
+SQL["resample_linear"] = resample_sql("embedding", "embeddings")
 SQL["pad_fixed"] = f"""SELECT vec_id, list_resize(CAST(list_slice(embedding, 1, {C.FIXED_LEN}) AS DOUBLE[]), {C.FIXED_LEN}, 0.0::DOUBLE) AS features,
   list_resize(list_transform(list_slice(embedding, 1, {C.FIXED_LEN}), lambda x: 1), {C.FIXED_LEN}, 0) AS feature_mask FROM embeddings"""
 
@@ -276,6 +281,11 @@ SQL["audio_scan"] = f"""SELECT vec_id, {C.WAV_SR} AS sampling_rate, 1 AS channel
   list_transform(embedding, lambda x: CAST(greatest(-32768, least(32767, floor(CAST(x AS DOUBLE) * 32767 + 0.5))) / 32768.0 AS FLOAT)) AS samples
 FROM embeddings"""
 
+_Q = "CAST(CAST(greatest(-32768, least(32767, floor(CAST(x AS DOUBLE) * 32767 + 0.5))) / 32768.0 AS FLOAT) AS DOUBLE)"
+_MONO = f"""(SELECT vec_id, list_transform(range(len(q) // 2), lambda i: (q[2 * i + 1] + q[2 * i + 2]) / 2) AS mono
+  FROM (SELECT vec_id, list_transform(embedding, lambda x: {_Q}) AS q FROM embeddings) a)"""
+SQL["audio_prepare"] = resample_sql("mono", f"{_MONO} m")
+
 # ---- streams -------------------------------------------------------------------------
 SQL["stream_scan"] = "SELECT doc_id, lang, n_chars FROM documents"
 SQL["stream_enrich"] = f"SELECT doc_id, original_text, step1_text FROM {ENRICHED} e"
