@@ -265,18 +265,18 @@ def pad_batch(df: DataFrame, ids_col: str = "ids", batch_col: str = "batch_id",
               eos_id: int = EOS_ID, pad_id: int = PAD_ID, out_ids: str = "labels",
               out_mask: str = "labels_mask") -> DataFrame:
     """T4 + D5: append EOS, right-pad to the longest sequence of the batch + 1."""
-    longest = F.max(F.size(ids_col)).over(Window.partitionBy(batch_col))
-    padded, mask = A.pad_right_eos(F.col(ids_col), longest, eos_id, pad_id)
-    return df.withColumn(out_ids, padded).withColumn(out_mask, mask)
+    d = df.withColumn("__cp_mx", F.max(F.size(ids_col)).over(Window.partitionBy(batch_col)))
+    padded, mask = A.pad_right_eos(F.col(ids_col), F.col("__cp_mx"), eos_id, pad_id)
+    return d.withColumn(out_ids, padded).withColumn(out_mask, mask).drop("__cp_mx")
 
 
 def pad_left_batch(df: DataFrame, ids_col: str = "ids", batch_col: str = "batch_id",
                    pad_id: int = PAD_ID, out_ids: str = "input_ids",
                    out_mask: str = "input_mask") -> DataFrame:
     """T5: left padding to the longest sequence of the batch."""
-    longest = F.max(F.size(ids_col)).over(Window.partitionBy(batch_col))
-    padded, mask = A.pad_left(F.col(ids_col), longest, pad_id)
-    return df.withColumn(out_ids, padded).withColumn(out_mask, mask)
+    d = df.withColumn("__cp_mx", F.max(F.size(ids_col)).over(Window.partitionBy(batch_col)))
+    padded, mask = A.pad_left(F.col(ids_col), F.col("__cp_mx"), pad_id)
+    return d.withColumn(out_ids, padded).withColumn(out_mask, mask).drop("__cp_mx")
 
 
 def chat_labels(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
