@@ -357,7 +357,10 @@ def q_segment_array(spark, sf):
 
 @query("segment_rejoin")
 def q_segment_rejoin(spark, sf):
-    seg = G.segment_text(docs(spark, sf), "doc_id", "text", CHUNK_CHARS)
+    """Documents are hash-partitioned by key once; segmenting keeps that
+    partitioning, so the rejoin's grouping needs no second shuffle."""
+    d = docs(spark, sf).repartition(_parallelism(spark), "doc_id")
+    seg = G.segment_text(d, "doc_id", "text", CHUNK_CHARS)
     return G.rejoin(seg, "doc_id", sep=" ")
 
 
