@@ -225,8 +225,8 @@ def turns(spark, sf) -> DataFrame:
 def turn_token_ids(spark, sf) -> DataFrame:
     t = turns(spark, sf)
     vocab = TK.build_vocab(t, "text")
-    ids = TK.token_ids(t, vocab, ["conv_id", "turn"])
-    return t.select("conv_id", "turn", "role").join(ids, ["conv_id", "turn"])
+    # the role rides through the lookup as part of the key: no join back
+    return TK.token_ids(t, vocab, ["conv_id", "turn", "role"])
 
 
 def reply_pairs(spark, sf) -> DataFrame:
