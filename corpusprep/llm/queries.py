@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import line_quality, simhash_tiles
+from corpusprep.llm import chat_fold, line_quality, lpt_shards, prefix_bpe, simhash_tiles
 from corpusprep.llm.common import bounded_batches, ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,42 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
+@query
+def op2_byte_bpe(spark, sf):
+    import public_tokenizers as vocabularies
+
+    d = prefix_bpe.encode_texts(documents(spark, sf), vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN)
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                    F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                    F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+#: The conversation that op6 adds: control strings inside its texts.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@query
+def op6_chat_formatting(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql(f"select -1L as conv_id, 0L as turn, 'user' as role, '{PROBE}' as text union all select -1L, 1L, 'assistant', '{PROBE}'")
+    d = chat_fold.format_chats(turns.unionByName(probe))
+    d = d.select("conv_id", "formatted", "n_messages", chat_fold.read_turns().alias("back"), chat_fold.read_loss().alias("loss"))
+    per_turn = F.array_join(F.transform("back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return d.select("conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(per_turn, 256).alias("turns_sha256"),
+                    F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                    F.length("formatted").cast("long").alias("formatted_chars"), "n_messages")
+
+
+SHARDS = 40
+
+
+@query
+def op8_sharding(spark, sf):
+    d = lpt_shards.shard_rows(documents(spark, sf), SHARDS)
+    return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                    F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op9_simhash_near_dedup(spark, sf):
     d = simhash_tiles.near_duplicates(documents(spark, sf))

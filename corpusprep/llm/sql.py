@@ -31,4 +31,19 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 from a
 """
 
-ORACLES = {"op10_quality_rules": OP10}
+OP6 = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k from c),
+p as (select *, k = 1 or role <> lag(role) over (partition by conv_id order by k) as first from n),
+e as (select *, replace(replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<|', '<\|'), '<s>', '<\s>'),
+    '</s>', '<\/s>'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]') as body from p)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by k) filter (where role = 'assistant'), '')) as loss_sha256,
+  (sum(length(body) + case when not first then 10 else 12 + length(role) + 10 + 11 end))::bigint as formatted_chars,
+  (count(*) filter (where first))::bigint as n_messages
+from e group by conv_id
+"""
+
+ORACLES = {"op6_chat_formatting": OP6, "op10_quality_rules": OP10}
