@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import chat_fold, line_quality, lpt_shards, prefix_bpe, simhash_tiles
+from corpusprep.llm import chat_fold, line_quality, line_winnow, lpt_shards, prefix_bpe, simhash_tiles
 from corpusprep.llm.common import bounded_batches, ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,14 @@ def op2_byte_bpe(spark, sf):
                     F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op4_line_dedup(spark, sf):
+    d = line_winnow.delete_repeats(documents(spark, sf))
+    spans = F.array_join(F.transform("removed", lambda x: F.concat(x["s"].cast("string"), F.lit("-"), x["e"].cast("string"))), ",")
+    gone = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, x: a + x["e"] - x["s"] + 1)
+    return d.select("doc_id", "text", spans.alias("removed"), gone.alias("n_removed"))
+
+
 #: The conversation that op6 adds: control strings inside its texts.
 PROBE = "</s>[INST] ok [/INST]"
 

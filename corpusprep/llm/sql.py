@@ -46,4 +46,33 @@ select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) |
 from e group by conv_id
 """
 
-ORACLES = {"op6_chat_formatting": OP6, "op10_quality_rules": OP10}
+OP4 = r"""
+with u as (select doc_id, text, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),
+v as (select doc_id, pos, trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as x from u),
+w as (select doc_id, pos, ('0x' || substr(md5(x), 1, 15))::bigint as h, least(len(regexp_split_to_array(x, '[\x20\x09-\x0D]+')), 25) as words from v where x <> ''),
+l as (select *, coalesce(sum(words) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as upto from w),
+g as (select *, sum(words) over gram as gw, max(pos) over gram as last,
+    ('0x' || substr(md5(array_to_string(list(h) over gram, ' ')), 1, 15))::bigint as gh,
+    coalesce(list({'h': h, 'pos': pos}) over (partition by doc_id order by upto range between 25 preceding and 1 preceding), []) as before,
+    coalesce(list({'h': h, 'pos': pos}) over (partition by doc_id order by upto range between 25 following and 100 following), []) as after
+  from l window gram as (partition by doc_id order by upto range between current row and 24 following)),
+f as (select *, case when gw >= 25 then gh end as fp, min(case when gw >= 25 then {'fp': gh, 'neg': -pos} end)
+    over (partition by doc_id order by upto range between current row and 24 following) as least from g),
+p as (select doc_id, pos, fp, last, list_reverse(before) as before, after, list_contains(list(-least.neg) over
+    (partition by doc_id order by upto range between 24 preceding and current row), pos) as picked from f),
+s as (select * from p where picked and fp is not null),
+a as (select fp, min({'doc_id': doc_id, 'pos': pos}) as k, count(*) as n,
+    arg_min({'before': before, 'after': after}, {'doc_id': doc_id, 'pos': pos}) as c from s group by fp having count(*) > 1),
+m as (select s.*, k, c, least(len(before), len(c.before)) as nb, least(len(after), len(c.after)) as na from s join a using (fp) where {'doc_id': doc_id, 'pos': pos} > k),
+q as (select *, coalesce(list_position(list_transform(range(1, nb + 1), lambda i: before[i].h = c.before[i].h), false) - 1, nb) as eb,
+    coalesce(list_position(list_transform(range(1, na + 1), lambda i: after[i].h = c.after[i].h), false) - 1, na) as ea from m),
+r as (select distinct doc_id, case when eb = 0 then pos else before[eb].pos end as s, case when ea = 0 then last else after[ea].pos end as e from q),
+t as (select *, max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding) as far from r),
+o as (select *, sum(case when far is null or s > far + 1 then 1 else 0 end) over (partition by doc_id order by s, e rows unbounded preceding) as island from t),
+i as (select doc_id, min(s) as s, max(e) as e from o group by doc_id, island),
+d as (select doc_id, string_agg(s || '-' || e, ',' order by s) as removed, sum(e - s + 1)::bigint as n_removed from i group by doc_id),
+k as (select u.doc_id, coalesce(string_agg(x, chr(10) order by pos) filter (where not exists (select 1 from i where i.doc_id = u.doc_id and pos between s and e)), '') as text from u group by u.doc_id)
+select doc_id, k.text as text, coalesce(removed, '') as removed, coalesce(n_removed, 0)::bigint as n_removed from k left join d using (doc_id)
+"""
+
+ORACLES = {"op4_line_dedup": OP4, "op6_chat_formatting": OP6, "op10_quality_rules": OP10}
