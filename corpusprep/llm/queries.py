@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import chat_fold, line_quality, line_winnow, lpt_shards, prefix_bpe, simhash_tiles
+from corpusprep.llm import bound_packing, chat_fold, line_quality, line_winnow, lpt_shards, prefix_bpe, simhash_tiles
 from corpusprep.llm.common import bounded_batches, ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,20 @@ def op4_line_dedup(spark, sf):
     return d.select("doc_id", "text", spans.alias("removed"), gone.alias("n_removed"))
 
 
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    pieces = bound_packing.cut_pieces(docs.select("doc_id", "text"), vocabularies.path("word_bpe_49k.json"))
+    # the digest stands in for the ids, so that packing moves a few numbers for each piece
+    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return bound_packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op5_best_fit_packing(spark, sf):
+    return packed_pieces(documents(spark, sf))
+
+
 #: The conversation that op6 adds: control strings inside its texts.
 PROBE = "</s>[INST] ok [/INST]"
 
