@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import bound_packing, chat_fold, line_quality, line_winnow, lpt_shards, prefix_bpe, simhash_tiles
+from corpusprep.llm import bound_packing, chat_fold, line_quality, line_winnow, lpt_shards, page_diff, prefix_bpe, simhash_tiles
 from corpusprep.llm.common import bounded_batches, ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,12 @@ def op2_byte_bpe(spark, sf):
                     F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op3_html_extraction(spark, sf):
+    d = page_diff.extract(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return d.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op4_line_dedup(spark, sf):
     d = line_winnow.delete_repeats(documents(spark, sf))
