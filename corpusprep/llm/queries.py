@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import bound_packing, chat_fold, line_quality, line_winnow, lpt_shards, page_diff, prefix_bpe, simhash_tiles
+from corpusprep.llm import bound_packing, chat_fold, lev_toxicity, line_quality, line_winnow, lpt_shards, page_diff, prefix_bpe, simhash_tiles
 from corpusprep.llm.common import bounded_batches, ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,17 @@ def op6_chat_formatting(spark, sf):
                     F.length("formatted").cast("long").alias("formatted_chars"), "n_messages")
 
 
+TOXIC = 0.7
+
+
+@query
+def op7_toxicity(spark, sf):
+    d = documents(spark, sf)
+    model = lev_toxicity.fit(d, table(spark, sf, "labels").select("doc_id", "toxic"))
+    d = d.select("doc_id", lev_toxicity.held_out().alias("held_out"), lev_toxicity.score_column(model).alias("score"))
+    return d.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
+
+
 SHARDS = 40
 
 
