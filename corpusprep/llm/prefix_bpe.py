@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corpusprep.llm.common import bounded_batches
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 class Vocabulary:
@@ -208,12 +208,19 @@ class Encoder:
         return struct.pack(f"<{len(ids)}i", *ids)
 
     def learn(self, texts: list[str | None]) -> None:
-        """Put the new words of ``texts`` into the cache, in sorted order, so that
-        each takes the entries of the prefix it shares with the one before."""
-        chunks = {c for t in texts if t and not self.unsafe(t) for c in t.split(" ")[1:]} - self.chunks.keys()
-        words = {w for c in chunks if len(c) < 64 for w in self.find(" " + c)} - self.words.keys()
+        """Put the new words and chunks of ``texts`` into the caches; the words in sorted
+        order, so that each takes the entries of the prefix it shares with the one before."""
+        all_chunks = {c for t in texts if t and not self.unsafe(t) for c in t.split(" ")[1:]}
+        new = all_chunks - self.chunks.keys()
+        if len(self.chunks) + len(new) >= CACHE_WORDS:
+            self.chunks.clear()
+            new = all_chunks
+        find = self.find
+        split = [(c, find(" " + c)) for c in new if len(c) <= 64]
+        words = {w for _, ws in split for w in ws} - self.words.keys()
         if len(self.words) + len(words) >= CACHE_WORDS:
             self.words.clear()
+            words = {w for _, ws in split for w in ws}
         table, ranks = PrefixTable(self.v), self.v.ranks
         for word in sorted(w.encode("utf-8") for w in words):
             whole = ranks.get(word)
@@ -229,6 +236,9 @@ class Encoder:
             else:
                 ids = [whole]
             self.words[word.decode("utf-8")] = struct.pack(f"<{len(ids)}i", *ids)
+        known = self.words.__getitem__
+        for c, ws in split:
+            self.chunks[c] = known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws))
 
     def plain(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.find(text)))
