@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -27,35 +29,57 @@ from pyspark.sql import functions as F
 from corpusprep.llm.common import bounded_batches, materialize
 
 CAPACITY, BLOCK_ROWS, LOOSE_BINS, SHRINK = 2048, 200_000, 64, 8
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 
 
-class WordTokens(dict):
-    """Little-endian four-byte ids of a stretch between spaces, cached. The
-    tokenizer drops white space and no token spans it, so the ids of a text are those of its stretches."""
+class WordTokens:
+    """Ids of whole texts. No token spans white space or two of the matches of
+    ``SPLIT``, so the ids of a text are those of its matches, cached. New ones are encoded many at a
+    time, joined by spaces; as the last token of each, and no other, is one that ends words, the
+    ids fall apart into words again. Texts with other than Latin letters go to the tokenizer whole."""
+
+    #: How the tokenizer's file splits words.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
-
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words} - self.keys()
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = {w for words in split for w in words}
-        new = list(new)
-        for k in range(0, len(new), 20_000):
-            part = new[k:k + 20_000]
-            for w, e in zip(part, self.t.encode_batch_fast(part, add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        return split
-
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        return [b"".join(map(self.__getitem__, words)) + end for words in self.learn(texts)]
+        vocabulary = self.t.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.find, self.latin = regex.compile(self.SPLIT).findall, re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]*").fullmatch
+        self.words: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        for k in range(0, len(words), 4000):
+            part = words[k:k + 4000]
+            ids = np.array(self.t.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):
+                self.words.update((w, self.whole(w)) for w in part)
+                continue
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            self.words.update((w, raw[a:b]) for w, a, b in zip(part, [0, *cuts], cuts))
+
+    def encode(self, texts: list[str], end: bytes) -> Iterator[bytes]:
+        """The ids of each text, and ``end``, for a few hundred texts at a time."""
+        for k in range(0, len(texts), 400):
+            part = texts[k:k + 400]
+            split = [self.find(normalize("NFC", t).lower()) if self.latin(t) else None for t in part]
+            seen = set().union(*filter(None, split))
+            new = seen - self.words.keys()
+            if len(self.words) + len(new) > CACHE_WORDS:
+                self.words.clear()
+                new = seen
+            self.learn(list(new))
+            for t, words in zip(part, split):
+                yield (self.whole(t) if words is None else b"".join(map(self.words.__getitem__, words))) + end
 
 
 @lru_cache(maxsize=2)
@@ -69,7 +93,7 @@ def token_column(text: str | Column, path: str, end_id: int = 0) -> Column:
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
         end, raw = int(end_id).to_bytes(4, "little"), [t or "" for t in texts.to_pylist()]
-        return pa.array(tokens_of(path).encode(raw, end), pa.binary())
+        return pa.array(list(tokens_of(path).encode(raw, end)), pa.binary())
 
     return ids(F.col(text) if isinstance(text, str) else text)
 
