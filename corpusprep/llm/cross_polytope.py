@@ -2,9 +2,10 @@
 
 A table rotates vectors by three rounds of random signs and a fast Hadamard transform and hashes
 each to its nearest signed axis (the coordinate of largest size, with its sign);
-``functions`` such rotations together make a bucket. For the largest inner product a vector x gains two
-coordinates, [x, sqrt(M^2 - |x|^2), 0], and a query [q, 0, 0], M being the greatest norm, and both
-are scaled to the unit sphere, so that the angle orders as the inner product does.
+``functions`` such rotations together make a bucket. For the largest inner product a vector x gains a
+coordinate, [x, sqrt(M^2 - |x|^2)], and a query [q, 0], M being the greatest norm, and both
+are scaled to the unit sphere, so that the angle orders as the inner product does; where all norms are equal
+(to a millionth) the coordinate is left out.
 
 Equal vectors are one class, so copies never fill a bucket: a class keeps its
 ``k + 1`` least ids, which is all that a ranking with ties to the smaller id can use. Each query probes
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corpusprep.llm.common import bounded_batches, materialize
 
-TABLES, PROBES, CHUNK, SEED, MARGIN = 16, 8, 4096, 7, 8
+TABLES, PROBES, CHUNK, SEED, MARGIN = 16, 12, 4096, 7, 8
 
 
 @lru_cache(maxsize=64)
@@ -84,8 +85,11 @@ def buckets(x: np.ndarray, table: int, functions: int, probes: int) -> np.ndarra
     return number
 
 
-def to_sphere(x: np.ndarray, greatest: float, query: bool) -> np.ndarray:
+def to_sphere(x: np.ndarray, greatest: float | None, query: bool) -> np.ndarray:
+    """``greatest``: the greatest norm, None if all are alike."""
     norm = (x * x).sum(1)
+    if greatest is None:
+        return x / np.sqrt(norm)[:, None]
     extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(greatest * greatest - norm, 0))
     return np.c_[x, extra] / (np.sqrt(norm)[:, None] if query else greatest)
 
@@ -109,7 +113,7 @@ def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return d.withColumn("d", (F.octet_length("v") / 8).cast("int"))
 
 
-def _hashed(tables: int, functions: int, probes: int, greatest: float, query: bool):
+def _hashed(tables: int, functions: int, probes: int, greatest: float | None, query: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -168,7 +172,9 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
         x = stacked(v.to_pylist()) if len(v) else np.zeros((0, 1))
         return pa.array(np.sqrt((x * x).sum(1)))
 
-    greatest = d.agg(F.max(norm("v"))).first()[0]
+    least, greatest = d.select(norm("v").alias("n")).agg(F.min("n"), F.max("n")).first()
+    if least > greatest * (1 - 1e-6):
+        greatest = None
     # classes of equal vectors; c is the least id. Each keeps its k + 1 least ids: the windows cut
     # before and after the exchange, so a class of a third of all rows sends a few ids from each task
     copies = d.select("v", "id").withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
@@ -197,7 +203,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     short = materialize(queries.join(full_lists, "c", "left_anti"), "short-queries") if want > 0 else None
     if short is None or short.isEmpty():
         return first
-    every = members.where("t = 0").select("t", "b").distinct()
-    probe = short.join(F.broadcast(every.groupBy("t").agg(F.collect_list("b").alias("bs")))).select("t", F.explode("bs").alias("b"), "c", "v")
+    width = 2 << max(0, sizes[0]["d"] - (greatest is None)).bit_length()  # at least the axes there are
+    probe = materialize(short.mapInArrow(_hashed(1, functions, width ** functions, greatest, True), hashed), "all-buckets")
     second = found(probe)
     return first.join(short.select(F.col("c").alias("query_id")), "query_id", "left_anti").unionByName(second)

@@ -163,13 +163,13 @@ class Model:
         return out
 
     def features(self, text: str) -> tuple[float, ...]:
-        """exact, misspelled, quoted and addressed weight, and their density."""
+        """meant (not quoted), misspelled, quoted and addressed weight, and their density."""
         found = self.hits(text) if self.terms else []
         if not found:
             return 0.0, 0.0, 0.0, 0.0, 0.0
         low = text.lower()
         spans = [m.span() for m in WORD.finditer(low)]
-        exact = fuzzy = quoted = address = 0.0
+        meant = fuzzy = quoted = address = 0.0
         for i, edits, weight, _ in found:
             near = {low[a:b] for a, b in spans[max(0, i - WINDOW):i + WINDOW + 1]}
             a, b = spans[i]
@@ -177,13 +177,12 @@ class Model:
             marked = any(c in OPENING for c in low[lo:a]) and any(c in CLOSING for c in low[b:hi])
             if not near & ADDRESS and (marked or near & REPORT and any(c in OPENING for c in low[lo:a])):
                 quoted += weight
-            elif edits:
-                fuzzy += weight
             else:
-                exact += weight
+                meant += weight
+                fuzzy += weight * (edits > 0)
             address += weight * bool(near & ADDRESS)
-        total = exact + fuzzy + quoted
-        return tuple(math.log1p(x) for x in (exact, fuzzy, quoted, address)) + (total / (total + len(spans)),)
+        total = meant + quoted
+        return tuple(math.log1p(x) for x in (meant, fuzzy, quoted, address)) + (total / (total + len(spans)),)
 
     def score(self, text: str) -> float:
         z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.features(text)))
@@ -191,8 +190,8 @@ class Model:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
-    """Weights (intercept first) by Newton's method, with a small ridge; weights
-    of hits may not be negative, but that of quoted ones may."""
+    """Weights (intercept first) by Newton's method, with a small ridge; the weights
+    of what is meant and addressed may not be negative."""
     a, w = np.c_[np.ones(len(x)), x], np.zeros(x.shape[1] + 1)
     held = np.zeros(len(w), bool)
     for _ in range(60):
@@ -203,7 +202,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
         h[held, held] = 1
         step = np.linalg.solve(h, g)
         w = w - step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
-        for k in (1, 2, 4):
+        for k in (1, 4):
             if w[k] < 0:
                 w[k], held[k] = 0.0, True
         if np.abs(step).max() < 1e-6:

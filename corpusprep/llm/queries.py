@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import bound_packing, chat_fold, lev_toxicity, line_quality, line_winnow, lpt_shards, page_diff, prefix_bpe, simhash_tiles
+from corpusprep.llm import bound_packing, chat_fold, cross_polytope, lev_toxicity, line_quality, line_winnow, lpt_shards, page_diff, prefix_bpe, simhash_tiles
 from corpusprep.llm.common import bounded_batches, ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,12 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
+@query
+def op1_cross_polytope_ann(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return cross_polytope.search(vectors, F.expr("id % 20 = 0"), k=20)
+
+
 @query
 def op2_byte_bpe(spark, sf):
     import public_tokenizers as vocabularies
