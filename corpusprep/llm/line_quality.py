@@ -88,6 +88,9 @@ def judge(df: DataFrame, text_col: str = "text", rules: Rules = Rules(), clean_c
     failed = (F.col("n_words") < r.min_words) | (100 * F.col("n_repeat_words") > r.max_repeat_pct * F.col("n_words"))
     # the line breaks that went with the failing lines count as lost, too
     lost = (F.col("n0") - F.length("c")) * 100 > r.max_lost_pct * F.col("n0")
+    # A filter on ``kept`` must not be pushed below the steps above: it would take their arrays into
+    # lambdas and compute them again for each element. Conditions on an id of the run stay above it.
+    here = F.monotonically_increasing_id() >= 0
     return out.select("r.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                      failed.alias("base_failed"), (~failed & ~lost).alias("kept"),
+                      failed.alias("base_failed"), (~failed & ~lost & here).alias("kept"),
                       "n_lines", "n_failed_lines", F.col("c").alias(clean_col))
