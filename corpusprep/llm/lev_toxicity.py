@@ -6,7 +6,7 @@ chance make the lexicon (at most ``MOST_TERMS``); a logistic regression of a few
 context features sets the score. Only the text is an input.
 
 Scoring, over every whole text: a Levenshtein automaton for each new word runs along the
-lexicon's trie and finds terms within one edit (words of five letters or more; stems match as prefixes). A word that
+lexicon's trie and finds terms of five letters or more within one edit (stems match exactly, as beginnings). A word that
 matches with an edit but stands in clean learning rows is an exception, and a term with several such has no misspellings. Around each hit a window of
 words tells quotation (quotation marks, words of report) from abuse (address in the second person).
 
@@ -74,52 +74,52 @@ class Levenshtein:
         base, places = state
         return min((e + len(word) - base - p for p, e in places), default=self.k + 1)
 
-    def prefix_edits(self, state: tuple) -> int:
-        return min(e for _, e in state[1])
-
 
 class Trie:
+    """The lexicon. A term is met exactly (a stem as the beginning of a word) by
+    walking down the trie; terms that may be misspelled are a trie of their own, which the automaton of a
+    word walks. One edit leaves the first or the second half of a term as it is, so words that
+    begin and end like no half of a term skip that walk."""
+
     def __init__(self, terms: dict[str, tuple[float, bool, bool]]):
-        self.root: dict = {}
-        for term, (weight, stem, fuzzy) in terms.items():
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = (term, weight, stem, 1 if fuzzy and len(term) >= FUZZY + stem else 0)
+        self.root, self.fuzzy = {}, {}
+        self.heads: dict[int, set[str]] = {}
+        self.tails: dict[int, set[str]] = {}
         self.automaton = Levenshtein(1)
-        self.begins: dict[str, bool] = {}
+        for term, (weight, stem, fuzzy) in terms.items():
+            roots = [self.root]
+            if fuzzy and not stem and len(term) >= FUZZY:
+                roots.append(self.fuzzy)
+                half = len(term) // 2
+                self.heads.setdefault(half, set()).add(term[:half])
+                self.tails.setdefault(len(term) - half, set()).add(term[half:])
+            for node in roots:
+                for c in term:
+                    node = node.setdefault(c, {})
+                node[""] = (term, weight, stem)
 
     def matches(self, word: str) -> list[tuple[int, float, str]]:
         """(edits, -weight, term) of the terms that the word is, nearly is or (stems) begins with."""
-        out, a = [], self.automaton
-        todo = [(self.root, a.start)]
+        out, node, n = [], self.root, len(word)
+        for k, c in enumerate(word, 1):
+            node = node.get(c)
+            if node is None:
+                break
+            if "" in node and (node[""][2] or k == n):
+                out.append((0, -node[""][1], node[""][0]))
+        if not (any(word[:k] in s for k, s in self.heads.items()) or any(word[-k:] in s for k, s in self.tails.items())):
+            return out
+        a, todo = self.automaton, [(self.fuzzy, self.automaton.start)]
         while todo:
             node, state = todo.pop()
             for c, below in node.items():
                 if c == "":
-                    term, weight, stem, most = below
-                    e = a.prefix_edits(state) if stem else a.edits(state, word)
-                    if e <= most:
-                        out.append((e, -weight, term))
+                    if a.edits(state, word) == 1:
+                        out.append((1, -below[1], below[0]))
                 elif (after := a.step(state, word, c)) is not None:
                     todo.append((below, after))
         return out
 
-    def may_begin(self, head: str) -> bool:
-        """Whether any term, or a beginning of one, is within one edit of some beginning that
-        starts with ``head``: false rules out all words that begin so."""
-        known = self.begins.get(head)
-        if known is None:
-            a = self.automaton
-            todo, known = [(self.root, a.start)], False
-            while todo and not known:
-                node, state = todo.pop()
-                known = "" in node or a.edits(state, head) <= 1
-                todo += [(b, s) for c, b in node.items() if c and (s := a.step(state, head, c)) is not None]
-            if len(self.begins) < CACHE_WORDS:
-                self.begins[head] = known
-        return known
-
 
 @dataclass
 class Model:
@@ -142,7 +142,7 @@ class Model:
             self.trie = Trie(self.terms)
         if len(self.cache) >= CACHE_WORDS:
             self.cache.clear()
-        found = self.trie.matches(word) if len(word) >= 3 and self.trie.may_begin(word[:4]) else []
+        found = self.trie.matches(word) if len(word) >= 3 else []
         best = min(found) if found else None
         if best and best[0] and word in self.exceptions:
             best = None
