@@ -62,11 +62,6 @@ def ones_mask(n) -> Column:
     return F.array_repeat(F.lit(1), _l(n))
 
 
-def constant_ids(ids: list[int]) -> Column:
-    """The same literal sequence on every row (no join needed)."""
-    return F.array(*[F.lit(int(i)) for i in ids]) if ids else F.array().cast("array<int>")
-
-
 def assemble(parts: list[Column]) -> Column:
     """Ordered concatenation of sequence parts."""
     return F.concat(*parts)
@@ -102,15 +97,18 @@ def downmix(audio) -> Column:
     two_by_n = (F.size(a) == 2) & (F.size(a[0]) == F.size(a[1]))
     return (F.when(frames_by_two, F.transform(a, lambda f: (f[0].cast("double") + f[1].cast("double")) / 2))
              .when(two_by_n, F.zip_with(a[0], a[1], lambda x, y: (x.cast("double") + y.cast("double")) / 2))
-             .otherwise(F.raise_error(F.concat(F.lit("Invalid audio data shape: "),
+             .otherwise(F.raise_error(F.concat(F.lit("downmix: neither [n, 2] nor [2, n], outer length "),
                                                F.size(a).cast("string"))).cast("array<double>")))
 
 
 def interleaved_to_frames(values) -> Column:
-    """View a flat interleaved stereo array as ``[n/2, 2]`` frames."""
+    """View a flat interleaved stereo array as ``[n/2, 2]`` frames; an empty
+    clip has no frames, an odd number of samples raises."""
     v = _c(values)
-    return F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int") - 1),
-                       lambda i: F.array(v[i * 2], v[i * 2 + 1]))
+    frames = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(v) / 2).cast("int") - 1, F.lit(0))),
+                         lambda i: F.array(F.get(v, i * 2), F.get(v, i * 2 + 1)))
+    odd = F.raise_error(F.concat(F.lit("interleaved_to_frames: odd number of samples: "), F.size(v).cast("string")))
+    return F.when(F.size(v) == 0, F.slice(frames, 1, 0)).when(F.size(v) % 2 == 1, odd).otherwise(frames)
 
 
 def resample_linear(values, orig_sr, target_sr: int = 16000) -> Column:

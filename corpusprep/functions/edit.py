@@ -29,27 +29,6 @@ def char_distance(ref, hyp) -> Column:
     return F.levenshtein(_c(ref), _c(hyp))
 
 
-def _hex2(x: Column) -> Column:
-    return F.lpad(F.hex(x), 2, "0")
-
-
-def code_point_char(cp: Column) -> Column:
-    """One code point (>= U+0800) as a one-character string, via its UTF-8 bytes."""
-    three = F.concat(_hex2(F.lit(0xE0) + F.shiftright(cp, 12)),
-                     _hex2(F.lit(0x80) + (F.shiftright(cp, 6) % 64)),
-                     _hex2(F.lit(0x80) + (cp % 64)))
-    four = F.concat(_hex2(F.lit(0xF0) + F.shiftright(cp, 18)),
-                    _hex2(F.lit(0x80) + (F.shiftright(cp, 12) % 64)),
-                    _hex2(F.lit(0x80) + (F.shiftright(cp, 6) % 64)),
-                    _hex2(F.lit(0x80) + (cp % 64)))
-    return F.decode(F.unhex(F.when(cp < 0x10000, three).otherwise(four)), "UTF-8")
-
-
-def _stand_in(i: Column) -> Column:
-    cp = F.when(i < _BMP_COUNT, i + _BMP_FIRST).otherwise(i - _BMP_COUNT + 0x10000)
-    return code_point_char(cp)
-
-
 def words(text, pattern: str = r"\s+") -> Column:
     """Whitespace words; an empty or blank text has no words."""
     from corpusprep.functions.text import split_words

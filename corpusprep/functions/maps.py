@@ -28,15 +28,13 @@ def drop_prefixes(m, prefixes=FROZEN_PREFIXES) -> Column:
 
 def strip_prefix(m, prefix: str = PROJECTOR_PREFIX) -> Column:
     """H2: keep keys starting with ``prefix`` and delete every occurrence of it
-    from the key (``str.replace`` semantics, not only the head)."""
-    kept = F.map_filter(_c(m), lambda k, v: k.startswith(prefix))
-    return F.transform_keys(kept, lambda k, v: F.replace(k, F.lit(prefix), F.lit("")))
-
-
-def keep_known_keys(m, known) -> Column:
-    """Keep only keys present in ``known`` (an array column or list)."""
-    known_c = known if isinstance(known, Column) else F.array(*[F.lit(k) for k in known])
-    return F.map_filter(_c(m), lambda k, v: F.array_contains(known_c, k))
+    from the key (``str.replace`` semantics, not only the head). When two keys
+    become the same, the later entry stays."""
+    kept = F.map_entries(F.map_filter(_c(m), lambda k, v: k.startswith(prefix)))
+    new = F.transform(kept, lambda e: F.replace(e["key"], F.lit(prefix), F.lit("")))
+    last = F.filter(F.transform(kept, lambda e, i: F.struct(F.get(new, i).alias("key"), e["value"].alias("value"), i.alias("i"))),
+                    lambda e: ~F.array_contains(F.slice(new, e["i"] + 2, F.size(new)), e["key"]))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
 
 
 def update_known(model, pretrained) -> Column:

@@ -17,7 +17,6 @@ IM_SYSTEM_OPEN = "<|im_start|>system\n"
 IM_USER_AFTER_SYSTEM = "\n<|im_end|>\n<|im_start|>user\n"
 IM_ASSISTANT = "<|im_end|>\n<|im_start|>assistant\n"
 THINK_ASSISTANT = "<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n"
-TRANSCRIBE_INSTRUCTION = "音声をテキストに書き起こす。"
 RECOGNISE_INSTRUCTION = "音声認識ください"
 EOS_TEXT = "<|endoftext|>"
 # ---------------------------------------------------------------------------

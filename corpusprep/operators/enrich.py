@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusprep.session import spread
+from corpusprep.session import materialize, spread
 from corpusprep.functions.text import (ERROR_PREFIX, clean_corpus, error_text, is_error,
                                        unicode_strip)
 
@@ -117,7 +117,9 @@ def enrich(df: DataFrame, key: str = "doc_id", text_col: str = "text",
 
 
 def error_split(df: DataFrame, col: str = "step1_text") -> tuple[DataFrame, DataFrame]:
-    """(good rows, quarantined rows) by the sentinel."""
+    """(good rows, quarantined rows) by the sentinel. The rows are written
+    once, so the two frames don't call the model twice."""
+    df = materialize(df, "answers")
     bad = is_error(F.col(col))
     return df.where(~bad | F.col(col).isNull()), df.where(bad)
 

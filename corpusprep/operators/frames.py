@@ -47,6 +47,12 @@ def segment_array(df: DataFrame, key: str, arr_col: str, chunk_len: int,
     return df.select(key, F.posexplode(chunks).alias(seg_col, out))
 
 
+def with_empty(joined: DataFrame, df: DataFrame, key: str, text_col: str, out: str = "text") -> DataFrame:
+    """Rows whose text is null or empty have no segment; their rejoined text is empty."""
+    none = df.where(F.coalesce(F.length(text_col), F.lit(0)) == 0)
+    return joined.unionByName(none.select(key, F.lit("").alias(out)))
+
+
 def rejoin(df: DataFrame, key, seg_col: str = "seg_no", chunk_col: str = "chunk",
            sep: str = " ", out: str = "text") -> DataFrame:
     """``sep.join(chunks)`` in segment order, one row per key (a key
@@ -74,7 +80,7 @@ def frame_stack(df: DataFrame, clip_col: str, frame_col: str, vec_col: str, k: i
     if drop_tail:
         return g.where(F.col("__cp_n") == k).select(clip_col, group_col, stacked.alias(out))
     checked = F.when(F.col("__cp_n") == k, stacked).otherwise(F.raise_error(
-        F.lit("Sequence length must be divisible by the downsample factor")))
+        F.lit("frame_stack: a clip's frame count is no multiple of k")))
     return g.select(clip_col, group_col, checked.alias(out))
 
 
@@ -112,10 +118,14 @@ def project_vectors(df: DataFrame, vec_col: str, weights: dict, out: str = "proj
         w = bc.value
         if len(v) == 0:
             return pd.Series([], dtype=object)
-        x = np.stack([np.asarray(a, np.float32) for a in v])
-        h = np.maximum(x @ w["w1"] + w["b1"], 0.0)
-        y = h @ w["w2"] + w["b2"]
-        return pd.Series(list(y.astype(np.float32)))
+        there = v.notna().to_numpy()
+        y = np.full(len(v), None, dtype=object)  # a null vector stays null
+        if there.any():
+            x = np.stack([np.asarray(a, np.float32) for a in v[there]])
+            h = np.maximum(x @ w["w1"] + w["b1"], 0.0)
+            for at, row in zip(np.flatnonzero(there), (h @ w["w2"] + w["b2"]).astype(np.float32)):
+                y[at] = row
+        return pd.Series(y)
 
     return df.withColumn(out, _project(F.col(vec_col)))
 

@@ -21,6 +21,9 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corpusprep.session import materialize
 
 _PROXY, _BUCKET, _OFFSET = "__cp_proxy", "__cp_bucket", "__cp_offset"
 
@@ -58,15 +61,18 @@ def quantile_boundaries(df: DataFrame, proxy: Column, n_buckets: int | None,
 
 def ordered_index(df: DataFrame, order_cols, partition_cols=None, proxy: Column | None = None,
                   pos_col: str = "pos", n_buckets: int | None = None,
-                  rows_per_bucket: int = 2_000_000, max_buckets: int = 16384,
+                  rows_per_bucket: int = 2_000_000, max_buckets: int = 1 << 20,
                   min_buckets: int | None = None) -> DataFrame:
     """Dense 0-based position of each row in ``order_cols`` order,
     globally or within ``partition_cols``. ``order_cols`` must be unique per
     group (add a tie-breaker). ``proxy`` is a numeric column, non-decreasing in
-    the order; default: the first order column."""
+    the order; default: the first order column, if it is numeric, else the rows
+    are cut by ``range_index``. Null groups are groups like any other."""
     order = order_cols if isinstance(order_cols, (list, tuple)) else [order_cols]
     part = _cols(partition_cols)
     prox = proxy if proxy is not None else (F.col(order[0]) if isinstance(order[0], str) else order[0])
+    if proxy is None and not isinstance(df.select(prox.alias("p")).schema["p"].dataType, T.NumericType):
+        return range_index(df, order, part, pos_col)
     d = df.withColumn(_PROXY, F.coalesce(prox.cast("double"), F.lit(float("-inf"))))
     lo = min_buckets if min_buckets is not None else df.sparkSession.sparkContext.defaultParallelism
     _, bounds = quantile_boundaries(d, F.col(_PROXY), n_buckets, rows_per_bucket, max_buckets, lo)
@@ -79,17 +85,38 @@ def ordered_index(df: DataFrame, order_cols, partition_cols=None, proxy: Column
     d = (Bucketizer(splits=splits, inputCol=_PROXY, outputCol=_BUCKET)
          .transform(d).withColumn(_BUCKET, F.col(_BUCKET).cast("int")).drop(_PROXY))
     counts = d.groupBy(*part, _BUCKET).count()
-    w_off = (Window.partitionBy(*part).orderBy(_BUCKET)
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*part, _BUCKET,
-                            F.coalesce(F.sum("count").over(w_off), F.lit(0)).alias(_OFFSET))
+    offsets = _offsets(counts, part)
     if not part:
         # one row per bucket: bounded by max_buckets, safe to broadcast
         offsets = F.broadcast(offsets)
+    return _place(d, offsets, part, order, pos_col)
+
+
+def _offsets(counts: DataFrame, part: list[str]) -> DataFrame:
+    w_off = (Window.partitionBy(*part).orderBy(_BUCKET)
+             .rowsBetween(Window.unboundedPreceding, -1))
+    return counts.select(*part, _BUCKET, F.coalesce(F.sum("count").over(w_off), F.lit(0)).alias(_OFFSET))
+
+
+def _place(d: DataFrame, offsets: DataFrame, part: list[str], order: list, pos_col: str) -> DataFrame:
+    """Offset of the row's bucket plus its place there; null groups join as equal."""
+    o = offsets.select(*[F.col(c).alias(f"__cp_g{i}") for i, c in enumerate(part)], F.col(_BUCKET).alias("__cp_b"), _OFFSET)
+    same = F.col(_BUCKET) == F.col("__cp_b")
+    for i, c in enumerate(part):
+        same = same & F.col(c).eqNullSafe(F.col(f"__cp_g{i}"))
     w_row = Window.partitionBy(*part, _BUCKET).orderBy(*order)
-    return (d.join(offsets, on=[*part, _BUCKET], how="inner")
+    return (d.join(o, same, how="inner")
              .withColumn(pos_col, (F.col(_OFFSET) + F.row_number().over(w_row) - 1).cast("long"))
-             .drop(_BUCKET, _OFFSET))
+             .drop(_BUCKET, _OFFSET, "__cp_b", *[f"__cp_g{i}" for i in range(len(part))]))
+
+
+def range_index(df: DataFrame, order, part: list[str], pos_col: str) -> DataFrame:
+    """Positions by any order key, without a numeric stand-in: rows are dealt out
+    by ranges of (group, key), which Spark samples, so neither a hot group nor keys with a long common
+    prefix meet in one task; each range is a bucket. The ranges are written once, so
+    that the two passes over them agree."""
+    d = materialize(df.repartitionByRange(*part, *order).withColumn(_BUCKET, F.spark_partition_id()), "ranges")
+    return _place(d, _offsets(d.groupBy(*part, _BUCKET).count(), part), part, order, pos_col)
 
 
 def batch_assign(df: DataFrame, batch_size: int, pos_col: str = "pos",

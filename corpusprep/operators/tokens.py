@@ -4,10 +4,10 @@
 The tokeniser is whitespace splitting (JVM-side) with a corpus-built
 vocabulary. Id lookup has two plans, chosen by a checked vocabulary size:
 
-* vocabulary rows <= ``broadcast_rows``: the vocabulary is broadcast once and
+* vocabulary rows <= ``broadcast_rows`` and bytes <= ``BROADCAST_BYTES``: the vocabulary is broadcast once and
   every Arrow batch is looked up with one vectorised hash probe - a map-only
   plan, no shuffle of the (huge) token stream;
-* above it: the ``broadcast_rows`` most frequent tokens are still broadcast
+* above it: the most frequent tokens of at most ``HEAD_TOKEN_BYTES`` bytes, within both bounds, are still broadcast
   (a bounded top-k); by Zipf they resolve most occurrences map-side, and only
   the misses are exploded, shuffle-joined with the full vocabulary and
   patched back into the rows that hold them.
@@ -25,13 +25,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusprep.functions import arrays as A
 from corpusprep.functions.text import split_words
-from corpusprep.operators.position import ordered_index
+from corpusprep.operators.position import range_index
 from corpusprep.session import materialize as materialize_table
 from corpusprep.session import spread
 
@@ -44,19 +44,24 @@ PAD_ID = EOS_ID  # the trainers set pad_token = eos_token
 # ---------------------------------------------------------------------------
 
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 128 << 20
+HEAD_TOKEN_BYTES = 64   # a token can be a whole sentence where words aren't set apart
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+def _fits(vocab: DataFrame, rows: int) -> bool:
+    n, size = vocab.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
+    return n <= rows and size + 64 * n <= BROADCAST_BYTES
+
 
+def _head(vocab: DataFrame, rows: int) -> DataFrame:
+    """The most frequent short tokens: rows and bytes are bounded."""
+    order = [F.col("count").desc(), F.col("token")] if "count" in vocab.columns else [F.col("token_id")]
+    most = min(rows, BROADCAST_BYTES // (64 + HEAD_TOKEN_BYTES))
+    return vocab.where(F.octet_length("token") <= HEAD_TOKEN_BYTES).orderBy(*order).limit(most)
 
-def _order_proxy(count_col: str, token_col: str) -> Column:
-    """Numeric, non-decreasing in (count desc, token asc): -count*2^48 plus the
-    first six UTF-8 bytes of the token (byte order = string order). For large
-    counts the double sum rounds, but rounding is monotone, so the order holds;
-    the fine prefix keeps the many count-1 tokens spread over buckets."""
-    head = F.rpad(F.hex(F.substring(F.encode(F.col(token_col), "UTF-8"), 1, 6)), 12, "0")
-    return -F.col(count_col).cast("double") * float(2 ** 48) + F.conv(head, 16, 10).cast("double")
+
+def _c(x) -> Column:
+    return F.col(x) if isinstance(x, str) else x
 
 
 def build_vocab(df: DataFrame, text_col: str = "text", specials=SPECIALS,
@@ -70,8 +75,8 @@ def build_vocab(df: DataFrame, text_col: str = "text", specials=SPECIALS,
                 .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
     if materialize:
         counts = materialize_table(counts, "vocab-counts")
-    ranked = ordered_index(counts, [F.col("count").desc(), F.col("token")],
-                           proxy=_order_proxy("count", "token"), pos_col="rank")
+    # cut by ranges of (count, token) themselves, so that equal beginnings spread, too
+    ranked = range_index(counts, [F.col("count").desc(), F.col("token")], [], "rank")
     vocab = ranked.select("token", "count", (F.col("rank") + len(specials)).alias("token_id"))
     return materialize_table(vocab, "vocab") if materialize else vocab
 
@@ -138,14 +143,14 @@ def token_ids(df: DataFrame, vocab: DataFrame, key, text_col: str = "text",
               broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Token ids in text order; unknown tokens map to ``unk_id``; a
     null or empty text gives an empty array."""
-    if vocab.count() <= broadcast_rows:
+    if _fits(vocab, broadcast_rows):
         r = _lookup_ids(df, vocab, _keys(key), text_col, out, pattern, unk_id)
     else:
         r = _hybrid_ids(df, vocab, _keys(key), text_col, out, pattern, unk_id, broadcast_rows)
     return r.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
 
 
-_MISS = -1
+_MISS, _ROW = -1, "__cp_row"
 
 
 def _hybrid_ids(df: DataFrame, vocab: DataFrame, keys: list[str], text_col: str, out: str,
@@ -156,21 +161,24 @@ def _hybrid_ids(df: DataFrame, vocab: DataFrame, keys: list[str], text_col: str,
     shuffle-joined against the full vocabulary, and only rows with misses are
     patched. Compared with exploding the whole token stream this shuffles the
     rare occurrences plus the id arrays of rows that hold one."""
-    order = [F.col("count").desc(), F.col("token")] if "count" in vocab.columns else [F.col("token_id")]
-    head = vocab.orderBy(*order).limit(head_rows)
-    looked = _lookup_ids(df, head, keys, text_col, out, pattern, _MISS, keep_tokens=True)
+    rows, caller = df.withColumn(_ROW, F.monotonically_increasing_id()), keys
+    keys = [*keys, _ROW]
+    # written once: one pass of the tokeniser, and row ids that hold for all uses below. Rows are put
+    # together again by them, not by the caller's keys, which may be null or repeat
+    looked = materialize_table(_lookup_ids(rows, _head(vocab, head_rows), keys, text_col, out, pattern, _MISS, keep_tokens=True), "looked-up")
     has_miss = F.exists(out, lambda x: x == _MISS)
     clean = looked.where(~has_miss | F.col(out).isNull()).select(*keys, out)
     dirty = looked.where(has_miss)
     misses = (dirty.select(*keys, F.posexplode(F.arrays_zip(F.col(out).alias("i"), F.col("__cp_toks").alias("t")))
                            .alias("pos", "z"))
                    .where(F.col("z.i") == _MISS)
-                   .select(*keys, "pos", F.col("z.t").alias("token")))
+                   .select(_ROW, "pos", F.col("z.t").alias("token")))
     found = misses.join(vocab.select("token", F.col("token_id").cast("int").alias("tid")), "token", "left")
-    patches = found.groupBy(*keys).agg(
+    patches = found.groupBy(_ROW).agg(
         F.map_from_entries(F.collect_list(F.struct("pos", F.coalesce("tid", F.lit(unk_id))))).alias("__cp_fix"))
-    fixed = dirty.join(patches, keys, "left").select(
-        *keys, F.transform(out, lambda x, i: F.when(x == _MISS, F.element_at("__cp_fix", i))
+    clean = clean.select(*caller, out)
+    fixed = dirty.join(patches, _ROW, "left").select(
+        *caller, F.transform(out, lambda x, i: F.when(x == _MISS, F.element_at("__cp_fix", i))
                            .otherwise(x)).alias(out))
     return clean.unionByName(fixed)
 
@@ -179,8 +187,7 @@ def detokenise(df: DataFrame, vocab: DataFrame, key, ids_col: str = "ids",
                out: str = "text", skip_ids=(EOS_ID, UNK_ID),
                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Ids -> text, special ids dropped, tokens joined by one space."""
-    n = vocab.count()
-    if n <= broadcast_rows:
+    if _fits(vocab, broadcast_rows):
         return _lookup_tokens(df, vocab, _keys(key), ids_col, out, skip_ids)
     return _hybrid_tokens(df, vocab, _keys(key), ids_col, out, skip_ids, broadcast_rows)
 
@@ -193,7 +200,7 @@ def _lookup_tokens(df: DataFrame, vocab: DataFrame, keys: list[str], ids_col: st
     # a hashed id index (not a dense array), so sparse or huge ids cost nothing
     bc = spark.sparkContext.broadcast((pv["token_id"].to_numpy(dtype=np.int64),
                                        pv["token"].to_numpy(dtype=object)))
-    skip = F.array(*[F.lit(i) for i in skip_ids])
+    skip = F.array(*[F.lit(i) for i in skip_ids]).cast("array<int>")
     kept = spread(df).select(*keys, F.filter(ids_col, lambda x: ~F.array_contains(skip, x)).alias("__cp_ids"))
     extra = [kept.schema["__cp_ids"]] if not join else []
     schema = T.StructType([kept.schema[k] for k in keys] + extra +
@@ -225,24 +232,24 @@ def _hybrid_tokens(df: DataFrame, vocab: DataFrame, keys: list[str], ids_col: st
                    skip_ids, head_rows: int) -> DataFrame:
     """Same split as ``_hybrid_ids``: the most frequent ids resolve from a
     broadcast array; only ids outside it are joined (shuffle) and patched."""
-    order = [F.col("count").desc(), F.col("token")] if "count" in vocab.columns else [F.col("token_id")]
-    head = vocab.orderBy(*order).limit(head_rows)
-    skip = F.array(*[F.lit(i) for i in skip_ids])
-    kept = df.select(*keys, F.filter(ids_col, lambda x: ~F.array_contains(skip, x)).alias("__cp_ids"))
-    looked = _lookup_tokens(kept.withColumnRenamed("__cp_ids", "ids"), head, keys, "ids", out, (), join=False)
+    caller, keys = keys, [*keys, _ROW]
+    skip = F.array(*[F.lit(i) for i in skip_ids]).cast("array<int>")
+    kept = df.withColumn(_ROW, F.monotonically_increasing_id()).select(*keys, F.filter(ids_col, lambda x: ~F.array_contains(skip, x)).alias("__cp_ids"))
+    looked = _lookup_tokens(kept.withColumnRenamed("__cp_ids", "ids"), _head(vocab, head_rows), keys, "ids", out, (), join=False)
+    looked = materialize_table(looked, "looked-up")
     has_miss = F.exists("__cp_tok", lambda t: t.isNull())
     clean = looked.where(~has_miss | F.col("__cp_tok").isNull()).select(*keys, "__cp_tok")
     dirty = looked.where(has_miss)
     misses = (dirty.select(*keys, F.posexplode(F.arrays_zip(F.col("__cp_ids").alias("i"), F.col("__cp_tok").alias("t")))
                            .alias("pos", "z"))
                    .where(F.col("z.t").isNull())
-                   .select(*keys, "pos", F.col("z.i").alias("token_id")))
+                   .select(_ROW, "pos", F.col("z.i").alias("token_id")))
     found = misses.join(vocab.select(F.col("token_id").cast("int").alias("token_id"), "token"), "token_id", "left")
-    patches = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("__cp_fix"))
-    fixed = dirty.join(patches, keys, "left").select(
+    patches = found.groupBy(_ROW).agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("__cp_fix"))
+    fixed = dirty.join(patches, _ROW, "left").select(
         *keys, F.transform("__cp_tok", lambda t, i: F.coalesce(t, F.element_at("__cp_fix", i))).alias("__cp_tok"))
     both = clean.unionByName(fixed)
-    return both.select(*keys, F.array_join(F.filter("__cp_tok", lambda t: t.isNotNull()), " ").alias(out))
+    return both.select(*caller, F.array_join(F.filter("__cp_tok", lambda t: t.isNotNull()), " ").alias(out))
 
 
 def embedding_lookup(df: DataFrame, table: DataFrame, key: str, ids_col: str = "ids",
@@ -261,11 +268,19 @@ def embedding_lookup(df: DataFrame, table: DataFrame, key: str, ids_col: str = "
         ex[key], ex.pos, ex.token_id, t.vector)
 
 
+def _with_longest(df: DataFrame, ids_col: str, batch_col: str) -> DataFrame:
+    """``__cp_mx``, the longest sequence of the row's batch, from a narrow
+    aggregate; the arrays themselves aren't sorted."""
+    longest = df.groupBy(F.col(batch_col).alias("__cp_batch")).agg(F.max(F.size(ids_col)).alias("__cp_mx"))
+    return df.join(longest, F.col(batch_col).eqNullSafe(F.col("__cp_batch"))).drop("__cp_batch")
+
+
 def pad_batch(df: DataFrame, ids_col: str = "ids", batch_col: str = "batch_id",
               eos_id: int = EOS_ID, pad_id: int = PAD_ID, out_ids: str = "labels",
               out_mask: str = "labels_mask") -> DataFrame:
     """T4 + D5: append EOS, right-pad to the longest sequence of the batch + 1."""
-    d = df.withColumn("__cp_mx", F.max(F.size(ids_col)).over(Window.partitionBy(batch_col)))
+    d = materialize_table(df, "batches")   # read twice: once for the sizes, once for the rows
+    d = _with_longest(d, ids_col, batch_col)
     padded, mask = A.pad_right_eos(F.col(ids_col), F.col("__cp_mx"), eos_id, pad_id)
     return d.withColumn(out_ids, padded).withColumn(out_mask, mask).drop("__cp_mx")
 
@@ -274,7 +289,7 @@ def pad_left_batch(df: DataFrame, ids_col: str = "ids", batch_col: str = "batch_
                    pad_id: int = PAD_ID, out_ids: str = "input_ids",
                    out_mask: str = "input_mask") -> DataFrame:
     """T5: left padding to the longest sequence of the batch."""
-    d = df.withColumn("__cp_mx", F.max(F.size(ids_col)).over(Window.partitionBy(batch_col)))
+    d = _with_longest(materialize_table(df, "batches"), ids_col, batch_col)
     padded, mask = A.pad_left(F.col(ids_col), F.col("__cp_mx"), pad_id)
     return d.withColumn(out_ids, padded).withColumn(out_mask, mask).drop("__cp_mx")
 

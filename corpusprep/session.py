@@ -46,6 +46,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
@@ -58,8 +60,9 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh, uniquely named folder under the shared checkpoint folder."""
     root = checkpoint_root(spark)
     path = f"{root}/corpusprep/{name}-{uuid.uuid4().hex[:12]}"
-    if path.startswith("/") or path.startswith("file:"):
-        os.makedirs(path.replace("file:", "", 1), exist_ok=True)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
     return path
 
 
@@ -70,13 +73,15 @@ def local_path(path: str) -> str:
 
 def spread(df, min_partitions: int | None = None):
     """Give CPU-heavy per-row work (model calls, regexes, lookups) at least
-    one partition per core. Large inputs already have more partitions than
-    cores and pass through untouched; a few big files (or one row group) get
-    a round-robin repartition, which Spark makes retry-safe by sorting first."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
+    one partition per core. Only inputs that the optimizer estimates too small to
+    fill the cores with splits are dealt out round-robin (which Spark makes retry-safe
+    by sorting first); others pass through untouched. The estimate is a figure of the
+    plan: nothing is executed."""
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= want * split else df.repartition(want)
 
 
 def materialize(df, name: str):

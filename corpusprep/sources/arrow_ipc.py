@@ -36,7 +36,7 @@ def _files(path: str) -> list[str]:
                  and ".arrow" in posixpath.basename(f.path) and not f.path.endswith(".inprogress")]
     else:
         parent, pattern = posixpath.split(p)
-        found = fs.get_file_info(pafs.FileSelector(parent or ".", recursive=False))
+        found = fs.get_file_info(pafs.FileSelector(parent or ".", recursive=False, allow_not_found=True))
         names = [f.path for f in found if fnmatch.fnmatch(posixpath.basename(f.path), pattern)]
     prefix = path[: len(path) - len(p)] if "://" in path and path.endswith(p) else ""
     return sorted(prefix + n for n in names)
@@ -69,9 +69,11 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, schema: StructType):
+    def __init__(self, path: str, schema: StructType, overwrite: bool = False):
         self.path = path
         self.schema = schema
+        # files that stood there before an overwrite; they go when the new ones are committed
+        self.old = _files(path) if overwrite else []
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -87,14 +89,23 @@ class _Writer(DataSourceArrowWriter):
             for batch in iterator:
                 w.write_batch(batch)
                 rows += batch.num_rows
-        fs.move(tmp, name)  # a retried task leaves no half-written file behind
         return _Written(name, rows)
 
+    def commit(self, messages):
+        """Only files of successful attempts get their final name."""
+        fs, _ = arrow_fs(self.path)
+        for m in messages:
+            if m is not None:
+                fs.move(m.path + ".inprogress", m.path)
+        for f in self.old:
+            at, p = arrow_fs(f)
+            at.delete_file(p)
+
     def abort(self, messages):
         fs, _ = arrow_fs(self.path)
         for m in messages:
-            if m is not None and fs.get_file_info(m.path).type == pafs.FileType.File:
-                fs.delete_file(m.path)
+            if m is not None and fs.get_file_info(m.path + ".inprogress").type == pafs.FileType.File:
+                fs.delete_file(m.path + ".inprogress")
 
 
 class ArrowIPCDataSource(DataSource):
@@ -109,14 +120,15 @@ class ArrowIPCDataSource(DataSource):
         files = _files(self.options["path"])
         if not files:
             raise ValueError(f"no Arrow IPC files under {self.options['path']!r}")
-        with pa.OSFile(files[0], "rb") as f:
+        fs, p = arrow_fs(files[0])
+        with fs.open_input_stream(p) as f:
             return from_arrow_schema(pa.ipc.open_stream(f).schema)
 
     def reader(self, schema):
         return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"], schema)
+        return _Writer(self.options["path"], schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -8,6 +8,9 @@ reference's ``metadata.json``, but as tables.
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +23,7 @@ MANIFEST_SCHEMA = T.StructType([
     T.StructField("sample_count", T.LongType(), False),
     T.StructField("timestamp", T.StringType(), False),
 ])
+RUN = "__cp_run"   # the run that wrote a row, in data and manifest
 VERSION_SCHEMA = T.StructType([
     T.StructField("version", T.IntegerType(), False),
     T.StructField("split", T.StringType(), False),
@@ -34,32 +38,41 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def write_shards(df: DataFrame, base: str, run_ts: str, shard_col: str = "shard_id",
-                 shards: list[int] | None = None) -> DataFrame:
+def write_shards(df: DataFrame, base: str, run_ts: str, shard_col: str = "shard_id") -> DataFrame:
     """Data under ``base/data/shard_id=<n>`` (dynamic overwrite, so a
-    re-run replaces exactly its shards), then one manifest row per shard
-    counted from the *written* files, so the (possibly expensive) rows are
-    computed once. ``shards`` limits the manifest to the shards just written
-    (a stream epoch); by default every shard in the folder is (re)counted."""
-    spark = df.sparkSession
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    re-run replaces exactly its shards), then one manifest row for each shard of this
+    run, counted from the written files, so the (possibly expensive) rows are computed once.
+
+    Data and manifest rows carry the run's id. Only shards whose data and latest manifest
+    row have the same id are certified, so what a crashed run left behind stays ignored, whatever is
+    written later, and the rows of older runs keep their timestamps. Each run appends
+    one compact manifest file."""
+    spark, run = df.sparkSession, uuid.uuid4().hex
+    (df.withColumn(RUN, F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(shard_col).parquet(f"{base}/data"))
-    counts = spark.read.parquet(f"{base}/data").groupBy(shard_col).count()
-    if shards is not None:
-        counts = counts.where(F.col(shard_col).isin([int(x) for x in shards]))
-    manifest = counts.select(F.col(shard_col).cast("int").alias("shard_id"),
-                             F.col("count").cast("long").alias("sample_count"),
-                             F.date_format(F.to_timestamp(F.lit(run_ts)), TS_FORMAT).alias("timestamp"))
-    (manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("shard_id").parquet(f"{base}/manifest"))
+    if not _exists(spark, f"{base}/data"):   # no rows, no shards
+        return read_manifest(spark, base)
+    schema = T.StructType([T.StructField(RUN, T.StringType()), T.StructField(shard_col, T.IntegerType())])
+    # the run id prunes all files of other runs by their statistics
+    counts = spark.read.schema(schema).parquet(f"{base}/data").where(F.col(RUN) == run).groupBy(shard_col).count()
+    (counts.select(F.col(shard_col).cast("int").alias("shard_id"), F.col("count").cast("long").alias("sample_count"),
+                   F.date_format(F.to_timestamp(F.lit(run_ts)), TS_FORMAT).alias("timestamp"),
+                   F.lit(run).alias(RUN), F.lit(time.time_ns()).cast("long").alias("written"))
+     .write.mode("append").parquet(f"{base}/manifest"))
     return read_manifest(spark, base)
 
 
+def _latest(spark: SparkSession, base: str) -> DataFrame:
+    """The last manifest row of each shard, with its run."""
+    m = spark.read.schema(MANIFEST_SCHEMA.simpleString()[7:-1].replace(":", " ") + f", {RUN} string, written bigint").parquet(f"{base}/manifest")
+    last = F.max_by(F.struct("sample_count", "timestamp", RUN), "written")
+    return m.groupBy("shard_id").agg(last.alias("m")).select("shard_id", "m.*")
+
+
 def read_manifest(spark: SparkSession, base: str) -> DataFrame:
     if not _exists(spark, f"{base}/manifest"):
         return spark.createDataFrame([], MANIFEST_SCHEMA)
-    m = spark.read.parquet(f"{base}/manifest")
-    return m.select(F.col("shard_id").cast("int"), "sample_count", "timestamp")
+    return _latest(spark, base).drop(RUN)
 
 
 def resume_point(spark: SparkSession, base: str) -> DataFrame:
@@ -81,8 +94,10 @@ def scan_shards(spark: SparkSession, base: str, with_provenance: bool = False,
     data = spark.read.parquet(f"{base}/data")
     if with_provenance:
         data = data.withColumn("file_path", F.col("_metadata.file_path"))
-    done = read_manifest(spark, base).select("shard_id")
-    return data.join(done, "shard_id", "left_semi")
+    if not _exists(spark, f"{base}/manifest"):
+        return data.drop(RUN).limit(0)
+    done = _latest(spark, base).select("shard_id", RUN)
+    return data.join(done, ["shard_id", RUN], "left_semi").drop(RUN)
 
 
 def numbered_files(df: DataFrame, shard_col: str, n_shards: int, split: str = "train") -> DataFrame:
@@ -91,11 +106,21 @@ def numbered_files(df: DataFrame, shard_col: str, n_shards: int, split: str = "t
 
 
 def write_numbered(df: DataFrame, out: str, shard_col: str, n_shards: int, split: str = "train") -> None:
-    """One output directory per shard, named by its file label; one
-    file per shard because rows are clustered by the shard column first."""
+    """One file ``out/train-00000-of-00003.parquet`` for each shard, with all
+    columns of ``df`` but the shard. Rows are clustered by shard, so each folder of the partitioned write has one file; the
+    driver only renames files."""
+    spark = df.sparkSession
+    work = f"{out}/_writing-{uuid.uuid4().hex[:8]}"
     labelled = numbered_files(df, shard_col, n_shards, split)
-    (labelled.repartition(shard_col).drop(shard_col)
-             .write.mode("overwrite").partitionBy("file_name").parquet(f"{out}/{split}"))
+    labelled.repartition(shard_col).drop(shard_col).write.partitionBy("file_name").parquet(work)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.globStatus(path(f"{work}/file_name=*/part-*")) or []:
+        name = f.getPath().getParent().getName().split("=", 1)[1]
+        fs.delete(path(f"{out}/{name}"), False)   # of an earlier run
+        fs.rename(f.getPath(), path(f"{out}/{name}"))
+    fs.delete(path(work), True)
 
 
 def descriptor(df: DataFrame, split_col: str, shard_col: str) -> DataFrame:

@@ -38,7 +38,7 @@ def stream_enrich(spark: SparkSession, source: DataFrame, base: str, checkpoint:
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
         out = enrich(batch, key, text_col, client_factory).withColumn("shard_id", F.lit(int(epoch_id)))
-        write_shards(out, base, run_ts, shards=[int(epoch_id)])
+        write_shards(out, base, run_ts)
 
     w = source.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

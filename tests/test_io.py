@@ -164,10 +164,11 @@ def test_stream_enrich_empty_source(spark, tmp_dir):
     assert S.resume_point(spark, f"{tmp_dir}/shards").first()["last_shard_id"] == -1
 
 
-def test_write_numbered_one_dir_per_shard(spark, tmp_dir):
-    df = spark.range(0, 10).select(F.col("id").alias("k"), F.floor(F.col("id") / 4).cast("int").alias("shard_no"))
-    S.write_numbered(df, f"{tmp_dir}/num", "shard_no", 3)
-    dirs = sorted(d for d in os.listdir(local_path(f"{tmp_dir}/num/train")) if d.startswith("file_name="))
-    assert dirs == [f"file_name=train-0000{i}-of-00003.parquet" for i in range(3)]
-    back = spark.read.parquet(f"{tmp_dir}/num/train")
-    assert sorted(r["k"] for r in back.collect()) == list(range(10))
+def test_write_numbered_files(spark, tmp_dir):
+    df = spark.range(0, 10).select(F.col("id").alias("k"), F.format_string("text %d", "id").alias("text"), F.floor(F.col("id") / 4).cast("int").alias("shard_no"))
+    for _ in range(2):   # a second run replaces the files of the first
+        S.write_numbered(df, f"{tmp_dir}/num", "shard_no", 3)
+    names = sorted(d for d in os.listdir(local_path(f"{tmp_dir}/num")) if not d.startswith("."))
+    assert names == [f"train-0000{i}-of-00003.parquet" for i in range(3)]
+    back = spark.read.parquet(f"{tmp_dir}/num/train*.parquet")
+    assert sorted((r["k"], r["text"]) for r in back.collect()) == [(i, f"text {i}") for i in range(10)]
