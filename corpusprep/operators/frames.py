@@ -137,14 +137,18 @@ def _hash_int(parts: list[Column], lo: int, n: int) -> Column:
 
 def spec_augment(df: DataFrame, clip_col: str, frame_col: str, vec_col: str, seed: int,
                  n_time_masks: int = 10, time_mask_param: int = 50, n_freq_masks: int = 2,
-                 freq_mask_param: int = 15, p: float = 0.5, out: str = "features") -> DataFrame:
+                 freq_mask_param: int = 15, p: float = 0.5, out: str = "features",
+                 fill: float = 0.0, training: bool = True) -> DataFrame:
     """G9 on a long-form feature matrix (one row per frame, a vector of
     frequency bins): ``n_time_masks`` time masks of width < min(param, p*T)
     zero whole frames, ``n_freq_masks`` frequency masks of width < param zero
     the same bins in every frame of the clip. Each clip's spans are drawn from
+    (set to ``fill``, e.g. a data mean; not at all unless ``training``) from
     ``md5(seed:kind:clip:mask)``, so every engine and every re-run draws the
     same masks. Clip lengths come from a per-clip count (one row per clip),
     not from a window over a possibly huge clip."""
+    if not training:
+        return df.withColumn(out, F.transform(vec_col, lambda x: x.cast("double")))
     lengths = df.groupBy(clip_col).agg(F.count(F.lit(1)).alias("__cp_T"))
     d = df.join(lengths, clip_col)
     clip, T, bins = F.col(clip_col), F.col("__cp_T"), F.size(vec_col)
@@ -161,8 +165,8 @@ def spec_augment(df: DataFrame, clip_col: str, frame_col: str, vec_col: str, see
                           lambda m: span("f", m, bins.cast("long"), F.lit(freq_mask_param).cast("long")))
     d = d.withColumn("__cp_ts", t_spans).withColumn("__cp_fs", f_spans)
     in_time = F.exists("__cp_ts", lambda s: (F.col(frame_col) >= s["start"]) & (F.col(frame_col) < s["start"] + s["width"]))
-    masked = F.when(in_time, F.array_repeat(F.lit(0.0), bins)).otherwise(
+    masked = F.when(in_time, F.array_repeat(F.lit(float(fill)), bins)).otherwise(
         F.transform(vec_col, lambda x, i: F.when(
-            F.exists("__cp_fs", lambda s: (i >= s["start"]) & (i < s["start"] + s["width"])), F.lit(0.0))
+            F.exists("__cp_fs", lambda s: (i >= s["start"]) & (i < s["start"] + s["width"])), F.lit(float(fill)))
             .otherwise(x.cast("double"))))
     return d.withColumn(out, masked).drop("__cp_T", "__cp_ts", "__cp_fs")

@@ -6,22 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusprep.functions.edit import char_distance, with_word_distance, words
+from corpusprep.session import spread
 
 
 def pair_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
-               text_col: str = "text", partitions: int | None = None) -> DataFrame:
+               text_col: str = "text") -> DataFrame:
     """C4: pair each turn (reference) with the next turn (hypothesis) by an
-    equi-join on (conversation, turn + 1).
-
-    Both sides are hash-partitioned on the join keys with an explicit count:
-    the join reuses that partitioning (no extra shuffle), and AQE does not
-    coalesce it - the edit distances that follow are CPU-bound per pair, so
-    the partition count, not the byte size, decides their parallelism.
-    Partitioning on (conversation, turn) also spreads a huge conversation."""
-    n = partitions or int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ref = turns.select(conv_col, turn_col, F.col(text_col).alias("reference")).repartition(n, conv_col, turn_col)
-    hyp = (turns.select(conv_col, (F.col(turn_col) - 1).alias(turn_col), F.col(text_col).alias("hypothesis"))
-                .repartition(n, conv_col, turn_col))
+    equi-join on (conversation, turn + 1); the key spreads a huge conversation. Spark sizes the
+    join at run time; ``score_pairs`` deals small results out again, as its distances are CPU-bound."""
+    ref = turns.select(conv_col, turn_col, F.col(text_col).alias("reference"))
+    hyp = turns.select(conv_col, (F.col(turn_col) - 1).alias(turn_col), F.col(text_col).alias("hypothesis"))
     return ref.join(hyp, [conv_col, turn_col], "inner")
 
 
@@ -30,6 +24,7 @@ def score_pairs(pairs: DataFrame, ref: str = "reference", hyp: str = "hypothesis
     r, h = F.col(ref), F.col(hyp)
     n_chars = F.length(r)
     n_words = F.size(words(r))
+    pairs = spread(pairs)
     return (with_word_distance(pairs.withColumn("char_edits", char_distance(r, h))
                                     .withColumn("ref_chars", n_chars), r, h)
                  .withColumn("ref_words", n_words)

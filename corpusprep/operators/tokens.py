@@ -81,6 +81,22 @@ def build_vocab(df: DataFrame, text_col: str = "text", specials=SPECIALS,
     return materialize_table(vocab, "vocab") if materialize else vocab
 
 
+def token_ids_with(df: DataFrame, key, text_col: str, tokenizer_factory, out: str = "ids") -> DataFrame:
+    """T2 with any tokenizer: ``tokenizer_factory()`` runs once in each worker
+    task and gives a function ``list[str] -> list[list[int]]``; a null text has no ids."""
+    keys = _keys(key)
+    d = df.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("__cp_text"))
+    schema = T.StructType([d.schema[k] for k in keys] + [T.StructField(out, T.ArrayType(T.IntegerType()), True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = tokenizer_factory()
+        for b in batches:
+            ids = pa.array(encode(b.column(len(keys)).to_pylist()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(list(b.columns[:len(keys)]) + [ids], names=keys + [out])
+
+    return d.mapInArrow(run, schema)
+
+
 def _offsets(lists: pa.ListArray) -> pa.Array:
     """List offsets rebased to 0, matching ``lists.flatten()``."""
     off = lists.offsets

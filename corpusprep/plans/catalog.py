@@ -19,8 +19,9 @@ from corpusprep.operators import enrich as K
 from corpusprep.operators import frames as G
 from corpusprep.operators import metrics as R
 from corpusprep.operators import position as D
+from corpusprep.operators import records as J
 from corpusprep.operators import tokens as TK
-from corpusprep.session import scratch_dir, ship_package, spread
+from corpusprep.session import materialize, scratch_dir, ship_package, spread
 from corpusprep.sources import arrow_ipc, audio
 from corpusprep.sources import sinks as S
 from corpusprep.sources.scan import glob_scan, profile, scan_corpus, table
@@ -230,7 +231,7 @@ def turn_token_ids(spark, sf) -> DataFrame:
 
 def reply_pairs(spark, sf) -> DataFrame:
     """(user turn, next assistant turn) pairs with their token ids."""
-    t = turn_token_ids(spark, sf)
+    t = materialize(turn_token_ids(spark, sf), "turn-ids")   # read by both sides
     u = t.where(F.col("role") == "user").select("conv_id", "turn", F.col("ids").alias("prompt_ids"))
     a = t.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("ids").alias("reply_ids"))
@@ -247,6 +248,16 @@ def q_token_ids(spark, sf):
     return doc_token_ids(spark, sf)
 
 
+def code_point_tokens():
+    """A tokenizer for ``token_ids_with``: the code points of each text."""
+    return lambda texts: [[ord(c) for c in t] for t in texts]
+
+
+@query("char_token_ids")
+def q_char_token_ids(spark, sf):
+    return TK.token_ids_with(docs(spark, sf), "doc_id", "text", code_point_tokens)
+
+
 @query("truncate_inside")
 def q_truncate_inside(spark, sf):
     return doc_token_ids(spark, sf).select(
@@ -529,8 +540,8 @@ def q_json_props(spark, sf):
 @query("schema_enforce")
 def q_schema_enforce(spark, sf):
     ev = table(spark, sf, "events")
-    parsed = F.from_json("props", "k INT")
-    return ev.select("event_id", parsed["k"].alias("k"), parsed["k"].isNotNull().alias("valid"))
+    d = J.enforce(ev.select("event_id", "props"), "props", "k INT")
+    return d.select("event_id", "record.k", (F.col("problem") == "").alias("valid"), "problem")
 
 
 # ---- F: prompts and small string functions --------------------------------------

@@ -121,6 +121,7 @@ PAIRS = f"""(SELECT u.conv_id, u.turn, u.ids AS prompt_ids, a.ids AS reply_ids F
 
 SQL["vocab"] = f"SELECT token, count, token_id FROM {DOC_VOCAB} v"
 SQL["token_ids"] = f"SELECT doc_id, ids FROM {DOC_IDS} i"
+SQL["char_token_ids"] = "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN []::INTEGER[] ELSE list_transform(string_split(text, ''), lambda x: unicode(x)::INTEGER) END AS ids FROM documents"
 SQL["truncate_inside"] = f"SELECT doc_id, list_slice(ids || [0], 1, {C.PROMPT_MAX}) AS ids FROM {DOC_IDS} i"
 SQL["truncate_outside"] = f"SELECT doc_id, list_slice(ids, 1, {C.LABEL_MAX}) || [0] AS ids FROM {DOC_IDS} i"
 SQL["pad_batch"] = f"SELECT doc_id, batch_id, labels, labels_mask FROM {DOC_PADDED} p"
@@ -251,7 +252,8 @@ SQL["map_known_keys"] = """SELECT event_id, ['extra', 'proj.0.weight', 'proj.2.b
 SQL["json_props"] = """SELECT event_id, props->>'$.k' AS k,
   CAST(to_json({'event_id': event_id, 'k': TRY_CAST(props->>'$.k' AS INTEGER)}) AS VARCHAR) AS record FROM events"""
 SQL["schema_enforce"] = """SELECT event_id, TRY_CAST(props->>'$.k' AS INTEGER) AS k,
-  TRY_CAST(props->>'$.k' AS INTEGER) IS NOT NULL AS valid FROM events"""
+  TRY_CAST(props->>'$.k' AS INTEGER) IS NOT NULL AS valid,
+  CASE WHEN TRY_CAST(props->>'$.k' AS INTEGER) IS NOT NULL THEN '' WHEN props IS NULL OR NOT json_valid(props) THEN 'malformed' ELSE 'missing: k' END AS problem FROM events"""
 
 # ---- prompts and small string functions ---------------------------------------------
 NL = "chr(10)"

@@ -53,7 +53,9 @@ def profile(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
             aggs.append(F.lit(None).cast("long").alias(f"__dist_{f.name}"))
         elif exact_distinct:
-            aggs.append(F.count_distinct(c).alias(f"__dist_{f.name}"))
+            # long values travel as a 16-byte digest, not as themselves
+            d = F.unhex(F.md5(c.cast("binary"))) if isinstance(f.dataType, T.StringType) else c
+            aggs.append(F.count_distinct(d).alias(f"__dist_{f.name}"))
         else:
             aggs.append(F.approx_count_distinct(c).alias(f"__dist_{f.name}"))
     wide = df.agg(*aggs)

@@ -36,18 +36,21 @@ def rate_audit(df: DataFrame, caller_col: str, ts_col: str, id_col: str,
     own = base.withColumn("__cp_b", b).withColumn("__cp_own", F.lit(True))
     ctx = (base.withColumn("__cp_b", F.explode(F.sequence(b + 1, b + copies)))
                .withColumn("__cp_own", F.lit(False)))
-    u = own.unionByName(ctx)
-    part = [caller_col, "__cp_b"]
-    frame = Window.partitionBy(*part).orderBy("__cp_us").rangeBetween(-(window_us - 1), 0)
-    peers = Window.partitionBy(*part, "__cp_us")
-    peer_rank = Window.partitionBy(*part, "__cp_us").orderBy(id_col)
-    prior = (F.count(F.lit(1)).over(frame) - (F.count(F.lit(1)).over(peers) - F.row_number().over(peer_rank)) - 1)
-    out = (u.withColumn("prior_requests", prior.cast("long"))
-             .withColumn("__cp_oldest", F.min("__cp_us").over(frame))
+    arrive = own.unionByName(ctx).withColumn("__cp_t", F.col("__cp_us")).withColumn("__cp_in", F.lit(1))
+    # a request leaves the window when W has passed, before a request of that very moment
+    leave = arrive.withColumn("__cp_t", F.col("__cp_us") + window_us).withColumn("__cp_in", F.lit(0)).withColumn("__cp_own", F.lit(False))
+    part, upto = [caller_col, "__cp_b"], (Window.unboundedPreceding, 0)
+    order = ["__cp_t", "__cp_in", id_col]
+    ahead = Window.partitionBy(*part).orderBy(*order).rowsBetween(*upto)
+    back = Window.partitionBy(*part).orderBy(*[F.desc(c) for c in order]).rowsBetween(*upto)
+    # running counts: time follows the number of requests, even of a caller that floods one window
+    prior = F.sum(2 * F.col("__cp_in") - 1).over(ahead) - 1
+    next_out = F.last(F.when(F.col("__cp_in") == 0, F.col("__cp_t")), ignorenulls=True).over(back)
+    out = (arrive.unionByName(leave).withColumn("prior_requests", prior.cast("long")).withColumn("__cp_next", next_out)
              .where("__cp_own"))
     at_limit = F.col("prior_requests") >= max_requests
     return out.select(id_col, caller_col, "prior_requests", at_limit.alias("at_limit"),
-                      F.when(at_limit, F.col("__cp_oldest") + window_us - F.col("__cp_us"))
+                      F.when(at_limit, F.col("__cp_next") - F.col("__cp_us"))
                        .otherwise(F.lit(0)).cast("long").alias("wait_us"))
 
 

@@ -106,3 +106,12 @@ def test_arrow_files_by_uri_and_overwrite(spark, tmp_dir):
     assert spark.read.format(arrow_ipc.FORMAT).load(out).count() == 10
     d.write.format(arrow_ipc.FORMAT).mode("append").save(out)
     assert spark.read.format(arrow_ipc.FORMAT).load(out).count() == 20
+
+
+def test_schema_enforcement_tells_why(spark):
+    from corpusprep.operators import records as J
+    rows = [(1, '{"a": 1, "b": "x"}'), (2, '{"a": 1}'), (3, '{"a": "q"}'), (4, "{broken"), (5, None)]
+    d = spark.createDataFrame(rows, "k int, j string")
+    good, bad = J.accepted_and_rejected(d, "j", "a INT, b STRING")
+    assert [(r.k, r.record.a, r.record.b) for r in good.collect()] == [(1, 1, "x")]
+    assert {r.k: r.problem for r in bad.collect()} == {2: "missing: b", 3: "missing: a, b", 4: "malformed", 5: "malformed"}
