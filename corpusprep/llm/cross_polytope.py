@@ -8,9 +8,9 @@ are scaled to the unit sphere, so that the angle orders as the inner product doe
 (to a millionth) the coordinate is left out.
 
 Equal vectors are one class, so copies never fill a bucket: a class keeps its
-``k + 1`` least ids, which is all that a ranking with ties to the smaller id can use. Each query probes
-the ``probes`` best buckets of each table. In a bucket, cut into chunks of at most
-``chunk`` rows, products rank the members; the best of each chunk travel on, are scored
+``k + 1`` least ids, which is all that a ranking with ties to the smaller id can use; equal queries
+are searched once. Each query probes the ``probes`` best buckets of each table. In a bucket, whose members and
+probes are cut into chunks of about ``chunk`` rows, products rank the members; the best of each chunk travel on, are scored
 exactly in double precision on the original vectors, and the k best stay. A query that finds
 fewer than it should is searched again over all buckets of one table.
 
@@ -179,31 +179,52 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     # before and after the exchange, so a class of a third of all rows sends a few ids from each task
     copies = d.select("v", "id").withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     classes = materialize(copies.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("c", F.col("ids")[0]), "classes")
-    queries = materialize(d.where(is_query).select(F.col("id").alias("c"), "v").dropDuplicates(["c", "v"]), "queries")
+    # each query and c, the least of the queries that have its vector
+    asked = d.where(is_query).select("id", "v").distinct()
+    asked = materialize(asked.join(asked.groupBy("v").agg(F.min("id").alias("c")), "v").select("id", "c", "v"), "queries")
+    queries = asked.where("id = c").select("c", "v").dropDuplicates(["c", "v"])
     hashed = "t int, b bigint, c bigint, v binary"
     members = classes.select("c", "v").mapInArrow(_hashed(tables, functions, 1, greatest, False), hashed)
-    full = members.groupBy("t", "b").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")).where("parts > 1")
-    full = materialize(full, "full-buckets")
+
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        """The number of chunks of the buckets that need more than one."""
+        return materialize(rows.groupBy("t", "b").agg(F.ceil(F.count("*") / chunk).cast("int").alias(name)).where(F.col(name) > 1), name)
+
+    member_parts = parts(members, "m")
+
+    def dealt(rows: DataFrame, probe_parts: DataFrame, own: str, other: str) -> DataFrame:
+        """``rows`` in one of their bucket's chunks, and once for each chunk of the other side."""
+        one = F.lit(1)
+        rows = rows.join(member_parts, ["t", "b"], "left").join(probe_parts, ["t", "b"], "left")
+        rows = rows.withColumn(f"at_{own}", F.pmod(F.xxhash64("c", "v"), F.coalesce(own, one)).cast("int"))
+        return rows.withColumn(f"at_{other}", F.explode(F.sequence(F.lit(0), F.coalesce(other, one) - 1))).drop("m", "p")
 
     def found(probe: DataFrame) -> DataFrame:
-        m = (members.join(full, ["t", "b"], "left").withColumn("s", F.pmod(F.xxhash64("c"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts"))
-        p = probe.join(full, ["t", "b"], "left").withColumn("s", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-        near = p.groupBy("t", "b", "s").cogroup(m.groupBy("t", "b", "s")).applyInPandas(_best(k), "q bigint, c bigint, score double")
+        """(c, id, score): the k + 1 nearest rows of each probing class of queries."""
+        probe_parts = parts(probe, "p")
+        cell = ["t", "b", "at_m", "at_p"]
+        near = (dealt(probe, probe_parts, "p", "m").groupBy(*cell).cogroup(dealt(members, probe_parts, "m", "p").groupBy(*cell))
+                .applyInPandas(_best(k), "q bigint, c bigint, score double"))
         near = near.groupBy("q", "c").agg(F.max("score").alias("score"))
-        near = near.join(classes.select("c", "ids"), "c").select("q", F.explode("ids").alias("id"), "score").where("q != id")
+        near = near.join(classes.select("c", "ids"), "c").select("q", F.explode("ids").alias("id"), "score")
         near = near.groupBy("q", "id").agg(F.max("score").alias("score"))
         order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-        return near.withColumn("rank", order).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
-
-    probe = queries.mapInArrow(_hashed(tables, functions, probes, greatest, True), hashed)
-    first = materialize(found(probe), "neighbours")
-    # queries short of min(k, candidates): over every bucket of the first table
-    want = min(k, d.select("id").distinct().count() - 1)
-    full_lists = first.groupBy(F.col("query_id").alias("c")).count().where(F.col("count") >= want).select("c")
-    short = materialize(queries.join(full_lists, "c", "left_anti"), "short-queries") if want > 0 else None
-    if short is None or short.isEmpty():
-        return first
+        return near.withColumn("n", order).where(F.col("n") <= k + 1).select(F.col("q").alias("c"), "id", "score")
+
+    def ranked(near: DataFrame) -> DataFrame:
+        """Each query's own list: its class's, without itself."""
+        mine = asked.select(F.col("id").alias("query_id"), "c").join(near, "c").where("query_id != id")
+        order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        return (mine.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", order).where(F.col("rank") <= k)
+                .select("query_id", "rank", F.col("id").alias("vec_id"), "score"))
+
+    first = materialize(found(queries.mapInArrow(_hashed(tables, functions, probes, greatest, True), hashed)), "neighbours")
+    # classes short of min(k + 1, rows), the query among them: over every bucket of the first table
+    want = min(k + 1, d.select("id").distinct().count())
+    enough = first.groupBy("c").count().where(F.col("count") >= want).select("c")
+    short = materialize(queries.join(enough, "c", "left_anti"), "short-queries")
+    if short.isEmpty():
+        return ranked(first)
     width = 2 << max(0, sizes[0]["d"] - (greatest is None)).bit_length()  # at least the axes there are
     probe = materialize(short.mapInArrow(_hashed(1, functions, width ** functions, greatest, True), hashed), "all-buckets")
-    second = found(probe)
-    return first.join(short.select(F.col("c").alias("query_id")), "query_id", "left_anti").unionByName(second)
+    return ranked(first.join(short.select("c"), "c", "left_anti").unionByName(found(probe)))
