@@ -62,6 +62,11 @@ def ones_mask(n) -> Column:
     return F.array_repeat(F.lit(1), _l(n))
 
 
+def constant_ids(ids: list[int]) -> Column:
+    """The same literal sequence on every row (no join needed)."""
+    return F.array(*[F.lit(int(i)) for i in ids]).cast("array<int>")
+
+
 def assemble(parts: list[Column]) -> Column:
     """Ordered concatenation of sequence parts."""
     return F.concat(*parts)

@@ -330,7 +330,7 @@ def q_assemble_sequence(spark, sf):
     p = reply_pairs(spark, sf)
     prompt = A.truncate("prompt_ids", PROMPT_MAX)
     reply = A.truncate("reply_ids", PROMPT_MAX, TK.EOS_ID, eos_inside_limit=True)
-    soft = F.array_repeat(F.lit(SOFT_ID), SOFT_LEN)
+    soft = A.constant_ids([SOFT_ID] * SOFT_LEN)
     seq = A.assemble([prompt, soft, reply])
     mask = A.assemble([A.ones_mask(F.size(prompt)), A.ones_mask(SOFT_LEN), A.ones_mask(F.size(reply))])
     return p.select("conv_id", "turn", seq.alias("input_ids"), mask.alias("input_mask"))
@@ -683,6 +683,17 @@ def q_arrow_scan(spark, sf):
     return spark.read.format(arrow_ipc.FORMAT).load(out)
 
 
+@query("arrow_file_order")
+def q_arrow_file_order(spark, sf):
+    """Rows of name-ordered files in the order in which they were written."""
+    arrow_ipc.register(spark)
+    out = scratch_dir(spark, "ipc")
+    docs(spark, sf).select("doc_id", "text").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id") \
+        .write.format(arrow_ipc.FORMAT).mode("append").save(out)
+    d = spark.read.format(arrow_ipc.FORMAT).option("positions", "true").load(out)
+    return D.ordered_index(d, ["file_no", "row_no"]).select("doc_id", "text", "pos")
+
+
 @query("audio_scan")
 def q_audio_scan(spark, sf):
     out = scratch_dir(spark, "wav")

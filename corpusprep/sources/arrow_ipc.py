@@ -1,7 +1,8 @@
 """A4: Arrow IPC stream files as a Spark data source (read and write).
 
 Reading: one input partition per file, files in name order, each yields its
-record batches (no row conversion). Writing: each task writes its partition
+record batches (no row conversion). Option ``positions=true`` adds ``file_no`` (place of the file in
+name order) and ``row_no`` (row in its file), which together order all rows as written. Writing: each task writes its partition
 to one ``part-<partition>-<uuid>.arrows`` stream file.
 """
 
@@ -18,11 +19,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader,
                                     InputPartition, WriterCommitMessage)
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from corpusprep.session import arrow_fs, ship_package
 
 FORMAT = "arrowipc"
+POSITIONS = ("file_no", "row_no")
 
 
 def _files(path: str) -> list[str]:
@@ -43,22 +45,28 @@ def _files(path: str) -> list[str]:
 
 
 class _FilePartition(InputPartition):
-    def __init__(self, path: str):
+    def __init__(self, path: str, number: int):
         super().__init__(path)
-        self.path = path
+        self.path, self.number = path, number
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, positions: bool):
+        self.path, self.positions = path, positions
 
     def partitions(self):
-        return [_FilePartition(f) for f in _files(self.path)]
+        return [_FilePartition(f, i) for i, f in enumerate(_files(self.path))]
 
     def read(self, partition):
         fs, p = arrow_fs(partition.path)
+        row = 0
         with fs.open_input_stream(p) as f:
             for batch in pa.ipc.open_stream(f):
+                if self.positions:
+                    n = batch.num_rows
+                    place = [pa.array([partition.number] * n, pa.int32()), pa.array(range(row, row + n), pa.int64())]
+                    row += n
+                    batch = pa.RecordBatch.from_arrays([*batch.columns, *place], names=[*batch.schema.names, *POSITIONS])
                 yield batch
 
 
@@ -122,10 +130,16 @@ class ArrowIPCDataSource(DataSource):
             raise ValueError(f"no Arrow IPC files under {self.options['path']!r}")
         fs, p = arrow_fs(files[0])
         with fs.open_input_stream(p) as f:
-            return from_arrow_schema(pa.ipc.open_stream(f).schema)
+            found = from_arrow_schema(pa.ipc.open_stream(f).schema)
+        if self._positions():
+            found = found.add(POSITIONS[0], IntegerType()).add(POSITIONS[1], LongType())
+        return found
+
+    def _positions(self) -> bool:
+        return str(self.options.get("positions", "false")).lower() == "true"
 
     def reader(self, schema):
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], self._positions())
 
     def writer(self, schema, overwrite):
         return _Writer(self.options["path"], schema, overwrite)

@@ -17,7 +17,7 @@ PYTHON_BY_DESIGN = {
     "error_split", "clean_transcript", "enrich", "span_split", "sft_prompt", "token_ids", "truncate_inside",
     "truncate_outside", "pad_batch", "pad_left", "label_budget", "detokenise", "embedding_lookup",
     "chat_labels", "target_tokens", "assemble_sequence", "label_mask", "project_vectors", "wer_micro",
-    "arrow_scan", "audio_scan", "audio_prepare", "collate_hook", "chunk_generate", "char_token_ids",
+    "arrow_scan", "arrow_file_order", "audio_scan", "audio_prepare", "collate_hook", "chunk_generate", "char_token_ids",
 }
 
 
