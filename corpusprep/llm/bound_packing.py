@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from corpusprep.llm.common import bounded_batches, materialize
 
 CAPACITY, BLOCK_ROWS, LOOSE_BINS, SHRINK = 2048, 200_000, 64, 8
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 
 class WordTokens:

@@ -18,8 +18,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that go to Python by bytes as well as by rows,
     so that a run of very long texts can't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def text_or_empty(c: str | Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusprep.llm import bound_packing, chat_fold, cross_polytope, lev_toxicity, line_quality, line_winnow, lpt_shards, page_diff, prefix_bpe, simhash_tiles
-from corpusprep.llm.common import bounded_batches, ship_package, table
+from corpusprep.llm.common import bounded_batches, materialize, ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -68,6 +68,8 @@ def packed_pieces(docs: DataFrame) -> DataFrame:
     pieces = bound_packing.cut_pieces(docs.select("doc_id", "text"), vocabularies.path("word_bpe_49k.json"))
     # the digest stands in for the ids, so that packing moves a few numbers for each piece
     pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    # written first: tokenizing and packing in one task would keep two Python workers for each core
+    pieces = materialize(pieces, "pieces")
     return bound_packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
