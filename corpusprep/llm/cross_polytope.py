@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from corpusprep.llm.common import bounded_batches, materialize
 
 TABLES, PROBES, CHUNK, SEED, MARGIN = 16, 12, 4096, 7, 8
+PROBED = 1 << 14  # probes that a task makes at a time
 
 
 @lru_cache(maxsize=64)
@@ -78,13 +80,19 @@ def buckets(x: np.ndarray, table: int, functions: int, probes: int) -> np.ndarra
         if number is None:
             number, value = axes.astype(np.int64), coordinate
             continue
-        number = (number[:, :, None] * width + axes[:, None, :]).reshape(len(x), -1)
-        value = (value[:, :, None] + coordinate[:, None, :]).reshape(len(x), -1)
+        # both sides are in order, so a pair of places (i, j) is beaten by (i + 1) * (j + 1) - 1 others
+        i, j = np.nonzero(np.outer(np.arange(1, number.shape[1] + 1), np.arange(1, axes.shape[1] + 1)) <= probes)
+        number, value = number[:, i] * width + axes[:, j], value[:, i] + coordinate[:, j]
         order = np.argsort(-value, 1, kind="stable")[:, :probes]
         number, value = np.take_along_axis(number, order, 1), np.take_along_axis(value, order, 1)
     return number
 
 
+def default_probes(functions: int) -> int:
+    """As many axes of each function as of a single one: with a fixed number, each further function would lose neighbours."""
+    return PROBES ** functions
+
+
 def to_sphere(x: np.ndarray, greatest: float | None, query: bool) -> np.ndarray:
     """``greatest``: the greatest norm, None if all are alike."""
     norm = (x * x).sum(1)
@@ -119,10 +127,10 @@ def _hashed(tables: int, functions: int, probes: int, greatest: float | None, qu
             if not b.num_rows:
                 continue
             x = to_sphere(stacked(b.column("v").to_pylist()), greatest, query)
-            for t in range(tables):
-                found = buckets(x, t, functions, probes)
-                width = found.shape[1]
-                take = np.repeat(np.arange(b.num_rows), width)
+            few = max(1, PROBED // probes)  # rows at a time, so that many probes don't fill a batch
+            for t, at in product(range(tables), range(0, b.num_rows, few)):
+                found = buckets(x[at:at + few], t, functions, probes)
+                take = np.repeat(np.arange(at, at + len(found)), found.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), t, np.int32)), pa.array(found.ravel()), b.column("c").take(pa.array(take)), b.column("v").take(pa.array(take))], ["t", "b", "c", "v"])
 
     return run
@@ -149,12 +157,12 @@ def _best(k: int):
 
 
 def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES,
-           probes: int = PROBES, functions: int | None = None, chunk: int = CHUNK) -> DataFrame:
+           probes: int | None = None, functions: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row
     that ``is_query`` (a condition on the column ``id``) marks, itself left out.
 
     ``functions``: hash functions of a bucket; by default one for up to 2^20 rows and one more for each further factor of 2^7,
-    so that buckets stay of a size."""
+    so that buckets stay of a size. ``probes``: see ``default_probes``."""
     spark = df.sparkSession
     bounded_batches(spark)
     d = materialize(vectors(df, id_col, vector_col), "vectors")
@@ -166,6 +174,8 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     d, n = d.where(F.col("d") == sizes[0]["d"]), sizes[0]["count"]
     if functions is None:
         functions = 1 + max(0, -(-((n - 1).bit_length() - 20) // 7))
+    if probes is None:
+        probes = default_probes(functions)
 
     @F.arrow_udf("double")
     def norm(v: pa.Array) -> pa.Array:

@@ -78,3 +78,27 @@ def test_several_functions(spark):
     ids = np.arange(600)
     got, want = run(spark, ids, x, k=5, functions=2, probes=24), brute(ids, x, lambda n: n % 20 == 0, 5)
     assert recall(got, want) >= 0.9
+
+
+def test_recall_of_several_functions_as_by_default():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    top = np.argsort(-(x[:20] @ x.T), 1)[:, 1:21]
+    for functions in (1, 2):
+        hit = np.zeros(top.shape, bool)
+        for t in range(C.TABLES):
+            own = C.buckets(x[top.ravel()], t, functions, 1).reshape(20, 20)
+            probed = C.buckets(x[:20], t, functions, C.default_probes(functions))
+            hit |= (own[:, :, None] == probed[:, None, :]).any(2)
+        assert hit.mean() >= 0.9
+
+
+def test_best_pairs_of_axes():
+    x = np.random.default_rng(6).normal(size=(20, 8))
+    both = [np.concatenate([y, -y], 1) for y in (C.rotate(x, 6), C.rotate(x, 7))]
+    value = (both[0][:, :, None] + both[1][:, None, :]).reshape(20, -1)
+    for probes in (1, 5, 24, 256, 300):
+        got = C.buckets(x, 3, 2, probes)
+        assert all(len(set(g)) == min(probes, 256) for g in got.tolist())
+        assert np.allclose(np.take_along_axis(value, got, 1), -np.sort(-value, 1)[:, :probes])
