@@ -6,8 +6,9 @@ chance make the lexicon (at most ``MOST_TERMS``); a logistic regression of a few
 context features sets the score. Only the text is an input.
 
 Scoring, over every whole text: a Levenshtein automaton for each new word runs along the
-lexicon's trie and finds terms of five letters or more within one edit (stems match exactly, as beginnings). A word that
-matches with an edit but stands in clean learning rows is an exception, and a term with several such has no misspellings. Around each hit a window of
+lexicon's trie and finds terms of five letters or more within one edit (stems as beginnings). A word that
+matches with an edit but stands in clean learning rows is an exception. A term keeps its misspellings if its matches with an edit that are
+no exceptions are toxic for the most part, by the rates of the learning rows. Around each hit a window of
 words tells quotation (quotation marks, words of report) from abuse (address in the second person).
 
 Defined results: null and empty texts have no hits and get the score of such texts; ids
@@ -32,6 +33,7 @@ from corpusprep.llm.common import bounded_batches, materialize
 
 FIT_ROWS, MOST_TERMS, WINDOW, CACHE_WORDS = 8000, 400, 6, 300_000
 STEM, LONGEST_STEM, FUZZY, LEAST_SHARE = 4, 12, 5, 0.5
+MISSPELLED = 0.05  # misspellings that are expected for each toxic document that holds a term
 WORD = re.compile(r"[^\W_]+")
 #: Words that report what someone else said, and words that address the reader, in four languages.
 REPORT = frozenset("said says say called calling wrote writes quoted quote quotes word term slur titled dit disait écrit mot sagte sagt schrieb wort genannt dijo dice escribió palabra".split())
@@ -79,18 +81,25 @@ class Trie:
     """The lexicon. A term is met exactly (a stem as the beginning of a word) by
     walking down the trie; terms that may be misspelled are a trie of their own, which the automaton of a
     word walks. One edit leaves the first or the second half of a term as it is, so words that
-    begin and end like no half of a term skip that walk."""
+    begin and end like no half of a term skip that walk. ``near_stems`` does the same for stems."""
 
     def __init__(self, terms: dict[str, tuple[float, bool, bool]]):
-        self.root, self.fuzzy = {}, {}
+        self.root, self.fuzzy, self.stems = {}, {}, {}
+        self.stem_heads: dict[int, set[str]] = {}
+        self.stem_tails: dict[tuple[int, int], set[str]] = {}
         self.heads: dict[int, set[str]] = {}
         self.tails: dict[int, set[str]] = {}
         self.automaton = Levenshtein(1)
         for term, (weight, stem, fuzzy) in terms.items():
             roots = [self.root]
-            if fuzzy and not stem and len(term) >= FUZZY:
+            half = len(term) // 2
+            if fuzzy and stem and len(term) >= FUZZY:
+                roots.append(self.stems)
+                self.stem_heads.setdefault(half, set()).add(term[:half])
+                for at in (half - 1, half, half + 1):  # where the second half stands after an edit in the first
+                    self.stem_tails.setdefault((at, at + len(term) - half), set()).add(term[half:])
+            elif fuzzy and len(term) >= FUZZY:
                 roots.append(self.fuzzy)
-                half = len(term) // 2
                 self.heads.setdefault(half, set()).add(term[:half])
                 self.tails.setdefault(len(term) - half, set()).add(term[half:])
             for node in roots:
@@ -120,6 +129,22 @@ class Trie:
                     todo.append((below, after))
         return out
 
+    def near_stems(self, word: str) -> list[tuple[int, float, str]]:
+        """(1, -weight, stem) of the stems that some beginning of the word is one edit from, and none is equal to."""
+        out: list[tuple[int, float, str]] = []
+        if not (any(word[:k] in s for k, s in self.stem_heads.items()) or any(word[a:b] in s for (a, b), s in self.stem_tails.items())):
+            return out
+        a, todo = self.automaton, [(self.stems, self.automaton.start)]
+        while todo:
+            node, state = todo.pop()
+            for c, below in node.items():
+                if c == "":
+                    if min(e for _, e in state[1]) == 1:
+                        out.append((1, -below[1], below[0]))
+                elif (after := a.step(state, word, c)) is not None:
+                    todo.append((below, after))
+        return out
+
 
 @dataclass
 class Model:
@@ -143,6 +168,8 @@ class Model:
         if len(self.cache) >= CACHE_WORDS:
             self.cache.clear()
         found = self.trie.matches(word) if len(word) >= 3 else []
+        if len(word) >= 3 and not any(e == 0 for e, _, _ in found):
+            found = found + self.trie.near_stems(word)
         best = min(found) if found else None
         if best and best[0] and word in self.exceptions:
             best = None
@@ -262,13 +289,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             out.append(sorted({f"{term} {words[i]}" for i, e, _, term in model.hits(t or "") if e}))
         return pa.array(out, pa.list_(pa.string()))
 
-    # misspelled matches in clean learning rows: at most the words of these rows
-    clean = d.where("y = 0").select(F.explode(near("text")).alias("w")).distinct().collect()
-    seen = [r.w.split(" ") for r in clean]
-    often = Counter(term for term, _ in seen)
-    # a term that one clean word resembles keeps its misspellings but that word; if more do, it has none
-    lexicon = {t: (w, stem, often[t] <= 1) for t, (w, stem, _) in lexicon.items()}
-    exceptions = frozenset(w for _, w in seen)
+    # misspelled matches in learning rows: at most the words of these rows, with the clean and the toxic documents that hold them
+    hits = (d.select("y", F.explode(near("text")).alias("w")).groupBy("w").agg(F.sum(1 - F.col("y")).alias("clean"), F.sum("y").alias("toxic")).collect())
+    exceptions = frozenset(r.w.split(" ")[1] for r in hits if r.clean)
+    # words that only one clean document holds are as many as a clean document would bring new ones; misspellings
+    # in toxic documents are those found there, and a share of the term's own hits. All grow with the rows alike
+    meant, chance = Counter(), Counter()
+    for r in hits:
+        term, near_word = r.w.split(" ")
+        meant[term] += r.toxic if near_word not in exceptions else 0
+        chance[term] += r.clean == 1
+    for t, (w, stem, _) in lexicon.items():
+        of = meant[t] + MISSPELLED * found[t if stem else t + "$"][0]
+        lexicon[t] = (w, stem, of >= LEAST_SHARE * (of + chance[t]))
     model = Model(terms=lexicon, exceptions=exceptions)
 
     @F.arrow_udf("array<double>")

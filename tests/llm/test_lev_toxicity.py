@@ -67,3 +67,31 @@ def test_fit_on_labels(spark):
         low = T.fit(docs, none)
         assert not low.terms and low.score("grobian") < .5
     assert docs.where("false").select(T.score_column(m)).count() == 0
+
+
+def test_near_stems_against_edit_distance():
+    r = random.Random(7)
+    terms = {"".join(r.choice("abc") for _ in range(r.randint(4, 8))): (1.0, r.random() < .6, True) for _ in range(30)}
+    trie = T.Trie(terms)
+    for _ in range(3000):
+        w = "".join(r.choice("abc") for _ in range(r.randint(3, 11)))
+        want = {t for t, (_, stem, _) in terms.items() if stem and len(t) >= T.FUZZY and min(edits(t, w[:k]) for k in range(len(w) + 1)) == 1}
+        assert {t for _, _, t in trie.near_stems(w)} == want, w
+
+
+def test_look_alikes_in_clean_rows_are_the_only_exceptions(spark):
+    r = random.Random(8)
+    rows, labels = [], []
+    for i in range(900):
+        words = ["w%d" % r.randrange(400) for _ in range(r.randint(5, 60))]
+        if i % 6 == 0:
+            words.insert(r.randrange(len(words)), r.choice(["loser", "lummelei", "lummelkopf"]))
+        else:
+            words.append(["lower", "closer", "poser", "w1", "w2"][i % 5])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 6 == 0)))
+    m = T.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {"lower", "closer", "poser"} & set(m.exceptions) and "loser" in m.terms
+    assert m.score("what a looser, l0ser and losr") >= .7 > .3 > m.score("lower and closer, says the poser")
+    assert any(t.startswith("lummel") and stem for t, (_, stem, _) in m.terms.items())
+    assert m.score("what a lumnelkopf") >= .7
