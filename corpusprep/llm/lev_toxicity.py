@@ -12,7 +12,8 @@ no exceptions are toxic for the most part, by the rates of the learning rows. Ar
 words tells quotation (quotation marks, words of report) from abuse (address in the second person).
 
 Defined results: null and empty texts have no hits and get the score of such texts; ids
-that are null or repeat don't matter to a score, and rows with a null id are never learned from; without labels, or
+that are null or repeat don't matter to a score, and rows with a null id are never learned from, and of an id that
+repeats one row; without labels, or
 without toxic ones, there are no terms and all texts get one low score; empty in, empty out; other columns
 pass through.
 """
@@ -250,6 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
            .orderBy(F.xxhash64("id"), "id").limit(fit_rows))
     # at most fit_rows small rows
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").where("text is not null")
+    # an id that repeats is one example: the text of least hash
+    d = d.groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     d = materialize(d, "toxicity-fit")
     n, bad = d.agg(F.count("*"), F.sum("y")).first()
     bad = bad or 0

@@ -95,3 +95,13 @@ def test_look_alikes_in_clean_rows_are_the_only_exceptions(spark):
     assert m.score("what a looser, l0ser and losr") >= .7 > .3 > m.score("lower and closer, says the poser")
     assert any(t.startswith("lummel") and stem for t, (_, stem, _) in m.terms.items())
     assert m.score("what a lumnelkopf") >= .7
+
+
+def test_a_repeated_id_is_one_example(spark):
+    rows = [(i, f"grobian w{i % 50} and more" if i % 4 == 0 else f"w{i % 50} and more") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    one = spark.createDataFrame(rows, "doc_id long, text string")
+    k = next(i for i in range(400) if i % 4 and zlib.crc32(str(i).encode()) % 3 != 1)  # a clean one, learned from
+    many = one.unionByName(spark.createDataFrame([rows[k]] * 500, "doc_id long, text string"))
+    a, b = T.fit(one, labels), T.fit(many.repartition(3), labels)
+    assert a.terms == b.terms and a.terms and a.exceptions == b.exceptions and max(abs(x - y) for x, y in zip(a.weights, b.weights)) < 1e-9
