@@ -4,7 +4,8 @@ Only DataFrame expressions. Lines that hold a word are hashed (trimmed). A gram
 run of lines that begin within ``gram_words`` words from its first line; its hash is a
 candidate fingerprint. In every stretch of gram starts within ``window_words`` words the least
 hash is selected, so two equal passages of ``gram_words + window_words`` words or more select
-the same fingerprint somewhere, wherever they stand. Fingerprints that occur again are joined
+the same fingerprint somewhere, if they are made of whole lines; a passage inside
+lines with other text around it is not found. Fingerprints that occur again are joined
 with their first occurrence (least id, then position), and each match is extended line by line
 to both sides as far as the next fingerprint of a longer match can be; so the deleted
 stretches join up over the whole repeated run. All later repeats are deleted,
