@@ -5,12 +5,13 @@ Each query applies its operator to the whole table and derives its digest column
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import bound_packing, chat_fold, cross_polytope, lev_toxicity, line_quality, line_winnow, lpt_shards, page_diff, prefix_bpe, simhash_tiles
+from corpusprep.llm import bound_packing, chat_fold, cross_polytope, lev_toxicity, line_quality, line_winnow, lpt_shards, page_diff, periodic_runs, prefix_bpe, simhash_tiles
 from corpusprep.llm.common import bounded_batches, materialize, ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +125,25 @@ def op9_simhash_near_dedup(spark, sf):
 @query
 def op10_quality_rules(spark, sf):
     return line_quality.judge(documents(spark, sf)).drop("text", "clean_text")
+
+
+def stretched(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words that op12 searches: those of every tenth document go on as a period from some word on. A null id leaves them as they are."""
+    h, n = 1 if doc_id is None else zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i if i < a else a + (i - a) % p] for i in range(n)]
+
+
+@query
+def op12_periodic_runs(spark, sf):
+    d = periodic_runs.find_runs(documents(spark, sf), id_col="doc_id", rewrite=stretched).select("doc_id", "runs", "collapsed")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    d = d.withColumn("best", longest)
+    return d.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.n").alias("length"),
+                    (-F.col("best.p")).alias("period"), F.expr("1000 * best.n div -best.p").alias("exponent_milli"),
+                    F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

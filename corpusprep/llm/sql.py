@@ -75,4 +75,26 @@ k as (select u.doc_id, coalesce(string_agg(x, chr(10) order by pos) filter (wher
 select doc_id, k.text as text, coalesce(removed, '') as removed, coalesce(n_removed, 0)::bigint as n_removed from k left join d using (doc_id)
 """
 
-ORACLES = {"op4_line_dedup": OP4, "op6_chat_formatting": OP6, "op10_quality_rules": OP10}
+OP12 = rf"""
+with crc as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+d as (select row_number() over () as k, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}'), lambda x: x <> '') as w,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as h from documents, crc),
+s as (select k, doc_id, w, len(w) as n, h % 10 = 0 and len(w) > 0 as on_, h // 10 as g, (h // 10) % len(w) as a from d),
+e as (select k, unnest(w) as x, generate_subscripts(w, 1) - 1 as i from s where on_ is not true
+  union all select k, w[j + 1] as x, i from (select k, w, i, case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end as j from (select *, unnest(range(n)) as i from s where on_))),
+-- five words on: a run of period q has at least that many places that equal those q words on
+f as (select k, i, hash(x, lead(x, 1) over o, lead(x, 2) over o, lead(x, 3) over o, lead(x, 4) over o) as h5, count(*) over (partition by k) as n from e window o as (partition by k order by i)),
+f5 as (select * from f where i + 5 <= n),
+m as (select f5.k, f5.i, v.i - f5.i as q from f5 join f5 as v on f5.k = v.k and f5.h5 = v.h5 and v.i > f5.i where 4 * (v.i - f5.i) <= f5.n),
+b as (select k, q, min(i) as start, max(i) + 5 + q - min(i) as length from (select *, i - row_number() over (partition by k, q order by i) as island from m) group by k, q, island),
+r as (select k, start, length, min(q) as period from b where length >= greatest(6, 4 * q) group by k, start, length),
+a as (select k, count(*) as n_runs, arg_max({{'s': start, 'n': length, 'p': period}}, [length, -start, -period]) as best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from r group by k),
+gone as (select distinct k, unnest(range(start + period, start + length)) as i from r),
+c as (select e.k, string_agg(x, ' ' order by e.i) as t from e anti join gone on e.k = gone.k and e.i = gone.i group by e.k)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.s::bigint as start, best.n::bigint as length, best.p::bigint as period, (1000 * best.n // best.p)::bigint as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(c.t, '')) as collapsed_sha256
+from d left join a using (k) left join c using (k)
+"""
+
+ORACLES = {"op4_line_dedup": OP4, "op6_chat_formatting": OP6, "op10_quality_rules": OP10, "op12_periodic_runs": OP12}
