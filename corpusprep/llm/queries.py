@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import bound_packing, chat_fold, cross_polytope, lev_toxicity, line_quality, line_winnow, lpt_shards, page_diff, periodic_runs, prefix_bpe, simhash_tiles
+from corpusprep.llm import bound_packing, chat_fold, cross_polytope, lev_toxicity, line_quality, line_winnow, lpt_shards, page_diff, periodic_runs, pivot_distance, prefix_bpe, simhash_tiles
 from corpusprep.llm.common import bounded_batches, materialize, ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +147,8 @@ def op12_periodic_runs(spark, sf):
     return d.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.n").alias("length"),
                     (-F.col("best.p")).alias("period"), F.expr("1000 * best.n div -best.p").alias("exponent_milli"),
                     F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_pivot_distance_topk(spark, sf):
+    return pivot_distance.search(table(spark, sf, "embeddings").select("vec_id", "embedding"), F.expr("id % 50 = 0"), k=5)

@@ -97,4 +97,11 @@ select doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.s::bigint as start, b
 from d left join a using (k) left join c using (k)
 """
 
-ORACLES = {"op4_line_dedup": OP4, "op6_chat_formatting": OP6, "op10_quality_rules": OP10, "op12_periodic_runs": OP12}
+OP13 = """
+with e as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, e.vec_id, list_inner_product(q.v, e.v)::bigint as score from e as q, e where q.vec_id % 50 = 0 and q.vec_id <> e.vec_id)
+select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+"""
+
+ORACLES = {"op4_line_dedup": OP4, "op6_chat_formatting": OP6, "op10_quality_rules": OP10, "op12_periodic_runs": OP12, "op13_pivot_distance_topk": OP13}
