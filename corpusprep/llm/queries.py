@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import bound_packing, chat_fold, cross_polytope, lev_toxicity, line_quality, line_winnow, lpt_shards, page_diff, periodic_runs, pivot_distance, prefix_bpe, simhash_tiles
+from corpusprep.llm import bound_packing, chat_fold, cross_polytope, lev_toxicity, line_quality, line_winnow, lpt_shards, page_diff, periodic_runs, pivot_distance, prefix_bpe, simhash_tiles, sliced_search
 from corpusprep.llm.common import bounded_batches, materialize, ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +127,11 @@ def op10_quality_rules(spark, sf):
     return line_quality.judge(documents(spark, sf)).drop("text", "clean_text")
 
 
+@query
+def op11_sliced_bloom_search(spark, sf):
+    return sliced_search.search(documents(spark, sf), table(spark, sf, "benchmark").select("item_id", "text"), k=20)
+
+
 def stretched(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words that op12 searches: those of every tenth document go on as a period from some word on. A null id leaves them as they are."""
     h, n = 1 if doc_id is None else zlib.crc32(str(doc_id).encode()), len(words)

@@ -75,6 +75,19 @@ k as (select u.doc_id, coalesce(string_agg(x, chr(10) order by pos) filter (wher
 select doc_id, k.text as text, coalesce(removed, '') as removed, coalesce(n_removed, 0)::bigint as n_removed from k left join d using (doc_id)
 """
 
+OP11 = r"""
+with d as (select row_number() over () as k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+i as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+q as (select item_id, term, count(*) as repeats from i group by all),
+c as (select count(*)::hugeint::bigint as n, sum(len(t))::bigint as l from d where len(t) > 0),
+f as (select k, doc_id, len(t) as size, unnest(t) as term from d),
+tf as (select k, doc_id, size, term, count(*) as tf from f where term in (select term from q) group by all),
+w as (select term, floor(1000 * ln((2 * n + 2)::double / (2 * count(*) + 1)))::bigint as w from tf, c group by term, n),
+s as (select item_id, k, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * size * n) // l))))::bigint as score
+      from q join tf using (term) join w using (term), c group by item_id, k, doc_id)
+select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0) where rank <= 20
+"""
+
 OP12 = rf"""
 with crc as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
 d as (select row_number() over () as k, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}'), lambda x: x <> '') as w,
@@ -104,4 +117,4 @@ s as (select q.vec_id as query_id, e.vec_id, list_inner_product(q.v, e.v)::bigin
 select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
 """
 
-ORACLES = {"op4_line_dedup": OP4, "op6_chat_formatting": OP6, "op10_quality_rules": OP10, "op12_periodic_runs": OP12, "op13_pivot_distance_topk": OP13}
+ORACLES = {"op11_sliced_bloom_search": OP11, "op4_line_dedup": OP4, "op6_chat_formatting": OP6, "op10_quality_rules": OP10, "op12_periodic_runs": OP12, "op13_pivot_distance_topk": OP13}
