@@ -22,6 +22,7 @@ with its own ranks. Only the named columns are read.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ from corpusprep.llm.common import bounded_batches, materialize
 STEPS = (1, 2, 4, 8, 16, 32, 64, 1 << 40)
 #: Documents of a block, bits of a signature for each pair in it, rows that a pair sets, bytes that a block's bits may take unpacked.
 DOCS, BITS, HASHES, UNPACKED = 1024, 24, 8, 32 << 20
+#: Terms that a task counts or whose hashes it keeps at a time.
+TERMS = 100_000
 #: Bytes of item texts that a block of items holds about.
 ITEM_BYTES = 1 << 20
 #: Documents of greatest bound that give an item its first exact scores, for each one wanted.
@@ -69,7 +72,8 @@ class Block:
     """Documents of one block as they come in."""
 
     def __init__(self):
-        self.ids, self.sizes, self.hashes, self.steps, self.lengths, self.most = [], [], [], [], [], 1
+        self.ids, self.sizes, self.lengths, self.most = [], [], [], 1
+        self.hashes, self.steps = array("Q"), array("B")  # of all documents, one after another
 
     def add(self, doc_id, size: int, hashes: list[int], steps: list[int]) -> None:
         self.ids.append(doc_id)
@@ -89,7 +93,7 @@ class Block:
     def row(self) -> dict:
         n, n_rows = len(self.ids), self.n_rows
         bits = np.zeros((n, n_rows), np.uint8)
-        at = rows_of(np.array(self.hashes, np.uint64), np.array(self.steps, np.uint64), n_rows)
+        at = rows_of(np.frombuffer(self.hashes, np.uint64), np.frombuffer(self.steps, np.uint8), n_rows)
         bits[np.repeat(np.arange(n), self.lengths)[:, None], at] = 1
         slices = np.packbits(bits, axis=0).T
         return {"ids": self.ids, "sizes": np.array(self.sizes, "<i8").tobytes(), "n_rows": n_rows, "slices": np.ascontiguousarray(slices).tobytes()}
@@ -107,7 +111,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs = terms = 0
 
     def counted() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"term": t.decode(), "df": n} for t, n in df.items()], SCHEMA)
+        known = {"term": pa.array(df.keys(), pa.binary()).cast(pa.string()), "df": pa.array(df.values(), pa.int64())}
+        return pa.RecordBatch.from_arrays([known.get(f.name, pa.nulls(len(df), f.type)) for f in SCHEMA], schema=SCHEMA)
 
     for b in batches:
         for doc_id, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
@@ -129,10 +134,10 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block.add(doc_id, len(words), h, steps)
             if block.full():
                 yield pa.RecordBatch.from_pylist([blocks.pop(len(h).bit_length()).row()], SCHEMA)
-        if len(df) > 200_000:
+        if len(df) > TERMS:
             yield counted()
             df.clear()
-        if len(hashes) > 200_000:
+        if len(hashes) > TERMS:
             hashes.clear()
     for block in blocks.values():
         yield pa.RecordBatch.from_pylist([block.row()], SCHEMA)
