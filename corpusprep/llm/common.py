@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusprep.session import materialize, ship_package
 
-__all__ = ["bounded_batches", "materialize", "row_key", "ship_package", "table", "text_or_empty"]
+__all__ = ["bounded_batches", "cycles_kept", "materialize", "row_key", "ship_package", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,6 +26,18 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+@contextmanager
+def cycles_kept() -> Iterator[None]:
+    """Without Python's search for cyclic garbage, for a batch of work that makes no cycles: with large caches it walks through them again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusprep.llm.common import bounded_batches
+from corpusprep.llm.common import bounded_batches, cycles_kept
 
 CACHE_WORDS = 500_000
 
@@ -129,11 +129,15 @@ class PrefixTable:
         made, pairs, may_follow, longest = v.made.get, v.pairs.get, v.may_follow, v.longest
         for e in range(begin + 1, end + 1):
             # only one start can be right, so the order of trial is free: first the
-            # start of the last token so far, then all others from the longest
+            # start of the last token so far, then the last byte alone, then all others from the longest
             if last:
                 s = first[-1]
                 token = made(data[s:e])
-                if token is not None and (not s or pairs((last[s - 1], token)) or may_follow(last[s - 1], token)):
+                if token is None or s and not (pairs((last[s - 1], token)) or may_follow(last[s - 1], token)):
+                    s, token = e - 1, made(data[e - 1:e])
+                    if token is not None and not (pairs((last[s - 1], token)) or may_follow(last[s - 1], token)):
+                        token = None
+                if token is not None:
                     last.append(token)
                     first.append(s)
                     continue
@@ -198,35 +202,17 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         # a chunk may only begin at a space that follows no white space
         self.unsafe = regex.compile(r"\s ").search
-        self.words, self.chunks = _Cache(self.word), _Cache(lambda c: self.plain(" " + c))
+        self.words, self.chunks = Generations(self.new_words, CACHE_WORDS), Generations(self.new_chunks, CACHE_WORDS)
         self.table = np.array([self.v.bytes.get(k, b"") for k in range(max(self.v.bytes, default=-1) + 1)], object)
 
-    def word(self, word: str) -> bytes:
-        b = word.encode("utf-8")
-        whole = self.v.ranks.get(b)
-        ids = [whole] if whole is not None else PrefixTable(self.v, b).tokens()
-        return struct.pack(f"<{len(ids)}i", *ids)
-
-    def learn(self, texts: list[str | None]) -> None:
-        """Put the new words and chunks of ``texts`` into the caches; the words in sorted
-        order, so that each takes the entries of the prefix it shares with the one before."""
-        all_chunks = {c for t in texts if t and not self.unsafe(t) for c in t.split(" ")[1:]}
-        new = all_chunks - self.chunks.keys()
-        if len(self.chunks) + len(new) >= CACHE_WORDS:
-            self.chunks.clear()
-            new = all_chunks
-        find = self.find
-        split = [(c, find(" " + c)) for c in new if len(c) <= 64]
-        words = {w for _, ws in split for w in ws} - self.words.keys()
-        if len(self.words) + len(words) >= CACHE_WORDS:
-            self.words.clear()
-            words = {w for _, ws in split for w in ws}
-        table, ranks = PrefixTable(self.v), self.v.ranks
+    def new_words(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each word; in sorted order, so that each takes the entries of the prefix it shares with the one before."""
+        table, ranks, out = PrefixTable(self.v), self.v.ranks, {}
         for word in sorted(w.encode("utf-8") for w in words):
             whole = ranks.get(word)
             if whole is None:
-                old, k = table.data, 0
-                for x, y in zip(old, word):
+                k = 0
+                for x, y in zip(table.data, word):
                     if x != y:
                         break
                     k += 1
@@ -235,43 +221,59 @@ class Encoder:
                 ids = table.tokens()
             else:
                 ids = [whole]
-            self.words[word.decode("utf-8")] = struct.pack(f"<{len(ids)}i", *ids)
-        known = self.words.__getitem__
-        for c, ws in split:
-            self.chunks[c] = known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws))
-
-    def plain(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.find(text)))
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.unsafe(text):
-            return self.plain(text)
-        head, *rest = text.split(" ")
-        if rest and not rest[-1]:  # a last space stands alone
-            return self.plain(head) + self.many(rest[:-1]) + self.plain(" ")
-        return self.plain(head) + self.many(rest)
-
-    def many(self, chunks: list[str]) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, chunks))
+            out[word.decode("utf-8")] = struct.pack(f"<{len(ids)}i", *ids)
+        return out
+
+    def new_chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        find = self.find
+        return self.joined([(c, find(" " + c)) for c in chunks])
+
+    def joined(self, split: list[tuple[object, list[str]]]) -> dict:
+        known = self.words.of({w for _, ws in split for w in ws}).__getitem__
+        return {c: known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws)) for c, ws in split}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; new words of all texts are encoded together."""
+        split, whole = {}, {}  # by place: chunks; what the pattern is matched on in full
+        for k, t in enumerate(texts):
+            if not t:
+                continue
+            if self.unsafe(t):
+                whole[k] = t
+                continue
+            chunks = t.split(" ")
+            last = " " if len(chunks) > 1 and not chunks[-1] else ""  # a last space stands alone
+            whole[k], split[k] = chunks[0], (chunks[1:-1] if last else chunks[1:], last)
+        heads = self.joined([(k, self.find(t)) for k, t in whole.items()])
+        end = self.joined([(" ", self.find(" "))])[" "]
+        known = self.chunks.of(set().union(*(c for c, _ in split.values()))).__getitem__
+        rest = {k: b"".join(map(known, c)) + (end if last else b"") for k, (c, last) in split.items()}
+        return [heads.get(k, b"") + rest.get(k, b"") for k in range(len(texts))]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(self.table[ids].tolist())
 
 
-class _Cache(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
+class Generations:
+    """A bounded cache in two halves: when the newer one is full it becomes the older one, whose entries come back as they are asked for."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.new, self.old, self.long = make, most // 2, {}, {}, []
 
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if len(key) <= 64:
-            self[key] = value
-        return value
+    def of(self, keys: set[str]) -> dict[str, bytes]:
+        """A table that holds all of ``keys``, until the next call; long ones are not kept longer."""
+        for k in self.long:
+            self.new.pop(k, None)
+        missing = keys.difference(self.new)  # unlike the minus of a set and a table's keys, this walks through the set alone
+        if len(self.new) + len(missing) > self.most:
+            self.new, self.old, missing = {}, self.new, keys
+        old = self.old
+        back = [k for k in missing if k in old]
+        self.new.update(zip(back, map(old.__getitem__, back)))
+        missing = missing.difference(back)
+        self.long = [k for k in missing if len(k) > 64]
+        self.new.update(self.make(missing))
+        return self.new
 
 
 @lru_cache(maxsize=2)
@@ -284,9 +286,8 @@ def encode_column(text: str | Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        e, texts = encoder(path, pattern), texts.to_pylist()
-        e.learn(texts)
-        raw = [e.encode(t) for t in texts]
+        with cycles_kept():
+            raw = encoder(path, pattern).encode(texts.to_pylist())
         ends = np.cumsum([0, *(len(b) // 4 for b in raw)], dtype=np.int64)
         values = pa.array(np.frombuffer(b"".join(raw), "<i4"), pa.int32())
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
