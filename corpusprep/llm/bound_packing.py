@@ -26,60 +26,73 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusprep.llm.common import bounded_batches, materialize
+from corpusprep.llm.common import bounded_batches, cycles_kept, materialize
+from corpusprep.llm.prefix_bpe import Generations
 
 CAPACITY, BLOCK_ROWS, LOOSE_BINS, SHRINK = 2048, 200_000, 64, 8
-CACHE_WORDS = 150_000
+CACHE_WORDS = 500_000
 
 
 class WordTokens:
     """Ids of whole texts. No token spans white space or two of the matches of
-    ``SPLIT``, so the ids of a text are those of its matches, cached. New ones are encoded many at a
-    time, joined by spaces; as the last token of each, and no other, is one that ends words, the
-    ids fall apart into words again. Texts with other than Latin letters go to the tokenizer whole."""
+    ``SPLIT``, so the ids of a text are those of its chunks between white space, cached, and theirs are those of their matches. New ones are encoded many at a
+    time by the tokenizer's model, joined by spaces; as the last token of each, and no other, is one that ends words, the
+    ids fall apart into words again. Texts with other than Latin letters, and those that may hold one of the tokenizer's special strings, go to the tokenizer whole."""
 
     #: How the tokenizer's file splits words.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
+        self.words_only = Tokenizer(self.t.model)  # words that are normalized and split already, their bytes as the model's letters
+        self.words_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.t.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.special = [normalize("NFC", a.content).lower() for a in self.t.get_added_tokens_decoder().values()]
         self.find, self.latin = regex.compile(self.SPLIT).findall, re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]*").fullmatch
-        self.words: dict[str, bytes] = {}
+        # a byte's letter: itself if it prints in Latin-1, else one of those from U+0100 on, in order
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+        self.words, self.chunks = Generations(self.new_words, CACHE_WORDS), Generations(self.new_chunks, CACHE_WORDS)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
+    def new_words(self, words: set[str]) -> dict[str, bytes]:
+        out, words = {}, list(words)
         for k in range(0, len(words), 4000):
             part = words[k:k + 4000]
-            ids = np.array(self.t.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            joined = " ".join([w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in part])
+            ids = np.array(self.words_only.encode(joined, add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part) or cuts[-1] != len(ids):
-                self.words.update((w, self.whole(w)) for w in part)
+                out.update((w, self.whole(w)) for w in part)
                 continue
             raw, cuts = ids.tobytes(), (4 * cuts).tolist()
-            self.words.update((w, raw[a:b]) for w, a, b in zip(part, [0, *cuts], cuts))
+            out.update((w, raw[a:b]) for w, a, b in zip(part, [0, *cuts], cuts))
+        return out
+
+    def new_chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        find = self.find
+        split = [(c, [c] if c.isalpha() else find(c)) for c in chunks]
+        known = self.words.of({w for _, ws in split for w in ws}).__getitem__
+        return {c: known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws)) for c, ws in split}
 
     def encode(self, texts: list[str], end: bytes) -> Iterator[bytes]:
         """The ids of each text, and ``end``, for a few hundred texts at a time."""
         for k in range(0, len(texts), 400):
             part = texts[k:k + 400]
-            split = [self.find(normalize("NFC", t).lower()) if self.latin(t) else None for t in part]
-            seen = set().union(*filter(None, split))
-            new = seen - self.words.keys()
-            if len(self.words) + len(new) > CACHE_WORDS:
-                self.words.clear()
-                new = seen
-            self.learn(list(new))
-            for t, words in zip(part, split):
-                yield (self.whole(t) if words is None else b"".join(map(self.words.__getitem__, words))) + end
+            split = []
+            for t in part:
+                plain = normalize("NFC", t).lower() if self.latin(t) else None
+                split.append(None if plain is None or any(s in plain for s in self.special) else plain.split())
+            known = self.chunks.of(set().union(*filter(None, split))).__getitem__
+            for t, chunks in zip(part, split):
+                yield (self.whole(t) if chunks is None else b"".join(map(known, chunks))) + end
 
 
 @lru_cache(maxsize=2)
@@ -93,7 +106,8 @@ def token_column(text: str | Column, path: str, end_id: int = 0) -> Column:
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
         end, raw = int(end_id).to_bytes(4, "little"), [t or "" for t in texts.to_pylist()]
-        return pa.array(list(tokens_of(path).encode(raw, end)), pa.binary())
+        with cycles_kept():
+            return pa.array(list(tokens_of(path).encode(raw, end)), pa.binary())
 
     return ids(F.col(text) if isinstance(text, str) else text)
 

@@ -55,7 +55,6 @@ def test_bound_never_exceeds_the_optimum():
 
 def test_tokens_match_the_library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     r = random.Random(2)
     texts = ["", " ", "A b\tC\n\nd é É é <|endoftext|> it's I'LL ΑΣ Σ", "x" * 500, "a b c\u0085d", "́ a"]
     texts += ["".join(r.choice("aB 'sé\n\t1.!　あ́ΣİK​\x1c\x85") for _ in range(r.randint(1, 60))) for _ in range(3000)]
