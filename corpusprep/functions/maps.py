@@ -30,11 +30,14 @@ def strip_prefix(m, prefix: str = PROJECTOR_PREFIX) -> Column:
     """H2: keep keys starting with ``prefix`` and delete every occurrence of it
     from the key (``str.replace`` semantics, not only the head). When two keys
     become the same, the later entry stays."""
-    kept = F.map_entries(F.map_filter(_c(m), lambda k, v: k.startswith(prefix)))
-    new = F.transform(kept, lambda e: F.replace(e["key"], F.lit(prefix), F.lit("")))
-    last = F.filter(F.transform(kept, lambda e, i: F.struct(F.get(new, i).alias("key"), e["value"].alias("value"), i.alias("i"))),
-                    lambda e: ~F.array_contains(F.slice(new, e["i"] + 2, F.size(new)), e["key"]))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
+    kept = F.map_filter(_c(m), lambda k, v: k.startswith(prefix))
+    new = F.transform(F.map_keys(kept), lambda k: F.replace(k, F.lit(prefix), F.lit("")))
+    pairs = F.arrays_zip(new.alias("key"), F.map_values(kept).alias("value"))
+    # two keys become the same only rarely: then one fold from the last entry on, which keeps the first of each key that it meets
+    none = F.slice(pairs, 1, 0)
+    folded = F.reverse(F.aggregate(F.reverse(pairs), none, lambda seen, e: F.when(F.exists(seen, lambda s: s["key"] == e["key"]), seen)
+                                   .otherwise(F.concat(seen, F.array(e)))))
+    return F.when(F.size(F.array_distinct(new)) == F.size(new), F.map_from_arrays(new, F.map_values(kept))).otherwise(F.map_from_entries(folded))
 
 
 def update_known(model, pretrained) -> Column:

@@ -140,6 +140,13 @@ def is_error(text) -> Column:
     return _c(text).startswith(ERROR_PREFIX)
 
 
+def set_apart(text, specials) -> Column:
+    """``text`` with a space before and after each occurrence of the strings ``specials``, so that they are words of their own;
+    where several begin, the longest counts."""
+    any_of = "|".join(r"\Q" + s + r"\E" for s in sorted(specials, key=len, reverse=True))
+    return F.regexp_replace(_c(text), f"({any_of})", " $1 ")
+
+
 def split_words(text, pattern: str = r"[ \n]+") -> Column:
     """Tokens between separators (``pattern`` is a repeated separator class);
     leading/trailing separators are cut first, so no empty tokens appear and

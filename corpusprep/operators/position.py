@@ -66,19 +66,21 @@ def ordered_index(df: DataFrame, order_cols, partition_cols=None, proxy: Column
     """Dense 0-based position of each row in ``order_cols`` order,
     globally or within ``partition_cols``. ``order_cols`` must be unique per
     group (add a tie-breaker). ``proxy`` is a numeric column, non-decreasing in
-    the order; default: the first order column, if it is numeric, else the rows
-    are cut by ``range_index``. Null groups are groups like any other."""
+    the order; default: the order column, if it is a single numeric one, else the rows
+    are cut by ``range_index``: a first column of several may hold one value on most rows. Null groups are groups like any other."""
     order = order_cols if isinstance(order_cols, (list, tuple)) else [order_cols]
     part = _cols(partition_cols)
     prox = proxy if proxy is not None else (F.col(order[0]) if isinstance(order[0], str) else order[0])
-    if proxy is None and not isinstance(df.select(prox.alias("p")).schema["p"].dataType, T.NumericType):
+    if proxy is None and (len(order) > 1 or not isinstance(df.select(prox.alias("p")).schema["p"].dataType, T.NumericType)):
         return range_index(df, order, part, pos_col)
     d = df.withColumn(_PROXY, F.coalesce(prox.cast("double"), F.lit(float("-inf"))))
     lo = min_buckets if min_buckets is not None else df.sparkSession.sparkContext.defaultParallelism
-    _, bounds = quantile_boundaries(d, F.col(_PROXY), n_buckets, rows_per_bucket, max_buckets, lo)
+    n, bounds = quantile_boundaries(d, F.col(_PROXY), n_buckets, rows_per_bucket, max_buckets, lo)
     splits = [float("-inf")] + [b for b in bounds if math.isfinite(b)] + [float("inf")]
+    if len(splits) < 3 and n > rows_per_bucket:
+        return range_index(d.drop(_PROXY), order, part, pos_col)  # the stand-in doesn't tell the rows apart
     if len(splits) < 3:
-        # one bucket (tiny input, or every key has the same proxy): no offsets
+        # one bucket of a tiny input: no offsets
         w = Window.partitionBy(*part).orderBy(*order)
         return (d.drop(_PROXY)
                  .withColumn(pos_col, (F.row_number().over(w) - 1).cast("long")))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusprep.functions import arrays as A
-from corpusprep.functions.text import split_words
+from corpusprep.functions.text import set_apart, split_words
 from corpusprep.operators.position import range_index
 from corpusprep.session import materialize as materialize_table
 from corpusprep.session import spread
@@ -65,22 +65,40 @@ def _c(x) -> Column:
 
 
 def build_vocab(df: DataFrame, text_col: str = "text", specials=SPECIALS,
-                pattern: str = r"[ \n]+", materialize: bool = True) -> DataFrame:
+                pattern: str = r"[ \n]+", materialize: bool = True, special_rows: bool = False) -> DataFrame:
     """(token, count, token_id); ids by count desc then token, after the
-    special tokens. The counts and the vocabulary are written as tables in the
+    special tokens. With ``special_rows`` the special tokens are cut out of the texts wherever they stand, counted, and
+    rows of the vocabulary like all others, with ids from 0 (count 0 if none stands in a text): so ``special_texts`` and ``token_ids`` give a special
+    string its own id, and ``detokenise(..., skip_ids=())`` renders it. The counts and the vocabulary are written as tables in the
     shared checkpoint folder, so the corpus is tokenised once, not once per
     pass over the counts."""
+    if special_rows:
+        df = special_texts(df, text_col, specials)
     counts = (spread(df.select(text_col)).select(F.explode(F.split(F.col(text_col), pattern)).alias("token"))
                 .where(F.col("token") != "")
                 .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
     if materialize:
         counts = materialize_table(counts, "vocab-counts")
     # cut by ranges of (count, token) themselves, so that equal beginnings spread, too
+    own = counts
+    if special_rows:
+        counts = counts.where(~F.col("token").isin(*specials))
     ranked = range_index(counts, [F.col("count").desc(), F.col("token")], [], "rank")
     vocab = ranked.select("token", "count", (F.col("rank") + len(specials)).alias("token_id"))
+    if special_rows:
+        rows = F.explode(F.array(*[F.struct(F.lit(s).alias("token"), F.lit(i).cast(vocab.schema["token_id"].dataType).alias("token_id")) for i, s in enumerate(specials)]))
+        rows = df.sparkSession.range(1).select(rows.alias("s")).select("s.*")
+        found = own.where(F.col("token").isin(*specials))  # at most one row for each
+        rows = rows.join(found, "token", "left").select("token", F.coalesce("count", F.lit(0).cast("long")).alias("count"), "token_id")
+        vocab = rows.unionByName(vocab)
     return materialize_table(vocab, "vocab") if materialize else vocab
 
 
+def special_texts(df: DataFrame, text_col: str = "text", specials=SPECIALS) -> DataFrame:
+    """``df`` with the special strings in ``text_col`` set apart, to be tokenised with a vocabulary that has them as rows."""
+    return df.withColumn(text_col, set_apart(text_col, specials))
+
+
 def token_ids_with(df: DataFrame, key, text_col: str, tokenizer_factory, out: str = "ids") -> DataFrame:
     """T2 with any tokenizer: ``tokenizer_factory()`` runs once in each worker
     task and gives a function ``list[str] -> list[list[int]]``; a null text has no ids."""
@@ -111,11 +129,10 @@ _INDEX_CACHE: dict = {}
 
 
 def _lookup_index(bc, tag: str) -> pd.Index:
-    """The broadcast vocabulary as a hashed pandas Index, built once per worker."""
+    """The first broadcast array (tokens or ids) as a hashed pandas Index, built once per worker."""
     idx = _INDEX_CACHE.get(tag)
     if idx is None:
-        tokens, _ = bc.value
-        idx = pd.Index(tokens)
+        idx = pd.Index(bc.value[0])
         _INDEX_CACHE.clear()
         _INDEX_CACHE[tag] = idx
     return idx
@@ -216,6 +233,7 @@ def _lookup_tokens(df: DataFrame, vocab: DataFrame, keys: list[str], ids_col: st
     # a hashed id index (not a dense array), so sparse or huge ids cost nothing
     bc = spark.sparkContext.broadcast((pv["token_id"].to_numpy(dtype=np.int64),
                                        pv["token"].to_numpy(dtype=object)))
+    tag = uuid.uuid4().hex
     skip = F.array(*[F.lit(i) for i in skip_ids]).cast("array<int>")
     kept = spread(df).select(*keys, F.filter(ids_col, lambda x: ~F.array_contains(skip, x)).alias("__cp_ids"))
     extra = [kept.schema["__cp_ids"]] if not join else []
@@ -223,8 +241,7 @@ def _lookup_tokens(df: DataFrame, vocab: DataFrame, keys: list[str], ids_col: st
                           [T.StructField("__cp_tok", T.ArrayType(T.StringType()), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, words = bc.value
-        index = pd.Index(ids)
+        words, index = bc.value[1], _lookup_index(bc, tag)
         for b in batches:
             lists = b.column(len(keys))
             if isinstance(lists, pa.ChunkedArray):

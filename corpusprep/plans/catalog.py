@@ -15,6 +15,7 @@ from corpusprep.functions import arrays as A
 from corpusprep.functions import maps as M
 from corpusprep.functions import prompts as P
 from corpusprep.functions import text as X
+from corpusprep.operators import batches as BT
 from corpusprep.operators import enrich as K
 from corpusprep.operators import frames as G
 from corpusprep.operators import metrics as R
@@ -350,6 +351,66 @@ def q_label_mask(spark, sf):
     return padded.select("conv_id", "turn", "batch_id", lab.alias("labels"))
 
 
+ASSISTANT_IDS = (7, 5, 3)   # the assistant marker's ids
+CLIP_LEAST = 16             # samples of the shortest clip
+
+
+def _examples(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(prompt and reply ids with trainer batches; clips of different lengths) of the pairs whose conversation has a vector."""
+    clips = emb(spark, sf).select(F.col("vec_id").alias("conv_id"), "embedding")
+    p = reply_pairs(spark, sf).withColumn("prompt_ids", A.truncate("prompt_ids", PROMPT_MAX)).withColumn("reply_ids", A.truncate("reply_ids", LABEL_MAX))
+    p = p.join(clips.select("conv_id"), "conv_id", "left_semi")
+    t = turns(spark, sf).join(clips.select("conv_id"), "conv_id", "left_semi")
+    keys = (t.where(F.col("role") == "user").select("conv_id", "turn")
+            .join(t.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn")), ["conv_id", "turn"]))
+    text = D.batch_assign(p.join(D.ordered_index(keys, ["conv_id", "turn"]), ["conv_id", "turn"]), COLLATE_BATCH)
+    length = (F.lit(CLIP_LEAST) + (F.col("conv_id") * 7 + F.col("turn")) % 49).cast("int")
+    audio = keys.join(clips, "conv_id").select("conv_id", "turn", F.slice("embedding", F.lit(1), length).alias("features"))
+    return text, audio
+
+
+@query("train_batch")
+def q_train_batch(spark, sf):
+    text, audio = _examples(spark, sf)
+    d = BT.train_batch(text, audio, ["conv_id", "turn"], assistant_ids=ASSISTANT_IDS, soft_len=SOFT_LEN, stack=STACK_K)
+    return d.withColumn("offsets", BT.offset_list())
+
+
+@query("train_batch_shifted")
+def q_train_batch_shifted(spark, sf):
+    text, audio = _examples(spark, sf)
+    d = BT.train_batch(text, audio, ["conv_id", "turn"], assistant_ids=ASSISTANT_IDS, soft_len=SOFT_LEN, stack=STACK_K, shifted=True)
+    return d.select("conv_id", "turn", "batch_id", "attention_mask", "labels", BT.offset_list().alias("offsets"))
+
+
+# ---- special tokens as rows of the vocabulary ---------------------------------
+def special_docs(spark, sf) -> DataFrame:
+    """The documents with the end token between their lines, glued to the words around it, and the unknown-word string at the end."""
+    text = F.concat(F.replace("text", F.lit("\n"), F.lit(TK.EOS_TOKEN)), F.lit(TK.UNK_TOKEN))
+    return docs(spark, sf).select("doc_id", text.alias("text"))
+
+
+@query("special_vocab")
+def q_special_vocab(spark, sf):
+    return TK.build_vocab(special_docs(spark, sf), "text", special_rows=True)
+
+
+def special_ids(spark, sf) -> tuple[DataFrame, DataFrame]:
+    vocab = TK.build_vocab(special_docs(spark, sf), "text", special_rows=True)
+    return TK.token_ids(TK.special_texts(special_docs(spark, sf)), vocab, "doc_id"), vocab
+
+
+@query("special_token_ids")
+def q_special_token_ids(spark, sf):
+    return special_ids(spark, sf)[0]
+
+
+@query("special_render")
+def q_special_render(spark, sf):
+    ids, vocab = special_ids(spark, sf)
+    return TK.detokenise(ids, vocab, "doc_id", skip_ids=())
+
+
 # ---- G: frames and samples ----------------------------------------------------
 def emb(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings")

@@ -155,6 +155,42 @@ FROM (SELECT *, max(len(r)) OVER (PARTITION BY batch_id) AS mx FROM (
   SELECT conv_id, turn, list_slice(prompt_ids, 1, {C.PROMPT_MAX}) AS pr, list_slice(reply_ids, 1, {C.LABEL_MAX}) AS r,
     (row_number() OVER (ORDER BY conv_id, turn) - 1) // {C.COLLATE_BATCH} AS batch_id FROM {PAIRS} p) a) b"""
 
+# ---- special tokens: ids 0 and 1 are rows of the vocabulary ------------------------
+SPECIAL_DOCS = """(SELECT doc_id, regexp_replace(replace(text, chr(10), '<|endoftext|>') || '<unk>', '(<\\|endoftext\\|>|<unk>)', ' \\1 ', 'g') AS text FROM documents)"""
+SPECIAL_VOCAB = f"""(SELECT token, count, CASE token WHEN '<|endoftext|>' THEN 0 WHEN '<unk>' THEN 1 ELSE 1 + row_number() OVER (ORDER BY token IN ('<|endoftext|>', '<unk>'), count DESC, token) END AS token_id
+FROM (SELECT token, count(*) AS count FROM (SELECT unnest(string_split_regex(text, '[ \n]+')) AS token FROM {SPECIAL_DOCS} d) t WHERE token <> '' GROUP BY token))"""
+SQL["special_vocab"] = f"SELECT token, count, token_id FROM {SPECIAL_VOCAB} v"
+SQL["special_token_ids"] = f"SELECT doc_id, ids FROM {ids_sql(SPECIAL_DOCS + ' x1', 'doc_id', SPECIAL_VOCAB)} i"
+SQL["special_render"] = f"""SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '[ \n]+'), lambda w: w <> ''), ' ') AS text FROM {SPECIAL_DOCS} d"""
+
+# ---- training batches: every slot's length is a figure of the batch -----------------
+_I = "[]::INTEGER[]"
+
+
+def batch_sql(shifted: bool) -> str:
+    cut = 1 if shifted else 0
+    masks = f"""list_resize(list_transform(p, lambda x: 1), mp, 0) || list_resize({_I}, {C.SOFT_LEN} + mf // {C.STACK_K} + {len(C.ASSISTANT_IDS)}, 1)
+   || list_slice(list_resize(list_resize({_I}, len(r) + 1, 1), mr + 1, 0), 1, mr + 1 - {cut})"""
+    start = f"(mp + {C.SOFT_LEN} + mf // {C.STACK_K} + {len(C.ASSISTANT_IDS)})"
+    target = f"list_slice(list_resize(r || [0], mr + 1, -100), 1 + {cut}, mr + 1)"
+    rest = "" if shifted else f"""
+  list_resize(f, mf, 0::FLOAT) AS audio_features, list_resize(list_transform(f, lambda x: 1), mf, 0) AS audio_masks,
+  list_resize(p, mp, 0) AS input_ids, list_resize(list_transform(p, lambda x: 1), mp, 0) AS input_masks,
+  {list(C.ASSISTANT_IDS)}::INTEGER[] AS assistant_token_ids, {[1] * len(C.ASSISTANT_IDS)}::INTEGER[] AS assistant_token_mask,
+  list_resize(r || [0], mr + 1, 0) AS output_ids, list_resize(list_resize({_I}, len(r) + 1, 1), mr + 1, 0) AS output_masks,"""
+    return f"""SELECT conv_id, turn, batch_id,{rest}
+  {masks} AS attention_mask, list_resize({_I}, {start}, -100) || {target} AS labels,
+  [0, mp, mp + {C.SOFT_LEN}, mp + {C.SOFT_LEN} + mf // {C.STACK_K}, {start}, {start} + mr + 1 - {cut}]::INTEGER[] AS offsets
+FROM (SELECT *, max(len(p)) OVER b AS mp, max(len(r)) OVER b AS mr, max(len(f)) OVER b AS mf FROM (
+  SELECT conv_id, turn, list_slice(prompt_ids, 1, {C.PROMPT_MAX}) AS p, list_slice(reply_ids, 1, {C.LABEL_MAX}) AS r,
+    list_slice(embedding, 1, {C.CLIP_LEAST} + (conv_id * 7 + turn) % 49) AS f,
+    (row_number() OVER (ORDER BY conv_id, turn) - 1) // {C.COLLATE_BATCH} AS batch_id FROM {PAIRS} p JOIN embeddings e ON e.vec_id = conv_id) a
+  WINDOW b AS (PARTITION BY batch_id)) m"""
+
+
+SQL["train_batch"] = batch_sql(shifted=False)
+SQL["train_batch_shifted"] = batch_sql(shifted=True)
+
 # ---- frames and samples ------------------------------------------------------------
 SQL["segment"] = f"""SELECT doc_id, CAST(i AS INTEGER) AS seg_no, substr(text, CAST(i * {C.CHUNK_CHARS} + 1 AS BIGINT), {C.CHUNK_CHARS}) AS chunk
 FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / {C.CHUNK_CHARS}.0) AS BIGINT))) AS i FROM documents) s"""

@@ -73,14 +73,15 @@ def local_path(path: str) -> str:
 
 def spread(df, min_partitions: int | None = None):
     """Give CPU-heavy per-row work (model calls, regexes, lookups) at least
-    one partition per core. Only inputs that the optimizer estimates too small to
+    one partition per core. Only rows read from tables too small to
     fill the cores with splits are dealt out round-robin (which Spark makes retry-safe
-    by sorting first); others pass through untouched. The estimate is a figure of the
-    plan: nothing is executed."""
+    by sorting first); others pass through untouched. The size is that of the tables the plan
+    reads, not the optimizer's estimate of its result (that of a join is the product of its sides): nothing is executed."""
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df if size >= want * split else df.repartition(want)
 
 
