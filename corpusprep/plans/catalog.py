@@ -28,6 +28,7 @@ from corpusprep.sources import sinks as S
 from corpusprep.sources.scan import glob_scan, profile, scan_corpus, table
 from corpusprep.streaming import enrich_stream as L
 from corpusprep.streaming import rate as RT
+from corpusprep.streaming import rate_state as RS
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -824,6 +825,32 @@ def q_rate_audit(spark, sf):
     return RT.rate_audit(ev, "user_id", "ts", "event_id", RATE_WINDOW_US, RATE_MAX)
 
 
+STREAM_SLICES = 3
+
+
+@query("stream_rate_audit")
+def q_stream_rate_audit(spark, sf):
+    """The events arrive in slices of time, several micro-batches; the watermark allows for a slice's length, so the order within one
+    doesn't matter. A last event, later than all windows, closes every bucket; its own stays open."""
+    ev = table(spark, sf, "events").select("event_id", "user_id", "ts").where("ts is not null")
+    src, out, ck = (scratch_dir(spark, n) for n in ("requests", "audit", "ck"))
+    low, high = ev.agg(F.min(RT.micros("ts")), F.max(RT.micros("ts"))).first()
+    if low is None:
+        return RT.rate_audit(ev, "user_id", "ts", "event_id", RATE_WINDOW_US, RATE_MAX)
+    width = (high - low) // STREAM_SLICES + 1
+    for i in range(STREAM_SLICES):
+        ev.where(F.floor((RT.micros("ts") - low) / width) == i).write.mode("append").parquet(src)
+    files = len(spark.read.parquet(src).inputFiles())
+    later = (width + 2 * RATE_WINDOW_US) // 1_000_000 * 2
+    ev.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"),
+                                           (F.col("ts") + F.expr(f"interval {later} seconds")).alias("ts")).write.mode("append").parquet(src)
+    requests = L.source_stream(spark, src, ev.schema, max(1, files // STREAM_SLICES))
+    with RS.state_store(spark):
+        audit = RS.stream_rate_audit(requests, "user_id", "ts", "event_id", RATE_WINDOW_US, RATE_MAX, f"{width // 1_000_000 + 1} seconds")
+        L.run_to_end(L.stream_to_parquet(audit, out, ck))
+    return spark.read.schema(audit.schema).parquet(out)
+
+
 # ---- K: hooks ---------------------------------------------------------------------
 def batch_stats(t):
     """A collate hook: one summary row per batch (pyarrow in, pyarrow out)."""

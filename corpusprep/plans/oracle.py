@@ -359,6 +359,7 @@ FROM events e LEFT JOIN events p ON p.user_id = e.user_id
   AND (p.ts < e.ts OR (p.ts = e.ts AND p.event_id < e.event_id))
   AND epoch_us(e.ts) - epoch_us(p.ts) < {_W}
 GROUP BY e.event_id, e.user_id, e.ts"""
+SQL["stream_rate_audit"] = SQL["rate_audit"]
 SQL["collate_hook"] = f"""SELECT batch_id, count(*) AS n_rows, max(len(ids)) AS max_len, sum(len(ids))::BIGINT AS total_tokens
 FROM {DOC_BATCH} b GROUP BY batch_id"""
 
