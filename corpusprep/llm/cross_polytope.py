@@ -14,7 +14,8 @@ probes are cut into chunks of about ``chunk`` rows, products rank the members; t
 exactly in double precision on the original vectors, and the k best stay. A query that finds
 fewer than it should is searched again over all buckets of one table.
 
-Defined results: vectors that are null, zero, empty or hold a null or non-finite component take no part; vectors of
+Defined results: vectors that are null, zero, empty or hold a null or non-finite component take no part, nor those whose squared length is
+beyond the range of doubles (lengths over 10^154 or under 10^-162); vectors of
 another dimension than most rows' are left out likewise; rows with a null id are no
 candidates and no queries; rows that repeat an id count as one candidate (the nearest vector); empty in, empty out.
 Only the id and the vector are read, so other columns can't clash.
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 
 from corpusprep.llm.common import bounded_batches, materialize
 
-TABLES, PROBES, CHUNK, SEED, MARGIN = 16, 12, 4096, 7, 8
+TABLES, PROBES, CHUNK, SEED = 16, 12, 4096, 7
+ROUNDING = 1e-11  # more than two orders of addition can differ by, of the product of the lengths
+PAIRS = 1 << 16  # pairs that are multiplied exactly at a time
 PROBED = 1 << 14  # probes that a task makes at a time
 
 
@@ -114,7 +117,9 @@ def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         out = []
         for x in lists.to_pylist():
             a = None if not x or None in x else np.array(x, "<f8")
-            out.append(a.tobytes() if a is not None and np.isfinite(a).all() and a.any() else None)
+            with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+                square = 0.0 if a is None else float(a @ a)
+            out.append(a.tobytes() if 0 < square < np.inf else None)  # false of NaN, too
         return pa.array(out, pa.binary())
 
     d = df.select(F.col(id_col).cast("long").alias("id"), pack(vector_col).alias("v")).where("id is not null and v is not null")
@@ -141,16 +146,21 @@ def _best(k: int):
         if queries.empty or rows.empty:
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "c": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         x, out = stacked(rows["v"]), []
-        ids, keep = rows["c"].to_numpy(), min(k + 1 + MARGIN, len(rows))
+        ids, keep = rows["c"].to_numpy(), min(k + 1, len(rows))
         for at in range(0, len(queries), 512):
             part = queries.iloc[at:at + 512]
             q = stacked(part["v"])
             s = q @ x.T
-            top = np.argpartition(-s, keep - 1, 1)[:, :keep]
+            # all rows that may reach the last place, however many tie there: a matrix product rounds in its own order
+            cut = -np.partition(-s, keep - 1, 1)[:, keep - 1]
+            room = ROUNDING * np.sqrt((q * q).sum(1) * (x * x).sum(1).max())
+            at_q, at_x = np.nonzero(s >= (cut - room)[:, None])
             # one order of addition for a pair, wherever it meets
-            exact = (q[:, None, :] * x[top]).sum(2)
-            order = np.lexsort((ids[top], -exact), axis=1)[:, :k + 1]
-            out.append(pd.DataFrame({"q": np.repeat(part["c"].to_numpy(), order.shape[1]), "c": ids[np.take_along_axis(top, order, 1)].ravel(), "score": np.take_along_axis(exact, order, 1).ravel()}))
+            exact = np.concatenate([(q[at_q[i:i + PAIRS]] * x[at_x[i:i + PAIRS]]).sum(1) for i in range(0, len(at_q), PAIRS)])
+            order = np.lexsort((ids[at_x], -exact, at_q))
+            at_q, at_x, exact = at_q[order], at_x[order], exact[order]
+            best = np.arange(len(at_q)) - np.searchsorted(at_q, at_q, "left") <= k
+            out.append(pd.DataFrame({"q": part["c"].to_numpy()[at_q[best]], "c": ids[at_x[best]], "score": exact[best]}))
         return pd.concat(out)
 
     return run

@@ -102,3 +102,20 @@ def test_best_pairs_of_axes():
         got = C.buckets(x, 3, 2, probes)
         assert all(len(set(g)) == min(probes, 256) for g in got.tolist())
         assert np.allclose(np.take_along_axis(value, got, 1), -np.sort(-value, 1)[:, :probes])
+
+
+def test_many_equal_scores_and_extreme_lengths(spark):
+    """Different vectors of one equal score: the smaller ids win, however many tie in a bucket."""
+    q = [0.5, 0.5] + [0.0] * 14
+    tied = []
+    for i in range(14):  # the same product with q, another vector each
+        for sign in (-1, 1):
+            for a in (0.25, 0.5, 0.125):
+                v = [0.75, 0.25] + [0.0] * 14
+                v[2 + i] = sign * a
+                tied.append(v)
+    rows = [(0, q)] + [(1001 + 2 * i, v) for i, v in enumerate(tied)]
+    df = spark.createDataFrame(rows + [(2000, [1e200] + [0.0] * 15), (2020, [1e-200] + [0.0] * 15)], "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in C.search(df, F.expr("id % 20 = 0"), k=10).where("query_id = 0").orderBy("rank").collect()]
+    assert got == [1001 + 2 * i for i in range(10)]
+    assert C.search(df, F.expr("id % 20 = 0"), k=10).where("query_id in (2000, 2020)").count() == 0
