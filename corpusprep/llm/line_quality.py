@@ -48,7 +48,7 @@ def line_fails(x: str, r: Rules) -> str:
         f" or length({x}) - length(translate({x}, '|»›•', '')) >= {r.separators}"
         f" or (length({x}) <= {r.boiler_chars} and {x} rlike '{BOILERPLATE}')"
         f" or (length({x}) - length(translate({x}, ' ', '')) >= {r.bare_words - 1}"
-        f"     and length(translate({x}, '.!?,;:…。', '')) = length({x}))")
+        f"     and not {x} rlike '\\\\p{{Po}}')")
 
 
 def judge(df: DataFrame, text_col: str = "text", rules: Rules = Rules(), clean_col: str = "clean_text") -> DataFrame:

@@ -15,7 +15,7 @@ y as (select k, x, regexp_replace(x, '{WS}', '', 'g') <> '' as filled,
         (length(x) - length(translate(x, '#*$%&|<>', ''))) * 100 > 8 * length(x)
         or length(x) - length(translate(x, '|»›•', '')) >= 3
         or (length(x) <= 200 and regexp_matches(x, 'all rights reserved|licen[sc]ed under|released under the|general public license|terms of (use|service)|privacy policy|cookie|javascript|click here|subscribe|sign in|log in|copyright (©|\(c\))|lorem ipsum', 'i'))
-        or (length(x) - length(translate(x, ' ', '')) >= 4 and length(translate(x, '.!?,;:…。', '')) = length(x)) as bad from x),
+        or (length(x) - length(translate(x, ' ', '')) >= 4 and not regexp_matches(x, '\p{{Po}}')) as bad from x),
 l as (select k, count(*) as n_lines, count(*) filter (where bad) as n_failed_lines,
         count(*) filter (where filled) - count(distinct x) filter (where filled) as n_dup_lines,
         coalesce(sum(length(x)) filter (where not bad), 0) + greatest(count(*) filter (where not bad) - 1, 0) as rest from y group by k),

@@ -114,3 +114,14 @@ def test_near_duplicates_edges(spark):
     assert sorted((r.doc_id or 0, r.fp) for r in kept.collect()) == [(0, 7), (1, 4), (3, 8), (4, 2)]
     assert simhash_tiles.near_duplicates(df.where("false")).count() == 0
     assert simhash_tiles.keep_first(df.where("false")).count() == 0
+
+
+def test_lines_that_end_in_other_scripts_marks_are_punctuated(spark):
+    from corpusprep.llm import line_quality
+
+    lines = ["هل هذا سطر كامل من الكلام هنا؟", "यह एक पूरी पंक्ति है जो यहाँ है।", "This line has five words at least!"]
+    rows = [(i, "\n".join([x] * 3 + [f"{x} {k}" for k in range(9)])) for i, x in enumerate(lines)]
+    got = {r.doc_id: r.n_failed_lines for r in line_quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0}
+    bare = line_quality.judge(spark.createDataFrame([(1, "five words without any mark")], "doc_id long, text string")).first()
+    assert bare.n_failed_lines == 1
