@@ -745,6 +745,18 @@ def q_arrow_scan(spark, sf):
     return spark.read.format(arrow_ipc.FORMAT).load(out)
 
 
+@query("arrow_stream_scan")
+def q_arrow_stream_scan(spark, sf):
+    """A2 over A4: two files to a micro-batch, into Parquet."""
+    arrow_ipc.register(spark)
+    src, log, out, ck = (scratch_dir(spark, n) for n in ("ipc", "ipc-log", "stream", "ck"))
+    d = docs(spark, sf).select("doc_id", "lang", "source", "n_chars", "text")
+    d.repartitionByRange(4, "doc_id").write.format(arrow_ipc.FORMAT).mode("append").save(src)
+    rows = spark.readStream.format(arrow_ipc.FORMAT).option("log", log).option("maxFilesPerTrigger", 2).load(src)
+    L.drain(rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).start())
+    return spark.read.schema(d.schema).parquet(out)
+
+
 @query("arrow_file_order")
 def q_arrow_file_order(spark, sf):
     """Rows of name-ordered files in the order in which they were written."""

@@ -333,6 +333,7 @@ FROM (SELECT split, count(DISTINCT shard) AS n FROM (
   FROM {POS_DOCS} p LEFT JOIN labels l USING (doc_id)) a GROUP BY split) b"""
 SQL["publish_version"] = "SELECT 1 AS version, 'train' AS split, count(*) AS num_rows, 'add labels' AS message FROM labels"
 SQL["arrow_scan"] = "SELECT doc_id, lang, source, n_chars, text FROM documents"
+SQL["arrow_stream_scan"] = SQL["arrow_scan"]
 SQL["arrow_file_order"] = f"SELECT doc_id, text, pos FROM {POS_DOCS} p JOIN documents USING (doc_id)"
 SQL["audio_scan"] = f"""SELECT vec_id, {C.WAV_SR} AS sampling_rate, 1 AS channels,
   list_transform(embedding, lambda x: CAST(greatest(-32768, least(32767, floor(CAST(x AS DOUBLE) * 32767 + 0.5))) / 32768.0 AS FLOAT)) AS samples

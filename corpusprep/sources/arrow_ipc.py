@@ -1,14 +1,20 @@
-"""A4: Arrow IPC stream files as a Spark data source (read and write).
+"""A4, A2: Arrow IPC stream files as a Spark data source (read, write, and read as a stream).
 
 Reading: one input partition per file, files in name order, each yields its
 record batches (no row conversion). Option ``positions=true`` adds ``file_no`` (place of the file in
 name order) and ``row_no`` (row in its file), which together order all rows as written. Writing: each task writes its partition
 to one ``part-<partition>-<uuid>.arrows`` stream file.
+
+As a stream: the files that no micro-batch has had yet, in name order, at most ``maxFilesPerTrigger`` (option, default all) to a
+batch. Option ``log`` names a folder of the query's own, in which each batch's file names are written before the batch is
+planned; an offset is the number of such entries. So a file is read once whenever it shows up (a writer's rename may come late, times
+may run backwards), offsets stay small, and a restart plans the same batches again.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import json
 import posixpath
 import uuid
 from dataclasses import dataclass
@@ -16,7 +22,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader,
+from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader,
                                     InputPartition, WriterCommitMessage)
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StructType
@@ -70,6 +76,49 @@ class _Reader(DataSourceReader):
                 yield batch
 
 
+class _StreamReader(_Reader, DataSourceStreamReader):
+    def __init__(self, path: str, log: str, most: int | None):
+        super().__init__(path, False)
+        self.log, self.most, self.seen, self.entries = log, most, set(), 0
+
+    def _entry(self, number: int) -> list[str]:
+        fs, root = arrow_fs(self.log)
+        with fs.open_input_stream(f"{root}/{number:09d}.json") as f:
+            return json.loads(f.readall())
+
+    def _catch_up(self) -> None:
+        """Take over what the log has, whoever wrote it."""
+        fs, root = arrow_fs(self.log)
+        found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+        last = max((int(f.base_name[:-5]) for f in found if f.base_name.endswith(".json")), default=0)
+        while self.entries < last:
+            self.entries += 1
+            self.seen.update(self._entry(self.entries))
+
+    def initialOffset(self) -> dict:
+        return {"entries": 0}
+
+    def latestOffset(self) -> dict:
+        self._catch_up()
+        new = [f for f in _files(self.path) if f not in self.seen][:self.most]
+        if new:
+            fs, root = arrow_fs(self.log)
+            fs.create_dir(root, recursive=True)
+            name = f"{root}/{self.entries + 1:09d}.json"
+            with fs.open_output_stream(name + ".inprogress") as f:
+                f.write(json.dumps(new).encode())
+            fs.move(name + ".inprogress", name)
+            self._catch_up()
+        return {"entries": self.entries}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        names = [f for n in range(start["entries"] + 1, end["entries"] + 1) for f in self._entry(n)]
+        return [_FilePartition(f, i) for i, f in enumerate(names)]
+
+    def commit(self, end: dict) -> None:
+        pass  # the log is what tells old files from new ones
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     path: str
@@ -141,6 +190,12 @@ class ArrowIPCDataSource(DataSource):
     def reader(self, schema):
         return _Reader(self.options["path"], self._positions())
 
+    def streamReader(self, schema):
+        if "log" not in self.options:
+            raise ValueError("a stream needs the option log: a folder of its own for the names of the files it has had")
+        most = self.options.get("maxFilesPerTrigger")
+        return _StreamReader(self.options["path"], self.options["log"], int(most) if most else None)
+
     def writer(self, schema, overwrite):
         return _Writer(self.options["path"], schema, overwrite)
 

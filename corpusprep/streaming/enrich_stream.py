@@ -51,10 +51,20 @@ def run_to_end(q: StreamingQuery) -> None:
         raise q.exception()
 
 
+def drain(q: StreamingQuery) -> None:
+    """Run micro-batches until nothing is left to read, then stop (sources written in Python have one batch under ``availableNow``)."""
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    if q.exception() is not None:
+        raise q.exception()
+
+
 def stream_to_parquet(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """A file sink with exactly-once commits (its own ``_spark_metadata`` log)."""
     return (df.writeStream.format("parquet").outputMode(mode).option("path", out)
               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-__all__ = ["source_stream", "stream_enrich", "run_to_end", "stream_to_parquet", "scan_shards"]
+__all__ = ["source_stream", "stream_enrich", "run_to_end", "drain", "stream_to_parquet", "scan_shards"]
