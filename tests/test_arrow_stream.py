@@ -26,8 +26,8 @@ def test_each_file_is_read_once_over_batches_and_restarts(spark, tmp_dir):
     q = start()
     q.processAllAvailable()
     assert got() == list(range(50))
+    name = sorted(os.listdir(local))[0]  # one that has been read
     add(50, 60, 1)  # between triggers
-    name = sorted(os.listdir(local))[0]
     os.rename(f"{local}/{name}", f"{local}/{name}.inprogress")  # goes away and comes back
     q.processAllAvailable()
     os.rename(f"{local}/{name}.inprogress", f"{local}/{name}")
