@@ -543,6 +543,15 @@ def q_wer_micro(spark, sf):
     return R.wer_micro(scored_pairs(spark, sf))
 
 
+@query("wer_by_batch")
+def q_wer_by_batch(spark, sf):
+    """As ``cer_by_batch``, of words."""
+    d = D.ordered_index(scored_pairs(spark, sf).select("conv_id", "turn", "wer"), ["conv_id", "turn"])
+    d = D.batch_assign(d, COLLATE_BATCH).where("wer is not null").withColumn("name", F.lit("wer"))
+    r = R.metric_rollup(d, "name", "batch_id", "wer")
+    return r.select("name", *[F.round(c, 9).alias(c) for c in ("mean_of_batch_means", "weighted_mean")], "n_batches")
+
+
 @query("metric_rollup")
 def q_metric_rollup(spark, sf):
     pts = table(spark, sf, "events").select(
@@ -730,6 +739,20 @@ def q_dataset_descriptor(spark, sf):
     return S.descriptor(d, "split", "shard_id")
 
 
+@query("descriptor_edit")
+def q_descriptor_edit(spark, sf):
+    """A9 on a descriptor file that others wrote: stale shard figures, a split that is gone, and keys that we know nothing of."""
+    d = D.shard_assign(positioned_docs(spark, sf), SHARD_SIZE, SMALL_BATCH).join(docs(spark, sf).select("doc_id", "source"), "doc_id")
+    entry = F.struct(F.col("source").alias("name"), F.sum("doc_id").alias("num_bytes"), F.count("*").alias("num_examples"),
+                     F.array(F.lit(1), F.lit(2)).alias("shard_lengths"), F.lit(99).alias("num_shards"), F.struct(F.array(F.max("lang"), F.lit("x")).alias("tags")).alias("zz"))
+    was = docs(spark, sf).groupBy("source").agg(entry.alias("e")).agg(F.map_from_entries(F.collect_list(F.struct("source", "e"))).alias("m"))
+    was = was.select(F.expr("""concat('{"version":{"major":1},"splits":', to_json(m), ',"a key":[1,null,{"b":"\\u00e4"}]}')""").alias("value"))
+    path = scratch_dir(spark, "descriptor")
+    was.write.mode("overwrite").text(path)
+    found = spark.read.text(path, wholetext=True).first()[0]
+    return S.edit_descriptor(d.where("source != 'src1'"), "source", "shard_id", found)
+
+
 @query("publish_version")
 def q_publish_version(spark, sf):
     root = scratch_dir(spark, "publish")

@@ -270,6 +270,17 @@ SQL["cer_macro"] = f"SELECT round(avg(d / n), 9) AS cer_macro, count(*) AS n_pai
 SQL["cer_micro"] = f"SELECT round(sum(d) / sum(n), 9) AS cer_micro, count(*) AS n_pairs FROM {_SCORED} s WHERE n > 0"
 SQL["cer_by_batch"] = f"""SELECT 'cer' AS name, round(avg(m), 9) AS mean_of_batch_means, round(sum(s) / sum(k), 9) AS weighted_mean, count(*) AS n_batches
 FROM (SELECT pos // {C.COLLATE_BATCH} AS b, avg(d / n) AS m, sum(d / n) AS s, count(*) AS k FROM {_SCORED} s WHERE n > 0 GROUP BY 1) a"""
+# One row of the distance table at a time: what a cell takes from its left neighbour is a running minimum.
+_WORDS = "list_filter(regexp_split_to_array({}, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+_WORD_SCORED = f"""WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY r.conv_id, r.turn) - 1 AS pos, {_WORDS.format('r.text')} AS a, {_WORDS.format('h.text')} AS b
+  FROM conversations r JOIN conversations h ON h.conv_id = r.conv_id AND h.turn = r.turn + 1),
+c AS (SELECT 0 AS i, pos, unnest(range(len(b) + 1)) AS j, unnest(range(len(b) + 1)) AS d FROM p UNION ALL
+  SELECT i + 1, pos, j, j + min(t - j) OVER (PARTITION BY pos ORDER BY j ROWS UNBOUNDED PRECEDING)
+  FROM (SELECT i, c.pos AS pos, j, least(d + 1, lag(d) OVER (PARTITION BY c.pos ORDER BY j) + (a[i + 1] <> b[j])::int) AS t FROM c JOIN p ON c.pos = p.pos WHERE i < len(a)) x),
+s AS (SELECT p.pos AS pos, len(a) AS n, d FROM p JOIN c ON c.pos = p.pos AND i = len(a) AND j = len(b))"""
+SQL["wer_micro"] = f"{_WORD_SCORED} SELECT sum(d) / sum(n) AS wer_micro, count(*) AS n_pairs FROM s WHERE n > 0"
+SQL["wer_by_batch"] = f"""{_WORD_SCORED} SELECT 'wer' AS name, round(avg(m), 9) AS mean_of_batch_means, round(sum(s) / sum(k), 9) AS weighted_mean, count(*) AS n_batches
+FROM (SELECT pos // {C.COLLATE_BATCH} AS b, avg(d / n) AS m, sum(d / n) AS s, count(*) AS k FROM s WHERE n > 0 GROUP BY 1) a"""
 SQL["metric_rollup"] = f"""SELECT name, round(avg(m), 9) AS mean_of_batch_means, round(sum(s) / sum(n), 9) AS weighted_mean,
   count(*) AS n_batches FROM (
   SELECT event_type AS name, event_id // {C.METRIC_BATCH} AS batch, avg(value) AS m, count(*) AS n, sum(value) AS s
@@ -331,6 +342,10 @@ SQL["dataset_descriptor"] = f"""SELECT '{{"splits":{{' || string_agg('"' || spli
 FROM (SELECT split, count(DISTINCT shard) AS n FROM (
   SELECT CASE WHEN l.doc_id IS NULL THEN 'test' ELSE 'train' END AS split, pos // {_PER_SHARD} AS shard
   FROM {POS_DOCS} p LEFT JOIN labels l USING (doc_id)) a GROUP BY split) b"""
+SQL["descriptor_edit"] = f"""SELECT '{{"a key":[1,null,{{"b":"ä"}}],"splits":{{' || string_agg('"' || source || '":{{"name":"' || source || '","num_examples":' || k || ',"num_shards":' || n
+  || ',"zz":{{"tags":["' || lang || '","x"]}}}}', ',' ORDER BY source) || '}},"version":{{"major":1}}}}' AS dataset_info
+FROM (SELECT source, count(*) AS k, max(lang) AS lang, CASE WHEN source = 'src1' THEN 0 ELSE count(DISTINCT pos // {_PER_SHARD}) END AS n
+  FROM {POS_DOCS} p JOIN documents USING (doc_id) GROUP BY source) b"""
 SQL["publish_version"] = "SELECT 1 AS version, 'train' AS split, count(*) AS num_rows, 'add labels' AS message FROM labels"
 SQL["arrow_scan"] = "SELECT doc_id, lang, source, n_chars, text FROM documents"
 SQL["arrow_stream_scan"] = SQL["arrow_scan"]

@@ -8,22 +8,27 @@ reference's ``metadata.json``, but as tables.
 
 from __future__ import annotations
 
-import time
+import json
+import os
 import uuid
+from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusprep.functions.text import TS_FORMAT, numbered_file
+from corpusprep.functions.text import numbered_file
 from corpusprep.session import local_path
+from corpusprep.sources import shard_writer
 
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("shard_id", T.IntegerType(), False),
     T.StructField("sample_count", T.LongType(), False),
     T.StructField("timestamp", T.StringType(), False),
 ])
-RUN = "__cp_run"   # the run that wrote a row, in data and manifest
+RUN = shard_writer.TOKEN
+STAMP = "%Y-%m-%d %H:%M:%S"   # as functions.text.TS_FORMAT
 VERSION_SCHEMA = T.StructType([
     T.StructField("version", T.IntegerType(), False),
     T.StructField("split", T.StringType(), False),
@@ -39,33 +44,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_shards(df: DataFrame, base: str, run_ts: str, shard_col: str = "shard_id") -> DataFrame:
-    """Data under ``base/data/shard_id=<n>`` (dynamic overwrite, so a
-    re-run replaces exactly its shards), then one manifest row for each shard of this
-    run, counted from the written files, so the (possibly expensive) rows are computed once.
-
-    Data and manifest rows carry the run's id. Only shards whose data and latest manifest
-    row have the same id are certified, so what a crashed run left behind stays ignored, whatever is
-    written later, and the rows of older runs keep their timestamps. Each run appends
-    one compact manifest file."""
-    spark, run = df.sparkSession, uuid.uuid4().hex
-    (df.withColumn(RUN, F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(shard_col).parquet(f"{base}/data"))
-    if not _exists(spark, f"{base}/data"):   # no rows, no shards
-        return read_manifest(spark, base)
-    schema = T.StructType([T.StructField(RUN, T.StringType()), T.StructField(shard_col, T.IntegerType())])
-    # the run id prunes all files of other runs by their statistics
-    counts = spark.read.schema(schema).parquet(f"{base}/data").where(F.col(RUN) == run).groupBy(shard_col).count()
-    (counts.select(F.col(shard_col).cast("int").alias("shard_id"), F.col("count").cast("long").alias("sample_count"),
-                   F.date_format(F.to_timestamp(F.lit(run_ts)), TS_FORMAT).alias("timestamp"),
-                   F.lit(run).alias(RUN), F.lit(time.time_ns()).cast("long").alias("written"))
-     .write.mode("append").parquet(f"{base}/manifest"))
+    """Data under ``base/data/shard_id=<n>``, each shard replacing what an earlier run wrote for it, then one
+    manifest file with the row counts that the tasks report (``shard_writer``). Nothing is read back, so the (possibly expensive)
+    rows are computed once and a run costs the same however many came before.
+
+    Only rows whose token the latest manifest row of their shard holds are certified, so what a crashed run or a failed
+    attempt left behind stays ignored, whatever is written later, and the rows of older runs keep their timestamps."""
+    spark = df.sparkSession
+    shard_writer.register(spark)
+    (df.sortWithinPartitions(shard_col).write.format(shard_writer.FORMAT).mode("append")
+       .option("shard", shard_col).option("stamp", datetime.fromisoformat(run_ts).strftime(STAMP)).save(base))
     return read_manifest(spark, base)
 
 
 def _latest(spark: SparkSession, base: str) -> DataFrame:
-    """The last manifest row of each shard, with its run."""
-    m = spark.read.schema(MANIFEST_SCHEMA.simpleString()[7:-1].replace(":", " ") + f", {RUN} string, written bigint").parquet(f"{base}/manifest")
-    last = F.max_by(F.struct("sample_count", "timestamp", RUN), "written")
+    """The last manifest row of each shard, with the tokens of the attempts that wrote it."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in MANIFEST_SCHEMA)
+    m = spark.read.schema(f"{fields}, {RUN} array<string>, written bigint").parquet(f"{base}/manifest")
+    last = F.max_by(F.struct("sample_count", "timestamp", RUN), F.struct("written", RUN))
     return m.groupBy("shard_id").agg(last.alias("m")).select("shard_id", "m.*")
 
 
@@ -96,7 +92,7 @@ def scan_shards(spark: SparkSession, base: str, with_provenance: bool = False,
         data = data.withColumn("file_path", F.col("_metadata.file_path"))
     if not _exists(spark, f"{base}/manifest"):
         return data.drop(RUN).limit(0)
-    done = _latest(spark, base).select("shard_id", RUN)
+    done = _latest(spark, base).select("shard_id", F.explode(RUN).alias(RUN))
     return data.join(done, ["shard_id", RUN], "left_semi").drop(RUN)
 
 
@@ -131,20 +127,75 @@ def descriptor(df: DataFrame, split_col: str, shard_col: str) -> DataFrame:
     return per.agg(F.to_json(F.struct(splits.alias("splits"))).alias("dataset_info"))
 
 
-def publish_version(df: DataFrame, root: str, split: str, message: str) -> DataFrame:
-    """A10: write ``root/version=<n>/split=<split>`` and append a row to the
-    version table; returns the version table."""
+STALE = ("num_shards", "num_bytes", "shard_lengths")   # of a split's entry, once its shards are written anew
+
+
+def edit_descriptor(df: DataFrame, split_col: str, shard_col: str, found: str) -> DataFrame:
+    """An existing descriptor (its JSON text) with the shards that ``df`` has for each split: ``num_shards`` is set, what
+    else depended on the old shards goes, splits that only ``df`` knows are added, and every other key, known or
+    not, keeps its value at any depth (VARIANT, no schema). A split that ``df`` lacks has no shards any more: 0. Keys come
+    out sorted. ``found`` without ``splits`` gets them; text that is no JSON object is an error."""
+    per = df.groupBy(split_col).agg(F.count_distinct(shard_col).cast("int").alias("n")).where(F.col(split_col).isNotNull())
+    one = per.agg(F.map_from_entries(F.collect_list(F.struct(F.col(split_col).cast("string"), "n"))).alias("n"))
+    one = one.withColumn("top", F.parse_json(F.lit(found)).cast("map<string,variant>"))
+    stale = ", ".join(f"'{k}'" for k in STALE)
+    one = one.withColumn("old", F.expr("coalesce(cast(top['splits'] as map<string,map<string,variant>>), map())"))
+    one = one.withColumn("splits", F.expr(f"""map_from_entries(transform(array_sort(array_union(map_keys(old), map_keys(n))), s -> struct(s,
+        map_concat(coalesce(map_filter(old[s], (k, v) -> k not in ({stale})), map()), map('num_shards', cast(coalesce(n[s], 0) as variant))))))"""))
+    return one.select(F.expr("""to_json(to_variant_object(map_concat(map_filter(top, (k, v) -> k != 'splits'),
+        map('splits', cast(to_variant_object(splits) as variant)))))""").alias("dataset_info"))
+
+
+def _claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file unless it is there: of several callers one gets True."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p.getParent())
+    try:
+        if fs.getScheme() == "file":   # Hadoop's local file system looks first and creates later
+            os.close(os.open(p.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        else:
+            fs.create(p, False).close()
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "AlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        return False
+    return True
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """The version table: the log entries that their publishers have filled in."""
+    if not _exists(spark, f"{root}/_log"):
+        return spark.createDataFrame([], VERSION_SCHEMA)
+    return spark.read.schema(VERSION_SCHEMA).json(f"{root}/_log/*.json").where("version is not null")
+
+
+def publish_version(df: DataFrame, root: str, split: str, message: str | None) -> DataFrame:
+    """A10: write ``root/version=<n>/split=<split>`` and return the version table.
+
+    A publisher takes the next number by creating its log entry, which only one can, and fills the entry in when its data
+    is written. So publishers at the same time get different numbers and none loses a row; the entry of one that
+    died stays empty, its number is not given again, and no reader takes it."""
     spark = df.sparkSession
-    versions = f"{root}/_versions"
-    prev = spark.read.parquet(versions) if _exists(spark, versions) else spark.createDataFrame([], VERSION_SCHEMA)
-    last = prev.agg(F.max("version")).first()[0]
-    v = 1 if last is None else int(last) + 1
-    df.write.mode("overwrite").parquet(f"{root}/version={v}/split={split}")
-    n = spark.read.parquet(f"{root}/version={v}/split={split}").count()
-    row = spark.createDataFrame([(v, split, n, message)], VERSION_SCHEMA)
-    row.write.mode("append").parquet(versions)
-    return spark.read.parquet(versions)
+    jvm = spark.sparkContext._jvm
+    log = jvm.org.apache.hadoop.fs.Path(f"{root}/_log")
+    fs = log.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(log)
+    v = 1 + max((int(f.getPath().getName()[:-5]) for f in fs.listStatus(log) if f.getPath().getName()[:-5].isdigit()), default=0)
+    while not _claim(spark, f"{root}/_log/{v:08d}.json"):
+        v += 1
+    out = f"{root}/version={v}/split={split}"
+    df.write.mode("overwrite").parquet(out)
+    n = spark.read.schema(df.schema).parquet(out).count()
+    entry = json.dumps({"version": v, "split": split, "num_rows": n, "message": message})
+    f = fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/_log/{v:08d}.json"), True)
+    f.write(bytearray(entry.encode()))
+    f.close()
+    return published(spark, root)
 
 
 __all__ = ["write_shards", "read_manifest", "resume_point", "scan_shards", "numbered_files",
-           "write_numbered", "descriptor", "publish_version", "local_path"]
+           "write_numbered", "descriptor", "edit_descriptor", "publish_version", "published", "local_path"]
