@@ -4,7 +4,7 @@
 2. equal fingerprints become one class, so copies never meet again;
 3. two fingerprints within ``radius`` bits agree on at least all but ``radius`` of
    ``radius + 2`` blocks: rows that share such a choice of blocks form a run.
-   In a run, sorted by population count, tiles are compared by numpy
+   Runs are sorted by population count, laid end to end and cut into tiles, which are compared by numpy
    exclusive-or and bit counts; a pair of tiles whose population counts are
    further apart than the radius is skipped. This finds every pair;
 4. a run gives a spanning forest of its links (at most one row for each of
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from corpusprep.llm.common import bounded_batches, materialize
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-TILE, HOT_RUN, BLOCK = 512, 100_000, 1 << 16
+TILE, TILES_AT_ONCE, HOT_RUN, BLOCK = 32, 1024, 100_000, 1 << 16
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -90,37 +90,39 @@ def union_links(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.nd
     return label
 
 
-def tile_pairs(fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within ``radius`` bits, tile by tile, in a run sorted by population count."""
-    ones = np.bitwise_count(fp)
-    for i in range(0, len(fp), TILE):
-        a = fp[i:i + TILE]
-        for j in range(i, len(fp), TILE):
-            if int(ones[j]) - int(ones[min(i + TILE, len(fp)) - 1]) > radius:
-                break  # sorted: all further tiles are further away
-            x, y = np.nonzero(np.bitwise_count(a[:, None] ^ fp[None, j:j + TILE]) <= radius)
-            yield x + i, y + j
-
-
 def near_pairs(run: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs in one stretch of whole runs; ``run`` numbers them. Short runs are
-    compared all at once, a long one by tiles."""
-    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    sizes = np.diff(np.r_[starts, len(run)])
-    short = np.repeat(sizes <= 64, sizes)
-    index = np.flatnonzero(short)
-    r, f = run[index], fp[index]
-    for s in range(1, int(sizes[sizes <= 64].max(initial=1))):
-        same = np.flatnonzero(r[s:] == r[:-s])
-        if not same.size:
-            break
-        hit = same[np.bitwise_count(f[same + s] ^ f[same]) <= radius]
-        if hit.size:
-            yield index[hit], index[hit + s]
-    for k in np.flatnonzero(sizes > 64):
-        at = starts[k]
-        for x, y in tile_pairs(fp[at:at + sizes[k]], radius):
-            yield x + at, y + at
+    """Index pairs within ``radius`` bits in one stretch of whole runs, which ``run`` numbers in order, each run
+    sorted by population count. The stretch is cut into tiles, whatever the lengths of its runs, and a tile is compared with
+    the tiles ``lag`` places on as long as the run at its end goes on there and the population counts at the two edges are
+    no further apart than the radius; beyond that, so are all."""
+    n = len(fp)
+    tiles = -(-n // TILE)
+    pad = tiles * TILE - n
+    # what fills the last tile is a run of its own, whose pairs are left out
+    runs = np.concatenate([run, np.full(pad, run[-1] + 1)]).reshape(tiles, TILE)
+    fps = np.concatenate([fp, np.zeros(pad, fp.dtype)]).reshape(tiles, TILE)
+    ones = np.bitwise_count(fps).astype(np.int16)
+    # with itself, a tile is compared only if two rows of a run stand in it
+    live = np.flatnonzero((runs[:, 1:] == runs[:, :-1]).any(axis=1))
+    for lag in range(tiles):
+        if lag:
+            live = np.arange(tiles - 1) if lag == 1 else live[live + lag < tiles]
+            live = live[(runs[live, -1] == runs[live + lag, 0]) & (ones[live + lag, 0] - ones[live, -1] <= radius)]
+        if not live.size:
+            if lag:
+                break
+            continue
+        for at in range(0, live.size, TILES_AT_ONCE):
+            t = live[at:at + TILES_AT_ONCE]
+            near = np.bitwise_count(fps[t][:, :, None] ^ fps[t + lag][:, None, :]) <= radius
+            near &= runs[t][:, :, None] == runs[t + lag][:, None, :]
+            if not lag:
+                near &= np.tri(TILE, k=-1, dtype=bool).T
+            k, x, y = np.nonzero(near)
+            x, y = t[k] * TILE + x, (t[k] + lag) * TILE + y
+            real = y < n
+            if real.any():
+                yield x[real], y[real]
 
 
 def _forest(radius: int):

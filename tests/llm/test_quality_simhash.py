@@ -101,6 +101,21 @@ def test_links_find_every_pair(spark):
             {frozenset(i for i, g in enumerate(want) if g == k) for k in set(want)}
 
 
+def test_tiles_find_every_pair_of_runs_of_any_length():
+    r = np.random.default_rng(3)
+    for sizes in ([1], [2], [1] * 70, [31, 1, 33], [200], [5, 64, 1, 1, 300, 2, 2, 2], [32, 32]):
+        fp, run = [], []
+        for k, size in enumerate(sizes):
+            base = r.integers(0, 2**64, dtype=np.uint64)
+            x = np.array([base ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, r.integers(1, 6), dtype=np.uint64)) for _ in range(size)])
+            fp.append(x[np.argsort(np.bitwise_count(x), kind="stable")])
+            run += [k] * size
+        fp, run = np.concatenate(fp), np.array(run)
+        got = [p for x, y in simhash_tiles.near_pairs(run, fp, 2) for p in zip(x.tolist(), y.tolist())]
+        want = [(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if run[i] == run[j] and int(fp[i] ^ fp[j]).bit_count() <= 2]
+        assert sorted(got) == want
+
+
 def test_near_duplicates_edges(spark):
     long = " ".join("word%d" % i for i in range(300))
     rows = [(9, long, 1), (4, long, 2), (4, long, 2), (7, long.upper(), 3), (1, None, 4), (2, "", 5), (None, long, 6), (None, "only this here now", 7), (3, "short", 8)]
