@@ -49,10 +49,10 @@ from e group by conv_id
 OP4 = r"""
 with u as (select doc_id, text, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),
 v as (select doc_id, pos, trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as x from u),
-w as (select doc_id, pos, ('0x' || substr(md5(x), 1, 15))::bigint as h, least(len(regexp_split_to_array(x, '[\x20\x09-\x0D]+')), 25) as words from v where x <> ''),
+w as (select doc_id, pos, md5(x) as md5, ('0x' || substr(md5(x), 1, 15))::bigint as h, least(len(regexp_split_to_array(x, '[\x20\x09-\x0D]+')), 25) as words from v where x <> ''),
 l as (select *, coalesce(sum(words) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as upto from w),
 g as (select *, sum(words) over gram as gw, max(pos) over gram as last,
-    ('0x' || substr(md5(array_to_string(list(h) over gram, ' ')), 1, 15))::bigint as gh,
+    md5(array_to_string(list(md5) over gram, ' ')) as gh,
     coalesce(list({'h': h, 'pos': pos}) over (partition by doc_id order by upto range between 25 preceding and 1 preceding), []) as before,
     coalesce(list({'h': h, 'pos': pos}) over (partition by doc_id order by upto range between 25 following and 100 following), []) as after
   from l window gram as (partition by doc_id order by upto range between current row and 24 following)),
@@ -66,7 +66,11 @@ a as (select fp, min({'doc_id': doc_id, 'pos': pos}) as k, count(*) as n,
 m as (select s.*, k, c, least(len(before), len(c.before)) as nb, least(len(after), len(c.after)) as na from s join a using (fp) where {'doc_id': doc_id, 'pos': pos} > k),
 q as (select *, coalesce(list_position(list_transform(range(1, nb + 1), lambda i: before[i].h = c.before[i].h), false) - 1, nb) as eb,
     coalesce(list_position(list_transform(range(1, na + 1), lambda i: after[i].h = c.after[i].h), false) - 1, na) as ea from m),
-r as (select distinct doc_id, case when eb = 0 then pos else before[eb].pos end as s, case when ea = 0 then last else after[ea].pos end as e from q),
+x as (select doc_id, pos, last, fp, 'before' as side, before[eb + 1:] as rest from q union all select doc_id, pos, last, fp, 'after', after[ea + 1:] from q),
+z as (select *, list_transform(rest[:i], lambda y: y.h) as stretch, rest[i].pos as at from (select *, unnest(range(1, len(rest) + 1)) as i from x) as x2),
+y as (select fp, side, stretch, min({'doc_id': doc_id, 'pos': pos}) as k2 from z group by all having count(*) > 1),
+r as (select doc_id, case when eb = 0 then pos else before[eb].pos end as s, case when ea = 0 then last else after[ea].pos end as e from q
+    union select doc_id, least(at, pos), greatest(at, last) from z join y using (fp, side, stretch) where {'doc_id': doc_id, 'pos': pos} > k2),
 t as (select *, max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding) as far from r),
 o as (select *, sum(case when far is null or s > far + 1 then 1 else 0 end) over (partition by doc_id order by s, e rows unbounded preceding) as island from t),
 i as (select doc_id, min(s) as s, max(e) as e from o group by doc_id, island),

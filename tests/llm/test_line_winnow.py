@@ -45,6 +45,24 @@ def test_planted_passages_go_and_clean_lines_stay(spark):
         assert left == [x for k, x in enumerate(was) if k not in gone] or (not left[0] and len(gone) == len(was))
 
 
+def test_ends_that_only_later_holders_share(spark):
+    """60 words in every document; on both sides a few lines that only some of the later ones have, and longer ones only two of these."""
+    r = random.Random(13)
+    rows, want, i = [], {}, 0
+    for case in range(12):
+        own = lambda: words(r, 30)
+        body, near, far, head = words(r, 60), [words(r, 6)] * 1 + [words(r, 5)], [words(r, 7)], [words(r, 4), words(r, 8)]
+        body = body.split(" ")
+        body = [" ".join(body[k:k + 12]) for k in range(0, 60, 12)]
+        for before, after, gone in (([], [], 0), (head, near, 5), ([], near[:1], 6), (head[1:], near + far, 5 + 1 + 2), ([], [], 5), (head, near + far, 5 + 2 + 3)):
+            rows.append((i, "\n".join([own(), *before, *body, *after, own()])))
+            want[i] = gone
+            i += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {o.doc_id: sum(x.e - x.s + 1 for x in o.removed) for o in line_winnow.delete_repeats(df).collect()}
+    assert got == want
+
+
 def test_edges(spark):
     r = random.Random(12)
     body = "\n".join(words(r, 12) for _ in range(12))
