@@ -67,10 +67,10 @@ m as (select s.*, k, c, least(len(before), len(c.before)) as nb, least(len(after
 q as (select *, coalesce(list_position(list_transform(range(1, nb + 1), lambda i: before[i].h = c.before[i].h), false) - 1, nb) as eb,
     coalesce(list_position(list_transform(range(1, na + 1), lambda i: after[i].h = c.after[i].h), false) - 1, na) as ea from m),
 x as (select doc_id, pos, last, fp, 'before' as side, before[eb + 1:] as rest from q union all select doc_id, pos, last, fp, 'after', after[ea + 1:] from q),
-z as (select *, list_transform(rest[:i], lambda y: y.h) as stretch, rest[i].pos as at from (select *, unnest(range(1, len(rest) + 1)) as i from x) as x2),
+z as (select *, list_transform(rest[:i], lambda y: y.h) as stretch, rest[i].pos as line_at from (select *, unnest(range(1, len(rest) + 1)) as i from x) as x2),
 y as (select fp, side, stretch, min({'doc_id': doc_id, 'pos': pos}) as k2 from z group by all having count(*) > 1),
 r as (select doc_id, case when eb = 0 then pos else before[eb].pos end as s, case when ea = 0 then last else after[ea].pos end as e from q
-    union select doc_id, least(at, pos), greatest(at, last) from z join y using (fp, side, stretch) where {'doc_id': doc_id, 'pos': pos} > k2),
+    union select doc_id, least(line_at, pos), greatest(line_at, last) from z join y using (fp, side, stretch) where {'doc_id': doc_id, 'pos': pos} > k2),
 t as (select *, max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding) as far from r),
 o as (select *, sum(case when far is null or s > far + 1 then 1 else 0 end) over (partition by doc_id order by s, e rows unbounded preceding) as island from t),
 i as (select doc_id, min(s) as s, max(e) as e from o group by doc_id, island),
