@@ -3,16 +3,19 @@
 A table rotates vectors by three rounds of random signs and a fast Hadamard transform and hashes
 each to its nearest signed axis (the coordinate of largest size, with its sign);
 ``functions`` such rotations together make a bucket. For the largest inner product a vector x gains a
-coordinate, [x, sqrt(M^2 - |x|^2)], and a query [q, 0], M being the greatest norm, and both
-are scaled to the unit sphere, so that the angle orders as the inner product does; where all norms are equal
-(to a millionth) the coordinate is left out.
+coordinate, [x, sqrt(M^2 - |x|^2)], and a query [q, 0], and both
+are scaled to the unit sphere, so that the angle orders as the inner product does among vectors of one M. M is not the greatest norm of all,
+by which one long vector would squeeze all others into a point, but the upper end of the vector's own range of norms (powers of
+``RATIO``); a query's point doesn't depend on M, so the same probes serve all ranges. The longest vectors, a ``LONG_SHARE`` of the
+classes and no more than ``LONGEST``, may be near a query by their length at any angle: they stand in one bucket more, which
+every query probes. Where all norms are equal (to a millionth), there are neither the coordinate nor this bucket.
 
 Equal vectors are one class, so copies never fill a bucket: a class keeps its
 ``k + 1`` least ids, which is all that a ranking with ties to the smaller id can use; equal queries
 are searched once. Each query probes the ``probes`` best buckets of each table. In a bucket, whose members and
 probes are cut into chunks of about ``chunk`` rows, products rank the members; the best of each chunk travel on, are scored
 exactly in double precision on the original vectors, and the k best stay. A query that finds
-fewer than it should is searched again over all buckets of one table.
+fewer than it should is searched again over all classes, chunk by chunk.
 
 Defined results: vectors that are null, zero, empty or hold a null or non-finite component take no part, nor those whose squared length is
 beyond the range of doubles (lengths over 10^154 or under 10^-162); vectors of
@@ -39,6 +42,9 @@ TABLES, PROBES, CHUNK, SEED = 16, 12, 4096, 7
 ROUNDING = 1e-11  # more than two orders of addition can differ by, of the product of the lengths
 PAIRS = 1 << 16  # pairs that are multiplied exactly at a time
 PROBED = 1 << 14  # probes that a task makes at a time
+RATIO = 1.05  # the width of a range of norms
+LONG_SHARE, LONGEST, CELLS = 1 / 16, 1 << 16, 32  # the longest vectors, found by counts of norms in cells of a factor of e^(1/32)
+LONG, ALL = -1, -2  # numbers of the tables that have one bucket: the longest vectors, all vectors
 
 
 @lru_cache(maxsize=64)
@@ -96,13 +102,15 @@ def default_probes(functions: int) -> int:
     return PROBES ** functions
 
 
-def to_sphere(x: np.ndarray, greatest: float | None, query: bool) -> np.ndarray:
-    """``greatest``: the greatest norm, None if all are alike."""
-    norm = (x * x).sum(1)
-    if greatest is None:
-        return x / np.sqrt(norm)[:, None]
-    extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(greatest * greatest - norm, 0))
-    return np.c_[x, extra] / (np.sqrt(norm)[:, None] if query else greatest)
+def to_sphere(x: np.ndarray, even: bool, query: bool) -> np.ndarray:
+    """``even``: all norms are alike."""
+    norm = np.sqrt((x * x).sum(1))
+    if even:
+        return x / norm[:, None]
+    if query:
+        return np.c_[x / norm[:, None], np.zeros(len(x))]
+    end = RATIO ** np.ceil(np.log(norm) / np.log(RATIO))
+    return np.c_[x / end[:, None], np.sqrt(np.maximum(1 - (norm / end) ** 2, 0))]
 
 
 def stacked(raw: list[bytes] | pd.Series) -> np.ndarray:
@@ -126,12 +134,12 @@ def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return d.withColumn("d", (F.octet_length("v") / 8).cast("int"))
 
 
-def _hashed(tables: int, functions: int, probes: int, greatest: float | None, query: bool):
+def _hashed(tables: int, functions: int, probes: int, even: bool, query: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = to_sphere(stacked(b.column("v").to_pylist()), greatest, query)
+            x = to_sphere(stacked(b.column("v").to_pylist()), even, query)
             few = max(1, PROBED // probes)  # rows at a time, so that many probes don't fill a batch
             for t, at in product(range(tables), range(0, b.num_rows, few)):
                 found = buckets(x[at:at + few], t, functions, probes)
@@ -192,38 +200,50 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
         x = stacked(v.to_pylist()) if len(v) else np.zeros((0, 1))
         return pa.array(np.sqrt((x * x).sum(1)))
 
-    least, greatest = d.select(norm("v").alias("n")).agg(F.min("n"), F.max("n")).first()
-    if least > greatest * (1 - 1e-6):
-        greatest = None
     # classes of equal vectors; c is the least id. Each keeps its k + 1 least ids: the windows cut
     # before and after the exchange, so a class of a third of all rows sends a few ids from each task
     copies = d.select("v", "id").withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
-    classes = materialize(copies.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("c", F.col("ids")[0]), "classes")
+    classes = copies.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    classes = materialize(classes.select("v", "ids", F.col("ids")[0].alias("c"), norm("v").alias("norm")), "classes")
+    # at most some 23,000 cells, as many as the range of doubles has
+    cells = classes.groupBy(F.floor(F.ln("norm") * CELLS).alias("cell")).agg(F.count("*").alias("n"), F.min("norm").alias("least"), F.max("norm").alias("greatest"))
+    cells = sorted(cells.collect(), key=lambda r: -r.cell)
+    even, long = cells[-1].least > cells[0].greatest * (1 - 1e-6), float("inf")
+    if not even:
+        room = min(LONG_SHARE * sum(r.n for r in cells), LONGEST)
+        for r in cells:
+            room -= r.n
+            if room < 0:
+                break
+            long = r.least
     # each query and c, the least of the queries that have its vector
     asked = d.where(is_query).select("id", "v").distinct()
     asked = materialize(asked.join(asked.groupBy("v").agg(F.min("id").alias("c")), "v").select("id", "c", "v"), "queries")
     queries = asked.where("id = c").select("c", "v").dropDuplicates(["c", "v"])
     hashed = "t int, b bigint, c bigint, v binary"
-    members = classes.select("c", "v").mapInArrow(_hashed(tables, functions, 1, greatest, False), hashed)
+    one_bucket = lambda rows, t: rows.select(F.lit(t).alias("t"), F.lit(0).cast("long").alias("b"), "c", "v")
+    members = classes.where(F.col("norm") < long).select("c", "v").mapInArrow(_hashed(tables, functions, 1, even, False), hashed)
+    probes_of = queries.mapInArrow(_hashed(tables, functions, probes, even, True), hashed)
+    if long < float("inf"):
+        members = members.unionByName(one_bucket(classes.where(F.col("norm") >= long), LONG))
+        probes_of = probes_of.unionByName(one_bucket(queries, LONG))
 
     def parts(rows: DataFrame, name: str) -> DataFrame:
         """The number of chunks of the buckets that need more than one."""
         return materialize(rows.groupBy("t", "b").agg(F.ceil(F.count("*") / chunk).cast("int").alias(name)).where(F.col(name) > 1), name)
 
-    member_parts = parts(members, "m")
-
-    def dealt(rows: DataFrame, probe_parts: DataFrame, own: str, other: str) -> DataFrame:
+    def dealt(rows: DataFrame, member_parts: DataFrame, probe_parts: DataFrame, own: str, other: str) -> DataFrame:
         """``rows`` in one of their bucket's chunks, and once for each chunk of the other side."""
         one = F.lit(1)
         rows = rows.join(member_parts, ["t", "b"], "left").join(probe_parts, ["t", "b"], "left")
         rows = rows.withColumn(f"at_{own}", F.pmod(F.xxhash64("c", "v"), F.coalesce(own, one)).cast("int"))
         return rows.withColumn(f"at_{other}", F.explode(F.sequence(F.lit(0), F.coalesce(other, one) - 1))).drop("m", "p")
 
-    def found(probe: DataFrame) -> DataFrame:
+    def found(probe: DataFrame, members: DataFrame) -> DataFrame:
         """(c, id, score): the k + 1 nearest rows of each probing class of queries."""
-        probe_parts = parts(probe, "p")
+        both = parts(members, "m"), parts(probe, "p")
         cell = ["t", "b", "at_m", "at_p"]
-        near = (dealt(probe, probe_parts, "p", "m").groupBy(*cell).cogroup(dealt(members, probe_parts, "m", "p").groupBy(*cell))
+        near = (dealt(probe, *both, "p", "m").groupBy(*cell).cogroup(dealt(members, *both, "m", "p").groupBy(*cell))
                 .applyInPandas(_best(k), "q bigint, c bigint, score double"))
         near = near.groupBy("q", "c").agg(F.max("score").alias("score"))
         near = near.join(classes.select("c", "ids"), "c").select("q", F.explode("ids").alias("id"), "score")
@@ -238,13 +258,12 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
         return (mine.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", order).where(F.col("rank") <= k)
                 .select("query_id", "rank", F.col("id").alias("vec_id"), "score"))
 
-    first = materialize(found(queries.mapInArrow(_hashed(tables, functions, probes, greatest, True), hashed)), "neighbours")
-    # classes short of min(k + 1, rows), the query among them: over every bucket of the first table
+    first = materialize(found(probes_of, members), "neighbours")
+    # classes short of min(k + 1, rows), the query among them: over all classes
     want = min(k + 1, d.select("id").distinct().count())
     enough = first.groupBy("c").count().where(F.col("count") >= want).select("c")
     short = materialize(queries.join(enough, "c", "left_anti"), "short-queries")
     if short.isEmpty():
         return ranked(first)
-    width = 2 << max(0, sizes[0]["d"] - (greatest is None)).bit_length()  # at least the axes there are
-    probe = materialize(short.mapInArrow(_hashed(1, functions, width ** functions, greatest, True), hashed), "all-buckets")
-    return ranked(first.join(short.select("c"), "c", "left_anti").unionByName(found(probe)))
+    again = found(one_bucket(short, ALL), one_bucket(classes, ALL))
+    return ranked(first.join(short.select("c"), "c", "left_anti").unionByName(again))

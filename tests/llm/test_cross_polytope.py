@@ -43,6 +43,27 @@ def test_recall_and_exact_scores(spark):
             assert g == sorted(g, key=lambda a: (-a[1], a[0]))
 
 
+def test_recall_on_uneven_lengths(spark):
+    """Lengths that differ much, and one vector that is 50 times longer than the others."""
+    r = np.random.default_rng(8)
+    n = 3000
+    for lengths in (np.exp(.3 * r.normal(size=n)), np.exp(r.normal(size=n)), np.exp(1.5 * r.normal(size=n)), np.where(np.arange(n) == 11, 50., 1.)):
+        x = r.normal(size=(n, 64))
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True) * lengths[:, None]).astype(np.float32).astype(float)
+        ids = np.arange(n)
+        got, want = run(spark, ids, x, k=20), brute(ids, x, lambda i: i % 20 == 0, 20)
+        assert got.keys() == want.keys() and recall(got, want) >= 0.95
+
+
+def test_ranges_of_lengths():
+    x = np.random.default_rng(9).normal(size=(50, 8)) * np.logspace(-150, 150, 50)[:, None]
+    member, query = C.to_sphere(x, False, False), C.to_sphere(x, False, True)
+    assert np.allclose((member * member).sum(1), 1) and np.allclose((query * query).sum(1), 1)
+    assert (member[:, -1] < .31).all() and (query[:, -1] == 0).all()
+    cos = (member[:, :-1] * query[:, :-1]).sum(1)
+    assert (cos > .95).all()
+
+
 def test_ties_copies_and_bad_rows(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(300, 16)).astype(np.float32).astype(float)
