@@ -23,7 +23,7 @@ from corpusprep.operators import position as D
 from corpusprep.operators import records as J
 from corpusprep.operators import tokens as TK
 from corpusprep.session import materialize, scratch_dir, ship_package, spread
-from corpusprep.sources import arrow_ipc, audio
+from corpusprep.sources import arrow_ipc, audio, shard_dirs
 from corpusprep.sources import sinks as S
 from corpusprep.sources.scan import glob_scan, profile, scan_corpus, table
 from corpusprep.streaming import enrich_stream as L
@@ -722,6 +722,20 @@ def q_shard_scan(spark, sf):
     return S.scan_shards(spark, base).select("doc_id", "shard_id", "step1_text")
 
 
+@query("shard_dirs_scan")
+def q_shard_dirs_scan(spark, sf):
+    """Folders of shards: an interrupted run, the resumed one, a shard that was written anew; read but for shard 0."""
+    base = scratch_dir(spark, "shard-dirs")
+    d = D.shard_assign(docs(spark, sf).select("doc_id", "text").join(positioned_docs(spark, sf), "doc_id"), SHARD_SIZE, SMALL_BATCH)
+    d = materialize(_enrich_by_shard(d, spark).select("doc_id", "original_text", "step1_text", "shard_id"), "enriched")
+    for part in (d.where("shard_id < 2"), None, d.where("shard_id = 1")):
+        if part is None:
+            last = shard_dirs.resume_point_of_dirs(spark, base).first()["last_shard_id"]
+            part = d.where(F.col("shard_id") > last)
+        shard_dirs.write_shard_dirs(part.repartition(_parallelism(spark), "shard_id"), base, RUN_TS)
+    return shard_dirs.read_shard_dirs(spark, base, d.schema).where("shard_id >= 1").select("doc_id", "shard_id", "step1_text")
+
+
 @query("numbered_shards")
 def q_numbered_shards(spark, sf):
     out = scratch_dir(spark, "numbered")

@@ -336,6 +336,7 @@ SQL["shard_scan"] = f"""SELECT p.doc_id,
   CAST(CASE WHEN pos < {_FIRST} THEN pos // {_PER_SHARD}
             ELSE ((({_FIRST} - 1) // {_PER_SHARD}) + 1) + (pos - {_FIRST}) // {_PER_SHARD} END AS INTEGER) AS shard_id,
   e.step1_text FROM {POS_DOCS} p JOIN {ENRICHED} e USING (doc_id)"""
+SQL["shard_dirs_scan"] = f"SELECT p.doc_id, {_PS} AS shard_id, e.step1_text FROM {POS_DOCS} p JOIN {ENRICHED} e USING (doc_id) WHERE pos // {_PER_SHARD} >= 1"
 SQL["numbered_shards"] = f"""SELECT doc_id, text, printf('train-%05d-of-%05d.parquet', pos // {_PER_SHARD},
   (SELECT max(pos) FROM {POS_DOCS} q) // {_PER_SHARD} + 1) AS file_name FROM {POS_DOCS} p JOIN documents d USING (doc_id)"""
 SQL["dataset_descriptor"] = f"""SELECT '{{"splits":{{' || string_agg('"' || split || '":{{"num_shards":' || n || '}}', ',' ORDER BY split) || '}}}}' AS dataset_info
