@@ -2,7 +2,7 @@
 
 * no row-at-a-time Python UDF anywhere;
 * Arrow-batched Python only where the operator needs it (model call, NFKC,
-  broadcast token lookups, WER word encoding, projector, WAV decoding, the
+  broadcast token lookups, WER word encoding, edit distances of long pairs, projector, WAV decoding, the
   Python data source, the collate hook);
 * a ``SinglePartition`` exchange only in front of a bounded table: the
   ordered index's per-bucket counts or a keyless (global) aggregate.
@@ -16,7 +16,7 @@ PYTHON_NODES = ("ArrowEvalPython", "MapInArrow", "MapInPandas", "FlatMapGroupsIn
 PYTHON_BY_DESIGN = {
     "error_split", "clean_transcript", "enrich", "span_split", "sft_prompt", "token_ids", "truncate_inside",
     "truncate_outside", "pad_batch", "pad_left", "label_budget", "detokenise", "embedding_lookup",
-    "chat_labels", "target_tokens", "assemble_sequence", "label_mask", "project_vectors", "wer_micro",
+    "chat_labels", "target_tokens", "assemble_sequence", "label_mask", "project_vectors", "wer_micro", "cer_macro", "cer_micro", "shard_dirs_scan",
     "arrow_scan", "arrow_file_order", "audio_scan", "audio_prepare", "collate_hook", "chunk_generate", "char_token_ids",
 }
 
