@@ -1,7 +1,8 @@
 """E5 per trailing window on a stream: the rate audit with state, one output for each request.
 
-Time is cut into buckets, as in the batch form: a request is kept under (caller, bucket) and, as context, under the next buckets that its
-window reaches into, so a caller's requests spread over tasks and a key's state is the caller's traffic of W + one bucket. An
+Time is cut into buckets, as in the batch form, and callers are dealt into ``groups`` by hash: a request is kept under (group, bucket) and,
+as context, under the next buckets that its window reaches into, so requests spread over tasks and a key's state is a group's traffic of
+W + one bucket. A key takes a batch's rows in one piece, so calls and timers follow the number of groups and buckets, not that of the callers. An
 event-time timer at the end of a bucket fires when the watermark has passed it: by then all its requests are there, whatever the
 order they came in, the audit of each is written once, and the state goes. Requests later than the watermark allows are dropped, as in any
 stream; requests without a time, a caller or an id are left out.
@@ -32,36 +33,51 @@ def audit(us: np.ndarray, window_us: int, max_requests: int) -> tuple[np.ndarray
     return prior, full, np.where(full, us[oldest] + window_us - us, 0)
 
 
+def audit_callers(requests: np.ndarray, window_us: int, max_requests: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(id, caller, prior, full, wait) of the own requests among ``requests`` (rows of caller, us, id, own), in pieces of whole callers."""
+    if not len(requests):
+        return
+    caller, us, ids, own = requests[np.lexsort((requests[:, 2], requests[:, 1], requests[:, 0]))].T
+    at = us - us.min()
+    span = int(at.max()) + window_us + 1  # callers one after another on one line of time, further apart than the window reaches
+    first = np.append(np.flatnonzero(np.append(True, caller[1:] != caller[:-1])), len(caller))
+    most = max(1, (1 << 62) // span)
+    for k in range(0, len(first) - 1, most):
+        cut = slice(first[k], first[min(k + most, len(first) - 1)])
+        rank = np.searchsorted(first[k:], np.arange(cut.start, cut.stop), "right") - 1
+        mine = own[cut] == 1
+        yield ids[cut][mine], caller[cut][mine], *(x[mine] for x in audit(rank * span + at[cut], window_us, max_requests))
+
+
 class TrailingAudit(StatefulProcessor):
     def __init__(self, window_us: int, max_requests: int, width_us: int):
         self.window_us, self.max_requests, self.width_us = window_us, max_requests, width_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("requests", "us long, id long, own boolean")
+        self.rows = handle.getListState("requests", "packed binary")  # caller, us, id, own as 64-bit numbers, row by row
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = not self.rows.exists()
         for part in rows:
-            self.rows.appendList([(int(u), int(i), bool(o)) for u, i, o in zip(part["us"], part["id"], part["own"])])
+            self.rows.appendValue((part[["caller", "us", "id", "own"]].to_numpy(np.int64).tobytes(),))
         if first:
             self.handle.registerTimer(-(-(int(key[1]) + 1) * self.width_us // 1000))  # milliseconds, at the bucket's end or after it
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        kept = sorted(self.rows.get())
+        kept = np.frombuffer(b"".join(r[0] for r in self.rows.get()), np.int64).reshape(-1, 4)
         self.rows.clear()
-        us, own = np.array([r[0] for r in kept], np.int64), np.array([r[2] for r in kept], bool)
-        prior, full, wait = audit(us, self.window_us, self.max_requests)
-        if own.any():
-            yield pd.DataFrame({"id": np.array([r[1] for r in kept], np.int64)[own], "caller": key[0], "prior_requests": prior[own], "at_limit": full[own], "wait_us": wait[own]})
+        for ids, caller, prior, full, wait in audit_callers(kept, self.window_us, self.max_requests):
+            if len(ids):
+                yield pd.DataFrame({"id": ids, "caller": caller, "prior_requests": prior, "at_limit": full, "wait_us": wait})
 
     def close(self) -> None:
         pass
 
 
 def stream_rate_audit(requests: DataFrame, caller_col: str, ts_col: str, id_col: str, window_us: int, max_requests: int, watermark: str,
-                      bucket_us: int | None = None) -> DataFrame:
+                      bucket_us: int | None = None, groups: int = 64) -> DataFrame:
     """(id, caller, prior_requests, at_limit, wait_us) of each request, as ``rate_audit`` gives them. Start it within ``state_store``."""
     # the process that sets state up on the driver has none of the files added to the session: ship this module's code itself
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -70,8 +86,9 @@ def stream_rate_audit(requests: DataFrame, caller_col: str, ts_col: str, id_col:
     d = requests.select(F.col(caller_col).cast("long").alias("caller"), F.col(id_col).cast("long").alias("id"), micros(ts_col).alias("us"), event_time(ts_col).alias("et"))
     d = d.where("us is not null and caller is not null and id is not null").withWatermark("et", watermark)
     b = F.floor(F.col("us") / width)
-    d = d.withColumn("b", b).withColumn("bucket", F.explode(F.sequence(b, b + copies))).withColumn("own", F.col("bucket") == F.col("b"))
-    out = d.groupBy("caller", "bucket").transformWithStateInPandas(
+    d = d.withColumn("b", b).withColumn("bucket", F.explode(F.sequence(b, b + copies))).withColumn("own", (F.col("bucket") == F.col("b")).cast("long"))
+    d = d.select(F.pmod(F.xxhash64("caller"), F.lit(groups)).alias("group"), "bucket", "caller", "us", "id", "own", "et")
+    out = d.groupBy("group", "bucket").transformWithStateInPandas(
         TrailingAudit(window_us, max_requests, width), "id long, caller long, prior_requests long, at_limit boolean, wait_us long", "Append", "EventTime")
     return out.select(F.col("id").alias(id_col), F.col("caller").alias(caller_col), "prior_requests", "at_limit", "wait_us")
 
