@@ -8,7 +8,7 @@ vocabulary. Id lookup has two plans, chosen by a checked vocabulary size:
   every Arrow batch is looked up with one vectorised hash probe - a map-only
   plan, no shuffle of the (huge) token stream;
 * above it: the most frequent tokens of at most ``HEAD_TOKEN_BYTES`` bytes, within both bounds, are still broadcast
-  (a bounded top-k); by Zipf they resolve most occurrences map-side, and only
+  (rows above a quantile, so nothing is sorted on the driver); by Zipf they resolve most occurrences map-side, and only
   the misses are exploded, shuffle-joined with the full vocabulary and
   patched back into the rows that hold them.
 
@@ -43,8 +43,9 @@ EOS_ID, UNK_ID = 0, 1
 PAD_ID = EOS_ID  # the trainers set pad_token = eos_token
 # ---------------------------------------------------------------------------
 
-BROADCAST_ROWS = 2_000_000
-BROADCAST_BYTES = 128 << 20
+# each core's Python worker holds the broadcast rows
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 40 << 20
 HEAD_TOKEN_BYTES = 64   # a token can be a whole sentence where words aren't set apart
 
 
@@ -54,10 +55,16 @@ def _fits(vocab: DataFrame, rows: int) -> bool:
 
 
 def _head(vocab: DataFrame, rows: int) -> DataFrame:
-    """The most frequent short tokens: rows and bytes are bounded."""
-    order = [F.col("count").desc(), F.col("token")] if "count" in vocab.columns else [F.col("token_id")]
+    """The most frequent short tokens: rows and bytes are bounded. They are cut off by a quantile, not by a sort with a limit, which
+    sends its limit of rows to the driver from every task."""
+    order = -F.col("count") if "count" in vocab.columns else F.col("token_id")
     most = min(rows, BROADCAST_BYTES // (64 + HEAD_TOKEN_BYTES))
-    return vocab.where(F.octet_length("token") <= HEAD_TOKEN_BYTES).orderBy(*order).limit(most)
+    short = vocab.where(F.octet_length("token") <= HEAD_TOKEN_BYTES)
+    n = short.count()
+    if n <= most:
+        return short
+    cut = short.agg(F.percentile_approx(order, most / n, 20_000)).first()[0]
+    return short.where(order < F.lit(cut))
 
 
 def _c(x) -> Column:

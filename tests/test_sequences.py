@@ -170,3 +170,16 @@ def test_spec_augment_masks_time_and_frequency(spark):
                            n_freq_masks=2, freq_mask_param=6, p=0.5)
     assert sorted((r["clip"], r["frame"], tuple(r["features"])) for r in again.collect()) == \
         sorted((r["clip"], r["frame"], tuple(r["features"])) for r in out)
+
+
+def test_head_of_a_vocabulary_is_cut_without_a_sort(spark):
+    rows = [(f"t{i}", 10_000 // (i + 1), i) for i in range(1000)] + [("x" * 100, 9, 2000)]
+    for cols in ("token string, count long, token_id long", "token string, token_id long"):
+        v = spark.createDataFrame([r if "count" in cols else (r[0], r[2]) for r in rows], cols).repartition(8)
+        h = TK._head(v, 100)
+        plan = h._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan and "Limit" not in plan
+        ids = {r.token_id for r in h.collect()}
+        assert ids == set(range(len(ids))) and 60 <= len(ids) <= 100
+    assert TK._head(v, 5000).count() == 1000
+    assert TK.BROADCAST_BYTES <= 64 << 20
