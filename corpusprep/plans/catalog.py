@@ -22,7 +22,7 @@ from corpusprep.operators import metrics as R
 from corpusprep.operators import position as D
 from corpusprep.operators import records as J
 from corpusprep.operators import tokens as TK
-from corpusprep.session import materialize, scratch_dir, ship_package, spread
+from corpusprep.session import bounded_batches, materialize, scratch_dir, ship_package, spread
 from corpusprep.sources import arrow_ipc, audio, shard_dirs
 from corpusprep.sources import sinks as S
 from corpusprep.sources.scan import glob_scan, profile, scan_corpus, table
@@ -67,6 +67,7 @@ def query(name: str):
     def deco(fn: Query) -> Query:
         def run(spark: SparkSession, sf: str) -> DataFrame:
             ship_package(spark)
+            bounded_batches(spark)
             return fn(spark, sf)
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         REGISTRY[name] = run

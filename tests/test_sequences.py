@@ -183,3 +183,12 @@ def test_head_of_a_vocabulary_is_cut_without_a_sort(spark):
         assert ids == set(range(len(ids))) and 60 <= len(ids) <= 100
     assert TK._head(v, 5000).count() == 1000
     assert TK.BROADCAST_BYTES <= 64 << 20
+
+
+def test_batches_to_python_are_bounded(spark):
+    from corpusprep.plans.catalog import REGISTRY
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    REGISTRY["span_split"](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
