@@ -22,7 +22,7 @@ from corpusprep.operators import metrics as R
 from corpusprep.operators import position as D
 from corpusprep.operators import records as J
 from corpusprep.operators import tokens as TK
-from corpusprep.session import bounded_batches, materialize, scratch_dir, ship_package, spread
+from corpusprep.session import bounded_batches, materialize, parts_by_size, scratch_dir, ship_package, spread
 from corpusprep.sources import arrow_ipc, audio, shard_dirs
 from corpusprep.sources import sinks as S
 from corpusprep.sources.scan import glob_scan, profile, scan_corpus, table
@@ -774,12 +774,15 @@ def q_publish_version(spark, sf):
     return S.publish_version(table(spark, sf, "labels"), root, "train", "add labels")
 
 
+LEAST_FILES = 4   # Arrow files to write; more, if the table is larger
+
+
 @query("arrow_scan")
 def q_arrow_scan(spark, sf):
     arrow_ipc.register(spark)
     out = scratch_dir(spark, "ipc")
     d = docs(spark, sf).select("doc_id", "lang", "source", "n_chars", "text")
-    d.repartitionByRange(4, "doc_id").write.format(arrow_ipc.FORMAT).mode("append").save(out)
+    d.repartitionByRange(parts_by_size(d, LEAST_FILES), "doc_id").write.format(arrow_ipc.FORMAT).mode("append").save(out)
     return spark.read.format(arrow_ipc.FORMAT).load(out)
 
 
@@ -789,7 +792,7 @@ def q_arrow_stream_scan(spark, sf):
     arrow_ipc.register(spark)
     src, log, out, ck = (scratch_dir(spark, n) for n in ("ipc", "ipc-log", "stream", "ck"))
     d = docs(spark, sf).select("doc_id", "lang", "source", "n_chars", "text")
-    d.repartitionByRange(4, "doc_id").write.format(arrow_ipc.FORMAT).mode("append").save(src)
+    d.repartitionByRange(parts_by_size(d, LEAST_FILES), "doc_id").write.format(arrow_ipc.FORMAT).mode("append").save(src)
     rows = spark.readStream.format(arrow_ipc.FORMAT).option("log", log).option("maxFilesPerTrigger", 2).load(src)
     L.drain(rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).start())
     return spark.read.schema(d.schema).parquet(out)
@@ -800,7 +803,8 @@ def q_arrow_file_order(spark, sf):
     """Rows of name-ordered files in the order in which they were written."""
     arrow_ipc.register(spark)
     out = scratch_dir(spark, "ipc")
-    docs(spark, sf).select("doc_id", "text").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id") \
+    t = docs(spark, sf).select("doc_id", "text")
+    t.repartitionByRange(parts_by_size(t, LEAST_FILES), "doc_id").sortWithinPartitions("doc_id") \
         .write.format(arrow_ipc.FORMAT).mode("append").save(out)
     d = spark.read.format(arrow_ipc.FORMAT).option("positions", "true").load(out)
     return D.ordered_index(d, ["file_no", "row_no"]).select("doc_id", "text", "pos")

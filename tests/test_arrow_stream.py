@@ -3,6 +3,7 @@ import os
 
 import pytest
 
+from corpusprep.session import parts_by_size, tables_size
 from corpusprep.sources import arrow_ipc
 from corpusprep.streaming import enrich_stream as L
 
@@ -57,3 +58,14 @@ def test_a_planned_batch_is_planned_again_after_a_crash(spark, tmp_dir):
     assert len(again.partitions(one, two)) == 1 and again.latestOffset() == two
     with pytest.raises(ValueError):
         arrow_ipc.ArrowIPCDataSource({"path": src}).streamReader(None)
+
+
+def test_files_grow_in_number_not_in_size(spark, tmp_dir):
+    spark.range(400_000).selectExpr("id as doc_id", "sha2(cast(id as string), 512) as text").write.parquet(f"{tmp_dir}/documents.parquet")
+    d = spark.read.parquet(f"{tmp_dir}/documents.parquet").select("doc_id", "text")
+    size = tables_size(d)
+    assert size > 1 << 20
+    assert parts_by_size(d, 4) == max(4, -(-size // (32 << 20)))
+    assert parts_by_size(d, 4, 1 << 20) == -(-size // (1 << 20)) > 4
+    copies = d.unionByName(d).unionByName(d)
+    assert parts_by_size(copies, 1, 1 << 20) >= 3 * (parts_by_size(d, 1, 1 << 20) - 1)
