@@ -1,25 +1,27 @@
 """Main text of web pages by nearest-URL page differencing.
 
-1. pages of hosts that have a page without such marks (see below) are dealt out in ranges of (host, path) and sorted, so neighbours meet in one task and a
-   host with a third of all pages is spread over many; adjacent pages of a host with equal lines are one run;
-2. each page is read into block lines, each with a flag: inside a marked article, inside a marked main part,
+1. each page is read into block lines, each with a flag: inside a marked article, inside a marked main part,
    or open. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and readers' comments
    (by element, role or class name) give no lines. A form, or a class name of the page's layout, is no proof against what stands inside: an
    element that holds over half of the page's words outside links is a wrapper, and one named like a list of links that
    holds ``PROSE`` words or more outside links, and fewer in links, is none; both count as not named. Time follows the length of the page, however it is nested;
+2. every page, as 128 bits of each of its lines, is dealt out in ranges of (host, path) and sorted, so neighbours meet in one task and a
+   host with a third of all pages is spread over many; adjacent pages of a host with equal lines are one run;
 3. each run is aligned with the runs before and after it, the nearest pages of the host on both sides whose lines
-   differ, by longest common subsequence, and the shared lines, the template, are deleted. A task finishes the runs
+   differ, by longest common subsequence; the lines shared with one of them are the template. A task finishes the runs
    inside its range; the first and last run of each range are finished by a join with the runs at the other ranges' edges, so
-   the result doesn't depend on where ranges end.
+   the result doesn't depend on where ranges end;
+4. what differencing found is joined to the pages, and the template is deleted. A check by the page's own marks follows: on a page
+   with a marked article (else, a marked main part) the template lines inside it are put back (``n_restored`` of
+   ``n_shared``), and the lines outside it go.
 
-Lines of a marked article (else, of a marked main part) are the whole result of a page that has some, and are
-never deleted: two articles of a host may hold the same line, and one article may stand at two URLs, so
+The check is needed because two articles of a host may hold the same line, and one article may stand at two URLs, so
 differencing alone would take true text for template; and menus that differ on every page would pass
-for text. So differencing decides where the page itself does not say what its article is.
+for text. Where a page does not say what its article is, differencing decides.
 
 Defined results: a null html is empty and has an empty text; null or odd URLs are of host and path as far as they
 can be read (null: one host of their own); repeated rows each get a row; a page without a differing neighbour
-of its host keeps its open lines; empty in, empty out. Other columns do not take part and can't clash.
+of its host shares no lines; empty in, empty out. Other columns do not take part and can't clash.
 """
 
 from __future__ import annotations
@@ -31,14 +33,17 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusprep.llm.common import bounded_batches, materialize
+from corpusprep.llm.common import bounded_batches, materialize, row_key
 
-HELD = 1000  # pages of a run, or finished ones, that a task holds; further pages of the run get its text by a join
+HELD = 1000  # pages of a run, or finished ones, that a task holds; further pages of the run get its template by a join
+DIGEST = 16  # bytes that stand for a line: of 10^10 different lines no two meet but by a chance of 10^-19
+DENSE = 64  # equal pairs for each line from which two pages are aligned by bits
 #: Elements whose content is never text, and whose content is chrome; elements that begin a block or have no end.
 DROPPED = frozenset("script style noscript template svg head iframe object select textarea button canvas video audio math".split())
 CHROME = frozenset("nav header footer aside form menu dialog fieldset".split())
@@ -187,12 +192,28 @@ def block_lines(page: str) -> list[tuple[str, int]]:
     return parse(page, spared, False)[0] if spared else lines
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """The indices in ``a`` of one longest common subsequence with ``b``, by
-    chains over the equal pairs in order of ``a``: time follows their number."""
-    places: dict[str, list[int]] = {}
-    for j in range(len(b) - 1, -1, -1):
-        places.setdefault(b[j], []).append(j)
+def common_lines(a: list, b: list, dense: int = DENSE) -> set[int]:
+    """The indices in ``a`` of one longest common subsequence with ``b``: by chains over the equal pairs, in
+    time by their number; by bits, in halves of ``a``, where lines repeat so often that there are over ``dense`` for each line."""
+    out: set[int] = set()
+    todo = [(0, a, b)]
+    while todo:
+        at, x, y = todo.pop()
+        places: dict = {}
+        for j in range(len(y) - 1, -1, -1):
+            places.setdefault(y[j], []).append(j)
+        if len(x) < 2 or sum(len(places.get(line, ())) for line in x) <= dense * (len(x) + len(y)):
+            out.update(at + i for i in chained(x, places))
+            continue
+        half = len(x) // 2
+        fits = prefix_fits(x[:half], y) + prefix_fits(x[half:][::-1], y[::-1])[::-1]
+        cut = int(fits.argmax())
+        todo += [(at, x[:half], y[:cut]), (at + half, x[half:], y[cut:])]
+    return out
+
+
+def chained(a: list, places: dict) -> list[int]:
+    """The indices in ``a`` of one longest common subsequence with the lines at ``places``, which are listed from the last."""
     ends: list[int] = []
     chain: list[tuple] = []
     for i, x in enumerate(a):
@@ -204,58 +225,77 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
                 chain.append(link)
             else:
                 ends[k], chain[k] = j, link
-    out, node = set(), chain[-1] if chain else None
+    out, node = [], chain[-1] if chain else None
     while node:
-        out.add(node[0])
+        out.append(node[0])
         node = node[1]
     return out
 
 
-def marked_text(page: list[tuple[str, int]]) -> str | None:
-    """The lines of the marked article, else of the marked main part; None if a page has lines, but none of these."""
-    if not page:
-        return ""
-    for kind in (ARTICLE, MAIN):
-        if any(f == kind for _, f in page):
-            return "\n\n".join(x for x, f in page if f == kind)
-    return None
-
-
-def open_text(lines: list[str], others: list[list[str] | None]) -> str:
-    """``lines`` without what they share with the neighbours there are."""
+def prefix_fits(a: list, b: list) -> np.ndarray:
+    """The length of the longest common subsequence of ``a`` with each prefix of ``b``, the empty one first: bit
+    j of a whole number tells whether prefix j + 1 has no more than prefix j."""
+    size = -(-len(b) // 8)
+    at: dict = {}
+    for j, x in enumerate(b):
+        at.setdefault(x, []).append(j)
+
+    def bits(x) -> int:
+        marks = bytearray(size)
+        for j in at[x]:
+            marks[j >> 3] |= 1 << (j & 7)
+        return int.from_bytes(marks, "little")
+
+    often = {x: bits(x) for x, js in at.items() if len(js) > 64}  # the others' are made when they come, to hold few
+    full = (1 << len(b)) - 1
+    same = full
+    for x in a:
+        if x in at:
+            met = same & (often.get(x) or bits(x))
+            same = (same + met | same - met) & full
+    flat = np.unpackbits(np.frombuffer(same.to_bytes(size, "little"), np.uint8), count=len(b), bitorder="little")
+    return np.concatenate([[0], np.cumsum(flat == 0)])
+
+
+def template(lines: list, others: list[list | None]) -> list[bool] | None:
+    """Of each line, whether it is shared with one of the neighbours there are; None if none is."""
     shared: set[int] = set()
     for other in others:
         if other is not None:
             shared |= common_lines(lines, other)
-    return "\n\n".join(x for i, x in enumerate(lines) if i not in shared)
+    return [i in shared for i in range(len(lines))] if shared else None
 
 
 def main_text(pages: list[list[tuple[str, int]]], k: int) -> str:
     """The text of page ``k`` among neighbours of its host in path order."""
-    marked = marked_text(pages[k])
-    if marked is not None:
-        return marked
     lines = [x for x, _ in pages[k]]
     others = []
     for side in (range(k - 1, -1, -1), range(k + 1, len(pages))):
         # the same page at another URL tells nothing
         others.append(next((o for j in side if (o := [x for x, _ in pages[j]]) != lines), None))
-    return open_text(lines, others)
+    shared = template(lines, others) or [False] * len(lines)
+    best = max((f for _, f in pages[k]), default=OPEN)
+    return "\n\n".join(x for (x, f), gone in zip(pages[k], shared) if f == best and (best > OPEN or not gone))
+
+
+#: A page (kind 0; without ``shared``, if its run's is not known yet) or a run (kind 1): ``part`` is the range, ``run`` counts in it,
+#: ``shared`` tells of each line whether it is template. Pages that are known to share nothing are not written, and
+#: runs only if they stand at an edge (the first two and the last two of a range), or share lines and pages wait for that.
+FOUND = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("run", pa.int64()), ("edge", pa.bool_()), ("key", pa.binary()),
+                   ("shared", pa.list_(pa.bool_())), ("host", pa.string()), ("digest", pa.string()), ("lines", pa.binary())])
 
 
-#: A page (kind 0; without text, if its run's is not known yet) or a run (kind 1): ``part`` is the range, ``run`` counts in it.
-#: Runs are written if they stand at an edge (the first two and the last two of a range), or have a text that pages wait for.
-FOUND = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("run", pa.int64()), ("edge", pa.bool_()), ("page_id", pa.int64()), ("url", pa.string()),
-                   ("text", pa.string()), ("host", pa.string()), ("digest", pa.string()), ("lines", pa.list_(pa.string()))])
+def split_lines(lines: bytes) -> list[bytes]:
+    return [lines[i:i + DIGEST] for i in range(0, len(lines), DIGEST)]
 
 
 class Run:
-    """Adjacent pages of one host with equal lines, and those of them that wait for its text."""
+    """Adjacent pages of one host with equal lines, and those of them that wait for what they share."""
 
-    def __init__(self, at: int, host: str, lines: list[str]):
+    def __init__(self, at: int, host: str, lines: bytes):
         self.at, self.host, self.lines, self.pages, self.sent = at, host, lines, [], False
 
-    def same(self, host: str, lines: list[str]) -> bool:
+    def same(self, host: str, lines: bytes) -> bool:
         return self.host == host and self.lines == lines
 
 
@@ -270,7 +310,7 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def put(*row) -> None:
         nonlocal size
         out.append(row)
-        size += len(row[6] or "") + sum(map(len, row[9] or ()))
+        size += len(row[5] or ()) + len(row[8] or ())
 
     def written() -> pa.RecordBatch:
         nonlocal size
@@ -279,33 +319,31 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 0
         return batch
 
-    def put_run(r: Run, edge: bool, text: str | None) -> None:
-        digest = lambda x: hashlib.md5(x.encode("utf-8", "surrogatepass")).hexdigest()
-        put(1, part, r.at, edge, None, None, text, digest(r.host), digest("\n".join([str(len(r.lines)), *r.lines])), r.lines if edge else None)
+    def put_run(r: Run, edge: bool, shared: list[bool] | None) -> None:
+        put(1, part, r.at, edge, None, shared, hashlib.md5(r.host.encode("utf-8", "surrogatepass")).hexdigest(), hashlib.md5(r.lines).hexdigest(), r.lines if edge else None)
 
     def send(r: Run) -> None:
-        """The pages that wait go out without their text."""
-        for page_id, url in r.pages:
-            put(0, part, r.at, False, page_id, url, None, None, None, None)
+        """The pages that wait go out without what they share."""
+        for key in r.pages:
+            put(0, part, r.at, False, key, None, None, None, None)
         r.pages, r.sent = [], r.sent or bool(r.pages)
 
     def finish(r: Run, left: Run, right: Run) -> None:
         """A run inside the range: both runs beside it are known."""
         if r.pages or r.sent:
-            text = open_text(r.lines, [o.lines if o.host == r.host else None for o in (left, right)])
-            for page_id, url in r.pages:
-                put(0, part, r.at, False, page_id, url, text, None, None, None)
-            if r.sent and r.at != 1:
-                put_run(r, False, text)
-            elif r.sent:
-                second[0] = text
+            shared = template(split_lines(r.lines), [split_lines(o.lines) if o.host == r.host else None for o in (left, right)])
+            if shared:
+                for key in r.pages:
+                    put(0, part, r.at, False, key, shared, None, None, None)
+            if r.sent and r.at == 1:
+                second[0] = shared
+            elif r.sent and shared:
+                put_run(r, False, shared)
             r.pages = []
 
-    second: list[str | None] = [None]  # the text of the run that has the number 1, if pages wait for it
+    second: list[list[bool] | None] = [None]  # what the run that has the number 1 shares, if pages wait for it
     for batch in batches:
-        for host, page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "url", "html"))):
-            parsed = block_lines(page or "")
-            lines = [x for x, _ in parsed]
+        for host, key, lines in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "lines"))):
             if now is None or not now.same(host, lines):
                 new = Run(now.at + 1 if now else 0, host, lines)
                 if before:
@@ -316,8 +354,8 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     send(now)
                     put_run(now, True, None)
                 before, now = now, new
-            if marked_text(parsed) is None:  # others are neighbours only
-                now.pages.append((page_id, url))
+            if lines:
+                now.pages.append(key)
                 if len(now.pages) >= HELD:
                     send(now)
             if len(out) >= HELD or size > 4 << 20:
@@ -331,19 +369,21 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield written()
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pages that need no neighbours, with their text."""
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages' lines by ``DIGEST`` bytes each, end to end."""
     for batch in batches:
-        texts = [marked_text(block_lines(x or "")) for x in batch.column("html").to_pylist()]
-        take = pa.array([k for k, x in enumerate(texts) if x is not None], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("page_id").take(take), batch.column("url").take(take), pa.array(texts, pa.string()).take(take)], ["page_id", "url", "text"])
+        lines = [b"".join(hashlib.md5(line.encode("utf-8", "surrogatepass")).digest() for line, _ in block_lines(x or "")) for x in batch.column("html").to_pylist()]
+        kept = ["host", "path", "page_id", "h", "key"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(lines, pa.binary())], [*kept, "lines"])
 
 
-def _open_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hosts of the other pages."""
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages' lines with their flags."""
     for batch in batches:
-        rows = zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(sorted({h for h, x in rows if marked_text(block_lines(x or "")) is None}), pa.string())], ["host"])
+        pages = [block_lines(x or "") for x in batch.column("html").to_pylist()]
+        kept = ["page_id", "url", "key"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array([[x for x, _ in p] for p in pages], pa.list_(pa.string())),
+                                          pa.array([[f for _, f in p] for p in pages], pa.list_(pa.int32()))], [*kept, "lines", "flags"])
 
 
 def edge_neighbours(edges: list[tuple[int, int, str, str]]) -> list[tuple]:
@@ -365,39 +405,52 @@ def edge_neighbours(edges: list[tuple[int, int, str, str]]) -> list[tuple]:
     return out
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) for each row of ``pages`` (page_id, url, html)."""
-    spark = pages.sparkSession
-    bounded_batches(spark)
-    url = F.coalesce("url", F.lit(""))
-    host = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
-    path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
-    d = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"),
-                     F.regexp_replace(path, r"(?:/|\.html?)+$", "").alias("path"), F.xxhash64("html").alias("h"))
-    marked = d.select("page_id", "url", "html").mapInArrow(_marked, "page_id bigint, url string, text string")
-    # only hosts with a page that needs neighbours are dealt out; reading a page twice costs less than writing its text
-    hosts = materialize(d.select("host", "html").mapInArrow(_open_hosts, "host string").distinct(), "open-hosts")
-    if hosts.isEmpty():
-        return marked
-    d = d.join(hosts, "host", "left_semi")
+def shared_lines(d: DataFrame) -> DataFrame:
+    """(key, shared): of each line of a page, whether it is template, for the keys of the rows of ``d``
+    (host, path, page_id, h, key, html) that share any."""
+    spark = d.sparkSession
     order = ["host", "path", "page_id", "h"]
-    d = d.repartitionByRange(*order).sortWithinPartitions(*order).select("host", "page_id", "url", "html")
-    found = materialize(d.mapInArrow(_difference, "kind int, part int, run bigint, edge boolean, page_id bigint, url string, text string,"
-                                                  " host string, digest string, lines array<string>"), "page-runs")
-    done = marked.unionByName(found.where("kind = 0 and text is not null").select("page_id", "url", "text"))
-    waiting = found.where("kind = 0 and text is null").select("part", "run", "page_id", "url")
+    read = materialize(d.mapInArrow(_digests, "host string, path string, page_id bigint, h bigint, key binary, lines binary"), "page-lines")
+    sorted_pages = read.repartitionByRange(*order).sortWithinPartitions(*order).select("host", "key", "lines")
+    found = materialize(sorted_pages.mapInArrow(_difference, "kind int, part int, run bigint, edge boolean, key binary, shared array<boolean>,"
+                                                             " host string, digest string, lines binary"), "page-runs")
+    done = found.where("kind = 0 and shared is not null").select("key", "shared")
+    waiting = found.where("kind = 0 and shared is null").select("part", "run", "key")
     runs = found.where("kind = 1")
     # four small rows of each range at most
     edges = edge_neighbours([tuple(r) for r in runs.where("edge").select("part", "run", "host", "digest").collect()])
     beside = spark.createDataFrame(edges, "part int, run bigint, part0 int, run0 bigint, part1 int, run1 bigint")
 
-    @F.arrow_udf("string")
-    def text(own: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([open_text(x, [a, b]) for x, a, b in zip(own.to_pylist(), left.to_pylist(), right.to_pylist())], pa.string())
+    @F.arrow_udf("array<boolean>")
+    def aligned(own: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
+        rows = zip(own.to_pylist(), left.to_pylist(), right.to_pylist())
+        return pa.array([template(split_lines(x), [None if o is None else split_lines(o) for o in beside]) for x, *beside in rows], pa.list_(pa.bool_()))
 
     at_edge = runs.where("edge").select("part", "run", "lines")
     side = [at_edge.select(F.col("part").alias(f"part{k}"), F.col("run").alias(f"run{k}"), F.col("lines").alias(f"lines{k}")) for k in (0, 1)]
-    texts = at_edge.join(beside, ["part", "run"]).join(side[0], ["part0", "run0"], "left").join(side[1], ["part1", "run1"], "left")
-    texts = texts.select("part", "run", text("lines", "lines0", "lines1").alias("text"))
-    texts = texts.unionByName(runs.where("text is not null").select("part", "run", "text"))
-    return done.unionByName(waiting.join(texts, ["part", "run"]).select("page_id", "url", "text"))
+    at_edge = at_edge.join(beside, ["part", "run"]).join(side[0], ["part0", "run0"], "left").join(side[1], ["part1", "run1"], "left")
+    known = at_edge.select("part", "run", aligned("lines", "lines0", "lines1").alias("shared"))
+    known = known.unionByName(runs.where("shared is not null").select("part", "run", "shared"))
+    late = waiting.join(known, ["part", "run"]).select("key", "shared")
+    # rows with one key are one page, in one run
+    return materialize(done.unionByName(late).dropDuplicates(["key"]), "page-template")
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text, n_shared, n_restored) for each row of ``pages`` (page_id, url, html): the lines that differencing
+    took for template, and those of them that the check by the page's marks put back."""
+    bounded_batches(pages.sparkSession)
+    url = F.coalesce("url", F.lit(""))
+    host = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
+    path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    d = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    d = d.select("*", host.alias("host"), F.regexp_replace(path, r"(?:/|\.html?)+$", "").alias("path"), F.xxhash64("html").alias("h"), F.unhex(row_key(d)).alias("key"))
+    shared = shared_lines(d.select("host", "path", "page_id", "h", "key", "html"))
+    # reading a page twice costs less than writing its text
+    read = d.select("page_id", "url", "key", "html").mapInArrow(_flagged, "page_id bigint, url string, key binary, lines array<string>, flags array<int>")
+    gone = lambda i: F.coalesce(F.get("shared", i), F.lit(False))
+    marked = lambda i: (F.col("best") > OPEN) & (F.get("flags", i) == F.col("best"))
+    n = lambda c: F.size(c).cast("long")
+    return read.join(shared, "key", "left").withColumn("best", F.coalesce(F.array_max("flags"), F.lit(OPEN))).select(
+        "page_id", "url", F.array_join(F.filter("lines", lambda _, i: marked(i) | (F.col("best") == OPEN) & ~gone(i)), "\n\n").alias("text"),
+        n(F.filter("lines", lambda _, i: gone(i))).alias("n_shared"), n(F.filter("lines", lambda _, i: gone(i) & marked(i))).alias("n_restored"))

@@ -110,3 +110,60 @@ def test_runs_of_equal_pages_and_edges_of_ranges(spark):
 def test_neighbours_of_edges():
     e = [(0, 0, "h", "a"), (0, 1, "h", "b"), (1, 0, "h", "b"), (3, 0, "h", "b"), (4, 0, "h", "b"), (4, 1, "h", "c"), (4, 8, "h", "d"), (4, 9, "i", "d")]
     assert H.edge_neighbours(e) == [(0, 0, None, None, 0, 1), (0, 1, 0, 0, 4, 1), (1, 0, 0, 0, 4, 1), (3, 0, 0, 0, 4, 1), (4, 0, 0, 0, 4, 1), (4, 9, None, None, None, None)]
+
+
+def test_lcs_by_bits():
+    r = random.Random(3)
+    for n in range(300):
+        a, b = ([r.choice("abcd"[:1 + n % 4]) for _ in range(r.randint(0, 30))] for _ in range(2))
+        got = sorted(H.common_lines(a, b, dense=0))
+        assert len(got) == len(H.common_lines(a, b, dense=10**9))
+        it = iter(b)
+        assert all(a[i] in it for i in got)
+    # 10^10 equal pairs
+    n = 100_000
+    start = time.process_time()
+    assert len(H.common_lines(["cell"] * n + ["own"], ["row", "cell"] * (n // 2))) == n // 2
+    assert time.process_time() - start < 60
+
+
+def test_every_page_passes_through_differencing(spark):
+    top, end = "<div>Site title</div>", "<div>All our pages</div>"
+    rows = [(i, f"http://a.example/{i:03}", f"{top}<article><p>Story {i}</p><p>As told before</p></article>{end}") for i in range(60)]
+    rows += [(i, f"http://b.example/{i:03}", f"{top}<main><p>Story {i}</p><p>As told before</p></main>{end}") for i in range(60, 90)]
+    rows += [(i, f"http://c.example/{i:03}", f"{top}<p>Story {i}</p><p>As told before</p>{end}") for i in range(90, 120)]
+    rows += [(120, "http://d.example/", f"{top}<article><p>Alone</p></article>"), (121, "http://e.example/", "<nav>no lines</nav>")]
+    # more equal pages than a task holds, between two others
+    rows += [(200 + i, f"http://f.example/m?x={i}", f"{top}{'<p>Equal</p>' if i % 2 else '<article>Equal</article>'}{end}") for i in range(2500)]
+    rows += [(130, "http://f.example/a", f"{top}<p>First"), (131, "http://f.example/z", f"<p>Last</p>{end}")]
+    got = {o.page_id: (o.text, o.n_shared, o.n_restored) for o in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    want = {i: (f"Story {i}\n\nAs told before", 3, 1) for i in range(90)} | {i: (f"Story {i}", 3, 0) for i in range(90, 120)} | {120: ("Alone", 0, 0), 121: ("", 0, 0)}
+    want |= {200 + i: ("Equal", 2, 0) for i in range(2500)} | {130: ("First", 1, 0), 131: ("Last", 1, 0)}
+    assert got == want
+
+
+def test_extract_against_main_text(spark):
+    r = random.Random(4)
+    wraps = ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "<main><p>z<article>{}</article></main>"]
+    rows = []
+    for k in range(400):
+        block = lambda n: "".join(f"<p>{r.choice('abcdefgh')}</p>" for _ in range(n))
+        page = r.choice([None, "", *[block(r.randint(0, 2)) + r.choice(wraps).format(block(r.randint(0, 3))) + block(r.randint(0, 2)) for _ in range(9)]])
+        rows.append((k, r.choice([None, *[f"http://{r.choice('xy')}.example/{k // r.randint(1, 9):03}?q={k}" for _ in range(19)]]), page))
+    hosts = {}
+    for k, url, page in sorted(rows, key=lambda x: (x[1] or "").split("?")[0][7:] + f" {x[0]:03}"):
+        hosts.setdefault((url or "http://")[7:8], []).append((k, H.block_lines(page or "")))
+    want = {k: H.main_text([p for _, p in pages], i) for pages in hosts.values() for i, (k, _) in enumerate(pages)}
+    df = spark.createDataFrame(rows + rows[:50], "page_id long, url string, html string").repartition(3)
+    # rows given twice are one run
+    parts, coalesce = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (1, 13):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            out = H.extract(df).collect()
+            assert len(out) == 450 and {o.page_id: o.text for o in out} == want, n
+            assert sum(o.n_restored for o in out) > 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
