@@ -205,6 +205,14 @@ def common_lines(a: list, b: list, dense: int = DENSE) -> set[int]:
         if len(x) < 2 or sum(len(places.get(line, ())) for line in x) <= dense * (len(x) + len(y)):
             out.update(at + i for i in chained(x, places))
             continue
+        if head := equal_lines(x, y):
+            out.update(range(at, at + head))
+            todo.append((at + head, x[head:], y[head:]))
+            continue
+        if tail := equal_lines(x[::-1], y[::-1]):
+            out.update(range(at + len(x) - tail, at + len(x)))
+            todo.append((at, x[:-tail], y[:-tail]))
+            continue
         half = len(x) // 2
         fits = prefix_fits(x[:half], y) + prefix_fits(x[half:][::-1], y[::-1])[::-1]
         cut = int(fits.argmax())
@@ -212,6 +220,11 @@ def common_lines(a: list, b: list, dense: int = DENSE) -> set[int]:
     return out
 
 
+def equal_lines(a: list, b: list) -> int:
+    """How many lines at the beginning are equal."""
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def chained(a: list, places: dict) -> list[int]:
     """The indices in ``a`` of one longest common subsequence with the lines at ``places``, which are listed from the last."""
     ends: list[int] = []
