@@ -30,12 +30,14 @@ from corpusprep.llm.common import bounded_batches, cycles_kept, materialize
 from corpusprep.llm.prefix_bpe import Generations
 
 CAPACITY, BLOCK_ROWS, LOOSE_BINS, SHRINK = 2048, 200_000, 64, 8
-CACHE_WORDS = 500_000
+#: Most chunks and words that a worker keeps, about 150 bytes each; most characters of text that are split at a time (one text at least).
+CACHE_WORDS, STEP_CHARS = 300_000, 200_000
 
 
 class WordTokens:
     """Ids of whole texts. No token spans white space or two of the matches of
-    ``SPLIT``, so the ids of a text are those of its chunks between white space, cached, and theirs are those of their matches. New ones are encoded many at a
+    ``SPLIT``, so the ids of a text are those of its chunks between white space, and theirs are those of their matches. Both are kept in one
+    cache, as a match that stands alone is a chunk with the same ids. New ones are encoded many at a
     time by the tokenizer's model, joined by spaces; as the last token of each, and no other, is one that ends words, the
     ids fall apart into words again. Texts with other than Latin letters, and those that may hold one of the tokenizer's special strings, go to the tokenizer whole."""
 
@@ -57,7 +59,7 @@ class WordTokens:
         # a byte's letter: itself if it prints in Latin-1, else one of those from U+0100 on, in order
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-        self.words, self.chunks = Generations(self.new_words, CACHE_WORDS), Generations(self.new_chunks, CACHE_WORDS)
+        self.known = Generations(self.new_chunks, CACHE_WORDS)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -77,25 +79,34 @@ class WordTokens:
         return out
 
     def new_chunks(self, chunks: set[str]) -> dict[str, bytes]:
-        find = self.find
+        find, new, old = self.find, self.known.new, self.known.old
         split = [(c, [c] if c.isalpha() else find(c)) for c in chunks]
-        known = self.words.of({w for _, ws in split for w in ws}).__getitem__
-        return {c: known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws)) for c, ws in split}
+        ids = {w: new[w] if w in new else old.get(w) for _, ws in split for w in ws}
+        made = self.new_words({w for w, raw in ids.items() if raw is None})
+        ids.update(made)
+        out = {c: ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws)) for c, ws in split}
+        # the new words are kept as well, if there is room
+        more = [w for w in made if w not in out and len(w) <= 64]
+        out.update((w, made[w]) for w in more[:max(0, self.known.most - len(new) - len(out))])
+        return out
 
     def encode(self, texts: list[str], end: bytes) -> Iterator[bytes]:
-        """The ids of each text, and ``end``, for a few hundred texts at a time."""
-        for k in range(0, len(texts), 400):
-            part = texts[k:k + 400]
-            split = []
+        """The ids of each text, and ``end``, for at most ``STEP_CHARS`` of text at a time."""
+        at = 0
+        while at < len(texts):
+            part, left, split = [], STEP_CHARS, []
+            while at < len(texts) and (not part or len(texts[at]) <= left):
+                part.append(texts[at])
+                left, at = left - len(texts[at]), at + 1
             for t in part:
                 plain = normalize("NFC", t).lower() if self.latin(t) else None
                 split.append(None if plain is None or any(s in plain for s in self.special) else plain.split())
-            known = self.chunks.of(set().union(*filter(None, split))).__getitem__
+            known = self.known.of(set().union(*filter(None, split))).__getitem__
             for t, chunks in zip(part, split):
                 yield (self.whole(t) if chunks is None else b"".join(map(known, chunks))) + end
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def tokens_of(path: str) -> WordTokens:
     return WordTokens(path)
 

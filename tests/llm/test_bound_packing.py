@@ -62,6 +62,24 @@ def test_tokens_match_the_library():
         assert np.frombuffer(raw, "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, s
 
 
+def test_a_worker_keeps_few_words_and_splits_little_text_at_a_time(monkeypatch):
+    monkeypatch.setattr(B, "CACHE_WORDS", 4000)
+    monkeypatch.setattr(B, "STEP_CHARS", 5000, raising=False)
+    t, r = Tokenizer.from_file(PATH), random.Random(3)
+    word = lambda: "".join(r.choice("abcdeé'1") for _ in range(r.randint(1, 7))) + r.choice(["", "", ",", "."])
+    texts = [" ".join(word() for _ in range(200)) for _ in range(200)] + [" ".join(word() for _ in range(2000))]
+    tokens, asked = B.WordTokens(PATH), []
+    caches = [c for c in vars(tokens).values() if isinstance(c, B.Generations)]
+    for c in caches:
+        monkeypatch.setattr(c, "of", lambda keys, of=c.of: asked.append(len(keys)) or of(keys))
+    most = 0
+    for s, raw in zip(texts, tokens.encode(texts, b"")):
+        assert np.frombuffer(raw, "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, s
+        most = max(most, sum(len(c.new) + len(c.old) for c in caches))
+    # formerly two caches of so many entries each, and the words of 400 texts whatever their lengths
+    assert most <= 4000 and max(asked) <= 2000, (most, max(asked))
+
+
 def check(rows, out, capacity=2048):
     seqs = {}
     for o in out:
