@@ -31,7 +31,7 @@ from corpusprep.llm.prefix_bpe import Generations
 
 CAPACITY, BLOCK_ROWS, LOOSE_BINS, SHRINK = 2048, 200_000, 64, 8
 #: Most chunks and words that a worker keeps, about 150 bytes each; most characters of text that are split at a time (one text at least).
-CACHE_WORDS, STEP_CHARS = 300_000, 200_000
+CACHE_WORDS, STEP_CHARS = 500_000, 200_000
 
 
 class WordTokens:
